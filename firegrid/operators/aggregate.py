@@ -321,3 +321,17 @@ def forest_rule(
     return out.withColumn(
         "forest", F.coalesce((F.col("cover") >= min_cover) & (F.col("nonforest") <= max_nonforest), F.lit(False))
     )
+
+
+def post_event_anomaly(
+    data: DataFrame, events: DataFrame, years: int = 4, key: str = "site", x: str = "year", y: str = "value"
+) -> DataFrame:
+    """Mean standardised anomaly in the years after an event.
+
+    ``events``: one row per key with ``event``. Mean and spread are aggregates joined
+    back, so a long series is never held in a window.
+    """
+    stats = data.groupBy(key).agg(F.avg(y).alias("_m"), F.stddev_pop(y).alias("_s")).join(events, key)
+    z = (F.col(y) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))
+    after = data.join(stats, key).where((F.col(x) > F.col("event")) & (F.col(x) <= F.col("event") + years))
+    return after.groupBy(key).agg(F.avg(z).alias("anomaly"), F.count(z).alias("n"))

@@ -186,3 +186,8 @@ def match_years(a: DataFrame, b: DataFrame, tol: int = 1, keys=("site",)) -> Dat
 def attach_attributes(df: DataFrame, attrs: DataFrame, key: str) -> DataFrame:
     """Attributes of a site joined by its number or name."""
     return df.join(attrs, key, "left")
+
+
+def mid_temperature(tmax: DataFrame, tmin: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean of the daily extremes."""
+    return tmax.join(tmin, list(keys)).withColumn("tmean", (F.col("tmax") + F.col("tmin")) / 2)

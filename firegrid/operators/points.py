@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -125,73 +126,75 @@ def thin_points(points: DataFrame, km: float = 1.0, order: str = "seq") -> DataF
     a block are always in reach of each other, so a block keeps at most one point.
     In each round a block's first open point is kept when no block around it has an
     earlier open one; then open points near a newly kept point are dropped. Only
-    block minima and kept points are ever exchanged with neighbours.
+    block minima and kept points are ever exchanged with neighbours. The number of
+    rounds follows the longest chain of ever later neighbours, short unless the order
+    runs along a line of points.
     """
-    import math
-
     deg = math.degrees(km / EARTH_RADIUS_KM)
-    side = deg / 2.0  # diagonal of a block < km
-    lat_rows = int(math.ceil(deg / side)) + 1
+    side = 0.69 * deg  # diagonal of a block < km
+    reach_rows = F.sequence(F.lit(-2), F.lit(2))
+
+    def cos_deg(lat):
+        return F.greatest(F.cos(F.radians(lat)), F.lit(1e-3))
 
-    # the width of a block in longitude depends on its row, so distances hold at all latitudes
-    def block_row(lat):
-        return F.floor(lat / F.lit(side)).cast("long")
+    def edges(row):
+        return F.abs(row * F.lit(side)), F.abs((row + 1) * F.lit(side))
 
     def width(row):
-        south = F.greatest(F.abs(row * F.lit(side)), F.abs((row + 1) * F.lit(side)))
-        return F.lit(side) / F.greatest(F.cos(F.radians(F.least(south, F.lit(89.0)))), F.lit(1e-3))
+        """Width of a row's blocks in degrees of longitude, for its edge nearest the equator."""
+        low = F.when(row * F.lit(side) * ((row + 1) * F.lit(side)) <= 0, F.lit(0.0)).otherwise(F.least(*edges(row)))
+        return F.lit(side) / cos_deg(low)
 
+    def around(df: DataFrame) -> DataFrame:
+        """Every block that may hold a point within reach of the row's point, also across the date line."""
+        near = df.withColumn("_nby", F.explode(F.transform(reach_rows, lambda i: F.col("_by") + i)))
+        row = F.col("_nby")
+        span = F.lit(deg * 1.02) / cos_deg(F.greatest(F.abs(F.col("lat")), *edges(row)))
+
+        def ids(lon):
+            return F.sequence(F.floor((lon - span) / width(row)), F.floor((lon + span) / width(row)))
+
+        lon, none = F.col("lon"), F.array().cast("array<bigint>")
+        blocks = F.concat(
+            ids(lon),
+            F.when(lon - span < -180, ids(lon + 360)).otherwise(none),
+            F.when(lon + span > 180, ids(lon - 360)).otherwise(none),
+        )
+        return near.withColumn("_nbx", F.explode(F.array_distinct(blocks)))
+
+    row = F.floor(F.col("lat") / F.lit(side)).cast("long")
     # copies of a location after its first can never be kept
-    first = Window.partitionBy("lat", "lon")
-    unique = points.groupBy("lat", "lon").agg(F.min(order).alias("_seq"))
-    row = block_row(F.col("lat"))
     open_ = cut_lineage(
-        unique.withColumn("_by", row)
-        .withColumn("_bx", F.floor(F.col("lon") / (width(row) * F.lit(0.5))).cast("long"))
-        .select("lat", "lon", "_seq", "_by", "_bx")
+        points.groupBy("lat", "lon")
+        .agg(F.min(order).alias("_seq"))
+        .withColumn("_by", row)
+        .withColumn("_bx", F.floor(F.col("lon") / width(F.col("_by"))))
     )
-    del first
     kept = None
-    rows = F.sequence(F.lit(-lat_rows), F.lit(lat_rows))
-
-    def around(df: DataFrame) -> DataFrame:
-        """Every block that may hold a point within reach of the row's point."""
-        near = df.withColumn("_nby", F.explode(F.transform(rows, lambda i: F.col("_by") + i)))
-        w = width(F.col("_nby")) * F.lit(0.5)
-        far = F.greatest(F.abs(F.col("lat")), F.abs(F.col("_nby") * F.lit(side)), F.abs((F.col("_nby") + 1) * F.lit(side)))
-        span = F.lit(deg * 1.01) / F.greatest(F.cos(F.radians(F.least(far, F.lit(89.0)))), F.lit(1e-3))
-        lo = F.floor((F.col("lon") - span) / w).cast("long")
-        hi = F.floor((F.col("lon") + span) / w).cast("long")
-        return near.withColumn("_nbx", F.explode(F.sequence(lo, hi)))
-
     while True:
-        heads = open_.groupBy("_by", "_bx").agg(F.min(F.struct("_seq", "lat", "lon")).alias("h")).select(
-            "_by", "_bx", "h._seq", "h.lat", "h.lon"
+        heads = (
+            open_.groupBy("_by", "_bx")
+            .agg(F.min(F.struct("_seq", "lat", "lon")).alias("h"))
+            .select("_by", "_bx", "h._seq", "h.lat", "h.lon")
         )
         rivals = heads.select(F.col("_by").alias("_nby"), F.col("_bx").alias("_nbx"), F.col("_seq").alias("_rseq"))
-        winners = (
+        winners = cut_lineage(
             around(heads)
-            .join(rivals, ["_nby", "_nbx"], "left")
+            .join(rivals, ["_nby", "_nbx"])
             .groupBy("_by", "_bx", "_seq", "lat", "lon")
             .agg(F.min("_rseq").alias("_low"))
             .where(F.col("_low") >= F.col("_seq"))
-            .select("_by", "_bx", "_seq", "lat", "lon")
+            .drop("_low")
         )
-        winners = cut_lineage(winners)
         kept = winners if kept is None else kept.unionByName(winners)
+        # a block is reached by a bounded number of kept points, which lie km apart
         reach = around(winners).select(
             F.col("_nby").alias("_by"), F.col("_nbx").alias("_bx"), F.col("lat").alias("_klat"), F.col("lon").alias("_klon")
         )
-        near = (haversine_km("o.lat", "o.lon", "k._klat", "k._klon") < km) | (
-            (F.col("o.lat") == F.col("k._klat")) & (F.col("o.lon") == F.col("k._klon"))
-        )
-        open_ = cut_lineage(
-            open_.alias("o").join(
-                reach.alias("k"),
-                (F.col("o._by") == F.col("k._by")) & (F.col("o._bx") == F.col("k._bx")) & near,
-                "left_anti",
-            )
-        )
+        same = (F.col("o.lat") == F.col("k._klat")) & (F.col("o.lon") == F.col("k._klon"))
+        near = same | (haversine_km("o.lat", "o.lon", "k._klat", "k._klon") < km)
+        block = (F.col("o._by") == F.col("k._by")) & (F.col("o._bx") == F.col("k._bx"))
+        open_ = cut_lineage(open_.alias("o").join(reach.alias("k"), block & near, "left_anti"))
         if open_.isEmpty():
             break
     chosen = kept.select("lat", "lon", F.col("_seq").alias(order))
@@ -222,3 +225,12 @@ def site_boxes(sites: DataFrame, grids: Mapping[str, tuple[GridSpec, int]]) -> D
             {c: f"{c}_{name}" for c in ("lat_min", "lat_max", "lon_min", "lon_max")}
         )
     return sites
+
+
+def union_box(
+    df: DataFrame, lows: Mapping[str, Sequence[str]], highs: Mapping[str, Sequence[str]]
+) -> DataFrame:
+    """Smallest box holding several boxes."""
+    return df.withColumns(
+        {**{out: F.least(*cols) for out, cols in lows.items()}, **{out: F.greatest(*cols) for out, cols in highs.items()}}
+    )

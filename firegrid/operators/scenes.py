@@ -31,35 +31,53 @@ def scene_dedup(
     max_gap_seconds: int = 86_400,
     keys: Sequence[str] = ("site",),
     qc: Column | str = "qc",
+    chunk: str = "month",
 ) -> DataFrame:
     """Repeats of a scene dropped (F17): adds ``keep``.
 
     A scene is linked to the catalogue row before it when that is less than ``max_gap``
     older and of the same satellite; the first two rows of a site never are. A linked
     scene is kept only when the row before it was not, so along a chain of linked good
-    scenes every second one is kept.
+    scenes every second one is kept: position in the chain decides.
 
-    The look-back needs one neighbour and the chain breaks at every wider gap, so
-    sites are cut into runs of days: a run boundary is placed at each gap, and no site's whole
-    catalogue is needed in one task beyond the first pass over (ts, seq).
+    A site's catalogue is never sorted in one task. Rows are ordered inside (site,
+    ``chunk``); a small table of chunks hands over what lies before each: the last row, the number of
+    rows, the start of the open chain.
     """
     ok = F.col(qc) if isinstance(qc, str) else qc
-    w = Window.partitionBy(*keys).orderBy("ts", "seq")
-    gap = F.col("ts").cast("double") - F.lag(F.col("ts").cast("double")).over(w)
-    linked = (
-        (F.row_number().over(w) > 2)
-        & (gap < max_gap_seconds)
-        & F.col("satellite").eqNullSafe(F.lag("satellite").over(w))
+    part = [*keys, "_chunk"]
+    local = Window.partitionBy(*part).orderBy("ts", "seq")
+    over_chunks = Window.partitionBy(*keys).orderBy("_chunk")
+    earlier = over_chunks.rowsBetween(Window.unboundedPreceding, -1)
+    row = F.struct(F.col("ts"), F.col("satellite"), F.col("_ok"))
+    rows = scenes.withColumns({"_ok": F.coalesce(ok, F.lit(False)), "_chunk": F.date_trunc(chunk, "ts")})
+    level = (
+        rows.groupBy(*part)
+        .agg(F.count(F.lit(1)).alias("_n"), F.max_by(row, F.struct("ts", "seq")).alias("_last"))
+        .select(
+            *part,
+            F.lag("_last").over(over_chunks).alias("_prev_last"),
+            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
+        )
     )
-    chain = scenes.withColumn("_ok", F.coalesce(ok, F.lit(False))).withColumns(
-        {"_linked": F.coalesce(linked, F.lit(False)), "_before": F.coalesce(F.lag("_ok").over(w), F.lit(False))}
+    rows = rows.join(level, part).withColumns(
+        {
+            "_idx": F.col("_offset") + F.row_number().over(local),
+            "_prev": F.coalesce(F.lag(row).over(local), F.col("_prev_last")),
+        }
     )
-    chain = chain.withColumn(
-        "_island", F.sum((~(F.col("_linked") & F.col("_ok") & F.col("_before"))).cast("int")).over(w)
+    gap = F.col("ts").cast("double") - F.col("_prev.ts").cast("double")
+    linked = (F.col("_idx") > 2) & (gap < max_gap_seconds) & F.col("satellite").eqNullSafe(F.col("_prev.satellite"))
+    goes_on = F.coalesce(linked & F.col("_ok") & F.col("_prev._ok"), F.lit(False))
+    rows = rows.withColumn("_start", F.when(~goes_on, F.col("_idx")))
+    carry = rows.groupBy(*part).agg(F.max("_start").alias("_m")).select(
+        *part, F.max("_m").over(earlier).alias("_carry")
     )
-    inside = Window.partitionBy(*keys, "_island").orderBy("ts", "seq")
-    return chain.withColumn("keep", F.col("_ok") & ((F.row_number().over(inside) - 1) % 2 == 0)).drop(
-        "_ok", "_linked", "_before", "_island"
+    running = F.max("_start").over(local.rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        rows.join(carry, part)
+        .withColumn("keep", F.col("_ok") & ((F.col("_idx") - F.coalesce(running, F.col("_carry"))) % 2 == 0))
+        .select(*scenes.columns, "keep")
     )
 
 

@@ -92,7 +92,7 @@ def _long_series_median_slope(x: np.ndarray, y: np.ndarray) -> float:
     return kth(total // 2) if total % 2 else (kth(total // 2 - 1) + kth(total // 2)) / 2
 
 
-@F.pandas_udf("slope double, intercept double")
+@F.pandas_udf(T.StructType([T.StructField("slope", T.DoubleType()), T.StructField("intercept", T.DoubleType())]))
 def _theil_sen(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
     out = np.full((len(xs), 2), np.nan)
     for rows, x, y in _same_length(xs, ys):
@@ -159,12 +159,16 @@ def ols(df: DataFrame, keys: Sequence[str] = CELL, x: str = "step", y: str = "va
 
 
 def polyfit_slope(df: DataFrame, keys: Sequence[str] = CELL, x: str = "year", y: str = "value") -> DataFrame:
-    """Slope over calendar years with missing values as zero; a slope of zero means no data (T4)."""
-    s = F.regr_slope(F.coalesce(F.col(y).cast("double"), F.lit(0.0)), F.col(x).cast("double"))
-    return df.groupBy(*keys).agg(F.nullif(s, F.lit(0.0)).alias("slope"))
+    """Slope over calendar years with missing values as zero; a slope of zero means no data (T4).
+
+    Zero is judged against the size of the values, since summation order leaves residue.
+    """
+    v = F.coalesce(F.col(y).cast("double"), F.lit(0.0))
+    s = F.regr_slope(v, F.col(x).cast("double"))
+    return df.groupBy(*keys).agg(F.when(F.abs(s) > F.max(F.abs(v)) * 1e-12, s).alias("slope"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _tau_b(xs: pd.Series, ys: pd.Series) -> pd.Series:
     out = np.full(len(xs), np.nan)
     for rows, x, y in _same_length(xs, ys):
@@ -340,26 +344,30 @@ def site_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     return line.join(tau).select("n", (F.col("r") * F.col("r")).alias("r2"), "tau")  # one row each
 
 
-_RANGES = 256
+_STRIP_ROWS, _MAX_STRIPS = 50_000, 1024
 
 
 def whole_table_tau(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Kendall's tau-b over all rows, one row of output."""
+    """Kendall's tau-b over all rows, one row of output.
+
+    The number of ranges grows with the table, so a strip holds about ``_STRIP_ROWS`` points.
+    """
     pts = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("w"))
     pts = whole_table_rank(pts.withColumnRenamed("x", "_x"), "_x", "_rx", ["_x", "y"]).withColumnRenamed("_x", "x")
     pts = whole_table_rank(pts.withColumnRenamed("y", "_y"), "_y", "_ry", ["x", "_y"]).withColumnRenamed("_y", "y")
-    top = pts.agg(F.max("_rx").alias("_mx"), F.max("_ry").alias("_my"))
+    strips = F.least(F.greatest(F.ceil(F.count(F.lit(1)) / _STRIP_ROWS), F.lit(1)), F.lit(_MAX_STRIPS))
+    top = pts.agg(F.max("_rx").alias("_mx"), F.max("_ry").alias("_my"), strips.alias("_k"))
     pts = (
-        pts.crossJoin(F.broadcast(top))  # a single row of two maxima
-        .withColumn("bx", F.floor(F.col("_rx") / (F.col("_mx") + 1) * _RANGES).cast("int"))
-        .withColumn("by", F.floor(F.col("_ry") / (F.col("_my") + 1) * _RANGES).cast("int"))
+        pts.join(F.broadcast(top))  # one row
+        .withColumn("bx", F.floor(F.col("_rx") / (F.col("_mx") + 1) * F.col("_k")).cast("int"))
+        .withColumn("by", F.floor(F.col("_ry") / (F.col("_my") + 1) * F.col("_k")).cast("int"))
         .select("x", "y", "w", "bx", "by")
     )
     out = "same_x double, same_y double, same_both double, score double, n double"
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs differing in both ranges, from at most ranges^2 counts."""
-        m = np.zeros((_RANGES, _RANGES))
+        """Pairs differing in both ranges, from at most ``_MAX_STRIPS``^2 counts."""
+        m = np.zeros((int(pdf["bx"].max()) + 1, int(pdf["by"].max()) + 1))
         m[pdf["bx"], pdf["by"]] = pdf["w"]
         later = np.zeros_like(m)
         later[:-1, :-1] = m[1:, 1:][::-1, ::-1].cumsum(0).cumsum(1)[::-1, ::-1]

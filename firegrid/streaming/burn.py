@@ -28,3 +28,27 @@ def burn_flag_stream(
         .agg(F.max(F.col(flag).cast("int")).alias(flag))
         .withColumn("year", F.year("year_end"))
     )
+
+
+def run_to_table(flags: DataFrame, path: str) -> DataFrame:
+    """Drain the available input into a table and return its current state.
+
+    Every micro-batch writes its changed groups under its own batch number, so a batch replayed after a
+    failure replaces itself; the newest version of a group is its largest flag.
+    """
+    from pyspark.sql import SparkSession
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/flags/batch={number}")
+
+    query = (
+        flags.writeStream.outputMode("update")
+        .foreachBatch(save)
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    spark = SparkSession.getActiveSession()
+    out = spark.read.parquet(f"{path}/flags")
+    return out.groupBy(*CELL, "year").agg(F.max("burnt").alias("burnt"))
