@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from firegrid.functions.decode import reciprocal_floor
 from firegrid.grid import CELL, GridSpec
-from firegrid.operators.aggregate import season_climatology
+from firegrid.operators.aggregate import interval_shares, season_climatology, weighted_mean_std
 from firegrid.operators.masks import drop_null_rows, model_domain
-from firegrid.operators.ordered import exact_percentiles
-from firegrid.operators.reshape import SEASONS, lattice_sample, season_columns
+from firegrid.operators.ordered import exact_percentiles, weighted_quantiles
+from firegrid.operators.reshape import SEASONS, lattice_sample
 from firegrid.operators.windows import moving_mean
 
 FEATURES = tuple(f"{v}{s}" for v in ("ppt", "tmean") for s in SEASONS)
@@ -256,19 +256,18 @@ def predict(models: dict[str, PipelineModel], df: DataFrame, floor: float) -> Da
     return out.unionByName(rest)
 
 
-def prediction_stats(df: DataFrame, by: Sequence[str], x: str, w: Column, edges: Sequence[float]) -> DataFrame:
-    """Weighted mean, spread and interval shares of predictions by run."""
+def prediction_stats(
+    df: DataFrame, by: Sequence[str], x: str, w: Column, edges: Sequence[float], probs: Sequence[float] = (0.05, 0.5, 0.95)
+) -> DataFrame:
+    """Weighted mean, spread, quantiles and interval shares of predictions by run."""
     weighted = df.withColumn("_w", w)
-    valid = F.col(x).isNotNull()
-    total = F.sum(F.when(valid, F.col("_w")))
-    below, cols = None, []
-    for e in edges:
-        hit = F.col(x) <= e if below is None else (F.col(x) > below) & (F.col(x) <= e)
-        cols.append((F.sum(F.when(hit, F.col("_w")).otherwise(0.0)) / total).alias(f"share_{below or 0:g}_{e:g}"))
-        below = e
-    return weighted.groupBy(*by).agg(
-        (F.sum(F.col("_w") * F.col(x)) / total).alias("mean"), F.count(x).alias("n"), *cols
-    )
+    parts = [
+        weighted_mean_std(weighted, x, "_w", by),
+        weighted_quantiles(weighted, x, "_w", probs, by),
+        interval_shares(weighted, x, edges, F.col("_w"), by),
+    ]
+    # one row per run on every side
+    return reduce(lambda a, b: a.join(b, list(by)), parts)
 
 
 def prediction_frames(current: DataFrame, futures: DataFrame, x: str, floor: float = 1e-6) -> DataFrame:

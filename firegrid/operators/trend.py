@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from firegrid.functions.stats import f_pvalue_df1_1, f_pvalue_df1_2, t_pvalue_from_r
 from firegrid.grid import CELL, as_col
-from firegrid.operators.ordered import adjust_p, whole_table_rank
+from firegrid.operators.ordered import adjust_p
 from firegrid.operators.windows import average_rank
 
 __all__ = ["adjust_p"]
@@ -350,18 +350,25 @@ _STRIP_ROWS, _MAX_STRIPS = 50_000, 1024
 def whole_table_tau(df: DataFrame, x: str, y: str) -> DataFrame:
     """Kendall's tau-b over all rows, one row of output.
 
-    The number of ranges grows with the table, so a strip holds about ``_STRIP_ROWS`` points.
+    The number of ranges grows with the table, so a strip holds about ``_STRIP_ROWS``
+    points. Their bounds come from approximate quantiles: any bounds give the exact
+    result, these keep the strips even.
     """
-    pts = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("w"))
-    pts = whole_table_rank(pts.withColumnRenamed("x", "_x"), "_x", "_rx", ["_x", "y"]).withColumnRenamed("_x", "x")
-    pts = whole_table_rank(pts.withColumnRenamed("y", "_y"), "_y", "_ry", ["x", "_y"]).withColumnRenamed("_y", "y")
-    strips = F.least(F.greatest(F.ceil(F.count(F.lit(1)) / _STRIP_ROWS), F.lit(1)), F.lit(_MAX_STRIPS))
-    top = pts.agg(F.max("_rx").alias("_mx"), F.max("_ry").alias("_my"), strips.alias("_k"))
+    rows = df.select(F.col(x).alias("x"), F.col(y).alias("y"))
+    k = min(max(-(-rows.count() // _STRIP_ROWS), 1), _MAX_STRIPS)
+    probs = [i / k for i in range(1, k)]
+    bounds = rows.approxQuantile(["x", "y"], probs, 0.25 / k) if probs else [[], []]
+
+    def strip(c: str, cuts: Sequence[float]) -> Column:
+        cuts = sorted(set(cuts))
+        if not cuts:
+            return F.lit(0)
+        return F.size(F.filter(F.array(*[F.lit(v) for v in cuts]), lambda v: v <= F.col(c)))
+
     pts = (
-        pts.join(F.broadcast(top))  # one row
-        .withColumn("bx", F.floor(F.col("_rx") / (F.col("_mx") + 1) * F.col("_k")).cast("int"))
-        .withColumn("by", F.floor(F.col("_ry") / (F.col("_my") + 1) * F.col("_k")).cast("int"))
-        .select("x", "y", "w", "bx", "by")
+        rows.groupBy("x", "y")
+        .agg(F.count(F.lit(1)).alias("w"))
+        .withColumns({"bx": strip("x", bounds[0]), "by": strip("y", bounds[1])})
     )
     out = "same_x double, same_y double, same_both double, score double, n double"
 

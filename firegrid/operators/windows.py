@@ -184,8 +184,8 @@ def time_index(df: DataFrame, part: Sequence[str], order: str = "t", out: str =
 
 
 def after_first(df: DataFrame, flag: str, part: Sequence[str], order: str, out: str = "after") -> DataFrame:
-    """1 from the first flagged row of each series on."""
-    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    """1 from the first flagged row of each series on (W11); rows at the same position count alike."""
+    w = Window.partitionBy(*part).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
     return df.withColumn(out, F.coalesce(F.max(F.col(flag).cast("int")).over(w), F.lit(0)))
 
 
