@@ -21,6 +21,11 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def at_least(c: Column, lo: float) -> Column:
+    """Lower bound that leaves NULL alone (``greatest`` would skip it)."""
+    return F.when(c < lo, F.lit(lo)).otherwise(c)
+
+
 @dataclass(frozen=True)
 class GridSpec:
     """Centre of cell (0, 0), signed steps and axis lengths."""

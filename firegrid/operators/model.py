@@ -16,6 +16,7 @@ from firegrid.grid import CELL, GridSpec
 from firegrid.operators.aggregate import interval_shares, season_climatology, weighted_mean_std
 from firegrid.operators.masks import drop_null_rows, model_domain
 from firegrid.operators.ordered import exact_percentiles, weighted_quantiles
+from firegrid.operators.regrid import enlarge
 from firegrid.operators.reshape import SEASONS, lattice_sample
 from firegrid.operators.windows import moving_mean
 
@@ -46,6 +47,7 @@ def feature_table(
     """
     clim = climate_columns(climate)
     if sf:
+        clim = enlarge(clim, g)
         for c in FEATURES:
             clim = moving_mean(clim, c, sf, out=c)
     rows = burn.join(clim, list(CELL)).join(mask, list(CELL))

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from firegrid.functions.stats import f_pvalue_df1_1, f_pvalue_df1_2, t_pvalue_from_r
-from firegrid.grid import CELL, as_col
+from firegrid.functions.stats import correlation, f_pvalue_df1_1, f_pvalue_df1_2, t_pvalue_from_r
+from firegrid.grid import CELL, at_least
 from firegrid.operators.ordered import adjust_p
 from firegrid.operators.windows import average_rank
 
@@ -130,15 +130,10 @@ def spearman(df: DataFrame, keys: Sequence[str] = CELL, x: str = "step", y: str
     """Rank correlation with time and its p (T2). Both windows and the aggregate share one exchange."""
     kept = df.where(F.col(y).isNotNull() & F.col(x).isNotNull())
     ranked = kept.withColumns({"_ry": average_rank(y, keys), "_rx": average_rank(x, keys)})
-    out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), _safe_corr("_rx", "_ry").alias("rho"))
+    out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), correlation("_rx", "_ry").alias("rho"))
     return out.withColumn("pval", t_pvalue_from_r("rho", F.col("n") - 2))
 
 
-def _safe_corr(x: str, y: str) -> Column:
-    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return F.when(varies, F.corr(x, y))
-
-
 def ols(df: DataFrame, keys: Sequence[str] = CELL, x: str = "step", y: str = "value") -> DataFrame:
     """Least squares line with r2 and p (T3): one aggregate."""
     xc, yc = F.col(x).cast("double"), F.col(y).cast("double")
@@ -146,7 +141,7 @@ def ols(df: DataFrame, keys: Sequence[str] = CELL, x: str = "step", y: str = "va
         F.regr_count("_y", "_x").alias("n"),
         F.regr_slope("_y", "_x").alias("slope"),
         F.regr_intercept("_y", "_x").alias("intercept"),
-        _safe_corr("_x", "_y").alias("r"),
+        correlation("_x", "_y").alias("r"),
     )
     return out.select(
         *keys,
@@ -234,7 +229,7 @@ def chow_test(
     )
     d2 = F.col("n") - 4
     f = (F.col("_all") - F.col("_split")) / 2 / (F.nullif(F.col("_split"), F.lit(0.0)) / F.nullif(d2, F.lit(0)))
-    return out.withColumn("F", F.when(d2 > 0, F.greatest(f, F.lit(0.0)))).select(
+    return out.withColumn("F", F.when(d2 > 0, at_least(f, 0.0))).select(
         *keys, "n", "n_before", "n_after", "F", f_pvalue_df1_2("F", d2).alias("pval")
     )
 
@@ -339,7 +334,7 @@ def site_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     pts = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
     )
-    line = pts.agg(F.count(F.lit(1)).alias("n"), _safe_corr("x", "y").alias("r"))
+    line = pts.agg(F.count(F.lit(1)).alias("n"), correlation("x", "y").alias("r"))
     tau = whole_table_tau(pts, "x", "y")
     return line.join(tau).select("n", (F.col("r") * F.col("r")).alias("r2"), "tau")  # one row each
 

@@ -166,7 +166,9 @@ def burnt_of_original(
     smooth = moving_mean(lost, "_l", sf, need, out="fl").select(*CELL, "fl")
     at = reindex_nearest(smooth, g_loss, g_mask).withColumn("fl", clip("fl", lo=0.0, hi=1.0))
     original = F.when(F.col("nonforest") < 1, F.lit(1.0) - F.col("nonforest"))
-    joined = at.join(nonforest, list(CELL)).withColumn("burnt_fraction", clip(F.col("fl") / original, hi=1.0))
+    joined = at.join(nonforest, list(CELL)).withColumn("_bf", F.col("fl") / original)
+    # cells without original forest have no fraction and count as burnt
+    joined = joined.withColumn("burnt_fraction", F.when(F.col("_bf") <= 1, F.col("_bf")).otherwise(F.lit(1.0)))
     return joined.select(*CELL, "burnt_fraction", (F.col("burnt_fraction") / F.lit(years)).alias("annual_fraction"))
 
 

@@ -229,7 +229,7 @@ def a17(spark, d):
     return out.select("landcover", r6("weight", 3).alias("weight"), r6("percent").alias("percent"))
 
 
-_SLOPES = """sl AS (SELECT lat_idx, lon_idx, regr_slope(value, year) AS slope, count(*) AS n FROM grid_obs GROUP BY ALL)"""
+_SLOPES = """sl AS (SELECT lat_idx, lon_idx, CASE WHEN min(year) < max(year) THEN regr_slope(value, year) END AS slope, count(*) AS n FROM grid_obs GROUP BY ALL)"""
 
 
 @query(
@@ -550,7 +550,7 @@ def w7(spark, d):
 
 
 def _tg(n, s):
-    return f"""SELECT lat_idx, lon_idx, {n} AS "window", {s} AS "start", regr_slope(CASE WHEN year >= {s} THEN w{n} END, CASE WHEN year >= {s} AND w{n} IS NOT NULL THEN year END) AS slope, count(CASE WHEN year >= {s} THEN w{n} END) AS n FROM tw GROUP BY ALL"""
+    return f"""SELECT lat_idx, lon_idx, {n} AS "window", {s} AS "start", CASE WHEN count(DISTINCT CASE WHEN year >= {s} AND w{n} IS NOT NULL THEN year END) > 1 THEN regr_slope(CASE WHEN year >= {s} THEN w{n} END, CASE WHEN year >= {s} AND w{n} IS NOT NULL THEN year END) END AS slope, count(CASE WHEN year >= {s} THEN w{n} END) AS n FROM tw GROUP BY ALL"""
 
 
 @query(

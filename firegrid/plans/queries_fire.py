@@ -232,7 +232,7 @@ def d7(spark, d):
 @query(
     "d8_forest_mask",
     "grid_static",
-    f"""SELECT CAST(i AS INTEGER) AS lat_idx, CAST(j AS INTEGER) AS lon_idx, {q6("m2")} AS fraction, CASE WHEN m2 / 100 >= 0.5e0 THEN 1 WHEN m2 / 100 < 0.5e0 THEN 0 END AS forest
+    f"""SELECT CAST(i AS INTEGER) AS lat_idx, CAST(j AS INTEGER) AS lon_idx, {q6("m2")} AS fraction, CASE WHEN m2 / 100 >= 0.5e0 THEN 1.0e0 WHEN m2 / 100 < 0.5e0 THEN 0.0e0 END AS forest
         FROM range(60) a(i), range(380) b(j) JOIN mm ON mm.lat_idx = floor((i * 0.5e0 - 0.75e0) / 3.0e0 + 0.5e0) AND mm.lon_idx = floor((j * 0.5e0 - 2.5e0) / 10.0e0 + 0.5e0)""",
     also="""bk AS (SELECT CAST(lat_idx // 2 AS INTEGER) AS lat_idx, CAST(lon_idx // 2 AS INTEGER) AS lon_idx, avg(treecover) AS v FROM grid_static GROUP BY lat_idx // 2, lon_idx // 2),
   """
@@ -241,23 +241,24 @@ def d7(spark, d):
 def d8(spark, d):
     fine = GridSpec(40.0, -10.0, 0.5, 0.5, 60, 380)
     out = P.forest_mask(X.grid_static(spark, d), G, fine, 2, 3, 0.5)
-    return out.select(*CELL, r6("fraction").alias("fraction"), i1("forest").alias("forest"))
+    return out.select(*CELL, r6("fraction").alias("fraction"), i1("forest").cast("double").alias("forest"))
 
 
 @query(
     "d9_zone_stack",
     "grid_static grid_obs",
     """SELECT CAST(i AS INTEGER) AS lat_idx, CAST(j AS INTEGER) AS lon_idx, zone_a, zone_b FROM range(11) x(i), range(26) z(j)
-       JOIN (SELECT CAST(lat_idx // 2 AS INTEGER) AS y, CAST(lon_idx // 2 AS INTEGER) AS x, CAST(floor(median(treecover / 2) + 0.5e0) AS INTEGER) AS zone_a FROM grid_static GROUP BY 1, 2) a
+       JOIN (SELECT CAST(lat_idx // 2 AS INTEGER) AS y, CAST(lon_idx // 2 AS INTEGER) AS x, floor(median(treecover / 2) + 0.5e0) AS zone_a FROM grid_static GROUP BY 1, 2) a
          ON a.y = floor((41.0e0 + i * 2.5e0 - 40.75e0) / 3.0e0 + 0.5e0) AND a.x = floor((-8.0e0 + j * 7.0e0 + 7.5e0) / 10.0e0 + 0.5e0)
-       JOIN (SELECT CAST(lat_idx // 2 AS INTEGER) AS y, CAST(lon_idx // 2 AS INTEGER) AS x, CAST(floor(median(v) + 0.5e0) AS INTEGER) AS zone_b FROM (SELECT lat_idx, lon_idx, max(line) AS v FROM grid_obs GROUP BY ALL) GROUP BY 1, 2) b
+       JOIN (SELECT CAST(lat_idx // 2 AS INTEGER) AS y, CAST(lon_idx // 2 AS INTEGER) AS x, floor(median(v) + 0.5e0) AS zone_b FROM (SELECT lat_idx, lon_idx, max(line) AS v FROM grid_obs GROUP BY ALL) GROUP BY 1, 2) b
          ON b.y = a.y AND b.x = a.x""",
 )
 def d9(spark, d):
     coarse = GridSpec(41.0, -8.0, 2.5, 7.0, 11, 26)
     a = X.grid_static(spark, d).select(*CELL, (F.col("treecover") / 2).alias("value"))
     b = X.grid_obs(spark, d).groupBy(*CELL).agg(F.max("line").alias("value"))
-    return P.zone_stack({"zone_a": a, "zone_b": b}, G, coarse, 2)
+    out = P.zone_stack({"zone_a": a, "zone_b": b}, G, coarse, 2)
+    return out.select(*CELL, *[F.col(c).cast("double").alias(c) for c in ("zone_a", "zone_b")])
 
 
 @query(

@@ -95,19 +95,19 @@ def _fdr(name: str, method: str, factor: str):
     @query(
         name,
         "cell_year_value",
-        f"""SELECT lat_idx, lon_idx, {q6("p_adj")} AS p_adj, CASE WHEN p_adj <= 0.1e0 THEN 1 WHEN p_adj > 0.1e0 THEN 0 END AS reject FROM adj""",
-        also=f"""fit AS (SELECT lat_idx, lon_idx, count(*) AS n, corr(year, value) AS r FROM cell_year_value GROUP BY ALL),
+        f"""SELECT lat_idx, lon_idx, {q6("p_adj")} AS p_adj, CASE WHEN p_adj <= 0.1e0 THEN 1.0e0 WHEN p_adj > 0.1e0 THEN 0.0e0 END AS reject FROM adj""",
+        also=f"""fit AS (SELECT lat_idx, lon_idx, count(*) AS n, CASE WHEN min(year) < max(year) AND min(value) < max(value) THEN corr(year, value) END AS r FROM cell_year_value GROUP BY ALL),
   pv AS (SELECT lat_idx, lon_idx, round({p_sql("r", "(n - 2)")}, 3) AS p FROM fit),
   m AS (SELECT count(p) AS m FROM pv), h AS (SELECT sum(1.0e0 / i) AS h FROM range(1, (SELECT m + 1 FROM m)) r(i)),
   up AS (SELECT p, max(rn) AS rk FROM (SELECT p, row_number() OVER (ORDER BY p) AS rn FROM pv WHERE p IS NOT NULL) GROUP BY p),
-  adj AS (SELECT pv.lat_idx, pv.lon_idx, least(1.0e0, a.q) AS p_adj FROM pv LEFT JOIN
+  adj AS (SELECT pv.lat_idx, pv.lon_idx, CASE WHEN a.q IS NOT NULL THEN least(1.0e0, a.q) END AS p_adj FROM pv LEFT JOIN
     (SELECT p, min(p * m / rk * {factor}) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS q FROM up, m, h) a ON a.p = pv.p)""",
     )
     def t6(spark, d):
         fit = T.ols(X.cell_year_value(spark, d), CELL, "year", "value")
         # three digits make ties, which share one adjusted value
         out = T.adjust_p(fit.withColumn("p", F.round("pval", 3)), "p", method)
-        return out.select(*CELL, r6("p_adj").alias("p_adj"), i1("reject").alias("reject"))
+        return out.select(*CELL, r6("p_adj").alias("p_adj"), i1("reject").cast("double").alias("reject"))
 
 
 _fdr("t6_fdr_bh", "fdr_bh", "1")
@@ -121,7 +121,7 @@ def _part(cond):
 
 
 _CHOW = f"""rss AS (SELECT site, count(*) AS n, {_RSS.format(y="value", x="step")} AS total, {_part("step <= 10 + site % 10")} + {_part("step >= 10 + site % 10")} AS split FROM site_series GROUP BY site),
-  ff AS (SELECT site, n, CASE WHEN n > 4 THEN greatest((total - split) / 2 / (nullif(split, 0) / (n - 4)), 0) END AS f FROM rss)"""
+  ff AS (SELECT site, n, CASE WHEN n > 4 AND split > 0 THEN greatest((total - split) / 2 / (split / (n - 4)), 0) END AS f FROM rss)"""
 
 
 @query(

@@ -69,4 +69,4 @@ def p_sql(r: str, nu: str) -> str:
         f"pow({c2}, j) * exp(lgamma(j + 1.0e0) - lgamma(j + 1.5e0) + 0.5e0 * ln(pi()) - ln(2.0e0)))), 0.0e0)))"
     )
     area = f"CASE WHEN {nu} % 2 = 1 THEN {odd} ELSE {even} END"
-    return f"(CASE WHEN {nu} >= 1 AND {r} IS NOT NULL THEN least(greatest(1.0e0 - ({area}), 0.0e0), 1.0e0) END)"
+    return f"(CASE WHEN {nu} >= 1 AND {r} IS NOT NULL AND NOT isnan({r}) THEN least(greatest(1.0e0 - ({area}), 0.0e0), 1.0e0) END)"
