@@ -48,11 +48,16 @@ def combine_masks(masks: Sequence[DataFrame], flag: str = "mask") -> DataFrame:
     return stacked.groupBy(*CELL).agg((F.count_if(F.col("_m")) == len(masks)).alias(flag))
 
 
+def enough_cells(n_valid: Column, sf: int) -> Column:
+    """More than a quarter of the window's cells."""
+    return n_valid > (sf / 2.0) ** 2
+
+
 def sufficiency_mask(mask: DataFrame, sf: int, flag: str = "mask") -> DataFrame:
     """Cells whose window holds more than (sf/2)^2 valid cells (F5); outside the domain counts as not valid."""
     ones = mask.withColumn("_one", F.when(F.col(flag), F.lit(1.0)).otherwise(F.lit(0.0)))
     summed = moving_sum(ones, "_one", sf, out="n_valid", skipna=False)
-    return summed.select(*CELL, "n_valid", (F.col("n_valid") > (sf / 2.0) ** 2).alias("enough"))
+    return summed.select(*CELL, "n_valid", enough_cells(F.col("n_valid"), sf).alias("enough"))
 
 
 def land_mask(raw: DataFrame, rule: str, code: str = "code", min_months: int = 5, water: int = 254) -> DataFrame:

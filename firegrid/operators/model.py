@@ -48,8 +48,7 @@ def feature_table(
     clim = climate_columns(climate)
     if sf:
         clim = enlarge(clim, g)
-        for c in FEATURES:
-            clim = moving_mean(clim, c, sf, out=c)
+        clim = moving_mean(clim, FEATURES, sf)
     rows = burn.join(clim, list(CELL)).join(mask, list(CELL))
     if sub_deg:
         rows = lattice_sample(rows, g, sub_deg)
@@ -189,15 +188,23 @@ def permutation_importance(
     repeats: int = 5,
     keys: Sequence[str] = CELL,
 ) -> DataFrame:
-    """Loss of R2 when one feature is shuffled (L7): all features and repeats are one job."""
-    runs = None
-    for i, c in enumerate(features):
-        for rep in range(repeats):
-            shuffled = shuffle_column(test, c, keys, salt=1000 * i + rep)
-            part = shuffled.select(*features, target, F.lit(c).alias("feature"), F.lit(rep).alias("rep"))
-            runs = part if runs is None else runs.unionByName(part)
-    plain = test.select(*features, target, F.lit("").alias("feature"), F.lit(-1).alias("rep"))
-    scored = r2(model.transform(runs.unionByName(plain)), target, pred, by=["feature", "rep"])
+    """Loss of R2 when one feature is shuffled.
+
+    Rows are repeated per (feature, repeat) and every run moves its own column along its own
+    random order: one exchange for all runs. A run without a feature gives the base score.
+    """
+    runs = [F.struct(F.lit(c).alias("feature"), F.lit(r).alias("rep")) for c in features for r in range(repeats)]
+    base_run = F.struct(F.lit("").alias("feature"), F.lit(-1).alias("rep"))
+    rows = test.select(*keys, *features, target, F.inline(F.array(base_run, *runs)))
+    own = F.lit(None).cast("double")
+    for c in features:
+        own = F.when(F.col("feature") == c, F.col(c).cast("double")).otherwise(own)
+    rows = rows.withColumns({"_own": own, "_block": F.pmod(F.xxhash64(*keys, "feature", "rep"), F.lit(64))})
+    w = Window.partitionBy("feature", "rep", "_block").orderBy(F.xxhash64("rep", "feature", *keys), *keys)
+    first = F.first("_own").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumn("_new", F.coalesce(F.lead("_own").over(w), first))
+    rows = rows.withColumns({c: F.when(F.col("feature") == c, F.col("_new")).otherwise(F.col(c)) for c in features})
+    scored = r2(model.transform(rows), target, pred, by=["feature", "rep"])
     base = scored.where(F.col("rep") < 0).select(F.col("r2").alias("base"))
     # one row of base score against one row per feature and repeat
     drop = scored.where(F.col("rep") >= 0).join(F.broadcast(base)).withColumn("loss", F.col("base") - F.col("r2"))

@@ -17,6 +17,7 @@ is built on :func:`cumulate`:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,35 +54,67 @@ def cumulate(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | No
         .agg(F.count(F.lit(1)).alias("n"), w.alias("w"))
         .withColumn("b", value_bucket("v"))
     )
+    buckets = _bucket_table(distinct, by, F.sum("w")).drop("bw")
+    inner = Window.partitionBy(*by, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        distinct.alias("l")
+        .join(buckets.alias("r"), _same("l", "r", [*by, "b"]))
+        .select(*[F.col(f"l.{c}").alias(c) for c in by], "v", "n", "w", "l.b", "start", "total")
+        .withColumn("upto", F.col("start") + F.sum("w").over(inner))
+        .withColumn("before", F.col("upto") - F.col("w"))
+        .drop("start")
+    )
+
+
+def _bucket_table(df: DataFrame, by: list[str], w: Column) -> DataFrame:
+    """Weight of every occupied bucket with the weight before it and the group's total."""
     ordered = Window.partitionBy(*by).orderBy("b")
-    buckets = (
-        distinct.groupBy(*by, "b")
-        .agg(F.sum("w").alias("bw"))
+    return (
+        df.groupBy(*by, "b")
+        .agg(w.alias("bw"))
         .select(
             *by,
             "b",
+            "bw",
             F.coalesce(F.sum("bw").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"),
             F.sum("bw").over(Window.partitionBy(*by)).alias("total"),
         )
     )
+
+
+def _select_buckets(df: DataFrame, value: str, by: list[str], weight: str | None, wanted: Column) -> DataFrame:
+    """Cumulated distinct values of the buckets where ``wanted`` holds.
+
+    Two scans instead of a shuffle of the table: the first only counts buckets, the second keeps the
+    few buckets a wanted rank falls into.
+    """
+    rows = df.where(F.col(value).isNotNull()).withColumn("b", value_bucket(value))
+    w = F.sum(F.col(weight).cast("double")) if weight else F.count(F.lit(1))
+    hit = _bucket_table(rows, by, w).where(wanted)
+    kept = rows.alias("l").join(hit.alias("r"), _same("l", "r", [*by, "b"]))
+    distinct = kept.groupBy(
+        *[F.col(f"l.{c}").alias(c) for c in by], F.col("l.b").alias("b"), F.col(f"l.{value}").alias("v"), "start", "total"
+    ).agg((F.sum(F.col(f"l.{weight}").cast("double")) if weight else F.count(F.lit(1))).alias("w"))
     inner = Window.partitionBy(*by, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        distinct.alias("l")
-        .join(buckets.alias("r"), _same("l", "r", [*by, "b"]))
-        .select(*[F.col(f"l.{c}").alias(c) for c in by], "v", "n", "w", "l.b", "start", "total")
-        .withColumn("upto", F.col("start") + F.sum("w").over(inner))
-        .withColumn("before", F.col("upto") - F.col("w"))
-        .drop("start")
+    return distinct.withColumn("upto", F.col("start") + F.sum("w").over(inner)).withColumn(
+        "before", F.col("upto") - F.col("w")
     )
 
 
+def _any(conditions: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact percentiles with linear interpolation, one column ``q0..qN`` per probability."""
-    cum = cumulate(df, value, by)
+    by = list(by)
+    pos = [(F.col("total") - 1) * F.lit(float(p)) for p in probs]
+    ranks = [r for h in pos for r in (F.floor(h), F.ceil(h))]
+    wanted = _any([(F.col("start") <= r) & (r < F.col("start") + F.col("bw")) for r in ranks])
+    cum = _select_buckets(df, value, by, None, wanted)
     aggs = []
-    for i, p in enumerate(probs):
-        pos = (F.col("total") - 1) * F.lit(float(p))
-        lo, hi = F.floor(pos), F.ceil(pos)
+    for i in range(len(probs)):
+        lo, hi = ranks[2 * i], ranks[2 * i + 1]
         aggs += [
             F.max(F.when((F.col("before") <= lo) & (lo < F.col("upto")), F.col("v"))).alias(f"lo{i}"),
             F.max(F.when((F.col("before") <= hi) & (hi < F.col("upto")), F.col("v"))).alias(f"hi{i}"),
@@ -104,15 +137,20 @@ def weighted_quantiles(
     """Weighted quantiles (A15): first value whose cumulative weight reaches p*W;
     where it equals p*W the midpoint with the next value is taken.
     """
+    by = list(by)
     kept = df.where((F.col(weight) > 0) & F.col(value).isNotNull())
-    cum = cumulate(kept, value, by, weight)
+    # sums in another order differ in the last digits, so equality has a small tolerance
+    slack = F.col("total") * F.lit(1e-12)
+    targets = [F.col("total") * F.lit(float(p)) for p in probs]
+    end = F.col("start") + F.col("bw")
+    last = F.col("start") + F.col("bw") >= F.col("total") - slack
+    wanted = _any([(F.col("start") <= t + slack * 2) & ((end >= t - slack * 2) | last) for t in targets])
+    cum = _select_buckets(kept, value, by, weight, wanted)
     aggs = []
-    for i, p in enumerate(probs):
-        target = F.col("total") * F.lit(float(p))
-        slack = F.col("total") * F.lit(1e-12)
+    for i, t in enumerate(targets):
         aggs += [
-            F.min(F.when(F.col("upto") >= target - slack, F.col("v"))).alias(f"lo{i}"),
-            F.min(F.when(F.col("upto") > target + slack, F.col("v"))).alias(f"hi{i}"),
+            F.min(F.when(F.col("upto") >= t - slack, F.col("v"))).alias(f"lo{i}"),
+            F.min(F.when(F.col("upto") > t + slack, F.col("v"))).alias(f"hi{i}"),
         ]
     out = cum.groupBy(*by).agg(*aggs)
     return out.select(
@@ -151,18 +189,10 @@ def attach_by_value(df: DataFrame, key: str, table: DataFrame, out: Sequence[str
     )
 
 
-def adjust_p(
-    df: DataFrame, p: str, method: str = "fdr_bh", alpha: float = 0.10, spread: Sequence[str] = ("lat_idx", "lon_idx")
-) -> DataFrame:
-    """Benjamini-Hochberg / Benjamini-Yekutieli adjusted p and reject flag over the
-    whole table (T6). Adds ``p_adj`` and ``reject``; NULL p stays NULL.
-
-    Tied p-values share the adjusted value of their largest rank, so the whole
-    computation runs on distinct p-values.
-    """
+def _raw_adjusted(cum: DataFrame, method: str) -> DataFrame:
+    """p * m / rank at the largest rank of each tie, before the running minimum."""
     if method not in ("fdr_bh", "fdr_by"):
         raise ValueError(f"unknown method {method!r}")
-    cum = cumulate(df, p)
     raw = F.col("v") * F.col("total") / F.col("upto")
     if method == "fdr_by":
         # sum of 1/i for i <= m: exact below 1000, asymptotic series above (error < 1e-15)
@@ -172,7 +202,19 @@ def adjust_p(
         )
         series = F.log(m) + 0.57721566490153286 + 1 / (2 * m) - 1 / (12 * m * m) + 1 / (120 * F.pow(m, 4))
         raw = raw * F.when(F.col("total") <= 1000, exact).otherwise(series)
-    cum = cum.withColumn("raw", raw)
+    return cum.withColumn("raw", raw)
+
+
+def adjust_p(
+    df: DataFrame, p: str, method: str = "fdr_bh", alpha: float = 0.10, spread: Sequence[str] = ("lat_idx", "lon_idx")
+) -> DataFrame:
+    """Benjamini-Hochberg / Benjamini-Yekutieli adjusted p and reject flag over the
+    whole table (T6). Adds ``p_adj`` and ``reject``; NULL p stays NULL.
+
+    Tied p-values share the adjusted value of their largest rank, so the whole
+    computation runs on distinct p-values.
+    """
+    cum = _raw_adjusted(cumulate(df, p), method)
     after = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     # bucket minima: a bounded table, so the unpartitioned window stays small
     tails = (
@@ -187,6 +229,18 @@ def adjust_p(
     return attach_by_value(df, p, table, ["p_adj"], spread).withColumn("reject", F.col("p_adj") <= alpha)
 
 
+def reject_p(df: DataFrame, p: str, method: str = "fdr_bh", alpha: float = 0.10) -> DataFrame:
+    """Only the reject flag of :func:`adjust_p`.
+
+    Rejection is a threshold on p, so the table itself is never shuffled: one number is
+    sent to every task.
+    """
+    cum = _raw_adjusted(cumulate(df, p), method)
+    limit = cum.where(F.col("raw") <= alpha).agg(F.max("v").alias("_limit"))
+    flag = F.when(F.col(p).isNotNull(), F.coalesce(F.col(p) <= F.col("_limit"), F.lit(False)))
+    return df.join(F.broadcast(limit)).withColumn("reject", flag).drop("_limit")  # one row
+
+
 def whole_table_rank(df: DataFrame, value: str, out: str = "rank_avg", spread: Sequence[str] = ()) -> DataFrame:
     """Average rank of a value over the whole table (W9 without a partition)."""
     table = cumulate(df, value).withColumn(out, F.col("before") + (F.col("n") + 1) / 2.0)

@@ -34,8 +34,11 @@ def one_per_step(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFram
 def series(df: DataFrame, keys: Sequence[str], x: str, y: str, complete: int | None = None) -> DataFrame:
     """Sorted arrays ``xs``/``ys`` per key without missing values; ``complete`` keeps only
     series with that many values.
+
+    Repeats of a step are averaged first, so no array is longer than the time axis. When the
+    input is already aggregated per key and step this adds no exchange.
     """
-    kept = df.where(F.col(y).isNotNull())
+    kept = one_per_step(df.where(F.col(y).isNotNull() & F.col(x).isNotNull()), keys, x, y)
     pairs = F.sort_array(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))))
     out = kept.groupBy(*keys).agg(pairs.alias("_p"))
     if complete:
@@ -128,7 +131,7 @@ def theil_sen(
 
 def spearman(df: DataFrame, keys: Sequence[str] = CELL, x: str = "step", y: str = "value") -> DataFrame:
     """Rank correlation with time and its p (T2). Both windows and the aggregate share one exchange."""
-    kept = df.where(F.col(y).isNotNull() & F.col(x).isNotNull())
+    kept = one_per_step(df.where(F.col(y).isNotNull() & F.col(x).isNotNull()), keys, x, y)
     ranked = kept.withColumns({"_ry": average_rank(y, keys), "_rx": average_rank(x, keys)})
     out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), correlation("_rx", "_ry").alias("rho"))
     return out.withColumn("pval", t_pvalue_from_r("rho", F.col("n") - 2))
@@ -186,7 +189,7 @@ def _tau_b(xs: pd.Series, ys: pd.Series) -> pd.Series:
 
 def kendall_tau(df: DataFrame, keys: Sequence[str] = CELL, x: str = "step", y: str = "value") -> DataFrame:
     """Kendall's tau-b of each series (T5)."""
-    s = series(df.where(F.col(x).isNotNull()), keys, x, y)
+    s = series(df, keys, x, y)
     out = s.select(*keys, F.size("ys").alias("n"), _tau_b("xs", "ys").alias("tau"))
     return out.withColumn("tau", _nan_to_null("tau"))
 

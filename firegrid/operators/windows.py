@@ -8,7 +8,7 @@ index, so missing cells do not shift the window.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,14 +47,41 @@ def _window_stats(col: str, sf: int, axis: str, part: Sequence[str], prefix: boo
     return diff
 
 
-def _axis_pass(df, col, out, sf, axis, part, fold, prefix) -> DataFrame:
-    stats = _window_stats(col, sf, axis, part, sf > PREFIX_ABOVE if prefix is None else prefix)
-    return df.withColumn(out, fold(stats))
+Fold = Callable[[dict[str, Column]], Column]
+
+
+def mean_fold(min_periods: int = 1) -> Fold:
+    """Mean of the values present, NULL below ``min_periods`` of them."""
+    return lambda s: F.when(s["n"] >= min_periods, s["s"] / F.nullif(s["n"], F.lit(0)))
+
+
+def sum_fold(skipna: bool = False) -> Fold:
+    """Sum; without ``skipna`` one missing value empties the window."""
+    return lambda s: s["s"] if skipna else F.when(s["n"] == s["rows"], s["s"])
+
+
+def separable(
+    df: DataFrame, stats: Mapping[str, tuple[str, Fold]], sf: int, part: Sequence[str] = (), prefix: bool | None = None
+) -> DataFrame:
+    """Several sf x sf neighbourhood statistics at once, ``{out: (column, fold)}``.
+
+    The first pass runs along longitude, the second along latitude over the first one's
+    results. All statistics share the two exchanges.
+    """
+    use_prefix = sf > PREFIX_ABOVE if prefix is None else prefix
+    for axis in ("lon_idx", "lat_idx"):
+        df = df.withColumns(
+            {
+                out: fold(_window_stats(col if axis == "lon_idx" else out, sf, axis, part, use_prefix))
+                for out, (col, fold) in stats.items()
+            }
+        )
+    return df
 
 
 def moving_mean(
     df: DataFrame,
-    col: str,
+    col: str | Sequence[str],
     sf: int,
     min_periods: int = 1,
     out: str | None = None,
@@ -65,15 +92,14 @@ def moving_mean(
 
     NULL cells are skipped; a pass yields NULL below ``min_periods`` values. A
     mean of means differs from the flat mean where cells are missing, which is
-    the behaviour wanted here; see :func:`moving_mean_2d` for the other.
+    the behaviour wanted here; see :func:`moving_mean_2d` for the other. A list of columns
+    is smoothed in place, in the same two passes.
     """
-    out = out or f"{col}_mean"
-
-    def fold(s):
-        return F.when(s["n"] >= min_periods, s["s"] / F.nullif(s["n"], F.lit(0)))
-
-    df = _axis_pass(df, col, out, sf, "lon_idx", part, fold, prefix)
-    return _axis_pass(df, out, out, sf, "lat_idx", part, fold, prefix)
+    if isinstance(col, str):
+        stats = {out or f"{col}_mean": (col, mean_fold(min_periods))}
+    else:
+        stats = {c: (c, mean_fold(min_periods)) for c in col}
+    return separable(df, stats, sf, part, prefix)
 
 
 def moving_mean_2d(df: DataFrame, col: str, sf: int, out: str | None = None, part: Sequence[str] = ()) -> DataFrame:
@@ -99,13 +125,7 @@ def moving_sum(
 
     At the edge of the grid the window is cut to the cells that exist.
     """
-    out = out or f"{col}_sum"
-
-    def fold(s):
-        return s["s"] if skipna else F.when(s["n"] == s["rows"], s["s"])
-
-    df = _axis_pass(df, col, out, sf, "lon_idx", part, fold, prefix)
-    return _axis_pass(df, out, out, sf, "lat_idx", part, fold, prefix)
+    return separable(df, {out or f"{col}_sum": (col, sum_fold(skipna))}, sf, part, prefix)
 
 
 def weighted_moving_fraction(
@@ -116,8 +136,7 @@ def weighted_moving_fraction(
     A missing value counts as zero, a missing weight empties the window.
     """
     df = df.withColumn("_vw", F.coalesce(F.col(value), F.lit(0.0)) * F.col(weight))
-    df = moving_sum(df, "_vw", sf, skipna=False, out="_svw", part=part)
-    df = moving_sum(df, weight, sf, skipna=False, out="_sw", part=part)
+    df = separable(df, {"_svw": ("_vw", sum_fold()), "_sw": (weight, sum_fold())}, sf, part)
     return df.withColumn(out, F.col("_svw") / F.nullif(F.col("_sw"), F.lit(0.0))).drop("_vw", "_svw", "_sw")
 
 

@@ -11,29 +11,38 @@ from firegrid.functions.decode import clip, reciprocal_floor
 from firegrid.grid import CELL, GridSpec
 from firegrid.operators.aggregate import coarsen, coarsen_fraction, histogram
 from firegrid.operators.joins import cells_near_points, reindex_nearest
-from firegrid.operators.masks import fire_or_prev_year, sufficiency_mask
-from firegrid.operators.windows import moving_mean, weighted_moving_fraction
+from firegrid.operators.masks import enough_cells, fire_or_prev_year
+from firegrid.operators.windows import mean_fold, moving_mean, separable, sum_fold
 
 FLOOR = 1e-6
 
 
-def _finish(df: DataFrame, land: DataFrame, sf: int) -> DataFrame:
-    """Floor, land mask and data-sufficiency mask, then the interval."""
-    enough = sufficiency_mask(land.select(*CELL, F.col("land").alias("mask")), sf).select(*CELL, "enough")
-    ok = land.join(enough, list(CELL)).select(*CELL, (F.col("land") & F.col("enough")).alias("_ok"))
-    floored = df.withColumn("AnBF", F.when(F.col("AnBF") > 0, F.col("AnBF")).otherwise(F.lit(FLOOR)))
-    masked = floored.join(ok, list(CELL), "left").withColumn("AnBF", F.when(F.col("_ok"), F.col("AnBF")))
-    return masked.select(*CELL, "AnBF", (F.lit(1.0) / F.col("AnBF")).alias("FRI"))
+def _intervals(df: DataFrame, frac: Column, sf: int) -> DataFrame:
+    """Floor, land mask and data-sufficiency mask, then the interval.
+
+    ``df`` carries ``land`` and the moving count ``_n_land``. The floor applies before the
+    masks, so unmasked gaps give the largest interval.
+    """
+    floored = F.when(frac > 0, frac).otherwise(F.lit(FLOOR))
+    ok = F.col("land") & enough_cells(F.col("_n_land"), sf)
+    return df.select(*CELL, F.when(ok, floored).alias("AnBF")).withColumn("FRI", F.lit(1.0) / F.col("AnBF"))
+
+
+def _with_land(df: DataFrame, land: DataFrame) -> DataFrame:
+    joined = df.join(land.select(*CELL, "land"), list(CELL))
+    return joined.withColumn("_one", F.when(F.col("land"), F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
 def fri(anbf: DataFrame, land: DataFrame, g: GridSpec, mwb: float) -> DataFrame:
     """Fire return interval (D1): smoothed burned fraction, floored, masked, inverted.
 
-    ``anbf``: one row per cell of the grid; ``land``: cells with boolean ``land``. The floor
-    applies before the masks, so unmasked gaps give the largest interval.
+    ``anbf``: one row per cell of the grid; ``land``: cells with boolean ``land``. Fraction
+    and land count are smoothed together: one exchange per axis.
     """
     sf = g.cells_per_degree(mwb)
-    return _finish(moving_mean(anbf.select(*CELL, "AnBF"), "AnBF", sf, out="AnBF"), land, sf)
+    rows = _with_land(anbf.select(*CELL, "AnBF"), land)
+    smooth = separable(rows, {"_f": ("AnBF", mean_fold()), "_n_land": ("_one", sum_fold())}, sf)
+    return _intervals(smooth, F.col("_f"), sf)
 
 
 def fri_forest_weighted(
@@ -41,10 +50,12 @@ def fri_forest_weighted(
 ) -> DataFrame:
     """Forest-loss interval weighted by forest cover (D2): ``loss`` has AnBF, ``cover`` has treecover."""
     sf = g.cells_per_degree(mwb)
-    weights = cover.select(*CELL, (F.col("treecover") >= tcf).cast("double").alias("w"))
-    rows = loss.select(*CELL, "AnBF").join(weights, list(CELL))
-    frac = weighted_moving_fraction(rows, "AnBF", "w", sf, out="frac")
-    return _finish(frac.select(*CELL, F.col("frac").alias("AnBF")), land, sf)
+    weights = cover.select(*CELL, (F.col("treecover") >= tcf).cast("double").alias("_w"))
+    rows = _with_land(loss.select(*CELL, "AnBF").join(weights, list(CELL)), land)
+    rows = rows.withColumn("_vw", F.coalesce(F.col("AnBF"), F.lit(0.0)) * F.col("_w"))
+    stats = {"_sv": ("_vw", sum_fold()), "_sw": ("_w", sum_fold()), "_n_land": ("_one", sum_fold())}
+    smooth = separable(rows, stats, sf)
+    return _intervals(smooth, F.col("_sv") / F.nullif(F.col("_sw"), F.lit(0.0)), sf)
 
 
 def fri_loss(df: DataFrame, keep: Column, sf: int, years: int = 18, min_periods: int = 100) -> DataFrame:

@@ -234,3 +234,19 @@ def udf_apply_series(spark, d):
 
     out = T.apply_series(X.site_series(spark, d), ["site"], "step", path, "site long, n long, path double")
     return out.withColumn("path", r6(F.when(~F.isnan("path"), F.col("path"))))
+
+
+@query(
+    "t6_fdr_reject",
+    "cell_year_value",
+    """SELECT lat_idx, lon_idx, CASE WHEN p IS NULL THEN NULL WHEN p <= coalesce((SELECT max(p) FROM up, m WHERE p * m / rk <= 0.5e0), -1) THEN 1.0e0 ELSE 0.0e0 END AS reject FROM pv""",
+    also=f"""fit AS (SELECT lat_idx, lon_idx, count(*) AS n, CASE WHEN min(year) < max(year) AND min(value) < max(value) THEN corr(year, value) END AS r FROM cell_year_value GROUP BY ALL),
+  pv AS (SELECT lat_idx, lon_idx, round({p_sql("r", "(n - 2)")}, 3) AS p FROM fit), m AS (SELECT count(p) AS m FROM pv),
+  up AS (SELECT p, max(rn) AS rk FROM (SELECT p, row_number() OVER (ORDER BY p) AS rn FROM pv WHERE p IS NOT NULL) GROUP BY p)""",
+)
+def t6_reject(spark, d):
+    from firegrid.operators.ordered import reject_p
+
+    fit = T.ols(X.cell_year_value(spark, d), CELL, "year", "value")
+    out = reject_p(fit.withColumn("p", F.round("pval", 3)), "p", alpha=0.5)
+    return out.select(*CELL, F.col("reject").cast("double").alias("reject"))
