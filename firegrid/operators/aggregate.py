@@ -65,10 +65,17 @@ def annual_burned_fraction(
     df: DataFrame, n_years: int, flag: str = "burnt", keys: Sequence[str] = CELL, out: str = "AnBF"
 ) -> DataFrame:
     """Share of years burned (A7). Years without a row count as not burned, so the
-    sparse table of burned cell-years is enough and no dense cube is built.
+    sparse table of burned observations is enough and no dense cube is built.
+
+    The burned years of a cell are one bit each, so a single exchange of one row per cell and
+    task does; periods beyond 64 years are counted as distinct cell-years.
     """
-    burned = df.where(F.col(flag).cast("boolean")).select(*keys, "year").distinct()
-    return burned.groupBy(*keys).agg((F.count(F.lit(1)) / F.lit(float(n_years))).alias(out))
+    burned = df.where(F.col(flag).cast("boolean"))
+    if n_years <= 64:
+        bit = F.expr("shiftleft(1L, CAST(pmod(year, 64) AS INT))")
+        return burned.groupBy(*keys).agg((F.bit_count(F.bit_or(bit)) / F.lit(float(n_years))).alias(out))
+    years = burned.select(*keys, "year").distinct()
+    return years.groupBy(*keys).agg((F.count(F.lit(1)) / F.lit(float(n_years))).alias(out))
 
 
 _REDUCERS = {
@@ -93,7 +100,7 @@ def coarsen(
     part: Sequence[str] = (),
     out: str | None = None,
 ) -> DataFrame:
-    """Blocks of ky x kx cells (A8). ``trim`` drops incomplete edge blocks (needs the
+    """Blocks of ky x kx cells (A8), one input row per cell (and ``part``). ``trim`` drops incomplete edge blocks (needs the
     grid), ``pad`` keeps them. Without ``skipna`` one missing cell empties its block.
     """
     out = out or col
@@ -151,7 +158,7 @@ def weighted_mean_std(df: DataFrame, x: str, w: str, by: Sequence[str] = ()) ->
     by = list(by)
     kept = df.where(F.col(x).isNotNull() & F.col(w).isNotNull())
     mean = kept.groupBy(*by).agg((F.sum(F.col(x) * F.col(w)) / F.sum(w)).alias("mean"))
-    both = kept.join(mean, by) if by else kept.crossJoin(mean)  # a single row: the mean itself
+    both = kept.join(mean, by) if by else kept.join(F.broadcast(mean))  # one row: the mean itself
     dev = F.pow(F.col(x) - F.col("mean"), 2)
     return both.groupBy(*by, "mean").agg(F.sqrt(F.sum(F.col(w) * dev) / F.sum(w)).alias("std"))
 

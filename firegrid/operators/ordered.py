@@ -159,29 +159,42 @@ def weighted_quantiles(
     )
 
 
-def attach_by_value(df: DataFrame, key: str, table: DataFrame, out: Sequence[str], spread: Sequence[str]) -> DataFrame:
-    """Left join of a per-value table (one row per ``v``, with ``n`` and ``total``)
+def attach_by_value(
+    df: DataFrame, key: str, table: DataFrame, out: Sequence[str], spread: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """Left join of a per-value table (one row per group and ``v``, with ``n`` and ``total``)
     back on the rows, safe against hot values.
 
-    Values holding over a thousandth of the rows are at most a thousand by
-    construction, so that part is broadcast; all other rows take the shuffle join.
-    NULL and already matched rows get spread-out keys that match nothing.
+    Values holding over a thousandth of a group's rows are at most a thousand per group, so that
+    part is broadcast when there is one group, and small enough for Spark to do so otherwise; all other rows
+    take the shuffle join. NULL and already matched rows get spread-out keys that match nothing.
     """
+    by = list(by)
     hot = table.where(F.col("n") * 1000 > F.col("total")).select(
-        F.col("v").alias("_hv"), F.lit(True).alias("_hot"), *[F.col(c).alias(f"_h_{c}") for c in out]
+        *[F.col(c).alias(f"_hb_{c}") for c in by],
+        F.col("v").alias("_hv"),
+        F.lit(True).alias("_hot"),
+        *[F.col(c).alias(f"_h_{c}") for c in out],
     )
     cold = table.where(F.col("n") * 1000 <= F.col("total")).select(
-        F.struct(F.lit(0).alias("s"), F.col("v").cast("double").alias("v")).alias("_ck"),
+        *[F.col(c).alias(f"_cb_{c}") for c in by],
+        F.lit(0).alias("_cs"),
+        F.col("v").cast("double").alias("_cv"),
         *[F.col(c).alias(f"_c_{c}") for c in out],
     )
+    on_hot = F.col(key) == F.col("_hv")
+    on_cold = (F.col("_ls") == F.col("_cs")) & (F.col("_lv") == F.col("_cv"))
+    for c in by:
+        on_hot = on_hot & F.col(c).eqNullSafe(F.col(f"_hb_{c}"))
+        on_cold = on_cold & F.col(c).eqNullSafe(F.col(f"_cb_{c}"))
+    done = F.col(key).isNull() | F.col("_hot").isNotNull()
     salt = F.pmod(F.xxhash64(*spread), F.lit(4096)).cast("double")
-    lookup = F.when(
-        F.col(key).isNull() | F.col("_hot").isNotNull(), F.struct(F.lit(1).alias("s"), salt.alias("v"))
-    ).otherwise(F.struct(F.lit(0).alias("s"), F.col(key).cast("double").alias("v")))
     joined = (
-        df.join(F.broadcast(hot), F.col(key) == F.col("_hv"), "left")
-        .withColumn("_lk", lookup)
-        .join(cold, F.col("_lk") == F.col("_ck"), "left")
+        df.join(hot if by else F.broadcast(hot), on_hot, "left")
+        .withColumns(
+            {"_ls": F.when(done, 1).otherwise(0), "_lv": F.when(done, salt).otherwise(F.col(key).cast("double"))}
+        )
+        .join(cold, on_cold, "left")
     )
     return joined.select(
         *[F.col(c) for c in df.columns],
@@ -206,27 +219,34 @@ def _raw_adjusted(cum: DataFrame, method: str) -> DataFrame:
 
 
 def adjust_p(
-    df: DataFrame, p: str, method: str = "fdr_bh", alpha: float = 0.10, spread: Sequence[str] = ("lat_idx", "lon_idx")
+    df: DataFrame,
+    p: str,
+    method: str = "fdr_bh",
+    alpha: float = 0.10,
+    spread: Sequence[str] = ("lat_idx", "lon_idx"),
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Benjamini-Hochberg / Benjamini-Yekutieli adjusted p and reject flag over the
-    whole table (T6). Adds ``p_adj`` and ``reject``; NULL p stays NULL.
+    whole table, or each group of ``by`` (T6). Adds ``p_adj`` and ``reject``; NULL p stays NULL.
 
     Tied p-values share the adjusted value of their largest rank, so the whole
-    computation runs on distinct p-values.
+    computation runs on distinct p-values. ``df`` is read twice: store costly trends first.
     """
-    cum = _raw_adjusted(cumulate(df, p), method)
-    after = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    # bucket minima: a bounded table, so the unpartitioned window stays small
-    tails = (
-        cum.groupBy("b").agg(F.min("raw").alias("bmin")).select(F.col("b").alias("tb"), F.min("bmin").over(after).alias("tail"))
-    )
-    inner = Window.partitionBy("b").orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    by = list(by)
+    cum = _raw_adjusted(cumulate(df, p, by), method)
+    after = Window.partitionBy(*by).orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    # bucket minima: a bounded table per group, so this window stays small
+    tails = cum.groupBy(*by, "b").agg(F.min("raw").alias("bmin"))
+    tails = tails.select(*by, "b", F.min("bmin").over(after).alias("tail"))
+    inner = Window.partitionBy(*by, "b").orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, 0)
     table = (
-        cum.join(tails, F.col("b") == F.col("tb"))
+        cum.alias("l")
+        .join(tails.alias("r"), _same("l", "r", [*by, "b"]))
+        .select(*[F.col(f"l.{c}").alias(c) for c in (*by, "b")], "v", "n", "total", "raw", "tail")
         .withColumn("p_adj", F.least(F.lit(1.0), F.min("raw").over(inner), F.col("tail")))
-        .select("v", "n", "total", "p_adj")
+        .select(*by, "v", "n", "total", "p_adj")
     )
-    return attach_by_value(df, p, table, ["p_adj"], spread).withColumn("reject", F.col("p_adj") <= alpha)
+    return attach_by_value(df, p, table, ["p_adj"], spread, by).withColumn("reject", F.col("p_adj") <= alpha)
 
 
 def reject_p(df: DataFrame, p: str, method: str = "fdr_bh", alpha: float = 0.10) -> DataFrame:

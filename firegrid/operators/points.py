@@ -178,7 +178,7 @@ def thin_points(points: DataFrame, km: float = 1.0, order: str = "seq") -> DataF
             .select("_by", "_bx", "h._seq", "h.lat", "h.lon")
         )
         rivals = heads.select(F.col("_by").alias("_nby"), F.col("_bx").alias("_nbx"), F.col("_seq").alias("_rseq"))
-        winners = cut_lineage(
+        winners = (
             around(heads)
             .join(rivals, ["_nby", "_nbx"])
             .groupBy("_by", "_bx", "_seq", "lat", "lon")
@@ -186,7 +186,6 @@ def thin_points(points: DataFrame, km: float = 1.0, order: str = "seq") -> DataF
             .where(F.col("_low") >= F.col("_seq"))
             .drop("_low")
         )
-        kept = winners if kept is None else kept.unionByName(winners)
         # a block is reached by a bounded number of kept points, which lie km apart
         reach = around(winners).select(
             F.col("_nby").alias("_by"), F.col("_nbx").alias("_bx"), F.col("lat").alias("_klat"), F.col("lon").alias("_klon")
@@ -194,7 +193,13 @@ def thin_points(points: DataFrame, km: float = 1.0, order: str = "seq") -> DataF
         same = (F.col("o.lat") == F.col("k._klat")) & (F.col("o.lon") == F.col("k._klon"))
         near = same | (haversine_km("o.lat", "o.lon", "k._klat", "k._klon") < km)
         block = (F.col("o._by") == F.col("k._by")) & (F.col("o._bx") == F.col("k._bx"))
-        open_ = cut_lineage(open_.alias("o").join(reach.alias("k"), block & near, "left_anti"))
+        still = open_.alias("o").join(reach.alias("k"), block & near, "left_anti")
+        # one stored table per round holds what it kept and what stays open
+        state = cut_lineage(
+            still.withColumn("_kept", F.lit(False)).unionByName(winners.withColumn("_kept", F.lit(True)))
+        )
+        new, open_ = state.where("_kept").drop("_kept"), state.where("NOT _kept").drop("_kept")
+        kept = new if kept is None else kept.unionByName(new)
         if open_.isEmpty():
             break
     chosen = kept.select("lat", "lon", F.col("_seq").alias(order))

@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -296,16 +297,11 @@ def ols_formula(df: DataFrame, formula: str):
     fit = model.stages[-1]
     attrs = model.transform(df.limit(1)).schema["_features"].metadata["ml_attr"]["attrs"]
     names = [a["name"] for a in sorted((a for g in attrs.values() for a in g), key=lambda a: a["idx"])] + ["intercept"]
-    summary = fit.summary
-    rows = list(
-        zip(
-            names,
-            [*map(float, fit.coefficients), float(fit.intercept)],
-            map(float, summary.coefficientStandardErrors),
-            map(float, summary.pValues),
-            strict=True,
-        )
-    )
+    try:
+        errors, pvals = list(fit.summary.coefficientStandardErrors), list(fit.summary.pValues)
+    except UnsupportedOperationException:  # a constant label leaves nothing to test
+        errors = pvals = [None] * len(names)
+    rows = list(zip(names, [*map(float, fit.coefficients), float(fit.intercept)], errors, pvals, strict=True))
     return model, df.sparkSession.createDataFrame(rows, "term string, estimate double, std_error double, pval double")
 
 

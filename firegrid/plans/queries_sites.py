@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from firegrid.grid import CELL, GridSpec
@@ -15,6 +13,7 @@ from firegrid.plans import fixtures as X
 from firegrid.plans.fixtures import G, table
 from firegrid.plans.queries_joins import hav
 from firegrid.plans.registry import i1, q6, query, r6
+from firegrid.session import scratch
 
 # seeds by recursion over distinct frames: the next seed is the first frame at least tol away
 _SEEDS = """fr AS (SELECT DISTINCT site, is_fire, frame FROM event_form),
@@ -291,7 +290,7 @@ def d20(spark, d):
         max(CASE WHEN l_quantity = 50 AND round(l_tax, 2) >= 0.08e0 THEN 1 ELSE 0 END) AS burnt FROM lineitem GROUP BY ALL""",
 )
 def x1(spark, d):
-    """Streaming flag run to the end of the table; the file sink of each batch is replaced by its latest state."""
+    """Streaming flag run to the end of the table."""
     from firegrid.streaming.burn import burn_flag_stream, run_to_table
 
     schema = spark.read.parquet(f"{d}/lineitem.parquet").schema
@@ -302,6 +301,6 @@ def x1(spark, d):
         F.col("l_shipdate").cast("timestamp").alias("t"),
         ((F.col("l_quantity") == 50) & (F.round("l_tax", 2) >= 0.08)).alias("burnt"),
     )
-    return run_to_table(burn_flag_stream(obs), tempfile.mkdtemp(prefix="firegrid-stream-")).select(*CELL, "year", "burnt")
+    return run_to_table(burn_flag_stream(obs), scratch(spark, "stream")).select(*CELL, "year", "burnt")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from firegrid.functions import decode as D
@@ -12,14 +10,11 @@ from firegrid.operators import masks as M
 from firegrid.plans import fixtures as X
 from firegrid.plans.fixtures import G, table
 from firegrid.plans.registry import i1, q6, query, r6
+from firegrid.session import scratch
 from firegrid.sources import products as S
 from firegrid.sources import sinks as K
 
 
-def _scratch() -> str:
-    return tempfile.mkdtemp(prefix="firegrid-")
-
-
 @query("s1_read_product", sql="SELECT l_orderkey AS cell, l_quantity AS value, l_linenumber AS line FROM lineitem")
 def s1(spark, d):
     return S.read_product(
@@ -55,7 +50,7 @@ def s3(spark, d):
 
 @query("s4_read_lookup", sql="SELECT n_nationkey AS code, n_name AS name, n_regionkey AS grp FROM nation")
 def s4(spark, d):
-    path = _scratch() + "/lookup"
+    path = scratch(spark, "lookup")
     named = table(spark, d, "nation").select(
         F.col("n_nationkey").alias("﻿code"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("grp")
     )
@@ -69,7 +64,7 @@ def s4(spark, d):
     f"""SELECT lat_idx, lon_idx, {q6('"AnBF"')} AS "AnBF" FROM anbf""",
 )
 def s5(spark, d):
-    path = _scratch() + "/anbf"
+    path = scratch(spark, "anbf")
     out = X.anbf(spark, d).withColumn("product", F.lit("obs"))
     K.write_result(out, path, ["product"])
     K.write_result(out.limit(0), path, ["product"])  # present, so left alone
@@ -82,7 +77,7 @@ def s5(spark, d):
     "SELECT year, count(*) AS n, sum(value) AS total FROM grid_obs GROUP BY year",
 )
 def s6(spark, d):
-    path = _scratch() + "/table"
+    path = scratch(spark, "table")
     K.write_table(X.grid_obs(spark, d).groupBy("year").agg(F.count("*").alias("n"), F.sum("value").alias("total")), path)
     return spark.read.csv(path, header=True, schema="year int, n long, total double")
 
@@ -93,7 +88,7 @@ def s6(spark, d):
 )
 def s7(spark, d):
     row = K.provenance(spark, "obs", "yearly burned fraction", {"source": "lineitem"})
-    path = _scratch() + "/provenance"
+    path = scratch(spark, "provenance")
     K.append_provenance(row, path)
     kept = spark.read.parquet(path).select("title", "summary", F.col("inputs")["source"].alias("source"))
     return kept.join(table(spark, d, "lineitem").agg(F.count("*").alias("n_rows")))
@@ -110,7 +105,7 @@ def s8(spark, d):
     """SELECT CAST(least(lat_idx // 5, 3) AS INTEGER) AS lat_band, count(*) AS n, sum(value) AS total FROM grid_obs GROUP BY 1""",
 )
 def s9(spark, d):
-    path = _scratch() + "/bands"
+    path = scratch(spark, "bands")
     rows = X.grid_obs(spark, d).select("value", D.lat_band("lat_idx", 20, 4).alias("lat_band"))
     K.write_pending(rows.where("lat_band < 2"), path)
     K.write_pending(rows, path)

@@ -173,7 +173,7 @@ def t10(spark, d):
     from firegrid.operators.aggregate import annual_burned_fraction
 
     o = X.grid_obs(spark, d)
-    burn = annual_burned_fraction(o.withColumn("hit", F.col("value") >= 45), len(X.YEARS), "hit")
+    burn = annual_burned_fraction(o.withColumn("hit", F.col("value") >= 50), len(X.YEARS), "hit")
     clim = X.climate(spark, d).groupBy(*CELL).agg(F.avg("tmean").alias("temperature"), F.avg("ppt").alias("precipitation"))
     rows = burn.join(clim, list(CELL)).withColumn("FRI", 1 / F.col("AnBF"))
     _, coefs = T.ols_formula(rows, "FRI ~ temperature + precipitation + temperature:precipitation")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,8 +19,17 @@ SETTINGS = {
 }
 
 
+# shuffle blocks of this size fit an executor's memory with room for sorting
+PARTITION_BYTES = 256 * 1024**2
+
+
+def shuffle_partitions(input_bytes: int, least: int = 200) -> int:
+    """Partitions to start from for a job over that much data; AQE merges what turns out small."""
+    return max(least, -(-input_bytes // PARTITION_BYTES))
+
+
 def get_spark(app: str = "firegrid", master: str | None = None, **extra: str) -> SparkSession:
-    """Build (or fetch) a session. Cluster sizing is left to spark-submit."""
+    """Build (or fetch) a session. Cluster sizing is left to spark-submit and ``extra``."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -28,20 +38,27 @@ def get_spark(app: str = "firegrid", master: str | None = None, **extra: str) ->
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, for loops whose plan would otherwise keep growing.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary folder is made only in local mode, where nothing else can read it.
+    A temporary folder is made only in local mode, where the executors are this machine.
     """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="firegrid-")
+    raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """Fresh path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, for loops whose plan would otherwise keep growing."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared:
-            sc.setCheckpointDir(shared)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="firegrid-ckpt-"))
-        else:
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from firegrid.grid import CELL
 from firegrid.operators import model as L
-from firegrid.operators.aggregate import annual_any
+from firegrid.operators.aggregate import annual_any, annual_burned_fraction
 from firegrid.sources import products as S
 from firegrid.sources import sinks as K
 from firegrid.streaming.burn import burn_flag_stream, run_to_table
@@ -127,3 +127,24 @@ def test_stream_equals_batch(spark, tmp_path):
     a = {(r.lat_idx, r.lon_idx, r.year): r.burnt for r in got.collect()}
     b = {(r.lat_idx, r.lon_idx, r.year): int(r.burnt) for r in want.collect()}
     assert a == b
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    from types import SimpleNamespace as NS
+
+    from firegrid import session
+
+    named = NS(conf=NS(get=lambda key, default=None: "/shared/ckpt/"), sparkContext=NS(master="yarn"))
+    assert session.shared_folder(named) == "/shared/ckpt"
+    assert session.scratch(named, "x").startswith("/shared/ckpt/x-")
+    with pytest.raises(RuntimeError):
+        session.shared_folder(NS(conf=NS(get=lambda key, default=None: None), sparkContext=NS(master="yarn")))
+    assert session.shuffle_partitions(100 * 1024**4) == 409_600
+
+
+@pytest.mark.parametrize("n_years", [10, 70])
+def test_burned_fraction_counts_years_once(spark, n_years):
+    rows = [(0, 0, 1995, True), (0, 0, 1995, True), (0, 0, 2003, True), (0, 0, 2001, False), (0, 1, 2000, True), (1, 0, 2000, None)]
+    df = spark.createDataFrame(rows, "lat_idx int, lon_idx int, year int, burnt boolean")
+    got = {(r.lat_idx, r.lon_idx): r.AnBF for r in annual_burned_fraction(df, n_years).collect()}
+    assert got == {(0, 0): pytest.approx(2 / n_years), (0, 1): pytest.approx(1 / n_years)}

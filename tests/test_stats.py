@@ -33,6 +33,20 @@ def test_adjust_p_hot_values(spark, method):
     np.testing.assert_allclose([r["p_adj"] for r in got[:-1]], adjusted(p, method == "fdr_by"), atol=1e-12)
 
 
+def test_adjust_p_by_group_and_reject(spark):
+    rng = np.random.default_rng(30)
+    groups = {"a": rng.random(50) ** 4, "b": np.concatenate([rng.random(200), np.full(80, 0.5)])}
+    rows = [(i, 0, g, float(v)) for g, p in groups.items() for i, v in enumerate(p)]
+    df = spark.createDataFrame(rows, "lat_idx int, lon_idx int, g string, p double")
+    for g, p in groups.items():
+        got = O.adjust_p(df, "p", by=["g"]).where(F.col("g") == g).orderBy("lat_idx").collect()
+        np.testing.assert_allclose([r["p_adj"] for r in got], adjusted(p), atol=1e-12)
+        flags = [r["reject"] for r in O.reject_p(df.where(F.col("g") == g), "p").orderBy("lat_idx").collect()]
+        assert flags == [r["reject"] for r in got]
+    none = O.reject_p(df.where("g = 'b' AND p > 0.4"), "p").where("reject")
+    assert none.count() == 0
+
+
 def test_adjust_p_small_with_tie(spark):
     p = [0.01, 0.02, 0.02, 0.03, 0.2, 0.5, 0.7, 0.8, 0.9, 1.0]
     df = spark.createDataFrame([(i, 0, v) for i, v in enumerate(p)], "lat_idx int, lon_idx int, p double")
