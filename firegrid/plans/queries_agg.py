@@ -485,13 +485,14 @@ _w1("w3_moving_mean_min_count", 5, None, 3)
 
 @query(
     "w2_window_size",
-    "cells",
-    "SELECT lat_idx, CAST(min(lon_idx) AS INTEGER) AS lon_idx, CAST(2 AS INTEGER) AS sf, n FROM cells, (SELECT count(*) AS n FROM lineitem) GROUP BY lat_idx, n",
+    "grid_obs",
+    f"SELECT lat_idx, lon_idx, {q6('m2')} AS v_mean FROM mm",
+    also=_NOISY + ",\n " + two_pass("obsmean", "v", 2, "mm"),
 )
 def w2(spark, d):
-    n = table(spark, d, "lineitem").agg(F.count("*").alias("n"))
-    first = X.cells(spark).groupBy("lat_idx").agg(F.min("lon_idx").alias("lon_idx"))
-    return first.select("lat_idx", "lon_idx", F.lit(G.cells_per_degree(3.0)).alias("sf")).join(n)
+    """A window of three degrees is two cells of this grid."""
+    out = W.moving_mean(_noisy(spark, d), "v", G.cells_per_degree(3.0))
+    return out.select(*CELL, r6("v_mean").alias("v_mean"))
 
 
 _COVERW = "CASE WHEN treecover >= 30 THEN 1.0e0 WHEN treecover < 30 THEN 0.0e0 END"
