@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firegrid.llm import chat, licenses, mixing, pseudonyms, quality, urls
+from firegrid.llm import chat, jaccard, licenses, mixing, pseudonyms, quality, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,6 +91,14 @@ def op2(spark, d):
     return mixing.mix(table(spark, d, "documents"), seed=MIX_SEED)
 
 
+# ---- 3 n-gram Jaccard join
+
+
+@query("op3_jaccard_join")
+def op3(spark, d):
+    return jaccard.jaccard_join(table(spark, d, "documents"))
+
+
 # ---- 4 quality rules
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -156,6 +164,16 @@ def op5(spark, d):
     return urls.filter_urls(table(spark, d, "pages"), urls.UrlList(spark, URL_RULES + LISTED))
 
 
+# ---- 6 toxicity
+
+
+@query("op6_toxicity_compression")
+def op6(spark, d):
+    docs = table(spark, d, "documents")
+    model = toxicity.fit(docs, table(spark, d, "labels"))
+    return toxicity.score(docs, model).withColumn("held_out", toxicity.fold(F.col("doc_id")) == 0)
+
+
 # ---- 7 licence scan
 
 
