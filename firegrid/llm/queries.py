@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firegrid.llm import chat, jaccard, licenses, mixing, pseudonyms, quality, toxicity, urls
+from firegrid.llm import chat, decontaminate, jaccard, licenses, mixing, pseudonyms, quality, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -200,6 +200,14 @@ def op7(spark, d):
     return licenses.scan(table(spark, d, "documents"))
 
 
+# ---- 8 benchmark decontamination
+
+
+@query("op8_simhash_decontamination")
+def op8(spark, d):
+    return decontaminate.find(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 # ---- 9 personal data
 
 # a key of the tests; production keys come from the job's secrets
