@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firegrid.llm import chat, decontaminate, jaccard, licenses, mixing, pseudonyms, quality, toxicity, urls
+from firegrid.llm import chat, decontaminate, interpolation, jaccard, licenses, mixing, pseudonyms, quality, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -217,3 +217,11 @@ PII_KEY = b"firegrid test key"
 @query("op9_pii_pseudonyms")
 def op9(spark, d):
     return pseudonyms.pseudonymize(table(spark, d, "documents"), PII_KEY)
+
+
+# ---- 10 language-model scoring
+
+
+@query("op10_deleted_interpolation")
+def op10(spark, d):
+    return interpolation.score(table(spark, d, "documents"))
