@@ -25,12 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # bounds of the training sample: rows of either class, drawn by hash, and distinct words of a row, drawn by hash
-SAMPLE_TOXIC = 3000
-SAMPLE_ORDINARY = 9000
+SAMPLE_TOXIC = 2500
+SAMPLE_ORDINARY = 7500
 SAMPLE_WORDS = 4096
 
-WINDOW = 8
-LEVEL = 9
+# words of a window: short ones single a passage out, long ones compress more steadily
+WINDOWS = (8, 20)
+LEVEL = 12
 BASE_BYTES = 32_768
 TOXIC_BYTES = (1024, 2048, 4096)
 SAVINGS = (1, 2, 3, 4, 5)
@@ -49,8 +50,8 @@ def words_of(text: str | None) -> list[str]:
     return list(dict.fromkeys(WORD.findall((text or "").lower())))
 
 
-def windows_of(words: list[str]) -> list[bytes]:
-    return [f" {' '.join(words[i : i + WINDOW])} ".encode() for i in range(0, len(words), WINDOW)]
+def windows_of(words: list[str], width: int) -> list[bytes]:
+    return [f" {' '.join(words[i : i + width])} ".encode() for i in range(0, len(words), width)]
 
 
 def _near_keys(text: str | None, n: int = 3) -> list[int]:
@@ -72,8 +73,8 @@ class Model:
     def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
         return _compressor(self.base), _compressor(self.toxic + self.base)
 
-    def scores(self, savings: list[np.ndarray]) -> np.ndarray:
-        x = np.array([features(s, self.saving) for s in savings]).reshape(len(savings), -1)
+    def scores(self, savings: list[list[np.ndarray]]) -> np.ndarray:
+        x = np.array([features(s, self.saving) for s in savings]).reshape(len(savings), len(self.weights))
         return 1.0 / (1.0 + np.exp(-np.clip(x @ np.array(self.weights), -30, 30)))
 
 
@@ -85,14 +86,22 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=data, compression_params=params)
 
 
-def savings_of(words: list[str], base: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> np.ndarray:
-    """Bytes that the toxic dictionary saves over the ordinary one, window by window."""
-    return np.array([len(base.compress(w)) - len(toxic.compress(w)) for w in windows_of(words)], np.int64)
+def savings_of(words: list[str], base: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> list[np.ndarray]:
+    """Bytes that the toxic dictionary saves over the ordinary one, window by window, for each width."""
+    return [np.array([len(base.compress(w)) - len(toxic.compress(w)) for w in windows_of(words, width)], np.int64) for width in WINDOWS]
 
 
-def features(savings: np.ndarray, least: int) -> tuple[float, ...]:
-    n = int((savings >= least).sum())
-    return 1.0, float(n > 0), math.log1p(n), n / max(1, len(savings)), float(savings.max(initial=0)) / 8.0
+def features(savings: list[np.ndarray], least: int) -> tuple[float, ...]:
+    out = [1.0]
+    for s in savings:
+        n = int((s >= least).sum())
+        out += [float(n > 0), math.log1p(n), n / max(1, len(s)), float(s.max(initial=0)) / 8.0]
+    return tuple(out)
+
+
+def constant(logit: float) -> tuple[float, ...]:
+    """Weights of a model that gives every document the same score."""
+    return (logit, *[0.0] * (4 * len(WINDOWS)))
 
 
 def _trained(size: int, samples: list[bytes], k: int, d: int) -> bytes:
@@ -134,7 +143,7 @@ def fit_rows(rows: list[tuple[list[str], list[int], int]], share_toxic: float) -
     toxic = [w for w, y in kept if y]
     ordinary = [w for w, y in kept if not y]
     if not toxic or not ordinary:
-        return Model(b" ", b" ", 1, (prior, 0.0, 0.0, 0.0, 0.0))
+        return Model(b" ", b" ", 1, constant(prior))
 
     def contrast(t: list[list[str]], o: list[list[str]]) -> set[str]:
         a, b = Counter(w for ws in t for w in ws), Counter(w for ws in o for w in ws)
@@ -174,7 +183,7 @@ def fit_rows(rows: list[tuple[list[str], list[int], int]], share_toxic: float) -
             if best is None or loss < best[0] - 1e-9:
                 best = loss, size, least, b
     if best is None:
-        return Model(b" ", b" ", 1, (prior, 0.0, 0.0, 0.0, 0.0))
+        return Model(b" ", b" ", 1, constant(prior))
     base, extra = dictionaries(toxic, ordinary, best[1])
     return Model(base, extra, best[2], tuple(map(float, best[3])))
 
@@ -197,14 +206,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             words = [words_of(t) for t in texts]
             words = [w if len(w) <= SAMPLE_WORDS else sorted(w, key=xxhash.xxh64_intdigest)[:SAMPLE_WORDS] for w in words]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(words, pa.list_(pa.string())), pa.array([_near_keys(t) for t in texts], pa.list_(pa.int64())), b.column(2)], names=["_id", "words", "near", "y"]
+                [b.column(0), pa.array([" ".join(w) for w in words], pa.string()), pa.array([_near_keys(t) for t in texts], pa.list_(pa.int64())), b.column(2)], names=["_id", "words", "near", "y"]
             )
 
     kind = dict(docs.dtypes)[key]
-    got = rows.mapInArrow(sample, f"_id {kind}, words array<string>, near array<bigint>, y int").collect()
+    got = rows.mapInArrow(sample, f"_id {kind}, words string, near array<bigint>, y int").collect()
     got.sort(key=lambda r: (r["_id"], r["words"]))
     total = sum(counts.values())
-    return fit_rows([(r["words"], r["near"], r["y"]) for r in got], counts.get(1, 0) / total if total else 0.5)
+    same: dict[str, str] = {}  # one string per word, whatever the number of texts that use it
+    return fit_rows([([same.setdefault(w, w) for w in r["words"].split()], r["near"], r["y"]) for r in got], counts.get(1, 0) / total if total else 0.5)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -223,3 +233,16 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
     return docs.select(*names, F.col(text).alias("_text")).mapInArrow(scored, ", ".join(x for x in (fields, "score double, predicted int") if x))
+
+
+def without(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` without the rows that are predicted toxic; all columns stay, nothing is joined or shuffled."""
+    at = docs.columns.index(text)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressors = model.compressors()
+        for b in batches:
+            found = model.scores([savings_of(words_of(t), *compressors) for t in b.column(at).to_pylist()])
+            yield b.filter(pa.array(found < 0.5))
+
+    return docs.mapInArrow(clean, docs.schema)
