@@ -64,6 +64,9 @@ KNOWN = (
     ),
 )
 
+#: Every known licence holds one of these, in any spelling; a text without them is not looked at further.
+ANCHORS = ("licen", "permission")
+
 #: A line that only says who holds the copyright.
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 
@@ -88,15 +91,16 @@ def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, text: str
     ``scope`` is ``document`` where the whole text is a licence, ``line`` where an entire line is one (``first_line``
     counts from 0; -1 for whole texts). NULL and empty texts, and units that are empty once normalised, match nothing.
     Repeated rows of one document add up. Documents with a NULL id give rows of NULL id. The known digests are
-    a constant of the call and are broadcast; only normalised units not longer than the longest licence are digested.
+    a constant of the call and are broadcast. Texts and lines without any of ``ANCHORS`` are left out first, which loses
+    nothing while every known licence holds one; with other licences all are normalised.
     """
     table = docs.sparkSession.createDataFrame(sorted(set(known)), "license string, body string")
-    table = table.select("license", canonical(F.col("body")).alias("body")).where("body <> ''").select("license", digest(F.col("body")).alias("digest"), F.length("body").alias("n")).distinct()
-    longest = 4 * max([len(b) for _, b in known], default=0)
-    t = F.coalesce(F.col(text), F.lit(""))
-    whole = docs.select(key, F.lit("document").alias("scope"), F.lit(-1).alias("line"), t.alias("unit"))
-    lines = docs.select(key, F.lit("line").alias("scope"), F.posexplode(F.split(t, "\n")).alias("line", "unit")).where("line > 0 OR unit <> ''")
-    # a unit only gets shorter by twice its blanks; the bound leaves out what no licence can equal
-    units = whole.unionByName(lines).select(key, "scope", "line", canonical(F.col("unit")).alias("unit")).where((F.col("unit") != "") & (F.length("unit") <= longest))
-    hits = units.select(key, "scope", "line", digest(F.col("unit")).alias("digest")).join(F.broadcast(table.select("license", "digest")), "digest")
+    table = table.select("license", canonical(F.col("body")).alias("body")).where("body <> ''").select("license", digest(F.col("body")).alias("digest")).distinct()
+    may = lambda t: reduce(lambda a, b: a | b, [F.lower(t).contains(a) for a in ANCHORS]) if all(any(a in b.lower() for a in ANCHORS) for _, b in known) else F.lit(True)
+    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).where(may(F.col("_text")))
+    unit = lambda scope, line, t: F.struct(F.lit(scope).alias("scope"), line.alias("line"), t.alias("unit"))
+    lines = F.transform(F.split("_text", "\n"), lambda t, i: unit("line", i, t))
+    units = rows.select(key, F.explode(F.concat(F.array(unit("document", F.lit(-1), F.col("_text"))), lines)).alias("u")).select(key, "u.*").where(may(F.col("unit")))
+    units = units.select(key, "scope", "line", canonical(F.col("unit")).alias("unit"))
+    hits = units.where("unit <> ''").select(key, "scope", "line", digest(F.col("unit")).alias("digest")).join(F.broadcast(table), "digest")
     return hits.groupBy(key, "scope", "license").agg(F.count("*").alias("n_hits"), F.min("line").cast("long").alias("first_line"))
