@@ -70,6 +70,8 @@ def test_scores_equal_brute_force(spark, monkeypatch, bits, chunk, events):
     monkeypatch.setattr(I, "INDEX_BITS", bits)
     monkeypatch.setattr(I, "CHUNK", chunk)
     monkeypatch.setattr(I, "EVENTS_PER_TASK", events)
+    monkeypatch.setattr(I, "COUNT_CHUNK", chunk)
+    monkeypatch.setattr(I, "SLICE", chunk)
     rows = corpus()
     want = brute(rows)
     got = {r.doc_id: r for r in I.score(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
