@@ -67,15 +67,10 @@ def annual_burned_fraction(
     """Share of years burned (A7). Years without a row count as not burned, so the
     sparse table of burned observations is enough and no dense cube is built.
 
-    The burned years of a cell are one bit each, so a single exchange of one row per cell and
-    task does; periods beyond 64 years are counted as distinct cell-years.
+    The burned years of a cell are a set, merged before the single exchange and bounded by the calendar.
     """
-    burned = df.where(F.col(flag).cast("boolean"))
-    if n_years <= 64:
-        bit = F.expr("shiftleft(1L, CAST(pmod(year, 64) AS INT))")
-        return burned.groupBy(*keys).agg((F.bit_count(F.bit_or(bit)) / F.lit(float(n_years))).alias(out))
-    years = burned.select(*keys, "year").distinct()
-    return years.groupBy(*keys).agg((F.count(F.lit(1)) / F.lit(float(n_years))).alias(out))
+    burned = df.where(F.col(flag).cast("boolean") & F.col("year").isNotNull())
+    return burned.groupBy(*keys).agg((F.size(F.collect_set("year")) / F.lit(float(n_years))).alias(out))
 
 
 _REDUCERS = {
@@ -158,7 +153,9 @@ def weighted_mean_std(df: DataFrame, x: str, w: str, by: Sequence[str] = ()) ->
     by = list(by)
     kept = df.where(F.col(x).isNotNull() & F.col(w).isNotNull())
     mean = kept.groupBy(*by).agg((F.sum(F.col(x) * F.col(w)) / F.sum(w)).alias("mean"))
-    both = kept.join(mean, by) if by else kept.join(F.broadcast(mean))  # one row: the mean itself
+    named = mean.select(*[F.col(c).alias(f"_{c}") for c in by], "mean")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]  # NULL is a group like any other
+    both = kept.join(named, same).drop(*[f"_{c}" for c in by]) if by else kept.join(F.broadcast(mean))  # one row: the mean itself
     dev = F.pow(F.col(x) - F.col("mean"), 2)
     return both.groupBy(*by, "mean").agg(F.sqrt(F.sum(F.col(w) * dev) / F.sum(w)).alias("std"))
 

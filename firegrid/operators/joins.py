@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firegrid.grid import CELL, EARTH_RADIUS_KM, GridSpec
@@ -21,23 +21,35 @@ def align(a: DataFrame, b: DataFrame, how: str = "inner", keys: Sequence[str] =
     return a.join(b, list(keys), how)
 
 
-def reindex_nearest(df: DataFrame, g_in: GridSpec, g_out: GridSpec) -> DataFrame:
+def _nearest(at: DataFrame, g: GridSpec, lat: str, lon: str, tolerance: float | None) -> dict[str, Column]:
+    """Indices of the nearest cell: beyond the edge the edge cell, or NULL if it is farther than ``tolerance`` cells."""
+    out = {}
+    for name, place, index, base, step, n in (("y", lat, g.lat_index(lat), g.lat0, g.dlat, g.nlat), ("x", lon, g.lon_index(lon), g.lon0, g.dlon, g.nlon)):
+        inside = F.least(F.greatest(index, F.lit(0)), F.lit(n - 1))
+        off = F.abs((F.col(place) - F.lit(float(base))) / F.lit(float(step)) - inside)
+        near = inside if tolerance is None else F.when(off <= tolerance, inside)
+        out[name] = F.when(F.col(place).isNotNull(), near)  # least and greatest skip NULL
+    return out
+
+
+def reindex_nearest(df: DataFrame, g_in: GridSpec, g_out: GridSpec, tolerance: float | None = None) -> DataFrame:
     """Raster read at the centres of another grid.
 
     The target lattice carries the source index of each of its cells, so the lookup is
-    an equi-join. A centre half-way between two cells takes the larger index.
+    an equi-join. A centre half-way between two cells takes the larger index, one beyond the edge the edge cell;
+    ``tolerance`` leaves out centres that are more cells away than that.
     """
-    target = g_out.axes(df.sparkSession).select(
-        *CELL, g_in.lat_index("lat").alias("_y"), g_in.lon_index("lon").alias("_x")
-    )
+    axes = g_out.axes(df.sparkSession)
+    at = _nearest(axes, g_in, "lat", "lon", tolerance)
+    target = axes.select(*CELL, at["y"].alias("_y"), at["x"].alias("_x"))
     source = df.withColumnsRenamed({"lat_idx": "_y", "lon_idx": "_x"})
-    return target.where(g_in.holds("_y", "_x")).join(source, ["_y", "_x"]).drop("_y", "_x")
+    return target.join(source, ["_y", "_x"]).drop("_y", "_x")
 
 
-def lookup_points(df: DataFrame, points: DataFrame, g: GridSpec, how: str = "inner") -> DataFrame:
-    """Cell values at points."""
-    at = points.withColumns({"lat_idx": g.lat_index("lat"), "lon_idx": g.lon_index("lon")})
-    return at.join(df, list(CELL), how)
+def lookup_points(df: DataFrame, points: DataFrame, g: GridSpec, how: str = "inner", tolerance: float | None = None) -> DataFrame:
+    """Cell values at points (J3), the edge cell's beyond the edge unless that is more than ``tolerance`` cells away."""
+    at = _nearest(points, g, "lat", "lon", tolerance)
+    return points.withColumns({"lat_idx": at["y"], "lon_idx": at["x"]}).join(df, list(CELL), how)
 
 
 def box_cells(boxes: DataFrame, g: GridSpec) -> DataFrame:
@@ -65,7 +77,8 @@ def cells_near_points(points: DataFrame, g: GridSpec, km: float = 4.0, by: Seque
     A point covers one span of columns per grid row, computed in closed form from
     the haversine formula. Spans are merged per row before any cell is emitted, so
     work follows the number of rows a point reaches and the cells
-    reported: a pile of points in one place costs no pairs.
+    reported: a pile of points in one place costs no pairs. On a grid that closes around the globe
+    spans go on beyond the date line.
     """
     reach = int(km / (EARTH_RADIUS_KM * 3.141592653589793 / 180.0 * abs(g.dlat))) + 1
     row0 = g.lat_index("lat")
@@ -83,11 +96,9 @@ def cells_near_points(points: DataFrame, g: GridSpec, km: float = 4.0, by: Seque
         .select(
             *by,
             "lat_idx",
-            F.greatest(F.ceil((F.col("lon") - half - F.lit(g.lon0)) / F.lit(g.dlon)), F.lit(0)).cast("int").alias("lo"),
-            F.least(F.floor((F.col("lon") + half - F.lit(g.lon0)) / F.lit(g.dlon)), F.lit(g.nlon - 1))
-            .cast("int")
-            .alias("hi"),
+            F.explode(_turns(F.ceil((F.col("lon") - half - F.lit(g.lon0)) / F.lit(g.dlon)), F.floor((F.col("lon") + half - F.lit(g.lon0)) / F.lit(g.dlon)), g)).alias("span"),
         )
+        .select(*by, "lat_idx", "span.lo", "span.hi")
         .where(F.col("hi") >= F.col("lo"))
         .groupBy(*by, "lat_idx", "lo")
         .agg(F.max("hi").alias("hi"))
@@ -101,6 +112,14 @@ def cells_near_points(points: DataFrame, g: GridSpec, km: float = 4.0, by: Seque
     )
 
 
+def _turns(lo: Column, hi: Column, g: GridSpec) -> Column:
+    """A span of columns cut to the grid; where the grid closes on itself, also its parts one turn east and west."""
+    turns = (0, -g.nlon, g.nlon) if abs(g.nlon * abs(g.dlon) - 360.0) < abs(g.dlon) / 2 else (0,)
+    return F.array(
+        *[F.struct(F.greatest(lo + t, F.lit(0)).cast("int").alias("lo"), F.least(hi + t, F.lit(g.nlon - 1)).cast("int").alias("hi")) for t in turns]
+    )
+
+
 def recode(df: DataFrame, col: str, lookup: DataFrame, code: str, out: Sequence[str], null_groups=(0,)) -> DataFrame:
     """Class codes to groups and names (J8); groups in ``null_groups`` become NULL."""
     table = lookup.select(F.col(code).alias("_code"), *out).dropDuplicates(["_code"])

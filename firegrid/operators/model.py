@@ -55,12 +55,20 @@ def feature_table(
     return drop_null_rows(model_domain(rows, var, bf_min))
 
 
+HASH_PRIME = 2_147_483_629
+
+
 def hash_bucket(keys: Sequence[str] = CELL, salt: int = 0) -> Column:
-    """Stable number 0..99 of a row, from mixed key bits (the same on every engine)."""
+    """Stable number 0..99 of a row (the same on every engine): both halves of every whole-number key are mixed in.
+
+    Negative keys count like others, and products stay below 2**62.
+    """
     mixed = F.lit(salt).cast("long")
     for k in keys:
-        mixed = (mixed * 31 + F.col(k).cast("long") + 17) % 1_000_003
-        mixed = (mixed * 7919 + 104_729) % 1_000_003
+        key = F.col(k).cast("long")
+        for half in (F.pmod(key, F.lit(HASH_PRIME)), F.pmod(F.shiftright(key, 31), F.lit(HASH_PRIME))):
+            mixed = (mixed * 31 + half + 17) % HASH_PRIME
+            mixed = (mixed * 48_271 + 104_729) % HASH_PRIME
     return mixed % 100
 
 
@@ -275,8 +283,13 @@ def prediction_stats(
         weighted_quantiles(weighted, x, "_w", probs, by),
         interval_shares(weighted, x, edges, F.col("_w"), by),
     ]
-    # one row per run on every side
-    return reduce(lambda a, b: a.join(b, list(by)), parts)
+    # one row per run on every side; NULL is a run like any other
+
+    def beside(a: DataFrame, b: DataFrame) -> DataFrame:
+        named = b.withColumnsRenamed({c: f"_{c}" for c in by})
+        return a.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).drop(*[f"_{c}" for c in by])
+
+    return reduce(beside, parts)
 
 
 def prediction_frames(current: DataFrame, futures: DataFrame, x: str, floor: float = 1e-6) -> DataFrame:

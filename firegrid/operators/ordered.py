@@ -179,7 +179,7 @@ def attach_by_value(
     cold = table.where(F.col("n") * 1000 <= F.col("total")).select(
         *[F.col(c).alias(f"_cb_{c}") for c in by],
         F.lit(0).alias("_cs"),
-        F.col("v").cast("double").alias("_cv"),
+        F.col("v").alias("_cv"),
         *[F.col(c).alias(f"_c_{c}") for c in out],
     )
     on_hot = F.col(key) == F.col("_hv")
@@ -188,11 +188,12 @@ def attach_by_value(
         on_hot = on_hot & F.col(c).eqNullSafe(F.col(f"_hb_{c}"))
         on_cold = on_cold & F.col(c).eqNullSafe(F.col(f"_cb_{c}"))
     done = F.col(key).isNull() | F.col("_hot").isNotNull()
-    salt = F.pmod(F.xxhash64(*spread), F.lit(4096)).cast("double")
+    # rows that are done get a NULL value, which matches nothing, under a number that spreads them
+    salt = F.pmod(F.xxhash64(*spread), F.lit(4096)).cast("int") + 1
     joined = (
         df.join(hot if by else F.broadcast(hot), on_hot, "left")
         .withColumns(
-            {"_ls": F.when(done, 1).otherwise(0), "_lv": F.when(done, salt).otherwise(F.col(key).cast("double"))}
+            {"_ls": F.when(done, salt).otherwise(0), "_lv": F.when(~done, F.col(key))}
         )
         .join(cold, on_cold, "left")
     )

@@ -88,10 +88,10 @@ def winter_floor(
     satellites: Sequence[str] = WINTER_SENSORS,
     t: str = "ts",
 ) -> DataFrame:
-    """Slightly negative winter values of some sensors to zero, then range check."""
+    """Missing and slightly negative winter values of some sensors to zero, then range check."""
     v = F.col(value)
-    dark = F.month(t).isin(*months) & F.col("satellite").isin(*satellites) & (v >= -0.2) & (v < 0)
-    fixed = F.when(dark, F.lit(0.0)).otherwise(v)
+    winter = F.month(t).isin(*months) & F.col("satellite").isin(*satellites)
+    fixed = F.when(winter & (v.isNull() | ((v >= -0.2) & (v < 0))), F.lit(0.0)).otherwise(v)
     return pixels.withColumn(value, F.when((fixed >= 0) & (fixed <= 1), fixed))
 
 

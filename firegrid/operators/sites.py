@@ -94,25 +94,28 @@ def disturbance_series(
 
     From wide forms (``FrameNN, DateNN, IsFireNN, SiteImpactedNN, StandRepNN``): unpivot,
     check dates against the scene catalogue, derive stand loss, merge observers. Sites
-    with one form keep their events as they are.
+    with one form keep their events as they are. Empty forms count as forms; a site whose forms are all empty
+    has one row without an event.
     """
     prefixes = ("Frame", "Date", "IsFire", "SiteImpacted", "StandRep")
     long = unpivot_events(forms, ["site", "observer"], prefixes, n_events).withColumnsRenamed(
         {"isfire": "is_fire", "siteimpacted": "site_impacted", "standrep": "stand_rep"}
     )
-    return series_from_events(long, catalogue, tol)
+    return series_from_events(long, catalogue, tol, forms)
 
 
-def series_from_events(long: DataFrame, catalogue: DataFrame | None = None, tol: int = 5) -> DataFrame:
-    """The same from a long event table ``site, observer, frame, date, is_fire, site_impacted, stand_rep``."""
+def series_from_events(long: DataFrame, catalogue: DataFrame | None = None, tol: int = 5, forms: DataFrame | None = None) -> DataFrame:
+    """The same from a long event table ``site, observer, frame, date, is_fire, site_impacted, stand_rep``.
+
+    ``forms``: every (site, observer) that handed in a form, by default those of the table.
+    """
     events = long.where(F.col("frame").isNotNull())
     if catalogue is not None:
         events = resolve_dates(events, catalogue).drop("date_ok")
     events = site_loss(events)
-    forms = (
-        long.select("site", "observer").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("n_forms"))
-    )
-    events = events.join(forms, "site")
+    forms = long if forms is None else forms
+    counted = forms.select("site", "observer").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("n_forms"))
+    events = events.join(counted, "site")
     many = group_events(events.where(F.col("n_forms") > 1), tol)
     merged = (
         many.groupBy("site", "is_fire", "seed", "n_forms", "observer")
@@ -142,6 +145,7 @@ def series_from_events(long: DataFrame, catalogue: DataFrame | None = None, tol:
         F.max("site_loss").alias("site_loss"),
         F.max("agree").alias("agree"),
     )
+    series = counted.select("site").join(series, "site", "left")
     return after_first(series, "site_loss", ["site"], "frame", out="post_loss")
 
 
@@ -191,6 +195,7 @@ def score_events(
     start: int,
     end: int,
     adjacent: DataFrame | None = None,
+    sites: DataFrame | None = None,
 ) -> DataFrame:
     """Events of a product against the known ones, per site.
 
@@ -198,7 +203,8 @@ def score_events(
     (``truth`` by default); ``site_hist`` and ``box_hist``: the product's years at the
     site and in its box. Years in only one list may pair with the following year of
     the other; a pair uses up the later year. Since a year can only be used up by the
-    one before it, the rule alternates along runs of consecutive candidate years.
+    one before it, the rule alternates along runs of consecutive candidate years. A site of
+    ``sites`` without any such year is one correct non-detection; without that list only sites with a year are scored.
     """
     adjacent = truth if adjacent is None else adjacent
 
@@ -266,6 +272,9 @@ def score_events(
     cols["FalseNegative"] = F.when(c("_fn"), c("n_bn")).otherwise(cols["FalseNegative"])
     cols["CorrectNonDetection"] = F.when(c("_none"), 1).otherwise(0)
     scored = out.select("site", *[v.cast("long").alias(k) for k, v in cols.items()])
+    if sites is not None:
+        quiet = {k: F.coalesce(k, F.lit(int(k == "CorrectNonDetection")).cast("long")).alias(k) for k in cols}
+        scored = sites.select("site").distinct().join(scored, "site", "left").select("site", *quiet.values())
     return scored.withColumn("TotalEvents", sum((c(k) for k in EVENT_CLASSES[1:]), c(EVENT_CLASSES[0])))
 
 

@@ -209,7 +209,8 @@ def chow_test(
 ) -> DataFrame:
     """Chow test for a break at column ``at`` (T7): three residual sums in one aggregate.
 
-    ``inclusive="both"`` puts the break step in both halves. F of zero gives p = 1.
+    ``inclusive="both"`` puts the break step in both halves, and then counts it in both for F's degrees of freedom;
+    p is that of n - 4. F of zero gives p = 1.
     """
     xc, yc, b = F.col(x).cast("double"), F.col(y).cast("double"), F.col(at)
     left = F.col(x) <= b
@@ -232,7 +233,8 @@ def chow_test(
         F.count("_y2").alias("n_after"),
     )
     d2 = F.col("n") - 4
-    f = (F.col("_all") - F.col("_split")) / 2 / (F.nullif(F.col("_split"), F.lit(0.0)) / F.nullif(d2, F.lit(0)))
+    within = F.col("n_before") + F.col("n_after") - 4
+    f = (F.col("_all") - F.col("_split")) / 2 / (F.nullif(F.col("_split"), F.lit(0.0)) / F.nullif(within, F.lit(0)))
     return out.withColumn("F", F.when(d2 > 0, at_least(f, 0.0))).select(
         *keys, "n", "n_before", "n_after", "F", f_pvalue_df1_2("F", d2).alias("pval")
     )

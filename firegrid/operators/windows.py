@@ -15,10 +15,6 @@ from pyspark.sql import functions as F
 
 from firegrid.grid import CELL, GridSpec, as_col
 
-# a sliding frame costs O(width) per row, a difference of running sums O(1)
-PREFIX_ABOVE = 48
-
-
 def frame_ends(sf: int) -> tuple[int, int]:
     """Offsets of a centred window; an even width reaches one further to the left."""
     return -(sf // 2), (sf - 1) // 2
@@ -29,22 +25,15 @@ def _window(axis: str, part: Sequence[str]) -> Window:
     return Window.partitionBy(*part, other).orderBy(axis)
 
 
-def _window_stats(col: str, sf: int, axis: str, part: Sequence[str], prefix: bool) -> dict[str, Column]:
-    """Sum, value count and row count of the window around each row."""
-    lo, hi = frame_ends(sf)
-    w = _window(axis, part)
+def _window_stats(col: str, sf: int, axis: str, part: Sequence[str]) -> dict[str, Column]:
+    """Sum, value count and row count of the window around each row.
+
+    Each window adds up its own values, whatever its width: differences of running sums
+    would carry rounding residue and missing numbers from far cells into small ones.
+    """
+    frame = _window(axis, part).rangeBetween(*frame_ends(sf))
     exprs = {"s": F.sum(F.col(col).cast("double")), "n": F.count(F.col(col)), "rows": F.count(F.lit(1))}
-    if not prefix:
-        frame = w.rangeBetween(lo, hi)
-        return {k: e.over(frame) for k, e in exprs.items()}
-    upto = w.rangeBetween(Window.unboundedPreceding, hi)
-    below = w.rangeBetween(Window.unboundedPreceding, lo - 1)
-    diff = {k: e.over(upto) - F.coalesce(e.over(below), F.lit(0)) for k, e in exprs.items()}
-    # running sums leave rounding residue; a window without any non-zero value is exactly zero
-    nonzero = F.count(F.when(F.col(col) != 0, F.lit(1)))
-    live = nonzero.over(upto) - nonzero.over(below)
-    diff["s"] = F.when(diff["n"] > 0, F.when(live > 0, diff["s"]).otherwise(F.lit(0.0)))
-    return diff
+    return {k: e.over(frame) for k, e in exprs.items()}
 
 
 Fold = Callable[[dict[str, Column]], Column]
@@ -61,18 +50,17 @@ def sum_fold(skipna: bool = False) -> Fold:
 
 
 def separable(
-    df: DataFrame, stats: Mapping[str, tuple[str, Fold]], sf: int, part: Sequence[str] = (), prefix: bool | None = None
+    df: DataFrame, stats: Mapping[str, tuple[str, Fold]], sf: int, part: Sequence[str] = ()
 ) -> DataFrame:
     """Several sf x sf neighbourhood statistics at once, ``{out: (column, fold)}``.
 
     The first pass runs along longitude, the second along latitude over the first one's
     results. All statistics share the two exchanges.
     """
-    use_prefix = sf > PREFIX_ABOVE if prefix is None else prefix
     for axis in ("lon_idx", "lat_idx"):
         df = df.withColumns(
             {
-                out: fold(_window_stats(col if axis == "lon_idx" else out, sf, axis, part, use_prefix))
+                out: fold(_window_stats(col if axis == "lon_idx" else out, sf, axis, part))
                 for out, (col, fold) in stats.items()
             }
         )
@@ -86,7 +74,6 @@ def moving_mean(
     min_periods: int = 1,
     out: str | None = None,
     part: Sequence[str] = (),
-    prefix: bool | None = None,
 ) -> DataFrame:
     """Separable moving mean over sf x sf cells (W1, W3): along longitude, then latitude.
 
@@ -99,16 +86,16 @@ def moving_mean(
         stats = {out or f"{col}_mean": (col, mean_fold(min_periods))}
     else:
         stats = {c: (c, mean_fold(min_periods)) for c in col}
-    return separable(df, stats, sf, part, prefix)
+    return separable(df, stats, sf, part)
 
 
 def moving_mean_2d(df: DataFrame, col: str, sf: int, out: str | None = None, part: Sequence[str] = ()) -> DataFrame:
     """Flat mean over the sf x sf window (W5): sums and counts are separable, so two passes are exact."""
     out = out or f"{col}_mean2d"
-    s1 = _window_stats(col, sf, "lon_idx", part, sf > PREFIX_ABOVE)
+    s1 = _window_stats(col, sf, "lon_idx", part)
     df = df.withColumns({"_s": s1["s"], "_n": s1["n"].cast("double")})
-    s2 = _window_stats("_s", sf, "lat_idx", part, sf > PREFIX_ABOVE)
-    n2 = _window_stats("_n", sf, "lat_idx", part, sf > PREFIX_ABOVE)
+    s2 = _window_stats("_s", sf, "lat_idx", part)
+    n2 = _window_stats("_n", sf, "lat_idx", part)
     return df.withColumn(out, s2["s"] / F.nullif(n2["s"], F.lit(0.0))).drop("_s", "_n")
 
 
@@ -119,13 +106,12 @@ def moving_sum(
     skipna: bool = False,
     out: str | None = None,
     part: Sequence[str] = (),
-    prefix: bool | None = None,
 ) -> DataFrame:
     """Moving sum over sf x sf cells; one missing value empties the window unless ``skipna``.
 
     At the edge of the grid the window is cut to the cells that exist.
     """
-    return separable(df, {out or f"{col}_sum": (col, sum_fold(skipna))}, sf, part, prefix)
+    return separable(df, {out or f"{col}_sum": (col, sum_fold(skipna))}, sf, part)
 
 
 def weighted_moving_fraction(

@@ -54,14 +54,12 @@ def anbf(spark, d) -> DataFrame:
 
 
 def grid_static(spark, d) -> DataFrame:
-    part = table(spark, d, "part").select(
-        F.expr("CAST(p_partkey DIV 40 AS INT)").alias("lat_idx"),
-        F.expr("CAST(p_partkey % 40 AS INT)").alias("lon_idx"),
-        (F.col("p_size") * 2.0).alias("treecover"),
-        F.col("p_type").alias("landcover"),
-        F.col("p_retailprice").alias("value2"),
-        F.col("p_size").alias("size"),
-        (F.col("p_size") % 7 != 0).alias("land"),
+    """Static layers, from all parts that fall on a cell."""
+    part = (
+        table(spark, d, "part")
+        .groupBy(F.expr("CAST(p_partkey % 800 DIV 40 AS INT)").alias("lat_idx"), F.expr("CAST(p_partkey % 40 AS INT)").alias("lon_idx"))
+        .agg((F.sum("p_size") % 50 + 1).cast("int").alias("size"), F.max("p_type").alias("landcover"), F.round(F.avg("p_retailprice"), 4).alias("value2"))
+        .select(*CELL, (F.col("size") * 2.0).alias("treecover"), "landcover", "value2", "size", (F.col("size") % 7 != 0).alias("land"))
     )
     return cells(spark).join(part, list(CELL), "left")
 
@@ -168,9 +166,10 @@ CTES = {
         FROM cells c CROSS JOIN range(1995, 2002) y(y)
         LEFT JOIN burned b ON b.lat_idx = c.lat_idx AND b.lon_idx = c.lon_idx AND b.year = y.y)""",
     "anbf": """anbf AS (SELECT lat_idx, lon_idx, avg(burnt) AS "AnBF" FROM grid_year GROUP BY ALL)""",
-    "grid_static": """grid_static AS (SELECT c.lat_idx, c.lon_idx, p_size * 2.0e0 AS treecover, p_type AS landcover, p_retailprice AS value2,
-        p_size AS size, (p_size % 7 <> 0) AS land
-        FROM cells c LEFT JOIN part ON p_partkey = c.lat_idx * 40 + c.lon_idx)""",
+    "grid_static": """parts AS (SELECT CAST(p_partkey % 800 // 40 AS INTEGER) AS lat_idx, CAST(p_partkey % 40 AS INTEGER) AS lon_idx,
+        CAST(sum(p_size) % 50 + 1 AS INTEGER) AS size, max(p_type) AS landcover, round(avg(p_retailprice), 4) AS value2 FROM part GROUP BY ALL),
+      grid_static AS (SELECT c.lat_idx, c.lon_idx, size * 2.0e0 AS treecover, landcover, value2, size, (size % 7 <> 0) AS land
+        FROM cells c LEFT JOIN parts USING (lat_idx, lon_idx))""",
     "cell_year_value": """cell_year_value AS (SELECT lat_idx, lon_idx, year, avg(value) AS value FROM grid_obs GROUP BY ALL)""",
     "climate": """climate AS (SELECT CAST(o_orderkey % 20 AS INTEGER) AS lat_idx, CAST(o_custkey % 40 AS INTEGER) AS lon_idx, o_orderdate AS t,
         CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, o_totalprice / 1000.0e0 AS ppt,

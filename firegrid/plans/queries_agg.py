@@ -279,10 +279,10 @@ def a20(spark, d):
     "a22_accuracy_table",
     "ref_events",
     f"""SELECT nation, sum(ev)::BIGINT AS n_events, {q6("avg(a / nullif(ev, 0) * 100)")} AS pct_CorrectDetection, {q6("avg(a / 7.0e0 * 100)")} AS annual_CorrectDetection, {q6("avg((7 - ev) / 7.0e0 * 100)")} AS annual_CorrectNonDetection
-        FROM (SELECT site % 5 AS nation, site, count(CASE WHEN o_orderkey % 5 = 0 THEN 1 END) AS a, count(CASE WHEN o_orderkey % 5 < 5 THEN 1 END) AS ev FROM ref_events WHERE o_orderkey % 11 = 0 GROUP BY ALL) GROUP BY nation""",
+        FROM (SELECT site % 5 AS nation, site, count(CASE WHEN o_orderkey % 5 = 0 THEN 1 END) AS a, count(CASE WHEN o_orderkey % 5 < 5 THEN 1 END) AS ev FROM ref_events GROUP BY ALL) GROUP BY nation""",
 )
 def a22(spark, d):
-    ev = X.ref_events(spark, d).where("o_orderkey % 11 = 0")
+    ev = X.ref_events(spark, d)
     kinds = St.EVENT_CLASSES[:-1]
     scores = ev.groupBy("site").agg(*[F.count_if(F.col("o_orderkey") % 5 == i).alias(k) for i, k in enumerate(kinds)])
     out = St.accuracy_table(scores.withColumn("nation", F.col("site") % 5), 7, ["nation"])
@@ -465,7 +465,7 @@ def _noisy(spark, d):
     return X.grid_obs(spark, d).groupBy(*CELL).agg(F.when(m > 24.5, m).alias("v"))
 
 
-def _w1(name: str, sf: int, prefix, need: int = 1):
+def _w1(name: str, sf: int, need: int = 1):
     @query(
         name,
         "grid_obs",
@@ -473,14 +473,14 @@ def _w1(name: str, sf: int, prefix, need: int = 1):
         also=_NOISY + ",\n " + two_pass("obsmean", "v", sf, "mm", need=need),
     )
     def w1(spark, d):
-        out = W.moving_mean(_noisy(spark, d), "v", sf, need, prefix=prefix)
+        out = W.moving_mean(_noisy(spark, d), "v", sf, need)
         return out.select(*CELL, r6("v_mean").alias("v_mean"))
 
 
-_w1("w1_moving_mean", 3, None)
-_w1("w1_moving_mean_even", 4, None)
-_w1("w1_moving_mean_prefix", 5, True)
-_w1("w3_moving_mean_min_count", 5, None, 3)
+_w1("w1_moving_mean", 3)
+_w1("w1_moving_mean_even", 4)
+_w1("w1_moving_mean_prefix", 5)
+_w1("w3_moving_mean_min_count", 5, 3)
 
 
 @query(
@@ -525,19 +525,19 @@ def w5(spark, d):
     return W.moving_mean_2d(_noisy(spark, d), "v", 4, out="v2").select(*CELL, r6("v2").alias("v2"))
 
 
-def _w6(name: str, prefix):
+def _w6(name: str, sf: int):
     @query(
         name,
         "grid_obs",
         f"SELECT lat_idx, lon_idx, {q6('s')} AS s FROM ms",
-        also=_NOISY + ",\n " + two_pass_sum("obsmean", "v", 3, "ms"),
+        also=_NOISY + ",\n " + two_pass_sum("obsmean", "v", sf, "ms"),
     )
     def w6(spark, d):
-        return W.moving_sum(_noisy(spark, d), "v", 3, out="s", prefix=prefix).select(*CELL, r6("s").alias("s"))
+        return W.moving_sum(_noisy(spark, d), "v", sf, out="s").select(*CELL, r6("s").alias("s"))
 
 
-_w6("w6_moving_sum", None)
-_w6("w6_moving_sum_prefix", True)
+_w6("w6_moving_sum", 3)
+_w6("w6_moving_sum_prefix", 9)
 
 
 @query(

@@ -233,7 +233,7 @@ def d7(spark, d):
     "d8_forest_mask",
     "grid_static",
     f"""SELECT CAST(i AS INTEGER) AS lat_idx, CAST(j AS INTEGER) AS lon_idx, {q6("m2")} AS fraction, CASE WHEN m2 / 100 >= 0.5e0 THEN 1.0e0 WHEN m2 / 100 < 0.5e0 THEN 0.0e0 END AS forest
-        FROM range(60) a(i), range(380) b(j) JOIN mm ON mm.lat_idx = floor((i * 0.5e0 - 0.75e0) / 3.0e0 + 0.5e0) AND mm.lon_idx = floor((j * 0.5e0 - 2.5e0) / 10.0e0 + 0.5e0)""",
+        FROM range(60) a(i), range(380) b(j) JOIN mm ON mm.lat_idx = least(greatest(floor((i * 0.5e0 - 0.75e0) / 3.0e0 + 0.5e0), 0), 9) AND mm.lon_idx = least(greatest(floor((j * 0.5e0 - 2.5e0) / 10.0e0 + 0.5e0), 0), 19)""",
     also="""bk AS (SELECT CAST(lat_idx // 2 AS INTEGER) AS lat_idx, CAST(lon_idx // 2 AS INTEGER) AS lon_idx, avg(treecover) AS v FROM grid_static GROUP BY lat_idx // 2, lon_idx // 2),
   """
     + two_pass("bk", "v", 3, "mm"),

@@ -159,7 +159,7 @@ def j1(spark, d):
     "j2_reindex_nearest",
     "grid_static",
     """SELECT CAST(i AS INTEGER) AS lat_idx, CAST(j AS INTEGER) AS lon_idx, treecover FROM range(60) a(i), range(380) b(j)
-       JOIN grid_static s ON s.lat_idx = floor((40.0e0 + i * 0.5e0 - 40.0e0) / 1.5e0 + 0.5e0) AND s.lon_idx = floor((-10.0e0 + j * 0.5e0 + 10.0e0) / 5.0e0 + 0.5e0)""",
+       JOIN grid_static s ON s.lat_idx = least(floor((40.0e0 + i * 0.5e0 - 40.0e0) / 1.5e0 + 0.5e0), 19) AND s.lon_idx = least(floor((-10.0e0 + j * 0.5e0 + 10.0e0) / 5.0e0 + 0.5e0), 39)""",
 )
 def j2(spark, d):
     return J.reindex_nearest(X.grid_static(spark, d).select(*CELL, "treecover"), G, FINE)
@@ -306,15 +306,20 @@ def j12(spark, d):
 @query(
     "j13_site_box_evidence",
     "ref_events",
-    """SELECT site, year, max(CASE WHEN fire AND o_orderkey % 3 = 0 THEN 1 ELSE 0 END) AS at_site, max(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END) AS in_box
-       FROM ref_events WHERE (fire AND o_orderkey % 3 = 0) OR o_orderkey % 2 = 0 GROUP BY ALL""",
+    """SELECT site, year, max(CASE WHEN fire THEN 1 ELSE 0 END) AS at_site, max(CASE WHEN fire THEN 0 ELSE 1 END) AS in_box FROM ref_events GROUP BY ALL""",
 )
 def j13(spark, d):
     ev = X.ref_events(spark, d)
-    return J.site_box_evidence(ev.where("fire AND o_orderkey % 3 = 0"), ev.where("o_orderkey % 2 = 0"))
+    return J.site_box_evidence(ev.where("fire"), ev.where("NOT fire"))
 
 
-_YEARS2 = """a AS (SELECT DISTINCT site, year FROM ref_events WHERE fire AND o_orderkey % 7 = 0), b AS (SELECT DISTINCT site, year FROM ref_events WHERE NOT fire AND o_orderkey % 7 = 1)"""
+# years whose fires, or other events, come to an odd number: uneven lists made of all rows
+_YEARS2 = """a AS (SELECT site, year FROM ref_events GROUP BY ALL HAVING count(*) FILTER (fire) % 2 = 1), b AS (SELECT site, year FROM ref_events GROUP BY ALL HAVING count(*) FILTER (NOT fire) % 2 = 1)"""
+
+
+def _year_lists(spark, d):
+    n = X.ref_events(spark, d).groupBy("site", "year").agg(F.count_if("fire").alias("f"), F.count_if(~F.col("fire")).alias("o"))
+    return n.where("f % 2 = 1").select("site", "year"), n.where("o % 2 = 1").select("site", "year")
 
 
 @query(
@@ -324,8 +329,7 @@ _YEARS2 = """a AS (SELECT DISTINCT site, year FROM ref_events WHERE fire AND o_o
     also=_YEARS2,
 )
 def j14(spark, d):
-    ev = X.ref_events(spark, d)
-    return J.match_years(ev.where("fire AND o_orderkey % 7 = 0"), ev.where("NOT fire AND o_orderkey % 7 = 1"))
+    return J.match_years(*_year_lists(spark, d))
 
 
 @query(
@@ -433,10 +437,10 @@ def r9(spark, d):
 @query(
     "r10_pivot_series",
     "site_series",
-    "SELECT site, " + ", ".join(f'max(CASE WHEN step = {i} THEN value END) AS "{i}"' for i in (1, 2, 3, 15, 30)) + " FROM site_series GROUP BY site",
+    "SELECT site, " + ", ".join(f'max(CASE WHEN step = {i} THEN value END) AS "{i}"' for i in range(1, 32)) + " FROM site_series GROUP BY site",
 )
 def r10(spark, d):
-    return R.pivot_series(X.site_series(spark, d), "site", "step", "value", [1, 2, 3, 15, 30])
+    return R.pivot_series(X.site_series(spark, d), "site", "step", "value", list(range(1, 32)))
 
 
 @query(
@@ -455,11 +459,11 @@ def r11(spark, d):
 @query(
     "u1_stack_time",
     "grid_obs",
-    "SELECT year, count(*) AS n FROM grid_obs WHERE year < 1997 OR year > 1999 GROUP BY year",
+    "SELECT year, count(*) AS n FROM grid_obs GROUP BY year",
 )
 def u1(spark, d):
     o = X.grid_obs(spark, d)
-    return R.stack_time(o.where("year < 1997"), o.where("year > 1999")).groupBy("year").agg(F.count("*").alias("n"))
+    return R.stack_time(o.where("year < 1998"), o.where("year >= 1998")).groupBy("year").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -484,8 +488,7 @@ def u3(spark, d):
 
 @query("u4_distinct_years", "ref_events", "SELECT site, year FROM a UNION SELECT site, year FROM b", also=_YEARS2)
 def u4(spark, d):
-    ev = X.ref_events(spark, d)
-    return R.distinct_years(ev.where("fire AND o_orderkey % 7 = 0"), ev.where("NOT fire AND o_orderkey % 7 = 1"))
+    return R.distinct_years(*_year_lists(spark, d))
 
 
 @query(
@@ -517,7 +520,7 @@ COARSE = GridSpec(41.0, -8.0, 2.5, 7.0, 11, 26)
     "g1_nearest",
     "grid_static",
     """SELECT CAST(i AS INTEGER) AS lat_idx, CAST(j AS INTEGER) AS lon_idx, value2 FROM range(11) a(i), range(26) b(j) JOIN grid_static s
-       ON s.lat_idx = floor((41.0e0 + i * 2.5e0 - 40.0e0) / 1.5e0 + 0.5e0) AND s.lon_idx = floor((-8.0e0 + j * 7.0e0 + 10.0e0) / 5.0e0 + 0.5e0)""",
+       ON s.lat_idx = least(floor((41.0e0 + i * 2.5e0 - 40.0e0) / 1.5e0 + 0.5e0), 19) AND s.lon_idx = least(floor((-8.0e0 + j * 7.0e0 + 10.0e0) / 5.0e0 + 0.5e0), 39)""",
 )
 def g1(spark, d):
     return Gd.nearest(X.grid_static(spark, d).select(*CELL, "value2"), G, COARSE)

@@ -50,10 +50,20 @@ def l1(spark, d):
     return t.select(*CELL, r6("AnBF").alias("AnBF"), *[r6(c, 9).alias(c) for c in FEATS])
 
 
+def hash_sql(*keys: str, salt: int = 0) -> str:
+    """SQL twin of the key hash."""
+    p, out = L.HASH_PRIME, f"CAST({salt} AS BIGINT)"
+    for k in keys:
+        for half in (f"CAST({k} AS BIGINT)", f"(CAST({k} AS BIGINT) >> 31)"):
+            out = f"(({out} * 31 + (({half} % {p}) + {p}) % {p} + 17) % {p})"
+            out = f"(({out} * 48271 + 104729) % {p})"
+    return f"({out} % 100)"
+
+
 @query(
     "l2_hash_split",
     "grid_obs",
-    """SELECT year, count(*) AS n, count(CASE WHEN ((((17 + CAST(lat_idx AS BIGINT)) % 1000003 * 7919 + 104729) % 1000003 * 31 + lon_idx + 17) % 1000003 * 7919 + 104729) % 1000003 % 100 < 80 THEN 1 END) AS n_train FROM grid_obs GROUP BY year""",
+    f"""SELECT year, count(*) AS n, count(CASE WHEN {hash_sql("lat_idx", "lon_idx")} < 80 THEN 1 END) AS n_train FROM grid_obs GROUP BY year""",
 )
 def l2(spark, d):
     return L.hash_split(X.grid_obs(spark, d)).groupBy("year").agg(F.count("*").alias("n"), F.count_if("is_train").alias("n_train"))
@@ -170,10 +180,10 @@ def l8_sig(spark, d):
     "l9_given_scenario",
     "cells climate",
     f"""SELECT c.lat_idx, c.lon_idx, {q6("ppt", 9)} AS ppt, {q6("tmean", 9)} AS tmean, CASE WHEN ppt IS NULL THEN 1 ELSE 0 END + CASE WHEN tmean IS NULL THEN 1 ELSE 0 END AS n_missing
-        FROM cells c LEFT JOIN (SELECT lat_idx, lon_idx, avg(ppt) AS ppt, avg(tmean + 4) AS tmean FROM climate WHERE year >= 1998 AND lat_idx > 3 GROUP BY ALL) USING (lat_idx, lon_idx)""",
+        FROM cells c LEFT JOIN (SELECT lat_idx, lon_idx, avg(ppt) AS ppt, avg(tmean + 4) AS tmean FROM climate GROUP BY ALL) USING (lat_idx, lon_idx)""",
 )
 def l9(spark, d):
-    fut = X.climate(spark, d).where("year >= 1998 AND lat_idx > 3").groupBy(*CELL).agg(F.avg("ppt").alias("ppt"), F.avg(F.col("tmean") + 4).alias("tmean"))
+    fut = X.climate(spark, d).groupBy(*CELL).agg(F.avg("ppt").alias("ppt"), F.avg(F.col("tmean") + 4).alias("tmean"))
     out = L.given_scenario(fut, X.cells(spark), ["ppt", "tmean"])
     return out.select(*CELL, r6("ppt", 9).alias("ppt"), r6("tmean", 9).alias("tmean"), "n_missing")
 

@@ -93,10 +93,10 @@ def d12(spark, d):
 
 
 # scoring in SQL by walking the years of each site in order
-_SCORE = """bn AS (SELECT DISTINCT site, year FROM ref_events WHERE fire AND o_orderkey % 61 = 0 AND site % 7 <> 3),
-  ab AS (SELECT DISTINCT site, year FROM ref_events WHERE fire AND o_orderkey % 61 IN (0, 1) AND site % 7 <> 3),
-  da AS (SELECT DISTINCT site, year FROM ref_events WHERE o_orderkey % 53 = 2 AND site % 5 <> 4),
-  ba AS (SELECT DISTINCT site, year FROM ref_events WHERE o_orderkey % 53 IN (2, 3) AND site % 5 <> 4),
+# lists of site-years made of all rows: the number of fires decides about truth, that of other events about the map
+_SCORE = """sy AS (SELECT site, year, count(*) FILTER (fire) AS f, count(*) FILTER (NOT fire) AS o FROM ref_events GROUP BY ALL),
+  bn AS (SELECT site, year FROM sy WHERE f % 6 = 1), ab AS (SELECT site, year FROM sy WHERE f % 6 IN (1, 2)),
+  da AS (SELECT site, year FROM sy WHERE o % 6 = 1), ba AS (SELECT site, year FROM sy WHERE o % 6 IN (1, 2)),
   yy AS (SELECT site, year, row_number() OVER (PARTITION BY site ORDER BY year) AS k FROM (SELECT * FROM bn UNION SELECT * FROM ab UNION SELECT * FROM da UNION SELECT * FROM ba)),
   yf AS (SELECT y.site, y.year, y.k, bn.year IS NOT NULL AS b, ab.year IS NOT NULL AS a, da.year IS NOT NULL AS m, ba.year IS NOT NULL AS x,
      EXISTS (SELECT 1 FROM da q WHERE q.site = y.site AND q.year = y.year + 1) AS m1, EXISTS (SELECT 1 FROM bn q WHERE q.site = y.site AND q.year = y.year + 1) AS b1
@@ -109,20 +109,16 @@ _SCORE = """bn AS (SELECT DISTINCT site, year FROM ref_events WHERE fire AND o_o
   tot AS (SELECT site, count(CASE WHEN b THEN 1 END) AS nb, count(CASE WHEN a THEN 1 END) AS na, count(CASE WHEN m THEN 1 END) AS nm, count(CASE WHEN x THEN 1 END) AS nx FROM yf GROUP BY site),
   lab AS (SELECT site, count(CASE WHEN label = 'CD' THEN 1 END) AS cd, count(CASE WHEN label = 'SU' THEN 1 END) AS su, count(CASE WHEN label = 'SO' THEN 1 END) AS so, count(CASE WHEN label = 'FN' THEN 1 END) AS fn, count(CASE WHEN label = 'FP' THEN 1 END) AS fp FROM walk GROUP BY site),
   kk AS (SELECT *, CASE WHEN nb = 0 AND nm = 0 THEN 1 WHEN na = 0 AND nm > 0 THEN 2 WHEN nb > 0 AND nx = 0 THEN 3 ELSE 4 END AS kind FROM tot JOIN lab USING (site)),
-  res AS (SELECT site, CASE WHEN kind = 4 THEN cd ELSE 0 END AS "CorrectDetection", CASE WHEN kind = 4 THEN su ELSE 0 END AS "SpatialUnder", CASE WHEN kind = 4 THEN so ELSE 0 END AS "SpatialOver",
-     CASE kind WHEN 4 THEN fn WHEN 3 THEN nb ELSE 0 END AS "FalseNegative", CASE kind WHEN 4 THEN fp WHEN 2 THEN nm ELSE 0 END AS "FalsePositive", CAST(CASE WHEN kind = 1 THEN 1 ELSE 0 END AS BIGINT) AS "CorrectNonDetection" FROM kk)"""
+  rs AS (SELECT site, CASE WHEN kind = 4 THEN cd ELSE 0 END AS "CorrectDetection", CASE WHEN kind = 4 THEN su ELSE 0 END AS "SpatialUnder", CASE WHEN kind = 4 THEN so ELSE 0 END AS "SpatialOver",
+     CASE kind WHEN 4 THEN fn WHEN 3 THEN nb ELSE 0 END AS "FalseNegative", CASE kind WHEN 4 THEN fp WHEN 2 THEN nm ELSE 0 END AS "FalsePositive", CAST(CASE WHEN kind = 1 THEN 1 ELSE 0 END AS BIGINT) AS "CorrectNonDetection" FROM kk),
+  res AS (SELECT site, coalesce("CorrectDetection", 0) AS "CorrectDetection", coalesce("SpatialUnder", 0) AS "SpatialUnder", coalesce("SpatialOver", 0) AS "SpatialOver",
+     coalesce("FalseNegative", 0) AS "FalseNegative", coalesce("FalsePositive", 0) AS "FalsePositive", coalesce("CorrectNonDetection", 1) AS "CorrectNonDetection"
+     FROM (SELECT DISTINCT site FROM ref_events) LEFT JOIN rs USING (site))"""
 
 
 def _scores(spark, d):
-    ev = X.ref_events(spark, d)
-    return St.score_events(
-        ev.where("fire AND o_orderkey % 61 = 0 AND site % 7 <> 3"),
-        ev.where("o_orderkey % 53 = 2 AND site % 5 <> 4"),
-        ev.where("o_orderkey % 53 IN (2, 3) AND site % 5 <> 4"),
-        1990,
-        2010,
-        adjacent=ev.where("fire AND o_orderkey % 61 IN (0, 1) AND site % 7 <> 3"),
-    )
+    n = X.ref_events(spark, d).groupBy("site", "year").agg(F.count_if("fire").alias("f"), F.count_if(~F.col("fire")).alias("o"))
+    return St.score_events(n.where("f % 6 = 1"), n.where("o % 6 = 1"), n.where("o % 6 IN (1, 2)"), 1990, 2010, adjacent=n.where("f % 6 IN (1, 2)"), sites=n)
 
 
 @query(
@@ -199,7 +195,7 @@ def d15(spark, d):
 
 _SITES3 = f"""l1 AS (SELECT name, lat, lon, 2019 AS year, 0 AS l, site * 618034 % 1000003 AS seq FROM site WHERE nation < 9),
   l2 AS (SELECT name, lat + 0.01e0 AS lat, lon, 2018 AS year, 1 AS l, site * 618034 % 1000003 AS seq FROM site WHERE nation > 4 AND name NOT IN (SELECT name FROM l1)),
-  l3 AS (SELECT 'F' || fire_id AS name, lat, lon, 2017 AS year, 2 AS l, fire_id * 618034 % 1000003 AS seq FROM detections WHERE confidence >= 90),
+  l3 AS (SELECT 'F' || fire_id AS name, lat, lon, 2017 AS year, 2 AS l, fire_id * 618034 % 1000003 AS seq FROM detections),
   pts AS (SELECT *, row_number() OVER (ORDER BY l, seq, name) AS k FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)),
   walk AS (SELECT 0 AS k, CAST([] AS STRUCT(lat DOUBLE, lon DOUBLE, id BIGINT)[]) AS kept
     UNION ALL SELECT p.k, CASE WHEN len(list_filter(w.kept, lambda q: (q.lat = p.lat AND q.lon = p.lon) OR {hav("q.lat", "q.lon", "p.lat", "p.lon")} < 60.0e0)) > 0 THEN w.kept
@@ -218,7 +214,7 @@ def d16(spark, d):
     s = X.site(spark, d)
     a = s.where("nation < 9").select("name", "lat", "lon", seq)
     b = s.where("nation > 4").select("name", (F.col("lat") + 0.01).alias("lat"), "lon", seq)
-    c = X.detections(spark, d).where("confidence >= 90").select(
+    c = X.detections(spark, d).select(
         F.concat(F.lit("F"), F.col("fire_id").cast("string")).alias("name"), "lat", "lon", (F.col("fire_id") * 618034 % 1000003).alias("seq")
     )
     return P.build_sites([(a, 2019), (b, 2018), (c, 2017)], 60.0).select("name", "year")

@@ -121,7 +121,8 @@ def _part(cond):
 
 
 _CHOW = f"""rss AS (SELECT site, count(*) AS n, {_RSS.format(y="value", x="step")} AS total, {_part("step <= 10 + site % 10")} + {_part("step >= 10 + site % 10")} AS split FROM site_series GROUP BY site),
-  ff AS (SELECT site, n, CASE WHEN n > 4 AND split > 0 THEN greatest((total - split) / 2 / (split / (n - 4)), 0) END AS f FROM rss)"""
+  ff AS (SELECT rss.site, n, CASE WHEN n > 4 AND split > 0 THEN greatest((total - split) / 2 / (split / (n + at_break - 4)), 0) END AS f FROM rss
+    JOIN (SELECT site, count(CASE WHEN step = 10 + site % 10 THEN value END) AS at_break FROM site_series GROUP BY site) USING (site))"""
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 from collections.abc import Mapping, Sequence
 
@@ -12,17 +13,25 @@ from pyspark.sql import functions as F
 def write_result(df: DataFrame, path: str, parts: Sequence[str] = (), force: bool = False) -> None:
     """Write only when absent, unless forced.
 
-    With ``parts`` a forced write replaces just the partitions it carries.
-    Rows are clustered by the partition columns plus a hash of the cell, so a hot
-    partition is written by many tasks and no task opens many files.
+    With ``parts`` this holds for every combination of partition values by itself: what is there stays, what
+    is not is added, and a forced write replaces just the partitions it carries. Rows are rebalanced
+    by the partition columns, so a large partition is written by many tasks and no task opens many files.
     """
-    if parts:
-        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in parts]), F.lit(32))
-        df = df.repartition(*[F.col(p) for p in parts], salt)
-    writer = df.write.mode("overwrite" if force else "ignore").option("partitionOverwriteMode", "dynamic")
-    if parts:
-        writer = writer.partitionBy(*parts)
-    writer.parquet(path)
+    if not parts:
+        df.write.mode("overwrite" if force else "ignore").parquet(path)
+        return
+    if not force and _exists(df.sparkSession, path):
+        there = df.sparkSession.read.parquet(path).select(*[F.col(p).alias(f"_{p}") for p in parts]).distinct()
+        # values are compared as the folder names they become
+        df = df.join(there, [F.col(p).cast("string").eqNullSafe(F.col(f"_{p}").cast("string")) for p in parts], "left_anti")
+    mode = "overwrite" if force else "append"
+    df.hint("rebalance", *parts).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -31,8 +40,9 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def code_version() -> str:
+    """Commit of the folder this package lies in."""
     try:
-        done = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, timeout=10, check=False)
+        done = subprocess.run(["git", "-C", os.path.dirname(os.path.abspath(__file__)), "rev-parse", "HEAD"], capture_output=True, text=True, timeout=10, check=False)
         return done.stdout.strip() or "unknown"
     except OSError:
         return "unknown"
@@ -71,14 +81,10 @@ def write_pending(df: DataFrame, path: str, key: str = "lat_band") -> None:
     once its write job committed.
     """
     spark = df.sparkSession
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+    if _exists(spark, path):
         done = spark.read.parquet(path).select(key)
         df = df.join(pending_bands(df, done, key), key, "left_semi")
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(32))
-    df.repartition(F.col(key), salt).write.mode("append").partitionBy(key).parquet(path)
+    df.hint("rebalance", key).write.mode("append").partitionBy(key).parquet(path)
 
 
 def validity(df: DataFrame, col: str, hi: float = 1.0) -> DataFrame:

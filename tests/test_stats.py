@@ -144,7 +144,8 @@ def test_chow_finds_a_jump(spark):
 
     x = np.arange(30.0)
     split = rss(x[:15], y[:15]) + rss(x[14:], y[14:])
-    f = (rss(x, y) - split) / 2 / (split / 26)
+    # the break step lies in both halves: 15 + 16 - 4 degrees of freedom for F, 30 - 4 for p
+    f = (rss(x, y) - split) / 2 / (split / 27)
     r = T.chow_test(df, ["site"], "brk").first()
     assert r["F"] == pytest.approx(f) and r["pval"] == pytest.approx((1 + 2 * f / 26) ** -13) and r["n_before"] == 15 and r["n_after"] == 16
 
