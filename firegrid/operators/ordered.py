@@ -31,10 +31,17 @@ _SHIFT = 1100 * _STEPS_PER_OCTAVE
 def value_bucket(col) -> Column:
     """Monotone coarse bucket of a double: sign and the leading bits of its logarithm."""
     c = as_col(col).cast("double")
-    mag = F.floor(F.log2(F.abs(c)) * _STEPS_PER_OCTAVE) + F.lit(_SHIFT)
+    # infinities take the bucket beyond the largest number's
+    size = F.when(F.abs(c) == float("inf"), F.lit(1025.0)).otherwise(F.log2(F.abs(c)))
+    mag = F.floor(size * _STEPS_PER_OCTAVE) + F.lit(_SHIFT)
     return F.when(c == 0, F.lit(0)).otherwise(F.when(c > 0, mag).otherwise(-mag)).cast("long")
 
 
+def _known(col: str) -> Column:
+    """Neither NULL nor NaN."""
+    return F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))
+
+
 def _same(left: str, right: str, cols: Sequence[str]) -> Column:
     cond = F.lit(True)
     for c in cols:
@@ -49,7 +56,7 @@ def cumulate(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | No
     by = list(by)
     w = F.sum(F.col(weight).cast("double")) if weight else F.count(F.lit(1))
     distinct = (
-        df.where(F.col(value).isNotNull())
+        df.where(_known(value))
         .groupBy(*by, F.col(value).alias("v"))
         .agg(F.count(F.lit(1)).alias("n"), w.alias("w"))
         .withColumn("b", value_bucket("v"))
@@ -88,7 +95,7 @@ def _select_buckets(df: DataFrame, value: str, by: list[str], weight: str | None
     Two scans instead of a shuffle of the table: the first only counts buckets, the second keeps the
     few buckets a wanted rank falls into.
     """
-    rows = df.where(F.col(value).isNotNull()).withColumn("b", value_bucket(value))
+    rows = df.where(_known(value)).withColumn("b", value_bucket(value))
     w = F.sum(F.col(weight).cast("double")) if weight else F.count(F.lit(1))
     hit = _bucket_table(rows, by, w).where(wanted)
     kept = rows.alias("l").join(hit.alias("r"), _same("l", "r", [*by, "b"]))
@@ -125,7 +132,11 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by: Seq
         *by,
         "n",
         *[
-            (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (h - F.floor(h))).alias(f"q{i}")
+            # equal neighbours need no sum, which two infinities do not have
+            F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}").cast("double"))
+            .when(h == F.floor(h), F.col(f"lo{i}").cast("double"))
+            .otherwise(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (h - F.floor(h)))
+            .alias(f"q{i}")
             for i, h in enumerate(frac)
         ],
     )
@@ -138,7 +149,7 @@ def weighted_quantiles(
     where it equals p*W the midpoint with the next value is taken.
     """
     by = list(by)
-    kept = df.where((F.col(weight) > 0) & F.col(value).isNotNull())
+    kept = df.where((F.col(weight) > 0) & _known(value) & _known(weight))
     # sums in another order differ in the last digits, so equality has a small tolerance
     slack = F.col("total") * F.lit(1e-12)
     targets = [F.col("total") * F.lit(float(p)) for p in probs]
@@ -187,7 +198,7 @@ def attach_by_value(
     for c in by:
         on_hot = on_hot & F.col(c).eqNullSafe(F.col(f"_hb_{c}"))
         on_cold = on_cold & F.col(c).eqNullSafe(F.col(f"_cb_{c}"))
-    done = F.col(key).isNull() | F.col("_hot").isNotNull()
+    done = ~_known(key) | F.col("_hot").isNotNull()
     # rows that are done get a NULL value, which matches nothing, under a number that spreads them
     salt = F.pmod(F.xxhash64(*spread), F.lit(4096)).cast("int") + 1
     joined = (

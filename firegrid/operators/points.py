@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,20 +43,22 @@ def _nearest_by_descent(todo: DataFrame, spots: DataFrame, sid: str) -> DataFram
 
     Each level holds, per location, the blocks that may still contain its nearest
     spot: a block's real spot gives an upper bound, its edge a lower one. Only
-    occupied child blocks are looked up, by equi-join on the parent.
+    occupied blocks are looked up, by equi-join: at the top on every block there can be, then on the parent.
     """
     cand, prev = todo, None
     place = Window.partitionBy("lat", "lon")
     for step in _LEVELS:
         by, bx = _blocks(step, "_rlat", "_rlon")
-        parent = _blocks(prev, "_rlat", "_rlon") if prev else [F.lit(0).cast("long")] * 2
+        parent = _blocks(prev, "_rlat", "_rlon") if prev else [by, bx]
         level = (
             spots.select("_rlat", "_rlon", by.alias("by"), bx.alias("bx"), parent[0].alias("py"), parent[1].alias("px"))
             .groupBy("py", "px", "by", "bx")
             .agg(F.min(F.struct("_rlat", "_rlon")).alias("_spot"))
         )
         if prev is None:
-            cand = cand.withColumns({"py": F.lit(0).cast("long"), "px": F.lit(0).cast("long")})
+            # latitudes -90..90 and longitudes -180..360 in blocks of this size
+            rows, cols = (F.sequence(F.lit(-lo // int(step)).cast("long"), F.lit(hi // int(step)).cast("long")) for lo, hi in ((90, 90), (180, 360)))
+            cand = cand.withColumn("py", F.explode(rows)).withColumn("px", F.explode(cols))
         else:
             cand = cand.withColumnsRenamed({"by": "py", "bx": "px"})
         cand = (
@@ -75,45 +75,19 @@ def _nearest_by_descent(todo: DataFrame, spots: DataFrame, sid: str) -> DataFram
     return last.groupBy("lat", "lon").agg(F.min(F.struct(km.alias("km"), F.col(sid).alias("id"))).alias("_n"))
 
 
-def _nearest_by_broadcast(todo: DataFrame, rows: list, id_type: str) -> DataFrame:
-    lat, lon = np.radians([r[0] for r in rows]), np.radians([r[1] for r in rows])
-    ids = [r[2] for r in rows]
-    order = sorted(range(len(ids)), key=lambda i: ids[i])
-    table = todo.sparkSession.sparkContext.broadcast((lat[order], lon[order], [ids[i] for i in order]))
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rlat, rlon, rid = table.value
-        size = max(1, 2_000_000 // max(1, len(rid)))
-        for pdf in frames:
-            for at in range(0, len(pdf), size):
-                part = pdf.iloc[at : at + size]
-                a = np.radians(part["lat"].to_numpy())[:, None]
-                o = np.radians(part["lon"].to_numpy())[:, None]
-                h = np.sin((rlat - a) / 2) ** 2 + np.cos(a) * np.cos(rlat) * np.sin((rlon - o) / 2) ** 2
-                k = h.argmin(axis=1)
-                km = 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(h[np.arange(len(k)), k], 1.0)))
-                yield part.assign(km=km, id=[rid[i] for i in k])
-
-    found = todo.mapInPandas(search, f"lat double, lon double, km double, id {id_type}")
-    return found.select("lat", "lon", F.struct("km", "id").alias("_n"))
-
-
-def nearest_site(left: DataFrame, right: DataFrame, right_id: str, broadcast_rows: int = 10_000) -> DataFrame:
+def nearest_site(left: DataFrame, right: DataFrame, right_id: str) -> DataFrame:
     """Nearest right-hand site of every left-hand one with its distance.
 
-    Repeats of a location are searched once. A right side of at most
-    ``broadcast_rows`` locations, counted first, is sent to the tasks; a larger one is
-    searched by quadtree descent.
+    Repeats of a location are searched once, by quadtree descent. Rows without coordinates (NULL or NaN) find
+    nothing and are found by nothing, as all rows do if the right side is empty.
     """
-    spots = right.groupBy(F.col("lat").cast("double").alias("_rlat"), F.col("lon").cast("double").alias("_rlon")).agg(
-        F.min(right_id).alias(right_id)
-    )
-    todo = left.select(F.col("lat").cast("double"), F.col("lon").cast("double")).dropna().distinct()
-    few = spots.limit(broadcast_rows + 1).collect() if broadcast_rows else []
-    if broadcast_rows and len(few) <= broadcast_rows:
-        found = _nearest_by_broadcast(todo, [tuple(r) for r in few], dict(spots.dtypes)[right_id])
-    else:
-        found = _nearest_by_descent(todo, spots, right_id)
+
+    def placed(df: DataFrame) -> DataFrame:
+        lat, lon = F.col("lat").cast("double"), F.col("lon").cast("double")
+        return df.withColumns({"lat": lat, "lon": lon}).where(lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon))
+
+    spots = placed(right).groupBy(F.col("lat").alias("_rlat"), F.col("lon").alias("_rlon")).agg(F.min(right_id).alias(right_id))
+    found = _nearest_by_descent(placed(left).select("lat", "lon").distinct(), spots, right_id)
     return left.join(found, ["lat", "lon"], "left").select(
         *left.columns, F.col("_n.id").alias(f"near_{right_id}"), F.col("_n.km").alias("km")
     )

@@ -205,9 +205,9 @@ def j5(spark, d):
 _NEAR = f"""pairs AS (SELECT d.fire_id, s.site, {hav("d.lat", "d.lon", "s.lat", "s.lon")} AS km FROM detections d, site s)"""
 
 
-def _nearest(spark, d, rows):
+def _nearest(spark, d):
     fires = X.detections(spark, d).select("fire_id", "lat", "lon")
-    out = P.nearest_site(fires, X.site(spark, d).select("site", "lat", "lon"), "site", broadcast_rows=rows)
+    out = P.nearest_site(fires, X.site(spark, d).select("site", "lat", "lon"), "site")
     return out.select("fire_id", F.col("near_site").alias("site"), r6("km", 4).alias("km"))
 
 
@@ -216,12 +216,19 @@ _NEAR_SQL = f"""SELECT fire_id, arg_min(site, struct_pack(km := km, s := site))
 
 @query("j6_nearest_site", "site detections", _NEAR_SQL, also=_NEAR)
 def j6(spark, d):
-    return _nearest(spark, d, 10_000)
+    return _nearest(spark, d)
 
 
-@query("j6_nearest_site_descent", "site detections", _NEAR_SQL, also=_NEAR)
+@query(
+    "j6_nearest_site_descent",
+    "site detections",
+    f"""SELECT site, arg_min(fire_id, struct_pack(km := km, f := fire_id)) AS fire_id, {q6("min(km)", 4)} AS km FROM pairs GROUP BY site""",
+    also=_NEAR,
+)
 def j6_descent(spark, d):
-    return _nearest(spark, d, 0)
+    """The other way round: the nearest detection of every site, found in the larger table."""
+    out = P.nearest_site(X.site(spark, d).select("site", "lat", "lon"), X.detections(spark, d).select("fire_id", "lat", "lon"), "fire_id")
+    return out.select("site", F.col("near_fire_id").alias("fire_id"), r6("km", 4).alias("km"))
 
 
 _THIN = f"""pts AS (SELECT row_number() OVER (ORDER BY site * 618034 % 1000003) AS k, site, lat, lon FROM site),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,8 +29,13 @@ def shuffle_partitions(input_bytes: int, least: int = 200) -> int:
     return max(least, -(-input_bytes // PARTITION_BYTES))
 
 
-def get_spark(app: str = "firegrid", master: str | None = None, **extra: str) -> SparkSession:
-    """Build (or fetch) a session. Cluster sizing is left to spark-submit and ``extra``."""
+def get_spark(app: str = "firegrid", master: str | None = None, input_bytes: int | None = None, **extra: str) -> SparkSession:
+    """Build (or fetch) a session. Cluster sizing is left to spark-submit and ``extra``.
+
+    ``input_bytes``: size of the data a job reads; its shuffles then start from partitions of ``PARTITION_BYTES``.
+    """
+    if input_bytes is not None:
+        extra = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle_partitions(input_bytes)), **extra}
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -38,16 +44,22 @@ def get_spark(app: str = "firegrid", master: str | None = None, **extra: str) ->
     return builder.getOrCreate()
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in ``spark.checkpoint.dir``.
 
-    A temporary folder is made only in local mode, where the executors are this machine.
+    A temporary folder, one per application, is made only in local mode, where the executors are this machine.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="firegrid-")
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="firegrid-")
+        return _LOCAL[app]
     raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 

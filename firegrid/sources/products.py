@@ -29,6 +29,12 @@ class Product:
         return self.end - self.start + 1
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """Missing numbers of any kind as NULL, the one form that operators know."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
+
+
 def read_product(
     spark: SparkSession, path: str, cols: Sequence[str] | None = None, rename: Mapping[str, str] | None = None
 ) -> DataFrame:
@@ -36,7 +42,7 @@ def read_product(
     df = spark.read.parquet(path)
     if cols:
         df = df.select(*cols)
-    return df.withColumnsRenamed(dict(rename or {}))
+    return nan_to_null(df.withColumnsRenamed(dict(rename or {})))
 
 
 def read_multi(spark: SparkSession, paths: Sequence[str], check_shape: bool = True, step: str = "t") -> DataFrame:
@@ -50,7 +56,7 @@ def read_multi(spark: SparkSession, paths: Sequence[str], check_shape: bool = Tr
         shapes = step_shapes(df, step).select("n_lat", "n_lon").distinct().limit(2).collect()
         if len(shapes) > 1:
             raise ValueError("files do not share one grid shape")
-    return df
+    return nan_to_null(df)
 
 
 def step_shapes(df: DataFrame, step: str = "t") -> DataFrame:

@@ -125,8 +125,7 @@ def test_thin_points_brute(spark):
     assert got == {k[0] for k in kept}
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
-def test_nearest_site_brute(spark, limit):
+def test_nearest_site_brute(spark):
     rng = np.random.default_rng(17)
     left = [(i, float(rng.uniform(-80, 80)), float(rng.uniform(-180, 180))) for i in range(60)]
     right = [(i, float(rng.uniform(40, 42)), float(rng.uniform(10, 12))) for i in range(200)] + [
@@ -134,7 +133,7 @@ def test_nearest_site_brute(spark, limit):
     ]
     a = spark.createDataFrame(left, "id int, lat double, lon double")
     b = spark.createDataFrame(right, "rid int, lat double, lon double")
-    got = {r.id: (r.near_rid, r.km) for r in P.nearest_site(a, b, "rid", limit).collect()}
+    got = {r.id: (r.near_rid, r.km) for r in P.nearest_site(a, b, "rid").collect()}
     for i, la, lo in left:
         d = [(km((la, lo), r[1:]), r[0]) for r in right]
         assert got[i][0] == min(d)[1] and got[i][1] == pytest.approx(min(d)[0])

@@ -9,9 +9,10 @@ from firegrid.operators import aggregate as A
 from firegrid.operators import joins as J
 from firegrid.operators import model as L
 from firegrid.operators import ordered as O
+from firegrid.operators import points as P
 from firegrid.operators import scenes as Sc
 from firegrid.operators import sites as St
-from firegrid.sources import sinks
+from firegrid.sources import products, sinks
 
 
 def test_second_product_is_added_and_the_first_stays(spark, tmp_path):
@@ -96,3 +97,26 @@ def test_missing_winter_pixel_is_zero(spark):
     df = spark.createDataFrame([("2015-01-10", None), ("2015-01-10", -0.1), ("2015-07-10", None), ("2015-01-10", -0.5)], "d string, value double").select(F.to_date("d").alias("ts"), "value", F.lit("LANDSAT_7").alias("satellite"))
     assert [r.value for r in Sc.winter_floor(df).collect()] == [0.0, 0.0, None, None]
     assert CELL == ("lat_idx", "lon_idx")
+
+
+def test_nearest_site_without_coordinates(spark):
+    nan = float("nan")
+    left = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 2.0), (3, nan, 1.0)], "id int, lat double, lon double")
+    right = spark.createDataFrame([(7, None, 1.0), (8, nan, 1.0), (9, 89.0, 359.0)], "rid int, lat double, lon double")
+    assert {r.id: r.near_rid for r in P.nearest_site(left, right, "rid").collect()} == {1: 9, 2: None, 3: None}
+    assert {r.near_rid for r in P.nearest_site(left, right.where("rid < 9"), "rid").collect()} == {None}
+
+
+def test_percentiles_with_nan_and_infinity(spark):
+    v = [float(i) for i in range(1, 10)]
+    df = lambda more: spark.createDataFrame([(x,) for x in v + more], "v double")
+    r = O.exact_percentiles(df([float("nan"), None]), "v", [0.0, 0.5, 1.0]).first()
+    assert (r.n, r.q0, r.q1, r.q2) == (9, 1.0, 5.0, 9.0)
+    r = O.exact_percentiles(df([float("inf"), float("-inf")]), "v", [0.0, 0.5, 1.0]).first()
+    assert (r.n, r.q0, r.q1, r.q2) == (11, float("-inf"), 5.0, float("inf"))
+
+
+def test_nan_is_null_at_ingest(spark, tmp_path):
+    path = str(tmp_path / "p")
+    spark.createDataFrame([(1, float("nan")), (2, 0.5)], "id int, x double").write.parquet(path)
+    assert {r.id: r.x for r in products.read_product(spark, path).collect()} == {1: None, 2: 0.5}
