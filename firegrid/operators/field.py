@@ -126,6 +126,24 @@ def stocking_density(seedlings: DataFrame, height: Column, vigor: Column, area:
     return weighted.groupBy(key).agg((F.sum("_w") / F.max("_a") * 10).alias("density"), F.count(F.lit(1)).alias("n"))
 
 
+# fixed values: quadrats of the categorical survey in square metres, whole transect and its first plots
+TRANSECT_AREA, NEAR_AREA, NEAR_PLOTS = 10.0, 4.0, 30
+# fixed values: classes that the first plots leave out
+NOT_NEAR = ("1 yr sdlng", "gte 0.1")
+
+
+def categorical_density(seedlings: DataFrame, category: Column, vigor: Column, plot: Column, key: str = "site") -> DataFrame:
+    """Stocking density of the survey by height classes (A26): over the whole transect, and over its first plots.
+
+    Quadrats without a seedling count as area without regrowth, so both areas are fixed.
+    """
+    w = height_class_weight(category) * vigor_weight(vigor)
+    near = F.coalesce((plot <= NEAR_PLOTS) & ~category.isin(*NOT_NEAR), F.lit(False))
+    return seedlings.withColumns({"_w": F.coalesce(w, F.lit(0.0)), "_near": near}).groupBy(key).agg(
+        (F.sum("_w") / TRANSECT_AREA * 10).alias("density"), (F.sum(F.when(F.col("_near"), F.col("_w")).otherwise(0.0)) / NEAR_AREA * 10).alias("density_near")
+    )
+
+
 def fraction_of_threshold(density: DataFrame, thresholds: DataFrame, key: str = "site") -> DataFrame:
     """Density over the site's sufficiency threshold (A27); sites without one give NULL."""
     return density.join(thresholds, key, "left").withColumn(

@@ -360,6 +360,25 @@ def a26(spark, d):
     return _density(spark, d).withColumn("density", r6("density"))
 
 
+_CLASSES = (*Fd.SHORT_CLASSES, *Fd.MEDIUM_CLASSES, *Fd.TALL_CLASSES, "dead")
+_CLASS_W = " ".join(f"WHEN '{c}' THEN {w}e0" for cs, w in zip((Fd.SHORT_CLASSES, Fd.MEDIUM_CLASSES, Fd.TALL_CLASSES), Fd.HEIGHT_WEIGHTS, strict=True) for c in cs)
+
+
+@query(
+    "a26_categorical_density",
+    "",
+    f"""SELECT site, {q6("sum(w) / 10.0e0 * 10")} AS density, {q6("sum(CASE WHEN plot <= 30 AND c NOT IN ('1 yr sdlng', 'gte 0.1') THEN w ELSE 0 END) / 4.0e0 * 10")} AS density_near FROM cw GROUP BY site""",
+    also=f"""cs AS (SELECT l_suppkey AS site, {list(_CLASSES)}[1 + l_orderkey % 8] AS c, l_quantity AS plot, CASE l_returnflag WHEN 'A' THEN 1.0e0 WHEN 'R' THEN 0.5e0 ELSE 0.0e0 END AS v FROM lineitem),
+  cw AS (SELECT site, c, plot, v * (CASE c {_CLASS_W} ELSE 0.0e0 END) AS w FROM cs)""",
+)
+def a26_categorical(spark, d):
+    li = X.table(spark, d, "lineitem")
+    c = F.element_at(F.array(*[F.lit(x) for x in _CLASSES]), (F.col("l_orderkey") % 8 + 1).cast("int"))
+    v = F.when(F.col("l_returnflag") == "A", "healthy").when(F.col("l_returnflag") == "R", "weakened").otherwise("dead")
+    out = Fd.categorical_density(li.withColumn("site", F.col("l_suppkey")), c, v, F.col("l_quantity"))
+    return out.select("site", r6("density").alias("density"), r6("density_near").alias("density_near"))
+
+
 @query(
     "a27_fraction_of_threshold",
     "",

@@ -36,6 +36,16 @@ def s2(spark, d):
     )
 
 
+@query("s2_read_multi", "grid_obs", "SELECT year, count(*) AS n, sum(line)::BIGINT AS lines FROM grid_obs GROUP BY year")
+def s2_multi(spark, d):
+    """The observations written as two files of years, and read as one table."""
+    obs = X.grid_obs(spark, d).select(*CELL, "year", "value", "line")
+    paths = [scratch(spark, "years") for _ in range(2)]
+    for path, part in zip(paths, ("year < 1998", "year >= 1998"), strict=True):
+        obs.where(part).write.parquet(path)
+    return S.read_multi(spark, paths, check_shape=False).groupBy("year").agg(F.count("*").alias("n"), F.sum("line").cast("long").alias("lines"))
+
+
 @query(
     "s3_mosaic",
     "grid_static",
