@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 PART_MEAN = 64.0
 # terms of the distribution kept for a part: 64 + 14 standard deviations, the rest weighs less than 2**-60
 TERMS = 180
+# up to as many sources are broadcast with their distributions (about 1.5 kB each)
+FEW_SOURCES = 10_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -54,11 +56,17 @@ def rates(docs: DataFrame, weights: Mapping[str | None, float] | DataFrame | Non
     return known.select("source", "size", "weight", F.when(F.col("weight") > 0, share * wished / F.col("size")).otherwise(0.0).alias("rate"))
 
 
+def _small(r: DataFrame) -> DataFrame:
+    """Rates ready to be broadcast, if they are few; else as they are, for Spark to join as it sees fit."""
+    rows = r.limit(FEW_SOURCES + 1).collect()
+    return F.broadcast(r.sparkSession.createDataFrame(rows, r.schema)) if len(rows) <= FEW_SOURCES else r
+
+
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | DataFrame | None = None, total: float | None = None, seed: int = 0, key: str = "doc_id") -> DataFrame:
     """All columns of ``docs`` plus ``copy`` (from 0) and ``shuffle_key``; a row per copy, globally shuffled.
 
-    Each copy goes to the partition and the place in it that its own hash names. Rows are joined with the few numbers
-    of their source; Spark broadcasts these while they are below its size limit and splits a hot source otherwise.
+    Each copy goes to the partition and the place in it that its own hash names. Rows are joined with the numbers of
+    their source; up to ``FEW_SOURCES`` sources are broadcast, more are joined by a shuffle that splits a hot source.
     NULL source is a source of its own; NULL or empty texts have no size but are repeated like their source's others;
     rows with NULL key, or the same key, draw the same number. An empty table gives no rows. Columns of ``docs`` named
     ``copy`` or ``shuffle_key`` are replaced.
@@ -66,7 +74,8 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | DataFrame | None
     docs = docs.drop("copy", "shuffle_key")
     r = rates(docs, weights, total)
     parts = F.greatest(F.ceil(F.col("rate") / PART_MEAN).cast("int"), F.lit(1))
-    r = r.where("rate > 0").select(F.col("source").alias("_source"), parts.alias("_parts"), (F.col("rate") / parts).alias("_mean")).select("_source", "_parts", cumulative(F.col("_mean")).alias("_cdf"))
+    r = _small(r.where("rate > 0").select("source", "rate"))
+    r = r.select(F.col("source").alias("_source"), parts.alias("_parts"), (F.col("rate") / parts).alias("_mean")).select("_source", "_parts", cumulative(F.col("_mean")).alias("_cdf"))
     id_ = F.coalesce(F.col(key).cast("string"), F.lit(""))
 
     def drawn(j):
