@@ -19,23 +19,29 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firegrid.llm.shingles import WordHashes, mix, split_words
+from firegrid.llm.shingles import TextHasher, mix
 from firegrid.llm.toxicity import fold as fold_of
 from firegrid.session import scratch
 
 HELD_OUT = 1
 FOLDS = (0, 2, 3, 4)  # training folds, in the order of count columns
 TEST = 4
-INDEX_BITS = 20
+INDEX_BITS = 19
 PAIRS = 1 << 15
 # a bigram that makes up this share of some chunk may be spread
 PAIR_SHARE = 2.0**-14
-CHUNK = 1 << 21
-EVENTS_PER_TASK = 4_000_000
+# words worked on at once, and words whose counts are merged before they are sent
+CHUNK = 1 << 18
+COUNT_CHUNK = 1 << 20
+# about 100 bytes each while they are counted; more for larger executors
+EVENTS_PER_TASK = 2_000_000
+# bigrams that a task counts at once
+SLICE = 1 << 19
 CONTEXT_BUCKETS = 32
 ROUNDS = 200
 _COUNTS = [f"c{f}" for f in FOLDS]
@@ -46,10 +52,6 @@ _SLOT = np.full(5, TEST, np.int64)
 _SLOT[list(FOLDS)] = range(4)
 
 
-def _tokens(text: str | None) -> list[bytes]:
-    return split_words(text)
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """``k`` (hash of id and text, the same for repeated rows), ``doc_id``, ``fold``, ``text``."""
     return docs.select(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.coalesce("text", F.lit(""))).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), fold_of(F.col("doc_id")).cast("int").alias("fold"), "text")
@@ -57,14 +59,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts per fold of a chunk's training words (key, NULL), and of bigrams that are frequent in it (key, next)."""
-    hashes, held, folds, size = WordHashes(), [], [], 0
+    hasher, held, slots, size = TextHasher(), [], [], 0
 
     def counted() -> pa.RecordBatch:
-        v = np.concatenate(held)
-        slot = np.repeat(_SLOT[np.array(folds)], [len(x) for x in held])
+        v, slot = np.concatenate(held), np.concatenate(slots)
         words, inverse = np.unique(v, return_inverse=True)
         n = np.bincount(inverse * 4 + slot, minlength=4 * len(words)).reshape(-1, 4)
-        u = np.concatenate([np.concatenate([[START], x[:-1]]) for x in held])
+        u = _contexts(v, v == END, START)
         _, first, m = np.unique(mix(u * np.uint64(0x9E3779B97F4A7C15) + v), return_index=True, return_counts=True)
         often = m >= max(16, len(v) * PAIR_SHARE)
         key = np.concatenate([words, u[first[often]]]).view(np.int64)
@@ -73,30 +74,44 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(key), after, *(pa.array(count[:, i]) for i in range(4))], names=["key", "next", *_COUNTS])
 
     for b in batches:
-        for f, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            held.append(np.append(hashes.of(_tokens(t)), END))
-            folds.append(f)
+        slot = _SLOT[b.column(0).to_numpy()]
+        for lo, hi in _runs(b.column(1)):
+            flat, n = hasher.words(b.column(1)[lo:hi].to_pylist())
+            held.append(_ended(flat, n, END))
+            slots.append(np.repeat(slot[lo:hi], n + 1))
             size += len(held[-1])
-            if size >= CHUNK:
+            if size >= COUNT_CHUNK:
                 yield counted()
-                held, folds, size = [], [], 0
+                held, slots, size = [], [], 0
     if held:
         yield counted()
 
 
-class Index(dict):
-    """Word to index; rare words to their hash with the top bit set."""
+def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of a batch's texts that hold about ``CHUNK`` words."""
+    lo = total = 0
+    for hi, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 1):
+        total += n
+        if total >= 6 * CHUNK or hi == len(texts):
+            yield lo, hi
+            lo, total = hi, 0
+
+
+def _ended(flat: np.ndarray, counts: np.ndarray, end: int | np.uint64) -> np.ndarray:
+    """Words of texts one after another, each text closed by its end."""
+    out = np.full(len(flat) + len(counts), end, np.uint64)
+    inside = np.ones(len(out), bool)
+    inside[np.cumsum(counts + 1) - 1] = False
+    out[inside] = flat
+    return out
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 19:
-            self.clear()
-        h = np.uint64(xxhash.xxh64_intdigest(word))
-        i = np.searchsorted(self.words, h)
-        code = self[word] = int(i) if i < len(self.words) and self.words[i] == h else int(h | _RARE)
-        return code
+def _contexts(v: np.ndarray, ends: np.ndarray, start: int | np.uint64) -> np.ndarray:
+    """The word before each word; after an end a text starts."""
+    u = np.empty_like(v)
+    u[1:] = np.where(ends[:-1], np.uint64(start), v[:-1])
+    u[:1] = start
+    return u
 
 
 def _pack(k: np.ndarray, slot: np.ndarray, doc: np.ndarray, *columns: np.ndarray) -> tuple:
@@ -113,6 +128,23 @@ class Table:
         self.start, self.end = len(words), len(words) + 1
         self.total = counts.sum(axis=1)
 
+    def codes(self, h: np.ndarray) -> np.ndarray:
+        """Index of each word; of rare words the hash with the top bit set."""
+        # the first bits of a hash lead to the few indexed words that share them
+        bits = np.uint64(64 - max(1, len(self.words).bit_length()))
+        first = np.searchsorted(self.words, np.arange(1 << (64 - int(bits)), dtype=np.uint64) << bits)
+        at = first[(h >> bits).astype(np.int64)]
+        out = h | _RARE
+        left = np.arange(len(h))
+        while len(left):
+            left = left[at[left] < len(self.words)]
+            here = self.words[at[left]]
+            same = here == h[left]
+            out[left[same]] = at[left[same]]
+            left = left[here < h[left]]
+            at[left] += 1
+        return out
+
     def parts(self) -> tuple:
         return self.words, self.counts, self.pairs, self.n, self.v, self.tasks
 
@@ -123,23 +155,24 @@ def _events(rows: Iterator, table: Table) -> Iterator[tuple[int, tuple]]:
     Sections: ``hh`` both words indexed, ``ru`` rare context, ``rv`` rare word, ``rr`` both rare (at the word's
     task; ``cu`` lets the context's task count it), ``d`` the documents themselves.
     """
-    index = Index(table.words)
     bits = np.uint64(INDEX_BITS)
+    chunk = min(max(CHUNK, table.tasks << 12), CHUNK << 4)
+    hasher = TextHasher()
 
     def packed(held: list) -> Iterator[tuple[int, tuple]]:
         k = np.array([x[0] for x in held], np.int64)
         slot = _SLOT[np.array([x[2] for x in held])]
-        sizes = np.array([len(x[3]) for x in held])
-        v = np.concatenate([x[3] for x in held])
+        flat, sizes = hasher.words([x[3] for x in held])
+        v, sizes = _ended(table.codes(flat), sizes, table.end), sizes + 1
+        del flat
         ends = np.cumsum(sizes)
-        u = np.empty_like(v)
-        u[1:] = v[:-1]
-        u[ends - sizes] = table.start
+        u = _contexts(v, v == np.uint64(table.end), table.start)
         doc = np.repeat(np.arange(len(held)), sizes)
         rare_u, rare_v = u >= _RARE, v >= _RARE
         both = ~rare_u & ~rare_v
         base = np.where(rare_v, 0.0, np.log10(table.total[np.where(rare_v, 0, v).astype(np.int64)] + 0.5) - np.log10(table.n.sum() + 0.5 * (table.v + 1)))
-        whole = np.add.reduceat(base, ends - sizes), np.add.reduceat((~rare_v).astype(np.int64), ends - sizes)
+        known = ~rare_v & (table.total[np.where(rare_v, 0, v).astype(np.int64)] > 0)
+        whole = np.add.reduceat(base, ends - sizes), np.add.reduceat(known.astype(np.int64), ends - sizes)
         yield int(k[0] % table.tasks), ("d", k, np.array([x[1] if x[1] is not None else 0 for x in held], np.int64), np.array([x[1] is None for x in held]), slot.astype(np.uint8), sizes, *whole)
 
         def dealt(section: str, task: np.ndarray, at: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, tuple]]:
@@ -166,14 +199,10 @@ def _events(rows: Iterator, table: Table) -> Iterator[tuple[int, tuple]]:
         yield from dealt("cu", u[x] % tasks, doc[x], u[x])
 
     held, size = [], 0
-    for k, doc_id, f, text in rows:
-        words = _tokens(text)
-        codes = np.empty(len(words) + 1, np.uint64)
-        codes[:-1] = np.fromiter(map(index.__getitem__, words), np.uint64, len(words))
-        codes[-1] = table.end
-        held.append((k, doc_id, f, codes))
-        size += len(codes)
-        if size >= CHUNK:
+    for row in rows:
+        held.append(row)
+        size += len(row[3] or "") + 6
+        if size >= 6 * chunk:
             yield from packed(held)
             held, size = [], 0
     if held:
@@ -185,12 +214,16 @@ def _gather(records: Iterator[tuple[int, tuple]]) -> dict[str, list[np.ndarray]]
     parts: dict[str, list[tuple]] = {}
     for _, (section, *columns) in records:
         parts.setdefault(section, []).append(tuple(columns))
-    return {s: [np.concatenate(c) for c in zip(*rows, strict=True)] for s, rows in parts.items()}
+    out = {}
+    for section in list(parts):
+        rows = parts.pop(section)
+        out[section] = [np.concatenate([r[i] for r in rows]) for i in range(len(rows[0]))]
+    return out
 
 
 def _per_fold(group: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
     """Counts by group and fold; texts held out from training count in none."""
-    return np.bincount(group * 5 + slot, minlength=5 * n).reshape(n, 5)[:, :4]
+    return np.bincount(group * 5 + slot.astype(np.int64), minlength=5 * n).reshape(n, 5)[:, :4]
 
 
 class Bigrams:
@@ -200,8 +233,8 @@ class Bigrams:
         self.cuv, self.cu, self.cv, self.inverse = cuv, cu, cv, inverse
 
 
-def _sections(parts: dict[str, list[np.ndarray]], table: Table, spread: np.ndarray | None) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, Bigrams, np.ndarray]]:
-    """(section, keys, runs, slots of events, bigrams, rare words' own values) of each kind of event.
+def _sections(parts: dict[str, list[np.ndarray]], table: Table, spread: np.ndarray | None) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray | slice, Bigrams, np.ndarray]]:
+    """(section, keys, runs, slots of events, which events, bigrams, their own values) of each kind of event.
 
     ``spread``: counts of the very frequent bigrams; without them these have the counts of this task alone.
     """
@@ -209,19 +242,25 @@ def _sections(parts: dict[str, list[np.ndarray]], table: Table, spread: np.ndarr
 
     def events(section: str) -> tuple:
         k, slot, runs, *columns = parts[section]
-        return k, runs, np.repeat(slot.astype(np.int64), runs), columns
+        return k, runs, np.repeat(slot, runs), columns
 
     if "hh" in parts:
         k, runs, slot, (low, high) = events("hh")
-        code, inverse = np.unique(low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), return_inverse=True)
-        cuv = _per_fold(inverse, slot, len(code))
-        if len(table.pairs):
-            i = np.minimum(np.searchsorted(table.pairs, code), len(table.pairs) - 1)
-            hot = table.pairs[i] == code
-            if spread is not None:
+        codes = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+        pieces = -(-len(codes) // SLICE)
+        piece = ((mix(codes) >> np.uint64(32)) % np.uint64(pieces)).astype(np.uint16)
+        for p in range(pieces):
+            some = np.flatnonzero(piece == p)
+            code, inverse = np.unique(codes[some], return_inverse=True)
+            cuv = _per_fold(inverse, slot[some], len(code))
+            if len(table.pairs) and spread is not None:
+                i = np.minimum(np.searchsorted(table.pairs, code), len(table.pairs) - 1)
+                hot = table.pairs[i] == code
                 cuv[hot] = spread[i[hot]]
-        u, v = (code >> np.uint64(INDEX_BITS)).astype(np.int64), (code & mask).astype(np.int64)
-        yield "hh", k, runs, slot, Bigrams(cuv, table.counts[u], table.counts[v], inverse), code
+            u, v = (code >> np.uint64(INDEX_BITS)).astype(np.int64), (code & mask).astype(np.int64)
+            yield "hh", k, runs, slot, some, Bigrams(cuv, table.counts[u], table.counts[v], inverse), code
+
+    everything = slice(None)
 
     def rare(names: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
         """Rare words of this task and their counts, from all sections that count them."""
@@ -235,7 +274,7 @@ def _sections(parts: dict[str, list[np.ndarray]], table: Table, spread: np.ndarr
         i = np.searchsorted(words, u).astype(np.uint64)
         pair, inverse = np.unique((i << np.uint64(INDEX_BITS)) | v.astype(np.uint64), return_inverse=True)
         at = (pair >> np.uint64(INDEX_BITS)).astype(np.int64)
-        yield "ru", k, runs, slot, Bigrams(_per_fold(inverse, slot, len(pair)), counts[at], table.counts[(pair & mask).astype(np.int64)], inverse), pair
+        yield "ru", k, runs, slot, everything, Bigrams(_per_fold(inverse, slot, len(pair)), counts[at], table.counts[(pair & mask).astype(np.int64)], inverse), pair
     if "rv" in parts or "rr" in parts:
         words, counts = rare(("rv", "rr"))
         if "rv" in parts:
@@ -243,13 +282,13 @@ def _sections(parts: dict[str, list[np.ndarray]], table: Table, spread: np.ndarr
             i = np.searchsorted(words, v).astype(np.uint64)
             pair, inverse = np.unique((i << np.uint64(INDEX_BITS)) | u.astype(np.uint64), return_inverse=True)
             at = (pair >> np.uint64(INDEX_BITS)).astype(np.int64)
-            yield "rv", k, runs, slot, Bigrams(_per_fold(inverse, slot, len(pair)), table.counts[(pair & mask).astype(np.int64)], counts[at], inverse), pair
+            yield "rv", k, runs, slot, everything, Bigrams(_per_fold(inverse, slot, len(pair)), table.counts[(pair & mask).astype(np.int64)], counts[at], inverse), pair
         if "rr" in parts:
             k, runs, slot, (v, u) = events("rr")
             i = np.searchsorted(words, v)
             both = np.stack([i.astype(np.uint64), u], axis=1)
             pair, inverse = np.unique(both, axis=0, return_inverse=True)
-            yield "rr", k, runs, slot, Bigrams(_per_fold(inverse.ravel(), slot, len(pair)), np.zeros((len(pair), 4), np.int64), counts[pair[:, 0].astype(np.int64)], inverse.ravel()), pair[:, 1]
+            yield "rr", k, runs, slot, everything, Bigrams(_per_fold(inverse.ravel(), slot, len(pair)), np.zeros((len(pair), 4), np.int64), counts[pair[:, 0].astype(np.int64)], inverse.ravel()), pair[:, 1]
 
 
 def context_bucket(c: np.ndarray) -> np.ndarray:
@@ -322,7 +361,7 @@ def score(docs: DataFrame) -> DataFrame:
     def first_pass(records: Iterator) -> Iterator[tuple]:
         t = Table(*table.value)
         cells, none = [], (None,) * 6
-        for section, k, runs, slot, b, own in _sections(_gather(records), t, None):
+        for section, k, runs, slot, some, b, own in _sections(_gather(records), t, None):
             if section == "rr":
                 event = b.inverse
                 rows = np.column_stack([np.repeat(k, runs), slot, own[event].view(np.int64), b.cv[event], b.cuv[event]])
@@ -364,11 +403,12 @@ def score(docs: DataFrame) -> DataFrame:
         n, v = int(t.n.sum()), t.v
         parts = _gather(records)
         norm = np.log10(n + 0.5 * (v + 1))
-        scores, bases = [], []  # (key, score) and, of rare words, (key, base score, known)
-        for section, k, runs, slot, b, own in _sections(parts, t, spread_there.value):
+        logs, bases = {}, []  # by section (keys, runs, events), and of rare words (key, base score, known)
+        for section, k, runs, slot, some, b, own in _sections(parts, t, spread_there.value):
             at = np.cumsum(runs) - runs
             if section != "rr":
-                scores.append((k, np.add.reduceat(log_probability(b, n, v, weights)[b.inverse], at)))
+                events = logs.setdefault(section, (k, at, np.zeros(int(runs.sum()))))[2]
+                events[some] = log_probability(b, n, v, weights)[b.inverse]
             if section in ("rv", "rr"):
                 c = b.cv.sum(axis=1)
                 bases.append((k, np.add.reduceat((np.log10(c + 0.5) - norm)[b.inverse], at), np.add.reduceat((c > 0).astype(np.int64)[b.inverse], at)))
@@ -381,6 +421,7 @@ def score(docs: DataFrame) -> DataFrame:
                 o = order[cut[i] : cut[i + 1]]
                 yield int(i), (kind, k[o], *(c[o] for c in columns))
 
+        scores = [(k, np.add.reduceat(events, at)) for k, at, events in logs.values()]
         for kind, rows in (("s", scores), ("b", bases)):
             if rows:
                 yield from dealt(kind, *(np.concatenate(c) for c in zip(*rows, strict=True)))

@@ -28,16 +28,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from firegrid.llm.graph import components
-from firegrid.llm.shingles import WordHashes, shingle_set
+from firegrid.llm.shingles import TextHasher
 from firegrid.session import scratch
 
 # cells of the table of frequent columns, a bound whatever the input; it only shapes the order of columns
 CELL_BITS = 22
 FREQUENT = 32
-LOCAL = 3
+LOCAL = 6
 CHUNK = 1 << 22
-# parity bitmap of a set, in words of 64 bits
-BITMAP = 16
+# cells of the filter that spares other documents the shuffle when pairs are counted
+FILTER_CELLS = 1 << 20
+# parity bitmaps of a set, in words of 64 bits: one that travels with every entry, one for pairs that pass it
+BITMAP, WIDE = 4, 64
 _BITS = [f"b{i}" for i in range(BITMAP)]
 
 
@@ -46,39 +48,54 @@ def _digest(shingles: np.ndarray) -> int:
 
 
 def _parity(shingles: np.ndarray) -> np.ndarray:
-    odd = np.bincount((shingles & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+    """Whether each of ``64 * WIDE`` cells holds an odd number of shingles."""
+    odd = np.bincount((shingles & np.uint64(64 * WIDE - 1)).astype(np.int64), minlength=64 * WIDE) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _saved(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again: what several steps use is made once, and outlives executors."""
+    path = scratch(df.sparkSession, f"jaccard-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents (id, size, set, bitmap), and rows (cell, count) of columns that are repeated nearby."""
-    names = ["doc_id", "n", "id", *_BITS, "cell", "count"]
-    hashes, seen, held, size = WordHashes(), set(), [], 0
+    """Rows of documents (id, size, set, bitmap), and rows (cell, count) of cells that columns of a chunk crowd."""
+    names = ["doc_id", "n", "id", *_BITS, "wide", "cell", "count"]
+    hasher, seen, size = TextHasher(), set(), 0
+    counts = np.zeros(1 << CELL_BITS, np.int32)
 
-    def frequent() -> pa.RecordBatch:
-        u, c = np.unique(np.concatenate(held), return_counts=True)
-        cells = (u[c >= LOCAL] >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+    def crowded() -> pa.RecordBatch:
+        cells = np.flatnonzero(counts >= LOCAL)
         none = pa.nulls(len(cells), pa.int64())
-        return pa.RecordBatch.from_arrays([none] * (3 + BITMAP) + [pa.array(cells), pa.array(c[c >= LOCAL].astype(np.int64))], names=names)
+        out = pa.RecordBatch.from_arrays([none] * (3 + BITMAP) + [pa.nulls(len(cells), pa.list_(pa.int64())), pa.array(cells), pa.array(counts[cells].astype(np.int64))], names=names)
+        counts[:] = 0
+        return out
 
     for b in batches:
-        sets = [shingle_set(hashes, t) for t in b.column(1).to_pylist()]
-        ids = [_digest(s) if len(s) else None for s in sets]
-        bits = np.array([_parity(s) for s in sets], np.int64).reshape(len(sets), BITMAP)
-        none = pa.nulls(len(sets), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), *(pa.array(bits[:, i]) for i in range(BITMAP)), none, none], names=names
-        )
-        for i, s in zip(ids, sets, strict=True):
+        sizes, ids, bits, new = [], [], [], []
+        for s in hasher.sets(b.column(1).to_pylist()):
+            i = _digest(s) if len(s) else None
+            sizes.append(len(s)), ids.append(i), bits.append(_parity(s))
             if i is not None and i not in seen:
                 seen.add(i)
-                held.append(s)
-                size += len(s)
-                if size >= CHUNK:
-                    yield frequent()
-                    held, size = [], 0
-    if held:
-        yield frequent()
+                new.append(s)
+        wide = np.array(bits, np.int64).reshape(len(bits), WIDE)
+        narrow = np.bitwise_xor.reduce(wide.reshape(len(bits), -1, BITMAP), axis=1)  # the parity of fewer, merged cells
+        packed = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * WIDE), pa.array(wide.ravel()))
+        none = pa.nulls(len(ids), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), *(pa.array(narrow[:, i]) for i in range(BITMAP)), packed, none, none], names=names
+        )
+        for s in new:
+            np.add.at(counts, (s >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+            size += len(s)
+            if size >= CHUNK:
+                yield crowded()
+                size = 0
+    if size:
+        yield crowded()
 
 
 def _entries(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -86,11 +103,10 @@ def _entries(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_frequent = np.unpackbits(frequent).astype(bool)
-        hashes, seen = WordHashes(), set()
+        hasher, seen = TextHasher(), set()
         for b in batches:
             h, ids, ns, common, size = [], [], [], [], []
-            for t in b.column(0).to_pylist():
-                s = shingle_set(hashes, t)
+            for s in hasher.sets(b.column(0).to_pylist()):
                 if not len(s) or (i := _digest(s)) in seen:
                     continue
                 seen.add(i)
@@ -121,29 +137,54 @@ def _bounded(a: str, b: str) -> Column:
     return _fits(n, m) & ((n + m - apart) >= 2 * _needed(n, m))
 
 
+def _few(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``df`` without most rows whose key is not wanted, so that these are not shuffled; keys are matched later."""
+    cell = lambda: F.pmod(F.xxhash64(key), F.lit(FILTER_CELLS))
+    cells = F.broadcast(wanted.select(cell().alias("_cell")).distinct())  # at most FILTER_CELLS rows
+    return df.join(cells, cell() == F.col("_cell"), "left_semi")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def _bounded_wide(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs that the wide bitmaps leave room for."""
+    sets = _few(rows, _ends(pairs), "id").select("id", "n", "wide").dropDuplicates(["id"])
+    x, y = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in "ab")
+    apart = F.aggregate(F.zip_with("wa", "wb", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, k: t + k)
+    n, m = F.col("na"), F.col("nb")
+    return pairs.join(x, "a").join(y, "b").where(_fits(n, m) & ((n + m - apart) >= 2 * _needed(n, m))).select("a", "b")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Of the pairs (``a``, ``b``), those whose overlap, counted exactly, makes a link. ``sets``: a document per id."""
-    spark = docs.sparkSession
-    path = scratch(spark, "jaccard-pairs")
-    pairs.write.parquet(path)
-    pairs = spark.read.parquet(path)
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(sets.select("id", "doc_id"), "id")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+    ids = _ends(pairs).join(sets.select("id", "doc_id"), "id")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = TextHasher()
+        for b in batches:
+            got = [_digest(s) if len(s) else None for s in hasher.sets(b.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), b.column(0)], names=["id", "text"])
+
+    # texts name themselves: the few that are read are shuffled once, by id
+    texts = _few(docs, ids, "doc_id").select("text").mapInArrow(named, "id bigint, text string")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = TextHasher()
         for b in batches:
-            got = [(i, s) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if len(s := shingle_set(hashes, t)) and _digest(s) == i]
-            sizes = np.cumsum([0] + [len(s) for _, s in got]).astype(np.int32)
-            flat = np.concatenate([s for _, s in got]).view(np.int64) if got else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], names=["id", "s"])
+            ta, tb = b.column("ta").to_pylist(), b.column("tb").to_pylist()
+            distinct = list(dict.fromkeys(ta + tb))
+            made = dict(zip(distinct, hasher.sets(distinct), strict=True))
+            keep = []
+            for tx, ty in zip(ta, tb, strict=True):
+                u, v = made[tx], made[ty]
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(100 * both >= 75 * (len(u) + len(v) - both))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").select("id", "text").mapInArrow(sets_of, "id bigint, s array<bigint>").dropDuplicates(["id"])
-    path = scratch(spark, "jaccard-sets")
-    rows.write.parquet(path)
-    rows = spark.read.parquet(path)
-    a, b = rows.select(F.col("id").alias("a"), F.col("s").alias("sa")), rows.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    counted = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("sa").alias("n"), F.size("sb").alias("m"), F.size(F.array_intersect("sa", "sb")).alias("o"))
-    return counted.where("100 * o >= 75 * (n + m - o)").select("a", "b")
+    a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(linked, "a bigint, b bigint")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -154,42 +195,35 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     doc_id count by their text and are never a component's name unless alone. Other columns are ignored; an empty
     table gives no rows. Texts are read three times rather than kept as shingles, which would be larger than the input.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    path = scratch(spark, "jaccard-documents")
-    docs.mapInArrow(_describe, ", ".join(f"{c} bigint" for c in ["doc_id", "n", "id", *_BITS, "cell", "count"])).write.parquet(path)
-    described = spark.read.parquet(path)
+    described = _saved(docs.mapInArrow(_describe, ", ".join(f"{c} bigint" for c in ["doc_id", "n", "id", *_BITS]) + ", wide array<bigint>, cell bigint, count bigint"), "documents")
     rows = described.where("cell IS NULL").drop("cell", "count")
-    sets = rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ["n", *_BITS]])
+    sets = _saved(rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ["n", *_BITS]]), "sets")
 
+    cells = described.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("count").alias("c"))
+    usual = cells.agg(F.sum("c")).first()[0] or 0
     flags = np.zeros(1 << CELL_BITS, bool)
-    cells = described.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("count").alias("c")).where(F.col("c") >= FREQUENT)
-    flags[[r[0] for r in cells.select("cell").collect()]] = True  # at most as many as there are cells
-    path = scratch(spark, "jaccard-blocks")
+    # at most as many rows as there are cells
+    flags[[r[0] for r in cells.where(F.col("c") >= FREQUENT + 4 * usual / (1 << CELL_BITS)).select("cell").collect()]] = True
     w = Window.partitionBy("h").orderBy(F.desc("common"), "id")
     entries = _entries(docs, np.packbits(flags)).withColumns({"pivot": F.first("id").over(w), "pivot_n": F.first("n").over(w), "next": F.lead("id").over(w), "last": F.lag("id").over(w)})
     # the same set from two tasks stands next to itself
-    shared = entries.where("NOT (id <=> last) AND (id <> pivot OR next IS NOT NULL)").drop("next", "last")
-    shared.write.parquet(path)
-    shared = spark.read.parquet(path)
+    shared = _saved(entries.where("NOT (id <=> last) AND (id <> pivot OR next IS NOT NULL)").drop("next", "last", "common"), "blocks")
 
-    bound = sets.select("id", "n", *_BITS)
     first = shared.where(F.col("id") != F.col("pivot")).where(_fits(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    first = _within_bounds(first, bound)
-    path = scratch(spark, "jaccard-links")
-    _links(first, sets, docs).write.parquet(path)
-    links = spark.read.parquet(path)
+    first = _saved(_bounded_wide(first, rows), "pairs")
+    links = _saved(_links(first, sets, docs), "links")
     family = components(links)
 
-    placed = shared.join(family, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-    left = placed.join(mixed, "h", "left_semi").join(bound.drop("n"), "id")
+    block = Window.partitionBy("h")
+    placed = shared.select("h", "id", "n").join(family, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("c"))
+    mixed = placed.withColumns({"lo": F.min("c").over(block), "hi": F.max("c").over(block)}).where("lo < hi").drop("lo", "hi")
+    left = _saved(mixed, "mixed").join(sets.select("id", *_BITS), "id")
     across = left.alias("x").join(left.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.c") < F.col("y.c")) & _bounded("x", "y"))
     second = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    path = scratch(spark, "jaccard-links")
-    _links(second.join(done, ["a", "b"], "left_anti"), sets, docs).write.parquet(path)
-    family = components(links.unionByName(spark.read.parquet(path)))
+    second = _saved(_bounded_wide(_saved(second.join(done, ["a", "b"], "left_anti"), "pairs"), rows), "pairs")
+    family = components(links.unionByName(_saved(_links(second, sets, docs), "links")))
 
     named = sets.select("id", "doc_id").join(family, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -197,6 +231,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "id").join(whole, "id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _within_bounds(pairs: DataFrame, bound: DataFrame) -> DataFrame:
-    x, y = bound.alias("x"), bound.alias("y")
-    return pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(_bounded("x", "y")).select("a", "b")
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group, the one that names it; of rows with equal id and text one stays."""
+    named = jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    kept = docs.join(named, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
