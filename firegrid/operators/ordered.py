@@ -7,11 +7,13 @@ is built on :func:`cumulate`:
 
 1. equal values are merged first (map-side combine), so ties and hot values cost
    one row each;
-2. values go to order-preserving buckets computed from the value alone, which is
-   deterministic and needs no sampling pass;
-3. bucket totals (a bounded table: at most ``_OCTAVES * 2`` rows per group) give
-   each bucket its starting rank;
-4. ranks inside a bucket come from a window partitioned by (group, bucket).
+2. the distinct values are dealt into ranges of about equal size, whatever their distribution; the
+   ranges are stored, so every later step sees the same ones;
+3. range totals (a small table: one row per range and group) give each range its starting rank;
+4. ranks inside a range come from a window partitioned by (group, range).
+
+Percentiles need no ranks of all values: they count coarse buckets first, cut the crowded ones among
+those that hold a wanted rank into equal steps, and look only into the steps that hold one.
 """
 
 from __future__ import annotations
@@ -23,9 +25,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firegrid.grid import as_col
+from firegrid.session import cut_lineage
 
 _STEPS_PER_OCTAVE = 256
 _SHIFT = 1100 * _STEPS_PER_OCTAVE
+# rows that one step of a crowded bucket should hold
+_CROWD = 65_536
 
 
 def value_bucket(col) -> Column:
@@ -51,7 +56,9 @@ def _same(left: str, right: str, cols: Sequence[str]) -> Column:
 
 def cumulate(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Distinct values per group with ``n`` (count), ``w`` (weight), the weight
-    ``before`` and ``upto`` each value, the group's ``total`` and bucket ``b``.
+    ``before`` and ``upto`` each value, the group's ``total`` and range ``b``.
+
+    The distinct values are computed here and stored, so costly inputs are not worked out again by each later step.
     """
     by = list(by)
     w = F.sum(F.col(weight).cast("double")) if weight else F.count(F.lit(1))
@@ -59,8 +66,9 @@ def cumulate(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | No
         df.where(_known(value))
         .groupBy(*by, F.col(value).alias("v"))
         .agg(F.count(F.lit(1)).alias("n"), w.alias("w"))
-        .withColumn("b", value_bucket("v"))
     )
+    # contiguous ranges of the sort order, numbered by the partition they landed in
+    distinct = cut_lineage(distinct.repartitionByRange(*by, "v").withColumn("b", F.spark_partition_id()))
     buckets = _bucket_table(distinct, by, F.sum("w")).drop("bw")
     inner = Window.partitionBy(*by, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     return (
@@ -73,41 +81,53 @@ def cumulate(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | No
     )
 
 
+def _started(table: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``start``: the weight before each bucket of its group; ``total``: the group's."""
+    ordered = Window.partitionBy(*by).orderBy(*order)
+    return table.withColumns(
+        {
+            "start": F.coalesce(F.sum("bw").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "total": F.sum("bw").over(Window.partitionBy(*by)),
+        }
+    )
+
+
 def _bucket_table(df: DataFrame, by: list[str], w: Column) -> DataFrame:
     """Weight of every occupied bucket with the weight before it and the group's total."""
-    ordered = Window.partitionBy(*by).orderBy("b")
-    return (
-        df.groupBy(*by, "b")
-        .agg(w.alias("bw"))
-        .select(
-            *by,
-            "b",
-            "bw",
-            F.coalesce(F.sum("bw").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"),
-            F.sum("bw").over(Window.partitionBy(*by)).alias("total"),
-        )
-    )
+    return _started(df.groupBy(*by, "b").agg(w.alias("bw")), by, ["b"])
 
 
 def _select_buckets(df: DataFrame, value: str, by: list[str], weight: str | None, wanted: Column) -> DataFrame:
     """Cumulated distinct values of the buckets where ``wanted`` holds.
 
-    Two scans instead of a shuffle of the table: the first only counts buckets, the second keeps the
-    few buckets a wanted rank falls into.
+    Scans instead of a shuffle of the table: the first only counts buckets, the next cuts the few buckets a wanted
+    rank falls into, and the last keeps the steps that hold one.
     """
     rows = df.where(_known(value)).withColumn("b", value_bucket(value))
     w = F.sum(F.col(weight).cast("double")) if weight else F.count(F.lit(1))
-    hit = _bucket_table(rows, by, w).where(wanted)
-    kept = rows.alias("l").join(hit.alias("r"), _same("l", "r", [*by, "b"]))
-    distinct = kept.groupBy(
-        *[F.col(f"l.{c}").alias(c) for c in by], F.col("l.b").alias("b"), F.col(f"l.{value}").alias("v"), "start", "total"
-    ).agg((F.sum(F.col(f"l.{weight}").cast("double")) if weight else F.count(F.lit(1))).alias("w"))
-    inner = Window.partitionBy(*by, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    v = F.col(value).cast("double")
+    ends = rows.groupBy(*by, "b").agg(w.alias("bw"), F.count(F.lit(1)).alias("rows"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    hit = _started(ends, by, ["b"]).where(wanted)
+    steps = F.ceil(F.col("rows") / _CROWD)
+    step = F.when((steps > 1) & (F.col("hi") > F.col("lo")), F.least(F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * steps), steps - 1)).otherwise(0)
+    near = _beside(rows, hit.select(*by, "b", "lo", "hi", "rows", F.col("start").alias("first"), "total"), [*by, "b"]).withColumn("s", step)
+    parts = near.groupBy(*by, "b", "s").agg(w.alias("bw"), F.first("first").alias("first"), F.first("total").alias("total"))
+    before = Window.partitionBy(*by, "b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("start", F.col("first") + F.coalesce(F.sum("bw").over(before), F.lit(0))).where(wanted)
+    kept = _beside(near.drop("first", "total"), parts.select(*by, "b", "s", "start", "total"), [*by, "b", "s"])
+    distinct = kept.groupBy(*by, "b", "s", F.col(value).alias("v"), "start", "total").agg(w.alias("w"))
+    inner = Window.partitionBy(*by, "b", "s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     return distinct.withColumn("upto", F.col("start") + F.sum("w").over(inner)).withColumn(
         "before", F.col("upto") - F.col("w")
     )
 
 
+def _beside(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys where NULL equals NULL."""
+    named = table.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return df.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*[f"_{k}" for k in keys])
+
+
 def _any(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 

@@ -120,3 +120,22 @@ def test_nan_is_null_at_ingest(spark, tmp_path):
     path = str(tmp_path / "p")
     spark.createDataFrame([(1, float("nan")), (2, 0.5)], "id int, x double").write.parquet(path)
     assert {r.id: r.x for r in products.read_product(spark, path).collect()} == {1: None, 2: 0.5}
+
+
+@pytest.mark.parametrize("offset,width", [(1.7e12, 1e5), (0.9975, 0.0025), (288.0, 0.5), (-1e9, 3.0)])
+def test_values_far_from_zero_spread_over_ranges(spark, monkeypatch, offset, width):
+    monkeypatch.setattr(O, "_CROWD", 500)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else Spark merges ranges this small
+    n = 20_000
+    v = offset + width * np.random.default_rng(1).permutation(n) / n
+    df = spark.createDataFrame([(float(x),) for x in v], "v double").repartition(4)
+    ranges = O.cumulate(df, "v").groupBy("b").count()
+    top = ranges.agg(F.count("*"), F.max("count")).first()
+    assert top[0] >= 4 and top[1] < n / 2, "no task sorts most of the values"
+    r = O.exact_percentiles(df, "v", [0.0, 0.1, 0.5, 0.999]).first()
+    np.testing.assert_array_equal([r.q0, r.q1, r.q2, r.q3], np.percentile(v, [0, 10, 50, 99.9]))
+    hit = O._select_buckets(df, "v", [], None, (F.col("start") <= n // 2) & (n // 2 < F.col("start") + F.col("bw")))
+    assert hit.count() <= 2000
+    ranks = O.whole_table_rank(df, "v").orderBy("v").collect()
+    assert [x.rank_avg for x in ranks] == [float(i + 1) for i in range(n)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
