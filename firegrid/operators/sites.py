@@ -188,6 +188,23 @@ def disturbance_counts(series: DataFrame) -> DataFrame:
     )
 
 
+# what counts as an event at the site, and at or next to it, for a product that maps ...
+TRUTH_RULES = {
+    "loss": ("s_imp = 1 AND site_loss = 1", "site_loss = 1"),
+    "loss_with_fire": ("is_fire = 1 AND s_imp = 1 AND site_loss = 1", "is_fire = 1"),
+    "burned_area": ("is_fire = 1 AND s_imp = 1", "is_fire = 1"),
+}
+
+
+def truth_lists(series: DataFrame, rule: str) -> tuple[DataFrame, DataFrame]:
+    """Site-years of a disturbance series that a product should show, and those that excuse it.
+
+    ``rule``: what the product maps, one of ``TRUTH_RULES``. Events without a date have no year and are left out.
+    """
+    years = series.where("date IS NOT NULL").withColumn("year", F.year("date"))
+    return tuple(years.where(r).select("site", "year").distinct() for r in TRUTH_RULES[rule])
+
+
 def score_events(
     truth: DataFrame,
     site_hist: DataFrame,

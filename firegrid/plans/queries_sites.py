@@ -131,6 +131,40 @@ def d13(spark, d):
     return _scores(spark, d)
 
 
+# the whole chain: forms -> series -> truth lists -> scores; days of the month play the years
+_WALK = "  yy AS" + _SCORE.split("  yy AS", 1)[1].replace("FROM ref_events", "FROM ev_years")
+_CHAIN = (
+    """ev_years AS (SELECT * REPLACE (make_date(1990 + CAST(day(date) AS INTEGER), 1, 1) AS date) FROM event_form),
+  """
+    + _SERIES.replace("event_form", "ev_years").replace("coalesce(cdate, date) AS date", "date")
+    + """,
+  pm AS (SELECT site, 1990 + CAST(day(o_orderdate) AS INTEGER) AS year, count(*) AS o FROM (SELECT o_custkey % 150 AS site, o_orderdate FROM orders) GROUP BY ALL)"""
+)
+
+
+def _chain_sql(rule: str) -> str:
+    at, near = St.TRUTH_RULES[rule]
+    lists = f"""bn AS (SELECT DISTINCT site, CAST(year(date) AS INTEGER) AS year FROM ser2 WHERE {at}), ab AS (SELECT DISTINCT site, CAST(year(date) AS INTEGER) AS year FROM ser2 WHERE {near}),
+  da AS (SELECT site, year FROM pm WHERE o % 4 = 1), ba AS (SELECT site, year FROM pm WHERE o % 4 IN (1, 2)),
+"""
+    return f"""SELECT '{rule}' AS rule, * FROM (WITH RECURSIVE {_CHAIN},
+  {lists}{_WALK} SELECT *, "CorrectDetection" + "SpatialUnder" + "SpatialOver" + "FalseNegative" + "FalsePositive" + "CorrectNonDetection" AS "TotalEvents" FROM res)"""
+
+
+@query("d13_score_forms", "event_form", " UNION ALL ".join(_chain_sql(r) for r in St.TRUTH_RULES))
+def d13_forms(spark, d):
+    ev = X.event_form(spark, d).withColumn("date", F.make_date(F.lit(1990) + F.dayofmonth("date"), F.lit(1), F.lit(1)))
+    series = St.series_from_events(ev.drop("event_id"))
+    seen = table(spark, d, "orders").groupBy((F.col("o_custkey") % 150).alias("site"), (F.lit(1990) + F.dayofmonth("o_orderdate")).alias("year")).agg(F.count("*").alias("o"))
+    out = None
+    for rule in St.TRUTH_RULES:
+        truth, adjacent = St.truth_lists(series, rule)
+        scores = St.score_events(truth, seen.where("o % 4 = 1"), seen.where("o % 4 IN (1, 2)"), 1990, 2030, adjacent=adjacent, sites=ev)
+        part = scores.select(F.lit(rule).alias("rule"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 _EVS = '("CorrectDetection" + "SpatialUnder" + "SpatialOver" + "FalseNegative" + "FalsePositive")'
 
 
