@@ -38,6 +38,7 @@ HEADLINE = (
     "d13_score_events",
     "l1_feature_table",
     "l8_trend_scenario",
+    "e2_season_trends",
 )
 
 
