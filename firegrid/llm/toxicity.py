@@ -5,8 +5,8 @@ toxic dictionary compresses to fewer bytes than the ordinary one is nearer to to
 from how many of its windows save at least a calibrated number of bytes.
 
 Both dictionaries share the ordinary part, so a saving can only come from toxic passages. Toxic documents are
-mostly ordinary text; their dictionary is therefore trained on the words whose share of toxic documents is
-significantly larger than their share of ordinary ones. Only labels and texts of the training rows are read.
+mostly ordinary text; their dictionary is therefore trained on the words that hold letters in a row which toxic documents
+have significantly more often than ordinary ones. Only labels and texts of the training rows are read.
 """
 
 from __future__ import annotations
@@ -33,10 +33,11 @@ SAMPLE_WORDS = 4096
 WINDOWS = (8, 20)
 LEVEL = 12
 BASE_BYTES = 32_768
-TOXIC_BYTES = (1024, 2048, 4096)
+TOXIC_BYTES = (2048, 8192, 24_576)
 SAVINGS = (1, 2, 3, 4, 5)
-MIN_Z = 5.0
-MIN_DOCS = 4
+# letters in a row that mark toxic text: how many, in how many documents, how significantly and how much more often
+GRAM = 5
+MIN_DOCS, MIN_Z, MIN_RATIO = 4, 5.0, 4.0
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -95,13 +96,14 @@ def features(savings: list[np.ndarray], least: int) -> tuple[float, ...]:
     out = [1.0]
     for s in savings:
         n = int((s >= least).sum())
-        out += [float(n > 0), math.log1p(n), n / max(1, len(s)), float(s.max(initial=0)) / 8.0]
+        mean = float(np.clip(s, -2, 8).mean()) if len(s) else 0.0
+        out += [float(n > 0), math.log1p(n), n / max(1, len(s)), float(s.max(initial=0)) / 8.0, mean]
     return tuple(out)
 
 
 def constant(logit: float) -> tuple[float, ...]:
     """Weights of a model that gives every document the same score."""
-    return (logit, *[0.0] * (4 * len(WINDOWS)))
+    return (logit, *[0.0] * (5 * len(WINDOWS)))
 
 
 def _trained(size: int, samples: list[bytes], k: int, d: int) -> bytes:
@@ -126,6 +128,32 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2)
     return b, float(-(w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
 
 
+def _grams(words: list[str]) -> set[str]:
+    padded = [f" {w} " for w in words]
+    return {w[i : i + GRAM] for w in padded for i in range(max(1, len(w) - GRAM + 1))}
+
+
+def _parts(toxic: list[list[str]], ordinary: list[list[str]]) -> tuple[bytes, list[bytes]]:
+    """Dictionary of ordinary text, and what toxic documents say beyond it: per document, the words that hold letters
+    in a row whose share of toxic documents is significantly larger than that of ordinary ones.
+    """
+    docs, uses, n_words = {}, {}, {}
+    for kind, texts in ((1, toxic), (0, ordinary)):
+        docs[kind], uses[kind], n_words[kind] = Counter(), Counter(), sum(map(len, texts))
+        for words in texts:
+            own = [g for w in words for g in _grams([w])]
+            uses[kind].update(own)
+            docs[kind].update(set(own))
+    marks = set()
+    for g, k in docs[1].items():
+        p = (k + docs[0][g]) / (len(toxic) + len(ordinary))
+        z = (k / len(toxic) - docs[0][g] / len(ordinary)) / math.sqrt(max(p * (1 - p), 1e-12) * (1 / len(toxic) + 1 / len(ordinary)))
+        if k >= MIN_DOCS and z >= MIN_Z and uses[1][g] * n_words[0] >= MIN_RATIO * uses[0][g] * n_words[1]:
+            marks.add(g)
+    samples = [f" {' '.join(w for w in words if _grams([w]) & marks)} ".encode() for words in toxic]
+    return _trained(BASE_BYTES, [" ".join(w).encode() for w in ordinary], k=32, d=8), [s for s in samples if s.strip()]
+
+
 def fit_rows(rows: list[tuple[list[str], list[int], int]], share_toxic: float) -> Model:
     """Model of rows (distinct words, near-copy keys, label). ``share_toxic``: share of label 1 among all labels.
 
@@ -145,32 +173,16 @@ def fit_rows(rows: list[tuple[list[str], list[int], int]], share_toxic: float) -
     if not toxic or not ordinary:
         return Model(b" ", b" ", 1, constant(prior))
 
-    def contrast(t: list[list[str]], o: list[list[str]]) -> set[str]:
-        a, b = Counter(w for ws in t for w in ws), Counter(w for ws in o for w in ws)
-        out = set()
-        for w, k in a.items():
-            p = (k + b[w]) / (len(t) + len(o))
-            z = (k / len(t) - b[w] / len(o)) / math.sqrt(max(p * (1 - p), 1e-12) * (1 / len(t) + 1 / len(o)))
-            if k >= MIN_DOCS and z >= MIN_Z:
-                out.add(w)
-        return out
-
-    def dictionaries(t: list[list[str]], o: list[list[str]], size: int) -> tuple[bytes, bytes]:
-        base = _trained(BASE_BYTES, [" ".join(w).encode() for w in o], k=32, d=8)
-        words = contrast(t, o)
-        samples = [f" {' '.join(x for x in w if x in words)} ".encode() for w in t]
-        samples = [s for s in samples if s.strip()]
-        return base, _trained(size, samples, k=16, d=6) if samples else b" "
-
     # halves: thresholds are calibrated on documents that the dictionaries have not seen
-    halves = [([w for w in toxic[i::2]], [w for w in ordinary[i::2]]) for i in (0, 1)]
+    halves = [(toxic[i::2], ordinary[i::2]) for i in (0, 1)]
+    half_parts = [_parts(t, o) if t and o else None for t, o in halves]
     best: tuple[float, int, int, np.ndarray] | None = None
     for size in TOXIC_BYTES:
         got, y = [], []
-        for (t, o), (t2, o2) in (halves, halves[::-1]):
-            if not t or not o:
+        for part, (t2, o2) in zip(half_parts, halves[::-1], strict=True):
+            if part is None:
                 continue
-            base, extra = dictionaries(t, o, size)
+            base, extra = part[0], _trained(size, part[1], k=16, d=6) if part[1] else b" "
             c = _compressor(base), _compressor(extra + base)
             got += [savings_of(w, *c) for w in t2 + o2]
             y += [1] * len(t2) + [0] * len(o2)
@@ -184,7 +196,8 @@ def fit_rows(rows: list[tuple[list[str], list[int], int]], share_toxic: float) -
                 best = loss, size, least, b
     if best is None:
         return Model(b" ", b" ", 1, constant(prior))
-    base, extra = dictionaries(toxic, ordinary, best[1])
+    base, samples = _parts(toxic, ordinary)
+    extra = _trained(best[1], samples, k=16, d=6) if samples else b" "
     return Model(base, extra, best[2], tuple(map(float, best[3])))
 
 
