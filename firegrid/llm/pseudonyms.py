@@ -137,9 +137,9 @@ def _date(value: str, key: bytes, back: bool) -> str | None:
 
 
 def _mail(value: str, key: bytes, back: bool) -> str | None:
-    """Letters a-z and digits of the local part, each within its kind; the host stays."""
+    """Letters A-Z and digits of the local part, each within its kind, in the case it has; the host stays."""
     local, _, host = value.rpartition("@")
-    low = local.lower()
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in local)
     alphabets = ["abcdefghijklmnopqrstuvwxyz" if "a" <= c <= "z" else "0123456789" if "0" <= c <= "9" else "" for c in low]
     x, n = 0, 1
     for c, letters in zip(low, alphabets, strict=True):
@@ -147,10 +147,10 @@ def _mail(value: str, key: bytes, back: bool) -> str | None:
             x, n = x * len(letters) + letters.index(c), n * len(letters)
     shape = "".join("a" if len(a) == 26 else "9" if a else c for c, a in zip(low, alphabets, strict=True))
     x, out = permute(x, n, key, f"mail|{shape}|{host.lower()}", back), []
-    for c, letters in zip(reversed(low), reversed(alphabets), strict=True):
+    for c, letters in zip(reversed(local), reversed(alphabets), strict=True):
         if letters:
             x, r = divmod(x, len(letters))
-        out.append(letters[r] if letters else c)
+        out.append((letters[r].upper() if c.isupper() else letters[r]) if letters else c)
     return "".join(reversed(out)) + "@" + host
 
 

@@ -44,6 +44,11 @@ def test_what_is_not_valid_stays(value):
     assert P.replace_text(f"a {value} b", KEY)[0] == f"a {value} b"
 
 
+def test_addresses_keep_their_case_and_stay_linked():
+    a, b = (P.replace_text(v, KEY)[0] for v in ("jane.d7@x.org", "JANE.D7@X.ORG"))
+    assert a.upper() == b and a != "jane.d7@x.org"
+
+
 def test_formats_of_a_day_share_a_pseudonym():
     iso, german, american = (P.replace_text(v, KEY)[0] for v in ("2001-03-04", "04.03.2001", "03/04/2001"))
     y, m, d = iso.split("-")
