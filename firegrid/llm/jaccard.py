@@ -9,7 +9,7 @@ blocks, without ever forming the product:
 2. In each block, all rows are paired with one pivot, the row with most frequent columns. Pairs whose sizes, or
    whose parity bitmaps, rule out the overlap are dropped; the overlap of the rest is counted exactly. Rows
    linked this way form components, so a family of near copies costs one pair per member.
-3. Blocks whose rows still lie in different components are multiplied for those pairs only, under the same bounds.
+3. Blocks whose other rows still lie in different components are multiplied for those pairs only, under the same bounds.
 
 Step 3 misses no link between different components, and links inside one change nothing. Sets are identified and
 compared by 64-bit hashes.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from firegrid.llm.graph import components
-from firegrid.llm.shingles import TextHasher
+from firegrid.llm.shingles import TextHasher, in_slices
 from firegrid.session import scratch
 
 # cells of the table of frequent columns, a bound whatever the input; it only shapes the order of columns
@@ -73,7 +73,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts[:] = 0
         return out
 
-    for b in batches:
+    for b in in_slices(batches):
         sizes, ids, bits, new = [], [], [], []
         for s in hasher.sets(b.column(1).to_pylist()):
             i = _digest(s) if len(s) else None
@@ -104,7 +104,7 @@ def _entries(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_frequent = np.unpackbits(frequent).astype(bool)
         hasher, seen = TextHasher(), set()
-        for b in batches:
+        for b in in_slices(batches):
             h, ids, ns, common, size = [], [], [], [], []
             for s in hasher.sets(b.column(0).to_pylist()):
                 if not len(s) or (i := _digest(s)) in seen:
@@ -144,6 +144,15 @@ def _few(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return df.join(cells, cell() == F.col("_cell"), "left_semi")
 
 
+def _labelled(rows: DataFrame, family: DataFrame) -> DataFrame:
+    """``rows`` with component ``c``, the id itself outside any; only rows that may be in one are shuffled for it."""
+    rows = rows.withColumn("_cell", F.pmod(F.xxhash64("id"), F.lit(FILTER_CELLS)))
+    cells = F.broadcast(family.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_CELLS)).alias("_cell")).distinct())  # at most FILTER_CELLS rows
+    inside = rows.join(cells, "_cell", "left_semi").join(family, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("c"))
+    outside = rows.join(cells, "_cell", "left_anti").select("h", "id", "n", F.col("id").alias("c"))
+    return inside.unionByName(outside)
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
@@ -163,7 +172,7 @@ def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = TextHasher()
-        for b in batches:
+        for b in in_slices(batches):
             got = [_digest(s) if len(s) else None for s in hasher.sets(b.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), b.column(0)], names=["id", "text"])
 
@@ -172,7 +181,7 @@ def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = TextHasher()
-        for b in batches:
+        for b in in_slices(batches):
             ta, tb = b.column("ta").to_pylist(), b.column("tb").to_pylist()
             distinct = list(dict.fromkeys(ta + tb))
             made = dict(zip(distinct, hasher.sets(distinct), strict=True))
@@ -216,7 +225,9 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     family = components(links)
 
     block = Window.partitionBy("h")
-    placed = shared.select("h", "id", "n").join(family, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("c"))
+    # every pair with a block's pivot is settled, so the pivot itself takes no further part
+    placed = shared.where(F.col("id") != F.col("pivot")).select("h", "id", "n")
+    placed = _labelled(placed, family)
     mixed = placed.withColumns({"lo": F.min("c").over(block), "hi": F.max("c").over(block)}).where("lo < hi").drop("lo", "hi")
     left = _saved(mixed, "mixed").join(sets.select("id", *_BITS), "id")
     across = left.alias("x").join(left.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.c") < F.col("y.c")) & _bounded("x", "y"))
