@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firegrid.llm.shingles import WORDS, WordHashes, shingle_hashes
+from firegrid.llm.shingles import WORDS, WordHashes, in_slices, shingle_hashes
 
 RADIUS = 7
 BLOCKS = 4
@@ -229,7 +229,7 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     def one(block: list[tuple[object, str]]) -> DataFrame:
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, hashes = Index(block), WordHashes()
-            for b in batches:
+            for b in in_slices(batches):
                 rows = list(index.search(b.column(1).to_pylist(), hashes))
                 at = pa.array([r[0] for r in rows], pa.int64())
                 item = pa.array([index.ids[r[1]] for r in rows])
@@ -255,7 +255,7 @@ def without(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str
 
         def clean(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             index, hashes = Index(block), WordHashes()
-            for b in batches:
+            for b in in_slices(batches):
                 hit = {r[0] for r in index.search(b.column(at).to_pylist(), hashes)}
                 yield b.filter(pa.array([i not in hit for i in range(b.num_rows)], pa.bool_()))
 

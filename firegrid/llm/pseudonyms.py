@@ -16,6 +16,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from firegrid.llm.shingles import in_slices
+
 ROUNDS = 10
 
 
@@ -210,7 +212,7 @@ def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", counted: bool
     at = names.index(text)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in in_slices(it):
             done = [(None, dict.fromkeys(NAMES, 0)) if t is None else replace_text(t, key) for t in b.column(at).to_pylist()]
             columns = list(b.columns)
             columns[at] = pa.array([t for t, _ in done], pa.string())

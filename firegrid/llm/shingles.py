@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 WORDS = 5
@@ -14,6 +15,13 @@ _MEMO = 1 << 20
 BLOCK = 1 << 20
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches a few hundred texts at a time, so that what is made of them stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def split_words(text: str | None) -> list[bytes]:
     """A-Z in lower case; words are runs of characters other than space and \\t \\n \\v \\f \\r."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()

@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firegrid.llm.shingles import in_slices
+
 # bounds of the training sample: rows of either class, drawn by hash, and distinct words of a row, drawn by hash
 SAMPLE_TOXIC = 2500
 SAMPLE_ORDINARY = 7500
@@ -214,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(drawn, "_id")
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches):
             texts = b.column(1).to_pylist()
             words = [words_of(t) for t in texts]
             words = [w if len(w) <= SAMPLE_WORDS else sorted(w, key=xxhash.xxh64_intdigest)[:SAMPLE_WORDS] for w in words]
@@ -240,7 +242,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors()
-        for b in batches:
+        for b in in_slices(batches):
             found = model.scores([savings_of(words_of(t), *compressors) for t in b.column(len(names)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
@@ -254,7 +256,7 @@ def without(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors()
-        for b in batches:
+        for b in in_slices(batches):
             found = model.scores([savings_of(words_of(t), *compressors) for t in b.column(at).to_pylist()])
             yield b.filter(pa.array(found < 0.5))
 
