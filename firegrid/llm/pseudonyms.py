@@ -103,13 +103,52 @@ def _ssn(value: str, key: bytes, back: bool) -> str | None:
             return _refill(value, d)
 
 
+# country codes of one and two digits; all others have three
+_CODES = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})")
+
+
+def _phone_head(value: str) -> int:
+    """Length of the country code: up to a separator, or as assigned where none follows."""
+    head = re.match(r"\+\d{1,3}(?=[ .(-])", value) or _CODES.match(value)
+    return head.end() if head else len(value)
+
+
+def _phone_end(m: re.Match[str]) -> int | None:
+    """Where a number of 7 to 12 digits ends: after ten behind +1, else as late as no other value or number begins.
+
+    Only the shape of the text decides, so that a pseudonym ends where its number does.
+    """
+    text, h = m.string, _phone_head(m[0])
+    ends, n, last, run = [], 0, "", 0
+    for i in range(m.start() + h, m.end()):
+        c = text[i]
+        if not c.isdigit():
+            last, run = c, 0
+            continue
+        n, run = n + 1, run + 1
+        after = text[i + 1 : i + 3]
+        if n < 7 or after[:1].isdigit():
+            continue
+        if n > 12:
+            break
+        ends.append((n, i + 1))
+        if after[:1] == " " and (last in "-." and last or run >= 6):
+            break  # a blank after other separators or a long run of digits is no part of a number
+        if any(p.match(text, i + 2) for k, p in PATTERNS.items() if k != "phone"):
+            break
+    if m[0][:h] == "+1":
+        ends = [e for e in ends if e[0] == 10] or ends
+    clean = [e for e in ends if not re.match(r"[^\W_]|[./-][0-9]", text[e[1] : e[1] + 2])]
+    return max(clean or ends)[1] if ends else None
+
+
 def _phone(value: str, key: bytes, back: bool) -> str | None:
-    head = re.match(r"\+\d{1,3}(?=[ .(-])", value)
-    d = _digits(value[head.end() :]) if head else ""
+    h = _phone_head(value)
+    d = _digits(value[h:])
     if not 7 <= len(d) <= 12:
         return None
-    new = str(permute(int(d), 10 ** len(d), key, f"phone{head[0]}{len(d)}", back)).zfill(len(d))
-    return head[0] + _refill(value[head.end() :], new)
+    new = str(permute(int(d), 10 ** len(d), key, f"phone{value[:h]}{len(d)}", back)).zfill(len(d))
+    return value[:h] + _refill(value[h:], new)
 
 
 def _ip(value: str, key: bytes, back: bool) -> str | None:
@@ -156,11 +195,12 @@ def _mail(value: str, key: bytes, back: bool) -> str | None:
     return "".join(reversed(out)) + "@" + host
 
 
-# kind, pattern, replacement; the first pattern that fits at a place is tried, a value that is not valid stays
+# kind, pattern, replacement; the patterns that fit at a place are tried in turn, and where none gives a valid value the
+# search goes on behind its first character
 KINDS: tuple[tuple[str, str, Callable[[str, bytes, bool], str | None]], ...] = (
     ("mail", r"[^\W_][\w.+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}", _mail),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
-    ("phone", r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])", _phone),
+    ("phone", r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]+(?:[ .-][0-9]{2,}){0,8}(?![0-9])", _phone),
     ("date", r"(?<![0-9./-])(?:[0-9]{4}([-./])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./-])[0-9]{2}\2[0-9]{4})(?![0-9]|[./-][0-9])", _date),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])", _ssn),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", _ip),
@@ -180,6 +220,15 @@ def _compiled() -> re.Pattern[str]:
 
 
 PATTERN = _compiled()
+PATTERNS = {name: re.compile(pattern) for name, pattern, _ in KINDS}
+
+
+def _ends(kind: str, m: re.Match[str]) -> list[int]:
+    """Where a value that begins like this may end, the likeliest first."""
+    if kind == "phone":
+        end = _phone_end(m)
+        return [] if end is None else [end]
+    return [m.end()]
 
 
 def replace_text(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, int]]:
@@ -187,16 +236,20 @@ def replace_text(text: str, key: bytes, back: bool = False) -> tuple[str, dict[s
     counts = dict.fromkeys(NAMES, 0)
     if not _POSSIBLE.search(text):
         return text, counts
-    replacers = {name: f for name, _, f in KINDS}
-
-    def new(m: re.Match[str]) -> str:
-        out = replacers[m.lastgroup](m[0], key, back)
-        if out is None:
-            return m[0]
-        counts[m.lastgroup] += 1
-        return out
-
-    return PATTERN.sub(new, text), counts
+    out, done, at = [], 0, 0
+    while first := PATTERN.search(text, at):
+        start = first.start()
+        at = start + 1
+        for name, _, replaced in KINDS[NAMES.index(first.lastgroup) :]:
+            m = PATTERNS[name].match(text, start)
+            tries = ((end, replaced(text[start:end], key, back)) for end in (_ends(name, m) if m else []))
+            end, new = next((t for t in tries if t[1] is not None), (0, None))
+            if new is not None:
+                out += [text[done:start], new]
+                counts[name] += 1
+                done = at = end
+                break
+    return "".join([*out, text[done:]]), counts
 
 
 def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", counted: bool = True) -> DataFrame:

@@ -39,6 +39,32 @@ def test_replaced_linked_valid_and_reversible(kind, value):
     assert P.replace_text(text, b"other")[0] != new
 
 
+PHONES = ["+1 (826) 555-4081", "+1 555.123.4567", "+15551234567", "+49 30 1234567", "+49 30 123456", "+44 20 7946 0958", "+33 1 23 45 67 89", "+4930 1234567", "+442079460958"]
+BESIDE = ["190.137.223.204", "1.20.30.4", "2024-05-01", "01.05.2024", "05/01/2024", "123-45-6789", "4111 1111 1111 1111", "4111111111111111", "99jane@example.org", "DE89370400440532013000"]
+
+
+@pytest.mark.parametrize("between", [" ", ", ", "\n", "; "])
+def test_values_side_by_side_are_replaced_as_if_alone(between):
+    alone = {v: P.replace_text(v, KEY)[0] for v in [*PHONES, *BESIDE, *(v for _, v in VALUES)]}
+    assert all(v != new for v, new in alone.items())
+    for a in alone:
+        for b in alone:
+            new, counts = P.replace_text(f"{a}{between}{b}", KEY)
+            assert new == f"{alone[a]}{between}{alone[b]}" and sum(counts.values()) == 2, (a, b)
+            assert P.replace_text(new, KEY, back=True)[0] == f"{a}{between}{b}", (a, b)
+
+
+@pytest.mark.parametrize("after", [" 24 hours", " 2024", " 7", "x12", ".", "-8"])
+@pytest.mark.parametrize("phone", ["+1 (826) 555-4081", "+15551234567", "+49 30 1234567"])
+def test_what_follows_a_phone_is_no_part_of_it(phone, after):
+    assert P.replace_text(phone + after, KEY)[0] == P.replace_text(phone, KEY)[0] + after
+
+
+def test_compact_and_spaced_phones_are_linked():
+    a, b = (P.replace_text(v, KEY)[0] for v in ("+15551234567", "+1 555-123-4567"))
+    assert a == re.sub("[ -]", "", b) != "+15551234567"
+
+
 @pytest.mark.parametrize("value", INVALID)
 def test_what_is_not_valid_stays(value):
     assert P.replace_text(f"a {value} b", KEY)[0] == f"a {value} b"
