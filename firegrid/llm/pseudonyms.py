@@ -87,6 +87,26 @@ def _iban(value: str, key: bytes, back: bool) -> str | None:
     return _spaced(value, f"{s[:2]}{check:02d}{body}")
 
 
+# characters of an IBAN by country, as registered
+_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
+
+
+def _iban_ends(m: re.Match[str]) -> list[int]:
+    """The length of the country first, then the ends of groups from the longest on."""
+    ends = [m.end(), *(m.start() + i for i in range(len(m[0]) - 1, 0, -1) if m[0][i] == " ")]
+    size = lambda end: len(m.string[m.start() : end].replace(" ", ""))
+    return sorted((e for e in ends if size(e) >= 15), key=lambda e: size(e) != _LENGTHS.get(m[0][:2]))
+
+
 def _spaced(shape: str, text: str) -> str:
     it = iter(text)
     return "".join(c if c == " " else next(it) for c in shape)
@@ -204,7 +224,7 @@ KINDS: tuple[tuple[str, str, Callable[[str, bytes, bool], str | None]], ...] = (
     ("date", r"(?<![0-9./-])(?:[0-9]{4}([-./])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./-])[0-9]{2}\2[0-9]{4})(?![0-9]|[./-][0-9])", _date),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])", _ssn),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", _ip),
-    ("card", r"(?<![0-9])(?:[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{13,19})(?![0-9])", _card),
+    ("card", r"(?<![0-9])(?:[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{13,19})(?![0-9])", _card),
 )
 NAMES = tuple(k for k, _, _ in KINDS)
 _POSSIBLE = re.compile(r"[0-9]|@")
@@ -228,7 +248,7 @@ def _ends(kind: str, m: re.Match[str]) -> list[int]:
     if kind == "phone":
         end = _phone_end(m)
         return [] if end is None else [end]
-    return [m.end()]
+    return _iban_ends(m) if kind == "iban" else [m.end()]
 
 
 def replace_text(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, int]]:
@@ -242,9 +262,14 @@ def replace_text(text: str, key: bytes, back: bool = False) -> tuple[str, dict[s
         at = start + 1
         for name, _, replaced in KINDS[NAMES.index(first.lastgroup) :]:
             m = PATTERNS[name].match(text, start)
-            tries = ((end, replaced(text[start:end], key, back)) for end in (_ends(name, m) if m else []))
+            ends = _ends(name, m) if m else []
+            tries = ((end, replaced(text[start:end], key, back)) for end in ends)
             end, new = next((t for t in tries if t[1] is not None), (0, None))
             if new is not None:
+                earlier = ends[: ends.index(end)]
+                # what is valid with another end would not be found again, so it is walked over
+                while any(replaced(new[: e - start] + text[end:e], key, back) is not None for e in earlier):
+                    new = replaced(new, key, back)
                 out += [text[done:start], new]
                 counts[name] += 1
                 done = at = end

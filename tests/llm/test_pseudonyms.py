@@ -54,6 +54,29 @@ def test_values_side_by_side_are_replaced_as_if_alone(between):
             assert P.replace_text(new, KEY, back=True)[0] == f"{a}{between}{b}", (a, b)
 
 
+# valid numbers of 16, 20, 22 and 24 characters, and of a country that is not registered
+IBANS = ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00", "ES91 2100 0418 4502 0005 1332", "SE45 5000 0000 0583 9825 7466", "CZ65 0800 0000 1920 0014 5399", "XX83 1234 5678 9012 3456"]
+CARDS = ["3782 822463 10005", "3782-822463-10005", "3056 930902 5904"]
+
+
+@pytest.mark.parametrize("after", ["", " OR", " BANK", " BANK OF", " ORANGE", " 24", " 2024-05-01", " 192.168.0.1", " 123 ABCD", ", BANK"])
+@pytest.mark.parametrize("iban", [v for i in IBANS for v in (i, i.replace(" ", ""))])
+def test_what_follows_an_iban_is_no_part_of_it(iban, after):
+    alone, (new, counts) = P.replace_text(iban, KEY)[0], P.replace_text(iban + after, KEY)
+    assert alone != iban and counts["iban"] == 1
+    assert new.endswith(P.replace_text(after, KEY)[0]) and P.replace_text(new, KEY, back=True)[0] == iban + after
+    if not iban.startswith("XX"):  # without a registered length, a pseudonym that is valid with what follows gives way to another
+        assert new == alone + P.replace_text(after, KEY)[0]
+
+
+@pytest.mark.parametrize("a", [*IBANS, *CARDS])
+@pytest.mark.parametrize("b", [*IBANS, *CARDS, "+1 (826) 555-4081", "JANE@X.ORG", "123-45-6789", "4111 1111 1111 1111"])
+def test_ibans_and_grouped_cards_side_by_side(a, b):
+    want = f"{P.replace_text(a, KEY)[0]} {P.replace_text(b, KEY)[0]}"
+    new, counts = P.replace_text(f"{a} {b}", KEY)
+    assert new == want != f"{a} {b}" and sum(counts.values()) == 2
+
+
 @pytest.mark.parametrize("after", [" 24 hours", " 2024", " 7", "x12", ".", "-8"])
 @pytest.mark.parametrize("phone", ["+1 (826) 555-4081", "+15551234567", "+49 30 1234567"])
 def test_what_follows_a_phone_is_no_part_of_it(phone, after):
