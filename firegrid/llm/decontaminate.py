@@ -6,6 +6,10 @@ of 7 differing bits at least one block has no more than one, so each block's tab
 of a value, and no fingerprint within the radius is missed. What is found is compared exactly, by the weighted
 similarity of five-word shingles; shingles that many items share weigh less.
 
+A few changed words can move a fingerprint beyond any radius, most of all in short windows. So that no passage is missed,
+texts are also searched for each item's leading shingles: so many of its heaviest that the others weigh less than
+``SIMILARITY`` of it, and a similar passage holds at least one of them. Around such a shingle every window is compared.
+
 Items are the query set: they go to the tasks in blocks of ``ITEM_BLOCK``, so what is sent has a bound. Documents are read
 in place, nothing is shuffled, and memory holds one batch of texts and ``CHUNK`` windows.
 """
@@ -34,6 +38,7 @@ SPREAD = 1.5
 ITEM_BLOCK = 20_000
 CHUNK = 1 << 14
 SIMILARITY = 0.75
+FILTER_BITS = 22
 SHIFTS = (0, -1, 1, -2, 2, -3, 3)  # in words, nearest first
 WORD = re.compile(r"\w+")
 
@@ -117,7 +122,16 @@ class Index:
         self.rare = math.log(1 + len(items))
         self.weights = {s: math.log(1 + len(items) / n) for s, n in df.items()}
         self.sizes = [len(w) for w in words]
-        self.hashed = [frozenset(shingle_hashes(hashes.of(w)).tolist()) for w in words]
+        grams = [shingle_hashes(hashes.of(w)) for w in words]
+        self.hashed = [frozenset(g.tolist()) for g in grams]
+        self.weighed = [{h: self.weights[tuple(w[k : k + WORDS])] for k, h in enumerate(g.tolist())} for w, g in zip(words, grams, strict=True)]
+        self.totals = [sum(x.values()) for x in self.weighed]
+        leading = [(h, i) for i, n in enumerate(self.sizes) if n >= WORDS for h in _leading(self.weighed[i])]
+        keys = np.array([h for h, _ in leading], np.uint64)
+        order = np.argsort(keys, kind="stable")
+        self.leading, self.led = keys[order], np.array([i for _, i in leading], np.int64)[order]
+        self.some = np.zeros(1 << FILTER_BITS, bool)
+        self.some[self.leading >> np.uint64(64 - FILTER_BITS)] = True
         lengths: list[int] = []
         for n in sorted({min(len(w), MAX_WINDOW) for w in words if w}):
             if not lengths or n > lengths[-1] * SPREAD:
@@ -134,7 +148,7 @@ class Index:
         """Weighted Jaccard similarity of an item and a passage; the exact check."""
         a, b = self.shingles[item], _shingles(words)
         weight = lambda s: self.weights.get(s, self.rare)
-        return sum(map(weight, a & b)) / max(sum(map(weight, a | b)), 1e-12)
+        return math.fsum(map(weight, a & b)) / max(math.fsum(map(weight, a | b)), 1e-12)
 
     def search(self, texts: list[str | None], hashes: WordHashes) -> Iterator[tuple[int, int, float, int]]:
         """(text, item, similarity, first word) of the best passage for every text and item that match."""
@@ -158,13 +172,63 @@ class Index:
             for shift in SHIFTS:
                 first = max(0, place + shift)
                 found = self.similarity(item, words[doc][first : max(0, place + shift + self.sizes[item])])
-                if found > max(SIMILARITY - 1e-12, best.get((doc, item), (0.0, 0))[0]):
-                    best[doc, item] = found, first
+                if found >= SIMILARITY - 1e-12:
+                    best[doc, item] = max(best.get((doc, item), (found, first)), (found, first), key=_rank)
                 if found >= 1.0:
                     break
+        for doc, item, places in self._led(grams, starts, ends):
+            for first, found in self._windows(item, words[doc], places):
+                best[doc, item] = max(best.get((doc, item), (found, first)), (found, first), key=_rank)
         for (doc, item), (found, first) in sorted(best.items()):
             yield doc, item, found, first
 
+    def _led(self, grams: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+        """(text, item, places of leading shingles) where the text holds enough of the item's shingles to be similar."""
+        if not len(self.leading) or not len(grams):
+            return
+        at = np.flatnonzero(self.some[grams >> np.uint64(64 - FILTER_BITS)])
+        doc = np.searchsorted(ends, at, "right")
+        inside = at + WORDS <= ends[doc]
+        at, doc = at[inside], doc[inside]
+        lo, hi = (np.searchsorted(self.leading, grams[at], side) for side in ("left", "right"))
+        n = hi - lo
+        item = self.led[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        groups: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for d, i, place in zip(np.repeat(doc, n).tolist(), item.tolist(), np.repeat(at - starts[doc], n).tolist(), strict=True):
+            groups[d][i].append(place)
+        for d, items in groups.items():
+            own = set(grams[starts[d] : ends[d] - WORDS + 1].tolist())
+            for i, places in items.items():
+                if sum(w for h, w in self.weighed[i].items() if h in own) >= (SIMILARITY - 1e-9) * self.totals[i]:
+                    yield d, i, places
+
+    def _windows(self, item: int, words: list[str], places: list[int]) -> Iterator[tuple[int, float]]:
+        """(first word, similarity) of the similar windows around the places; windows reach over the ends of a text."""
+        size, own = self.sizes[item], self.shingles[item]
+        weight = lambda s: self.weights.get(s, self.rare)
+        done = lo = hi = None  # shingles lo to hi - 1 are counted
+        for place in places:
+            for first in range(place + WORDS - size if done is None else max(place + WORDS - size, done + 1), place + 1):
+                a, b = max(0, first), min(first + size, len(words)) - WORDS + 1
+                if done is None or a >= hi:
+                    held, both, every = Counter(), 0.0, self.totals[item]
+                    lo = hi = a
+                for k in range(hi, b):
+                    s = tuple(words[k : k + WORDS])
+                    held[s] += 1
+                    if held[s] == 1:
+                        both, every = (both + weight(s), every) if s in own else (both, every + weight(s))
+                for k in range(lo, a):
+                    s = tuple(words[k : k + WORDS])
+                    held[s] -= 1
+                    if not held[s]:
+                        both, every = (both - weight(s), every) if s in own else (both, every - weight(s))
+                done, lo, hi = first, a, b
+                if both >= (SIMILARITY - 1e-6) * every:
+                    found = self.similarity(item, words[a : first + size])
+                    if found >= SIMILARITY - 1e-12:
+                        yield a, found
+
     def _candidates(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, Length]]:
         """Windows of all texts within the radius of a target; ``flat`` holds the texts' words one after another."""
         if not self.lengths or not len(flat):
@@ -190,6 +254,23 @@ class Index:
                     yield int(starts[doc]), t, length
 
 
+def _rank(passage: tuple[float, int]) -> tuple[float, int]:
+    """The more similar passage counts, of equal ones the first."""
+    return passage[0], -passage[1]
+
+
+def _leading(weighed: dict[int, float]) -> list[int]:
+    """The heaviest shingles, so many that the others alone are not similar."""
+    out, left = [], sum(weighed.values())
+    enough = (SIMILARITY - 1e-9) * left
+    for h, w in sorted(weighed.items(), key=lambda x: -x[1]):
+        if left < enough:
+            break
+        out.append(h)
+        left -= w
+    return out
+
+
 def _shingles(words: list[str]) -> frozenset[tuple[str, ...]]:
     return frozenset(tuple(words[i : i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))) if words else frozenset()
 
@@ -219,7 +300,7 @@ def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[object
 def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id, item_id, similarity, first_word`` of every document and item with a passage of similarity 0.75 or more.
 
-    The best passage counts, the first of equal ones. NULL and empty texts match nothing; items of fewer than five words are one
+    Passages are windows as long as the item, cut off at the ends of a text. The best passage counts, the first of equal ones. NULL and empty texts match nothing; items of fewer than five words are one
     shingle and match only as they stand. Items given twice are reported under each id, repeated documents in each
     row. An empty table on either side gives no rows.
     """

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from firegrid.llm import decontaminate as D
 from firegrid.llm.shingles import WordHashes
@@ -52,6 +53,40 @@ def test_found_equals_brute_force(spark):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in exact)
 
 
+def edited(rnd, n):
+    """Items of ``n`` words with every place or pair of places changed, words left out, put in or repeated."""
+    fresh = lambda: f"x{rnd.randrange(10**6)}"
+    docs, items = [], []
+    for i in range(6):
+        item = [f"i{i}w{k}" if rnd.random() < 0.7 else "the" for k in range(n)]
+        items.append((i, " ".join(item)))
+        for _ in range(10):
+            new, k = list(item), rnd.randrange(n)
+            for _ in range(rnd.randrange(1, 3)):
+                k = rnd.choice([0, n - 1, rnd.randrange(n)])
+                change = rnd.randrange(4)
+                new[k : k + 1] = [[fresh()], [], [fresh(), *new[k : k + 1]], new[k : k + 1] * 2][change]
+            docs.append((len(docs), " ".join([*(fresh() for _ in range(rnd.choice([0, 1, 30]))), *new, *(fresh() for _ in range(rnd.choice([0, 1, 30])))])))
+    return docs, items
+
+
+@pytest.mark.parametrize("n", [5, 6, 8, 11, 15, 23, 35, 53])
+def test_all_edited_passages_are_found(n):
+    docs, items = edited(random.Random(n), n)
+    index = D.Index(items)
+    want = {}
+    for d, t in docs:
+        w = D.words_of(t)
+        for k in range(len(items)):
+            # windows as long as the item, cut off at the ends of the text
+            some = [(index.similarity(k, w[max(0, p) : p + n]), -max(0, p)) for p in range(1 - n, len(w))] if w and not index.shingles[k].isdisjoint(D._shingles(w)) else []
+            best = max(some, default=(0.0, 0))
+            if best[0] >= D.SIMILARITY - 1e-12:
+                want[d, k] = best[0], -best[1]
+    got = {(d, k): (s, at) for d, k, s, at in index.search([t for _, t in docs], WordHashes())}
+    assert want and got == want
+
+
 def test_no_print_within_the_radius_is_missed():
     rnd = np.random.default_rng(1)
     _, items = corpus()
