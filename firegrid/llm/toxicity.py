@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +40,9 @@ SAVINGS = (1, 2, 3, 4, 5)
 # letters in a row that mark toxic text: how many, in how many documents, how significantly and how much more often
 GRAM = 5
 MIN_DOCS, MIN_Z, MIN_RATIO = 4, 5.0, 4.0
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"\w+")
+# remembered savings of windows
+MEMO = 1 << 16
 
 
 def fold(key: Column, n: int = 5) -> Column:
@@ -49,12 +51,14 @@ def fold(key: Column, n: int = 5) -> Column:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Distinct words of a whole text, in order of first use, in lower case."""
-    return list(dict.fromkeys(WORD.findall((text or "").lower())))
+    """Words of a whole text as they follow each other, in lower case."""
+    return WORD.findall((text or "").lower())
 
 
 def windows_of(words: list[str], width: int) -> list[bytes]:
-    return [f" {' '.join(words[i : i + width])} ".encode() for i in range(0, len(words), width)]
+    """Windows of ``width`` words that overlap by half; the last one ends with the text."""
+    step = width // 2
+    return [f" {' '.join(words[i : i + width])} ".encode() for i in range(0, max(1, len(words) - step), step)] if words else []
 
 
 def _near_keys(text: str | None, n: int = 3) -> list[int]:
@@ -73,8 +77,8 @@ class Model:
     saving: int
     weights: tuple[float, ...]
 
-    def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
-        return _compressor(self.base), _compressor(self.toxic + self.base)
+    def savings(self) -> Savings:
+        return Savings(_compressor(self.base), _compressor(self.toxic + self.base))
 
     def scores(self, savings: list[list[np.ndarray]]) -> np.ndarray:
         x = np.array([features(s, self.saving) for s in savings]).reshape(len(savings), len(self.weights))
@@ -89,9 +93,21 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=data, compression_params=params)
 
 
-def savings_of(words: list[str], base: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> list[np.ndarray]:
-    """Bytes that the toxic dictionary saves over the ordinary one, window by window, for each width."""
-    return [np.array([len(base.compress(w)) - len(toxic.compress(w)) for w in windows_of(words, width)], np.int64) for width in WINDOWS]
+class Savings(dict):
+    """Bytes that the toxic dictionary saves over the ordinary one, by window; equal windows are compressed once, up to a bound."""
+
+    def __init__(self, base: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor):
+        self.base, self.toxic = base.compress, toxic.compress
+
+    def __missing__(self, window: bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        n = self[window] = len(self.base(window)) - len(self.toxic(window))
+        return n
+
+    def of(self, words: list[str]) -> list[np.ndarray]:
+        """Window by window, for each width."""
+        return [np.array([self[w] for w in windows_of(words, width)], np.int64) for width in WINDOWS]
 
 
 def features(savings: list[np.ndarray], least: int) -> tuple[float, ...]:
@@ -156,49 +172,48 @@ def _parts(toxic: list[list[str]], ordinary: list[list[str]]) -> tuple[bytes, li
     return _trained(BASE_BYTES, [" ".join(w).encode() for w in ordinary], k=32, d=8), [s for s in samples if s.strip()]
 
 
-def fit_rows(rows: list[tuple[list[str], list[int], int]], share_toxic: float) -> Model:
-    """Model of rows (distinct words, near-copy keys, label). ``share_toxic``: share of label 1 among all labels.
+Measure = Callable[[list[list[tuple[bytes, bytes]]], dict[tuple, int]], list[tuple[tuple, np.ndarray]]]
 
-    Of near copies one row trains, so that what a copied text alone contains does not look like a rule. With one
-    class only, or no rows, every document scores that share.
+
+def fit_rows(rows: list[tuple[object, list[str], tuple[int, ...], int]], share_toxic: float, measure: Measure) -> Model:
+    """Model of rows (key, distinct words, near-copy keys, label). ``share_toxic``: share of label 1 among all labels.
+
+    Of near copies one row trains, so that what a copied text alone contains does not look like a rule. ``measure`` gives
+    whole texts' features. With one class only, or no rows, every document scores that share.
     """
     seen: set[tuple[int, int]] = set()
     kept = []
-    for words, keys, y in rows:
-        marks = set(enumerate(keys))
+    for key, words, near, y in rows:
+        marks = set(enumerate(near))
         if words and not marks & seen:
-            kept.append((words, y))
+            kept.append(((key, near), words, y))
         seen |= marks
     prior = math.log(max(share_toxic, 1e-6) / max(1 - share_toxic, 1e-6))
-    toxic = [w for w, y in kept if y]
-    ordinary = [w for w, y in kept if not y]
+    toxic, ordinary = ([(k, w) for k, w, y in kept if y == label] for label in (1, 0))
     if not toxic or not ordinary:
         return Model(b" ", b" ", 1, constant(prior))
+    words_only = lambda r: [w for _, w in r]
 
     # halves: thresholds are calibrated on documents that the dictionaries have not seen
     halves = [(toxic[i::2], ordinary[i::2]) for i in (0, 1)]
-    half_parts = [_parts(t, o) if t and o else None for t, o in halves]
+    parts = [_parts(words_only(t), words_only(o)) if t and o else None for t, o in halves]
+    trained = [[(p[0], _trained(size, p[1], k=16, d=6) if p[1] else b" ") for size in TOXIC_BYTES] if p else [] for p in parts]
+    other = {k: 1 - i for i, half in enumerate(halves) if parts[1 - i] for rows_ in half for k, _ in rows_}
+    label = {k: y for k, _, y in kept}
+    got = measure(trained, other)
+    labels = np.array([label[k] for k, _ in got], float)
     best: tuple[float, int, int, np.ndarray] | None = None
-    for size in TOXIC_BYTES:
-        got, y = [], []
-        for part, (t2, o2) in zip(half_parts, halves[::-1], strict=True):
-            if part is None:
-                continue
-            base, extra = part[0], _trained(size, part[1], k=16, d=6) if part[1] else b" "
-            c = _compressor(base), _compressor(extra + base)
-            got += [savings_of(w, *c) for w in t2 + o2]
-            y += [1] * len(t2) + [0] * len(o2)
-        labels = np.array(y, float)
-        if not 0 < labels.sum() < len(labels):
-            continue
+    if 0 < labels.sum() < len(labels):
+        x = np.stack([f for _, f in got]).reshape(len(got), len(TOXIC_BYTES), len(SAVINGS), -1)
         weight = np.where(labels > 0, max(share_toxic, 1e-3) / labels.sum(), max(1 - share_toxic, 1e-3) / (len(labels) - labels.sum()))
-        for least in SAVINGS:
-            b, loss = _logistic(np.array([features(s, least) for s in got]), labels, weight)
-            if best is None or loss < best[0] - 1e-9:
-                best = loss, size, least, b
+        for i, size in enumerate(TOXIC_BYTES):
+            for j, least in enumerate(SAVINGS):
+                b, loss = _logistic(x[:, i, j], labels, weight)
+                if best is None or loss < best[0] - 1e-9:
+                    best = loss, size, least, b
     if best is None:
         return Model(b" ", b" ", 1, constant(prior))
-    base, samples = _parts(toxic, ordinary)
+    base, samples = _parts(words_only(toxic), words_only(ordinary))
     extra = _trained(best[1], samples, k=16, d=6) if samples else b" "
     return Model(base, extra, best[2], tuple(map(float, best[3])))
 
@@ -207,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Model from the labelled rows whose :func:`fold` is not 0, at most ``SAMPLE_TOXIC + SAMPLE_ORDINARY`` of them.
 
     The sample is bounded whatever the size of the input: its ids are drawn by hash, broadcast, and the sampled
-    documents' words come to the driver. Of several labels of a document the largest counts; NULL labels do not.
+    documents' distinct words come to the driver. Thresholds are calibrated on their whole texts, in the tasks. Of several labels of a document the largest counts; NULL labels do not.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (fold(F.col(key)) != 0)).groupBy(F.col(key).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
     counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
@@ -218,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches):
             texts = b.column(1).to_pylist()
-            words = [words_of(t) for t in texts]
+            words = [list(dict.fromkeys(words_of(t))) for t in texts]
             words = [w if len(w) <= SAMPLE_WORDS else sorted(w, key=xxhash.xxh64_intdigest)[:SAMPLE_WORDS] for w in words]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([" ".join(w) for w in words], pa.string()), pa.array([_near_keys(t) for t in texts], pa.list_(pa.int64())), b.column(2)], names=["_id", "words", "near", "y"]
@@ -229,21 +244,42 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     got.sort(key=lambda r: (r["_id"], r["words"]))
     total = sum(counts.values())
     same: dict[str, str] = {}  # one string per word, whatever the number of texts that use it
-    return fit_rows([([same.setdefault(w, w) for w in r["words"].split()], r["near"], r["y"]) for r in got], counts.get(1, 0) / total if total else 0.5)
+
+    def measure(trained: list[list[tuple[bytes, bytes]]], other: dict[tuple, int]) -> list[tuple[tuple, np.ndarray]]:
+        def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            savings = [[Savings(_compressor(base), _compressor(extra + base)) for base, extra in half] for half in trained]
+            for b in in_slices(batches):
+                out = []
+                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    near = _near_keys(t)
+                    if (i, tuple(near)) in other:
+                        words = words_of(t)
+                        found = [s.of(words) for s in savings[other[i, tuple(near)]]]
+                        out.append((i, near, np.array([features(s, least) for s in found for least in SAVINGS]).tobytes()))
+                ids, nears, data = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(nears, pa.list_(pa.int64())), pa.array(data, pa.binary())], names=["_id", "near", "x"])
+
+        got = {}
+        for r in rows.mapInArrow(measured, f"_id {kind}, near array<bigint>, x binary").collect():
+            key, x = (r["_id"], tuple(r["near"])), bytes(r["x"])
+            got[key] = max(got.get(key, x), x)  # rows of one id that are near copies count once
+        return [(k, np.frombuffer(x)) for k, x in sorted(got.items())]
+
+    return fit_rows([(r["_id"], [same.setdefault(w, w) for w in r["words"].split()], tuple(r["near"]), r["y"]) for r in got], counts.get(1, 0) / total if total else 0.5, measure)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` plus ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on), a row per row of ``docs``.
 
-    Whole texts are windowed. NULL and empty texts have no window and get the score of a document without a
+    Whole texts are windowed, word after word, windows overlapping by half. NULL and empty texts have no window and get the score of a document without a
     toxic window. Only ``text`` enters a score; columns outside ``keep`` are not read.
     """
     names = list(keep)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressors = model.compressors()
+        savings = model.savings()
         for b in in_slices(batches):
-            found = model.scores([savings_of(words_of(t), *compressors) for t in b.column(len(names)).to_pylist()])
+            found = model.scores([savings.of(words_of(t)) for t in b.column(len(names)).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
@@ -255,9 +291,9 @@ def without(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressors = model.compressors()
+        savings = model.savings()
         for b in in_slices(batches):
-            found = model.scores([savings_of(words_of(t), *compressors) for t in b.column(at).to_pylist()])
+            found = model.scores([savings.of(words_of(t)) for t in b.column(at).to_pylist()])
             yield b.filter(pa.array(found < 0.5))
 
     return docs.mapInArrow(clean, docs.schema)

@@ -62,3 +62,29 @@ def test_one_class_or_no_labels_give_the_share(spark):
     assert {round(r.score, 6) for r in none.collect()} == {0.5}
     ones = toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame([(i, 0) for i in range(10)], "doc_id long, toxic int")))
     assert all(r.score < 0.01 for r in ones.collect())
+
+
+def test_phrase_of_words_used_earlier_is_in_a_window(spark):
+    rnd = random.Random(3)
+    phrase = "you are 2 pure evil"
+    calm = [rnd.choice("th er on an re he in ed nd ha at en es of or nt ea ti to it".split()) for _ in range(3000)]
+    for at, w in zip((100, 700, 1300, 1900, 2500), phrase.split(), strict=True):
+        calm[at] = w
+    # only the longest saving of the short windows counts
+    model = toxicity.Model(" ".join(calm[:2600]).encode(), f" {phrase} ".encode(), 4, (-30.0, 0.0, 0.0, 0.0, 80.0, *[0.0] * 6))
+    docs = [(-1, " ".join(calm), "", "")] + [(k, " ".join([*calm[: 2600 + k], phrase, *calm[2600 + k :]]), "", "") for k in range(16)]
+    got = {r.doc_id: r.predicted for r in toxicity.score(spark.createDataFrame(docs, SCHEMA), model).collect()}
+    assert got.pop(-1) == 0 and set(got.values()) == {1}, "every place of the phrase lies whole in a window"
+
+
+def test_windows_are_the_running_text():
+    for n in range(60):
+        words = [f"w{k % 7}" for k in range(n)]
+        for width in toxicity.WINDOWS:
+            got = [w.decode().split() for w in toxicity.windows_of(words, width)]
+            starts = range(0, width // 2 * len(got), width // 2)
+            assert all(g == words[a : a + width] for a, g in zip(starts, got, strict=True))
+            assert {k for a, g in zip(starts, got, strict=True) for k in range(a, a + len(g))} == set(range(n))
+            need = width // 2 + 1
+            assert all(any(a <= k and k + need <= a + len(g) for a, g in zip(starts, got, strict=True)) for k in range(n - need + 1))
+    assert toxicity.words_of("You, you 24 YOU") == ["you", "you", "24", "you"]
