@@ -68,6 +68,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path once what was read from it is stored elsewhere; nothing happens where it is gone."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, for loops whose plan would otherwise keep growing."""
     spark = df.sparkSession
