@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firegrid.llm import chat, decontaminate, interpolation, jaccard, licenses, mixing, pseudonyms, quality, toxicity, urls
+from firegrid.llm import chat, decontaminate, divergence, interpolation, jaccard, licenses, line_dedup, mixing, pseudonyms, quality, spelling, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -225,3 +225,71 @@ def op9(spark, d):
 @query("op10_deleted_interpolation")
 def op10(spark, d):
     return interpolation.score(table(spark, d, "documents"))
+
+
+# ---- 11 source divergence audit
+
+
+@query(
+    "op11_source_divergence",
+    f"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+ t AS (SELECT i, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+ o AS (SELECT i, lang, source, term, count(*) AS n FROM t GROUP BY i, lang, source, term),
+ k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(*) >= {divergence.MIN_DOCS}),
+ v AS (SELECT lang, count(*) AS V FROM k GROUP BY lang),
+ g AS (SELECT DISTINCT lang, source FROM d),
+ c AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM g JOIN k USING (lang)
+   LEFT JOIN (SELECT lang, source, term, sum(n) AS n FROM o GROUP BY lang, source, term) AS s ON s.lang = g.lang AND s.source = g.source AND s.term = k.term),
+ a AS (SELECT lang, source, term, CAST(n AS HUGEINT) AS n, CAST(sum(n) OVER (PARTITION BY lang, source) AS HUGEINT) AS N1, CAST(sum(n) OVER (PARTITION BY lang, term) AS HUGEINT) AS m, CAST(sum(n) OVER (PARTITION BY lang) AS HUGEINT) AS N2, CAST(v.V AS HUGEINT) AS V FROM c JOIN v USING (lang)),
+ p AS (SELECT lang, source, term, n, CAST(1 + (1000000000 * (n + 5)) // (N1 + 5 * V) AS BIGINT) AS p, CAST(1 + (1000000000 * (m + 5)) // (N2 + 5 * V) AS BIGINT) AS q FROM a),
+ x AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+ z AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM y UNION ALL SELECT * FROM z) QUALIFY part = 'pair' OR rank <= {divergence.TOP}""",
+)
+def op11(spark, d):
+    return divergence.divergence(table(spark, d, "documents"))
+
+
+# ---- 12 line deduplication
+
+
+@query(
+    "op12_line_runs",
+    f"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+ u AS (SELECT doc_id, i, lines[i] AS line, translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l, unnest(range(1, len(lines) + 1)) AS t(i)),
+ k AS (SELECT key, max(doc_id) AS last FROM u WHERE length(key) >= {line_dedup.MIN_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) >= {line_dedup.MIN_DOCS}),
+ j AS (SELECT doc_id, i, line, last IS NOT NULL AND last <> doc_id AS gone FROM u LEFT JOIN k USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id""",
+)
+def op12(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+# ---- 13 spelling variants
+
+# crc32 of a string, byte by byte over the table of its polynomial
+_CRC_TABLE = "list_transform(range(0, 256), lambda b: list_reduce(list_prepend(b, range(0, 8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+
+@query(
+    "op13_spelling_variants",
+    f"""WITH RECURSIVE c AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
+ r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+ s AS (SELECT doc_id, run, count(*) AS n, hex(encode(doc_id || ':' || run)) AS x FROM r WHERE length(run) >= {spelling.MIN_CHARS} GROUP BY ALL),
+ h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM s, c),
+ m AS (SELECT CASE WHEN h % {spelling.DAMAGED} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+ w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM m WHERE length(word) >= {spelling.MIN_CHARS} GROUP BY word HAVING sum(n) >= {spelling.MIN_COUNT}),
+ k AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM w, unnest(range(1, length(word) + 1)) AS t(i)),
+ l AS (SELECT DISTINCT k.word, k.n, w.word AS short, w.n AS short_n FROM k JOIN w ON w.word = k.less),
+ b AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM k AS a JOIN k AS b USING (i, less) WHERE a.word <> b.word
+   UNION ALL SELECT word, n, short, short_n FROM l UNION ALL SELECT short, short_n, word, n FROM l),
+ g AS (SELECT word, n, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM b GROUP BY word, n),
+ f AS MATERIALIZED (SELECT word, near AS form, near_n AS form_n FROM g WHERE near_n >= {spelling.FACTOR} * n),
+ o AS (SELECT word, form AS root FROM f UNION ALL SELECT o.word, f.form FROM o JOIN f ON f.word = o.root),
+ z AS (SELECT word, root FROM o WHERE root NOT IN (SELECT word FROM f))
+SELECT w.word, f.form, coalesce(z.root, w.word) AS root, w.n, coalesce(n_near, 0) AS n_near, form_n FROM w LEFT JOIN g USING (word) LEFT JOIN f USING (word) LEFT JOIN z USING (word)""",
+)
+def op13(spark, d):
+    return spelling.variants(spelling.words_of(table(spark, d, "documents")))
