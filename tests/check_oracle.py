@@ -31,11 +31,13 @@ def kind(v) -> str:
 def canonical(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
+        if df[c].dtype.kind in "iu" and df[c].isna().any():
+            df[c] = df[c].astype("float64")  # whole numbers with gaps
         if df[c].dtype.kind in "iu":
             df[c] = df[c].astype("int64")
         elif df[c].dtype.kind == "f":
             df[c] = df[c].astype("float64") + 0.0
-    keys = df.astype(str).agg("|".join, axis=1) if len(df.columns) else pd.Series(dtype=str)
+    keys = df.astype(object).where(df.notna(), "").astype(str).agg("|".join, axis=1) if len(df.columns) else pd.Series(dtype=str)
     return df.iloc[keys.argsort(kind="stable")].reset_index(drop=True)
 
 
