@@ -1,9 +1,8 @@
 """Moving neighbourhoods in space and time.
 
-Spatial windows run along one axis at a time. A window partition is one grid row
-(or column), whose length is bounded by the axis, never by the number of
-observations: inputs hold one row per cell. Frames are ranges on the integer
-index, so missing cells do not shift the window.
+Spatial windows run along one axis at a time, with the same work per cell at any width
+(:func:`_slide`). They are ranges on the integer index, so missing cells do not shift the window.
+Inputs hold one row per cell.
 """
 
 from __future__ import annotations
@@ -15,25 +14,62 @@ from pyspark.sql import functions as F
 
 from firegrid.grid import CELL, GridSpec, as_col
 
+
 def frame_ends(sf: int) -> tuple[int, int]:
     """Offsets of a centred window; an even width reaches one further to the left."""
     return -(sf // 2), (sf - 1) // 2
 
 
-def _window(axis: str, part: Sequence[str]) -> Window:
-    other = "lon_idx" if axis == "lat_idx" else "lat_idx"
-    return Window.partitionBy(*part, other).orderBy(axis)
+_SUFFIX, _PREFIX, _RESULT = 0, 1, 2
+
 
+def _slide(df: DataFrame, cols: Sequence[str], sf: int, axis: str, part: Sequence[str]) -> DataFrame:
+    """``df`` with sum, value count and row count of the window around each row: ``_s_<col>``, ``_n_<col>``, ``_rows``.
 
-def _window_stats(col: str, sf: int, axis: str, part: Sequence[str]) -> dict[str, Column]:
-    """Sum, value count and row count of the window around each row.
+    The axis is cut into blocks as long as the window, so that a window is the end of one block and the beginning of the
+    next. Running sums from the end of the former and from the beginning of the latter meet in it: the work per cell
+    is the same at any width, and since nothing is ever subtracted, far large values leave no residue in small ones.
 
-    Each window adds up its own values, whatever its width: differences of running sums
-    would carry rounding residue and missing numbers from far cells into small ones.
+    A group holds two neighbouring blocks of one grid row and the windows that start in the first, so long rows are
+    split. A cell enters two groups as a value and one as a result, all in one exchange.
     """
-    frame = _window(axis, part).rangeBetween(*frame_ends(sf))
-    exprs = {"s": F.sum(F.col(col).cast("double")), "n": F.count(F.col(col)), "rows": F.count(F.lit(1))}
-    return {k: e.over(frame) for k, e in exprs.items()}
+    other = "lon_idx" if axis == "lat_idx" else "lat_idx"
+    first, last = frame_ends(sf)
+    at, cols = F.col(axis).cast("long"), list(dict.fromkeys(cols))
+    block = lambda c: F.floor(c / F.lit(sf)).cast("long")
+    # a value stands at its place, a result where its window starts, or ends, behind the value of that place
+    role = lambda kind, group, low, high: F.struct(F.lit(kind).alias("_role"), group.alias("_block"), low.alias("_low"), high.alias("_high"))
+    roles = F.array(
+        role(_SUFFIX, block(at), at, at),
+        role(_PREFIX, block(at) - 1, at, at),
+        role(_RESULT, block(at + first), at + first, at + last),
+    )
+    kept = {*cols, *part, *CELL}
+    rows = df.select("*", F.inline(roles)).withColumns({c: F.when(F.col("_role") == _RESULT, F.col(c)) for c in df.columns if c not in kept})
+    group = Window.partitionBy(*part, other, "_block")
+    sums = {}
+    for kind, place in ((_SUFFIX, F.desc("_low")), (_PREFIX, F.asc("_high"))):
+        so_far = group.orderBy(place, "_role").rowsBetween(Window.unboundedPreceding, 0)
+        mine = F.col("_role") == kind
+        sums[f"_rows{kind}"] = F.count(F.when(mine, F.lit(1))).over(so_far)
+        for c in cols:
+            sums[f"_s{kind}_{c}"] = F.sum(F.when(mine, F.col(c).cast("double"))).over(so_far)
+            sums[f"_n{kind}_{c}"] = F.count(F.when(mine, F.col(c))).over(so_far)
+    both = lambda name: F.col(name.format(_SUFFIX)) + F.col(name.format(_PREFIX))
+    out = {"_rows": both("_rows{}")}
+    for c in cols:
+        one, two = F.col(f"_s{_SUFFIX}_{c}"), F.col(f"_s{_PREFIX}_{c}")
+        out |= {f"_s_{c}": F.coalesce(one + two, one, two), f"_n_{c}": both("_n{}_" + c)}
+    found = rows.withColumns(sums).where(F.col("_role") == _RESULT).withColumns(out)
+    return found.drop(*sums, "_role", "_block", "_low", "_high")
+
+
+def _stats(col: str) -> dict[str, Column]:
+    return {"s": F.col(f"_s_{col}"), "n": F.col(f"_n_{col}"), "rows": F.col("_rows")}
+
+
+def _drop_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.drop("_rows", *[f"_{k}_{c}" for k in "sn" for c in cols])
 
 
 Fold = Callable[[dict[str, Column]], Column]
@@ -58,12 +94,10 @@ def separable(
     results. All statistics share the two exchanges.
     """
     for axis in ("lon_idx", "lat_idx"):
-        df = df.withColumns(
-            {
-                out: fold(_window_stats(col if axis == "lon_idx" else out, sf, axis, part))
-                for out, (col, fold) in stats.items()
-            }
-        )
+        cols = [col if axis == "lon_idx" else out for out, (col, _) in stats.items()]
+        slid = _slide(df, cols, sf, axis, part)
+        found = {out: fold(_stats(c)) for c, (out, (_, fold)) in zip(cols, stats.items(), strict=True)}
+        df = _drop_stats(slid.withColumns(found), cols)
     return df
 
 
@@ -92,11 +126,9 @@ def moving_mean(
 def moving_mean_2d(df: DataFrame, col: str, sf: int, out: str | None = None, part: Sequence[str] = ()) -> DataFrame:
     """Flat mean over the sf x sf window (W5): sums and counts are separable, so two passes are exact."""
     out = out or f"{col}_mean2d"
-    s1 = _window_stats(col, sf, "lon_idx", part)
-    df = df.withColumns({"_s": s1["s"], "_n": s1["n"].cast("double")})
-    s2 = _window_stats("_s", sf, "lat_idx", part)
-    n2 = _window_stats("_n", sf, "lat_idx", part)
-    return df.withColumn(out, s2["s"] / F.nullif(n2["s"], F.lit(0.0))).drop("_s", "_n")
+    df = _slide(df, [col], sf, "lon_idx", part).withColumnsRenamed({f"_s_{col}": "_s", f"_n_{col}": "_n"}).drop("_rows")
+    df = _slide(df, ["_s", "_n"], sf, "lat_idx", part).withColumn(out, F.col("_s__s") / F.nullif(F.col("_s__n"), F.lit(0.0)))
+    return _drop_stats(df, ["_s", "_n"]).drop("_s", "_n")
 
 
 def moving_sum(

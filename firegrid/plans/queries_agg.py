@@ -498,7 +498,7 @@ def _w1(name: str, sf: int, need: int = 1):
 
 _w1("w1_moving_mean", 3)
 _w1("w1_moving_mean_even", 4)
-_w1("w1_moving_mean_prefix", 5)
+_w1("w1_moving_mean_wide", 15)
 _w1("w3_moving_mean_min_count", 5, 3)
 
 
@@ -556,7 +556,7 @@ def _w6(name: str, sf: int):
 
 
 _w6("w6_moving_sum", 3)
-_w6("w6_moving_sum_prefix", 9)
+_w6("w6_moving_sum_wide", 9)
 
 
 @query(

@@ -1,5 +1,7 @@
 """Moving windows, coarsening, regridding and masks against hand-made or brute-force answers."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -169,3 +171,39 @@ def test_focal_fill(spark):
     out = W.focal_fill(raster(spark, a), "v", 1, 1)
     assert out.where("filled IS NULL").count() == 0
     assert out.where("lat_idx = 2 AND lon_idx = 2").first()["filled"] == pytest.approx(2.0)
+
+
+@pytest.mark.parametrize("sf", [1, 2, 3, 4, 49, 201])
+def test_wide_windows_leave_no_residue(spark, sf):
+    """Values of 1e12 next to 1e-6, gaps of any length, several layers: equal to adding up each window."""
+    rng = np.random.default_rng(sf)
+    a = np.where(rng.random((2, 3, 700)) < 0.02, 1e12, 1e-6) * rng.random((2, 3, 700))
+    a[rng.random(a.shape) < 0.2] = np.nan
+    here = rng.random(a.shape) < 0.7
+    here[0, 1, 100:650] = False
+    rows = [(k, i - 1, j - 300, None if np.isnan(a[k, i, j]) else float(a[k, i, j]), "x") for k, i, j in np.argwhere(here).tolist()]
+    df = spark.createDataFrame(rows, "layer int, lat_idx int, lon_idx int, v double, name string")
+    got = W._slide(df, ["v"], sf, "lon_idx", ["layer"])
+    assert got.columns == [*df.columns, "_rows", "_s_v", "_n_v"]
+    got = {(r.layer, r.lat_idx, r.lon_idx): (r._s_v, r._n_v, r._rows, r.v, r.name) for r in got.collect()}
+    assert len(got) == len(rows)
+    lo, hi = W.frame_ends(sf)
+    for k, i, j, v, name in rows:
+        cut = slice(max(0, j + 300 + lo), j + 300 + hi + 1)
+        w = a[k, i + 1, cut][here[k, i + 1, cut]]
+        known = w[~np.isnan(w)]
+        s, *rest = got[k, i, j]
+        assert rest == [len(known), len(w), v, name]
+        assert s == pytest.approx(known.sum(), rel=1e-12) if len(known) else s is None
+
+
+def test_window_work_does_not_follow_the_width(spark):
+    df = spark.range(200_000).selectExpr("0 AS lat_idx", "CAST(id AS INT) AS lon_idx", "CAST(id AS DOUBLE) AS v")
+    took = {}
+    for sf in (3, 3, 4001):
+        out = W._slide(df, ["v"], sf, "lon_idx", [])
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        t = time.perf_counter()
+        assert out.agg(F.max("_rows")).first()[0] == sf
+        took[sf] = time.perf_counter() - t
+    assert took[4001] < 5 * took[3] + 1  # adding up every window would take 4001 / 3 times as long
