@@ -37,6 +37,11 @@ class GridSpec:
     nlat: int
     nlon: int
 
+    @property
+    def all_round(self) -> bool:
+        """Whether the columns go round the whole globe."""
+        return abs(self.nlon * abs(self.dlon) - 360.0) < 1e-6
+
     def lat(self, idx: Column | str = "lat_idx") -> Column:
         return F.lit(float(self.lat0)) + as_col(idx) * F.lit(float(self.dlat))
 

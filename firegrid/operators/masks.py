@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,13 +20,13 @@ def bbox(df: DataFrame, lon0: float, lon1: float, lat0: float, lat1: float, g: G
     """
     if g is None:
         return df.where(F.col("lat").between(lat0, lat1) & F.col("lon").between(lon0, lon1))
-    lat_ids = [i for i in range(g.nlat) if lat0 <= g.lat0 + i * g.dlat <= lat1]
-    lon_ids = [j for j in range(g.nlon) if lon0 <= g.lon0 + j * g.dlon <= lon1]
-    if not lat_ids or not lon_ids:
-        return df.where(F.lit(False))
-    return df.where(
-        F.col("lat_idx").between(min(lat_ids), max(lat_ids)) & F.col("lon_idx").between(min(lon_ids), max(lon_ids))
-    )
+    bounds = []
+    for base, step, n, lo, hi in ((g.lat0, g.dlat, g.nlat, lat0, lat1), (g.lon0, g.dlon, g.nlon, lon0, lon1)):
+        # places of the ends on the axis; rounding keeps centres that lie on an end
+        a, b = sorted((round((lo - base) / step, 9), round((hi - base) / step, 9)))
+        bounds.append((max(math.ceil(a), 0), min(math.floor(b), n - 1)) if lo <= hi else (0, -1))
+    (south, north), (west, east) = bounds
+    return df.where(F.col("lat_idx").between(south, north) & F.col("lon_idx").between(west, east))
 
 
 def between_dates(df: DataFrame, start: str, end: str, col: str = "t") -> DataFrame:
@@ -100,7 +101,34 @@ def drop_null_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFr
     return df.dropna("any", subset=list(subset) if subset else None)
 
 
-def polygon_cells(vertices: DataFrame, g: GridSpec, poly: str = "poly_id", n: str | None = None) -> DataFrame:
+def _edges(vertices: DataFrame, poly: str, shorter: bool) -> DataFrame:
+    """``poly, lon, lat, lon2, lat2`` of every edge, with longitudes that go on beyond 180 degrees."""
+    ring = Window.partitionBy(poly, "ring").orderBy("seq")
+    whole = Window.partitionBy(poly, "ring")
+    closed = vertices.withColumns(
+        {
+            "lon2": F.coalesce(F.lead("lon").over(ring), F.min_by("lon", "seq").over(whole)),
+            "lat2": F.coalesce(F.lead("lat").over(ring), F.min_by("lat", "seq").over(whole)),
+        }
+    )
+    if not shorter:
+        return closed.select(poly, "lon", "lat", "lon2", "lat2")
+    step = F.col("lon2") - F.col("lon")
+    turn = F.when(step > 180, F.lit(-360.0)).when(step < -180, F.lit(360.0)).otherwise(F.lit(0.0))
+    before = ring.rowsBetween(Window.unboundedPreceding, -1)
+    unrolled = closed.withColumn("_turn", turn).withColumns(
+        {"_off": F.coalesce(F.sum("_turn").over(before), F.lit(0.0)), "_round": F.sum("_turn").over(whole), "_pole": F.signum(F.avg("lat").over(whole)) * 90, "_first": F.min("seq").over(whole)}
+    )
+    edge = lambda lon, lat, lon2, lat2: F.struct(lon.alias("lon"), lat.alias("lat"), lon2.alias("lon2"), lat2.alias("lat2"))
+    lon, lat = F.col("lon") + F.col("_off"), F.col("lat")
+    own = edge(lon, lat, F.col("lon2") + F.col("_off") + F.col("_turn"), F.col("lat2"))
+    # a ring once round the globe is closed over the pole on its side
+    up, down = edge(lon, lat, lon, F.col("_pole")), edge(lon + F.col("_round"), lat, lon + F.col("_round"), F.col("_pole"))
+    around = (F.col("_round") != 0) & (F.col("seq") == F.col("_first"))
+    return unrolled.select(poly, F.inline(F.when(around, F.array(own, up, down)).otherwise(F.array(own))))
+
+
+def polygon_cells(vertices: DataFrame, g: GridSpec, poly: str = "poly_id", shorter: bool = True) -> DataFrame:
     """Cells whose centre lies inside a polygon, even-odd rule.
 
     ``vertices``: (poly, ring, seq, lon, lat); rings close themselves. Scanline
@@ -108,15 +136,11 @@ def polygon_cells(vertices: DataFrame, g: GridSpec, poly: str = "poly_id", n: st
     merged per (row, column), and the span between an odd crossing and the next one is
     inside. Work is edges x rows and the cells reported; cells are never paired
     with edges.
+
+    An edge goes the shorter way round the globe, over the date line if need be, unless ``shorter`` is off: then
+    longitudes are plain numbers. A ring that goes once round holds the pole on its side of the equator.
     """
-    ring = Window.partitionBy(poly, "ring").orderBy("seq")
-    whole = Window.partitionBy(poly, "ring")
-    edges = vertices.withColumns(
-        {
-            "lon2": F.coalesce(F.lead("lon").over(ring), F.min_by("lon", "seq").over(whole)),
-            "lat2": F.coalesce(F.lead("lat").over(ring), F.min_by("lat", "seq").over(whole)),
-        }
-    ).where(F.col("lat") != F.col("lat2"))
+    edges = _edges(vertices, poly, shorter).where(F.col("lat") != F.col("lat2"))
     south, north = F.least("lat", "lat2"), F.greatest("lat", "lat2")
     step, base = F.lit(g.dlat), F.lit(g.lat0)
     ends = [(south - base) / step, (north - base) / step]
@@ -126,16 +150,19 @@ def polygon_cells(vertices: DataFrame, g: GridSpec, poly: str = "poly_id", n: st
     crossing = F.col("lon") + (y - F.col("lat")) / (F.col("lat2") - F.col("lat")) * (F.col("lon2") - F.col("lon"))
     # column from which on the centre is no longer left of the crossing
     at = F.ceil((crossing - F.lit(g.lon0)) / F.lit(g.dlon)).cast("long")
+    # the polygon as it stands, and one turn further west and east
+    turns = F.explode(F.array(*[F.lit(t) for t in ((0.0, -360.0, 360.0) if shorter else (0.0,))]))
+    edges = edges.withColumn("_t", turns).withColumns({"lon": F.col("lon") + F.col("_t"), "lon2": F.col("lon2") + F.col("_t")})
     toggles = (
         edges.where(last >= first)
         .withColumn("lat_idx", F.explode(F.sequence(first, last)))
         .where((y >= south) & (y < north))
-        .select(poly, "lat_idx", F.greatest(F.least(at, F.lit(g.nlon)), F.lit(0)).cast("int").alias("at"))
-        .groupBy(poly, "lat_idx", "at")
+        .select(poly, "_t", "lat_idx", F.greatest(F.least(at, F.lit(g.nlon)), F.lit(0)).cast("int").alias("at"))
+        .groupBy(poly, "_t", "lat_idx", "at")
         .agg((F.count(F.lit(1)) % 2).alias("odd"))
         .where(F.col("odd") == 1)
     )
-    row = Window.partitionBy(poly, "lat_idx").orderBy("at")
+    row = Window.partitionBy(poly, "_t", "lat_idx").orderBy("at")
     spans = (
         toggles.withColumns({"k": F.row_number().over(row), "stop": F.lead("at").over(row)})
         .where((F.col("k") % 2 == 1) & (F.col("stop") > F.col("at")))

@@ -581,6 +581,53 @@ def g4(spark, d):
     return out.select(*CELL, r6("treecover").alias("treecover"))
 
 
+def _middle(s: str, n: str) -> str:
+    """Centre of gravity of the area between two parallels, by its moments."""
+    s, n = f"radians({s})", f"radians({n})"
+    return f"degrees(({n} * sin({n}) + cos({n}) - {s} * sin({s}) - cos({s})) / (sin({n}) - sin({s})))"
+
+
+@query(
+    "g4_conservative_second",
+    "grid_static",
+    f"""SELECT lat_idx, lon_idx, {q6("sum(w * (v + gy * (" + _middle("a0", "a1") + " - c) + gx * ((o0 + o1) / 2 - x))) / sum(w)")} AS treecover FROM ov GROUP BY ALL""",
+    also=f"""src AS (SELECT lat_idx, lon_idx, treecover AS v, {_middle("39.25e0 + lat_idx * 1.5e0", "40.75e0 + lat_idx * 1.5e0")} AS c, -10.0e0 + lon_idx * 5.0e0 AS x FROM grid_static WHERE treecover IS NOT NULL),
+  grd AS (SELECT s.*, coalesce((coalesce(t.v, s.v) - coalesce(b.v, s.v)) / nullif(coalesce(t.c, s.c) - coalesce(b.c, s.c), 0), 0) AS gy,
+      coalesce((coalesce(r.v, s.v) - coalesce(l.v, s.v)) / nullif(coalesce(r.x, s.x) - coalesce(l.x, s.x), 0), 0) AS gx
+    FROM src s LEFT JOIN src t ON t.lat_idx = s.lat_idx + 1 AND t.lon_idx = s.lon_idx LEFT JOIN src b ON b.lat_idx = s.lat_idx - 1 AND b.lon_idx = s.lon_idx
+    LEFT JOIN src l ON l.lat_idx = s.lat_idx AND l.lon_idx = s.lon_idx - 1 LEFT JOIN src r ON r.lat_idx = s.lat_idx AND r.lon_idx = s.lon_idx + 1),
+  ova AS (SELECT CAST(i AS INTEGER) AS lat_idx, CAST(j AS INTEGER) AS lon_idx, v, gy, gx, c, x,
+   greatest(39.25e0 + s.lat_idx * 1.5e0, 39.75e0 + i * 2.5e0) AS a0, least(40.75e0 + s.lat_idx * 1.5e0, 42.25e0 + i * 2.5e0) AS a1,
+   greatest(-12.5e0 + s.lon_idx * 5.0e0, -11.5e0 + j * 7.0e0) AS o0, least(-7.5e0 + s.lon_idx * 5.0e0, -4.5e0 + j * 7.0e0) AS o1
+   FROM range(11) a(i), range(26) b(j), grd s),
+  ov AS (SELECT *, (sin(radians(a1)) - sin(radians(a0))) * radians(o1 - o0) AS w FROM ova WHERE a1 - a0 > 1e-9 AND o1 - o0 > 1e-9)""",
+)
+def g4_second(spark, d):
+    out = Gd.conservative(X.grid_static(spark, d).select(*CELL, "treecover"), "treecover", G, COARSE, order=2)
+    return out.select(*CELL, r6("treecover").alias("treecover"))
+
+
+# the same cells as a grid of the whole globe, and a finer one shifted against it
+GLOBE, GLOBE_FINE = GridSpec(-85.5, -175.5, 9.0, 9.0, 20, 40), GridSpec(-88.0, 2.0, 4.0, 4.0, 45, 90)
+
+
+@query(
+    "g3_bilinear_globe",
+    "grid_static",
+    f"""SELECT lat_idx, lon_idx, {q6("CASE WHEN count(v) = count(*) THEN sum(w * v) END")} AS treecover FROM prt LEFT JOIN src USING (y, x) WHERE w > 0 GROUP BY lat_idx, lon_idx""",
+    also="""src AS (SELECT lat_idx AS y, lon_idx AS x, CAST(treecover AS DOUBLE) AS v FROM grid_static
+    UNION ALL SELECT CASE WHEN lat_idx = 0 THEN -1 ELSE 20 END AS y, unnest(range(0, 40)) AS x, CASE WHEN count(treecover) = 40 THEN avg(treecover) END AS v FROM grid_static WHERE lat_idx IN (0, 19) GROUP BY lat_idx),
+  tg AS (SELECT CAST(i AS INTEGER) AS lat_idx, CAST(j AS INTEGER) AS lon_idx, round((-88.0e0 + i * 4.0e0 + 85.5e0) / 9.0e0, 9) AS ry, round((2.0e0 + j * 4.0e0 + 175.5e0) / 9.0e0, 9) AS rx FROM range(45) a(i), range(90) b(j)),
+  tgt AS (SELECT lat_idx, lon_idx, CASE WHEN ry < 0 THEN ry * 2 WHEN ry > 19 THEN 19 + (ry - 19) * 2 ELSE ry END AS fy, rx - 40 * floor(rx / 40) AS fx FROM tg),
+  prt AS (SELECT lat_idx, lon_idx, CAST(floor(fy) + dy AS INTEGER) AS y, CAST(floor(fx) + dx AS INTEGER) % 40 AS x,
+     (CASE WHEN dy = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) * (CASE WHEN dx = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) AS w FROM tgt, range(2) a(dy), range(2) b(dx))""",
+)
+def g3_globe(spark, d):
+    """Every target has a value: columns meet at the date line, rows at the poles."""
+    out = Gd.bilinear(X.grid_static(spark, d).select(*CELL, "treecover"), "treecover", GLOBE, GLOBE_FINE)
+    return out.select(*CELL, r6("treecover").alias("treecover"))
+
+
 @query(
     "g5_enlarge",
     "cells grid_obs",

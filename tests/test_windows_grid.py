@@ -207,3 +207,110 @@ def test_window_work_does_not_follow_the_width(spark):
         assert out.agg(F.max("_rows")).first()[0] == sf
         took[sf] = time.perf_counter() - t
     assert took[4001] < 5 * took[3] + 1  # adding up every window would take 4001 / 3 times as long
+
+
+def _area_means(g, f):
+    """Exact area means of a + b * lat + c * lon on the cells of a grid."""
+    a, b, c = f
+    south = np.radians(g.lat0 + np.arange(g.nlat) * g.dlat - abs(g.dlat) / 2)
+    north = south + np.radians(abs(g.dlat))
+    middle = np.degrees((north * np.sin(north) + np.cos(north) - south * np.sin(south) - np.cos(south)) / (np.sin(north) - np.sin(south)))
+    return a + b * middle[:, None] + c * (g.lon0 + np.arange(g.nlon) * g.dlon)[None, :]
+
+
+@pytest.mark.parametrize("g_in,g_out", [
+    (GridSpec(40.25, 10.25, 0.5, 0.5, 24, 30), GridSpec(40.85, 10.65, 0.7, 0.9, 15, 15)),
+    (GridSpec(60.0, 20.0, -1.5, 2.0, 12, 9), GridSpec(46.0, 21.1, 0.4, 0.3, 30, 40)),
+])
+def test_second_order_remap_keeps_linear_fields(spark, g_in, g_out):
+    f = (3.0, -0.7, 0.31)
+    got = dense(R.conservative(raster(spark, _area_means(g_in, f)), "v", g_in, g_out, order=2), "v", (g_out.nlat, g_out.nlon))
+    want = _area_means(g_out, f)
+    ys, xs = (g_in.lat0 + np.array([-0.5, g_in.nlat - 0.5]) * g_in.dlat, g_in.lon0 + np.array([-0.5, g_in.nlon - 0.5]) * g_in.dlon)
+    lat, lon = g_out.lat0 + np.arange(g_out.nlat) * g_out.dlat, g_out.lon0 + np.arange(g_out.nlon) * g_out.dlon
+    inside = np.ix_((lat - abs(g_out.dlat) / 2 >= ys.min()) & (lat + abs(g_out.dlat) / 2 <= ys.max()), (lon - g_out.dlon / 2 >= xs.min()) & (lon + g_out.dlon / 2 <= xs.max()))
+    assert got[inside].size > 50
+    np.testing.assert_allclose(got[inside], want[inside], rtol=1e-11)
+    flat = dense(R.conservative(raster(spark, _area_means(g_in, f)), "v", g_in, g_out), "v", (g_out.nlat, g_out.nlon))
+    assert np.abs(flat[inside] - want[inside]).max() > 1e-3
+
+
+@pytest.mark.parametrize("order", [1, 2])
+def test_remap_keeps_the_integral_over_the_globe(spark, order):
+    """Grids that start at different meridians; the target covers the source, so no area is lost."""
+    g_in, g_out = GridSpec(-87.5, -177.5, 5.0, 5.0, 36, 72), GridSpec(86.0, 4.0, -8.0, 8.0, 22, 45)
+    g_out = GridSpec(84.0, 4.0, -12.0, 8.0, 15, 45)
+    a = np.random.default_rng(1).random((36, 72)) ** 3
+    got = dense(R.conservative(raster(spark, a), "v", g_in, g_out, order=order), "v", (15, 45))
+    assert not np.isnan(got).any()
+
+    def integral(v, g):
+        lat = g.lat0 + np.arange(g.nlat) * g.dlat
+        strip = np.sin(np.radians(lat + abs(g.dlat) / 2)) - np.sin(np.radians(lat - abs(g.dlat) / 2))
+        return (v * strip[:, None]).sum() * np.radians(abs(g.dlon))
+
+    assert integral(got, g_out) == pytest.approx(integral(a, g_in), rel=1e-12)
+
+
+def test_gradient_next_to_gaps(spark):
+    a = np.array([[1.0, np.nan, 5.0, 9.0], [np.nan, np.nan, 6.0, 10.0]])
+    g = GridSpec(0.0, 10.0, 2.0, 2.0, 2, 4)
+    got = {(r.lat_idx, r.lon_idx): (r.gy, r.gx) for r in R.gradients(raster(spark, a), "v", g).collect()}
+    assert got[0, 0] == (0.0, 0.0) and got[0, 2][1] == got[0, 3][1] == 2.0  # one neighbour each
+    assert got[0, 2][0] == pytest.approx(0.5, rel=1e-3) and set(got) == {(0, 0), (0, 2), (0, 3), (1, 2), (1, 3)}
+    assert R.conservative(raster(spark, a).where("v IS NULL"), "v", g, g, order=2).count() == 0
+
+
+def test_bilinear_covers_the_globe(spark):
+    g_in, g_out = GridSpec(88.0, 2.0, -4.0, 4.0, 45, 90), GridSpec(-89.5, -179.5, 1.0, 1.0, 180, 360)
+    lat, lon = np.radians(g_in.lat0 + np.arange(45) * g_in.dlat), np.radians(g_in.lon0 + np.arange(90) * g_in.dlon)
+    field = lambda la, lo: np.cos(la)[:, None] * np.cos(lo)[None, :] + np.sin(la)[:, None]
+    got = dense(R.bilinear(raster(spark, field(lat, lon)), "v", g_in, g_out), "v", (180, 360))
+    assert not np.isnan(got).any()
+    want = field(np.radians(-89.5 + np.arange(180)), np.radians(-179.5 + np.arange(360)))
+    assert np.abs(got - want).max() < 2e-3
+
+
+def _inside(x, y, ring):
+    """Even-odd rule in the plane."""
+    odd = False
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+        if (y1 <= y < y2 or y2 <= y < y1) and x < x1 + (y - y1) / (y2 - y1) * (x2 - x1):
+            odd = not odd
+    return odd
+
+
+@pytest.mark.parametrize("ring", [
+    [(170, 10.3), (-170, 10.3), (-170, 30.2), (170, 30.2)],
+    [(-175.3, -20), (160, -5), (175, 33.3), (-160.7, 12), (178, 2)],
+    [(359, 1.1), (3, 1.1), (2, 9.7)],
+])
+def test_polygon_over_the_date_line(spark, ring):
+    plain = [(x % 360 if ring[0][0] < 300 else (x + 180) % 360, y) for x, y in ring]  # no edge crosses the edge of these numbers
+    v = spark.createDataFrame([(1, 0, k, float(x), float(y)) for k, (x, y) in enumerate(ring)], "poly_id int, ring int, seq int, lon double, lat double")
+    for g in (GridSpec(-88.0, -178.0, 4.0, 4.0, 45, 90), GridSpec(88.0, 2.0, -4.0, 4.0, 45, 90)):
+        got = [(r.lat_idx, r.lon_idx) for r in M.polygon_cells(v, g).collect()]
+        move = 0 if ring[0][0] < 300 else 180
+        want = {(i, j) for i in range(45) for j in range(90) if _inside((g.lon0 + j * g.dlon + move) % 360, g.lat0 + i * g.dlat, plain)}
+        assert len(got) == len(set(got)) and set(got) == want and want or ring[0][0] > 300
+
+
+def test_polygon_round_the_pole(spark):
+    ring = [(0, 61.05), (90, 65.1), (180, 61.05), (-90, 70.07)]
+    v = spark.createDataFrame([(1, 0, k, float(x), y) for k, (x, y) in enumerate(ring)], "poly_id int, ring int, seq int, lon double, lat double")
+    g = GridSpec(-88.0, -178.0, 4.0, 4.0, 45, 90)
+    got = [(r.lat_idx, r.lon_idx) for r in M.polygon_cells(v, g).collect()]
+    unrolled = [(-180, 61.05), (-90, 70.07), (0, 61.05), (90, 65.1), (180, 61.05)]
+    edge = lambda lon: np.interp(lon, [x for x, _ in unrolled], [y for _, y in unrolled])
+    want = {(i, j) for i in range(45) for j in range(90) if -88 + 4 * i > edge(-178 + 4 * j)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_box_bounds(spark):
+    g = GridSpec(0.1, 0.1, 0.1, 0.1, 30, 30)  # 0.1 * 3 is not 0.3
+    df = g.lattice(spark)
+    got = M.bbox(df, 0.3, 0.7, 0.6, 1.2, g)
+    assert {tuple(r) for r in got.agg(F.min("lat_idx"), F.max("lat_idx"), F.min("lon_idx"), F.max("lon_idx")).collect()} == {(5, 11, 2, 6)}
+    assert M.bbox(df, 5.0, 6.0, 0.0, 1.0, g).count() == 0 and M.bbox(df, 1.0, 0.5, 0.0, 1.0, g).count() == 0
+    down = GridSpec(3.0, 0.1, -0.1, 0.1, 30, 30)
+    assert {r[0] for r in M.bbox(df, 0.1, 0.1, 2.8, 3.0, down).select("lat_idx").collect()} == {0, 1, 2}
