@@ -75,59 +75,59 @@ LISTED = 64
 _DRAWN = 4096
 
 
-def _middle(s: np.ndarray, k: int) -> float:
-    return float(np.partition(s, k)[k])
-
-
 def median_slope(x: np.ndarray, y: np.ndarray) -> float:
     """Median of the slopes of all pairs; ``x`` ascending and distinct. n log n in time, linear in memory.
 
-    The slopes between two bounds are the pairs whose order by ``y - bound * x`` differs. Bounds are drawn closer round
-    the middle, by ranks of slopes drawn at random between them, until few enough are left to be listed. Slopes
-    that agree up to rounding are one value.
+    NaN for fewer than two values, and where a value is not finite. Slopes that agree up to rounding are one value.
     """
     n = len(x)
     pairs = n * (n - 1) // 2
-    if pairs == 0:
+    if pairs == 0 or not np.isfinite(y).all():
         return np.nan
     x, y = x - x[n // 2], y - y[n // 2]
-    wanted = sorted({(pairs - 1) // 2, pairs // 2})
+    middle = sorted({(pairs - 1) // 2, pairs // 2})
+    return sum(_slope_of_rank(x, y, k, np.random.default_rng(n)) for k in middle) / len(middle)
+
+
+def _slope_of_rank(x: np.ndarray, y: np.ndarray, k: int, rng: np.random.Generator) -> float:
+    """The slope with ``k`` others before it.
+
+    The slopes between two bounds are the pairs whose order by ``y - bound * x`` differs. Slopes drawn at random from
+    them, a little below and above the wanted rank, cut off what lies beyond, until few enough are left to be listed.
+    A cut leaves out its own slope too, so every round is narrower.
+    """
+    n = len(x)
     # relative rounding of y - t * x, as an error of the slope
-    fuzz = lambda t: 8 * np.finfo(float).eps * (np.abs(y).max() + abs(t) * np.abs(x).max()) / np.diff(x).min()
+    least = np.finfo(float).tiny
+    fuzz = lambda t: least + 8 * np.finfo(float).eps * (np.abs(y).max() + abs(t) * np.abs(x).max()) / np.diff(x).min()
     below = lambda t: int(inversions((y - t * x)[None, :])[0])
-    low, high, under, inside = -np.inf, np.inf, 0, pairs
-    slope = lambda i, j: (y[j] - y[i]) / (x[j] - x[i])
+    low, high, under, upto = -np.inf, np.inf, 0, n * (n - 1) // 2
 
-    def between() -> tuple[np.ndarray, _Crossings]:
-        """The series in its order at the lower bound, and what changes from there to the upper one."""
+    def between(numbers: np.ndarray | None) -> np.ndarray:
+        """Slopes between the bounds: those with these numbers, or all."""
         order = np.arange(n) if low == -np.inf else np.argsort(y - low * x, kind="stable")
         # at the upper end every later value comes first
         at_high = np.argsort(np.argsort(y - high * x, kind="stable")) if high < np.inf else np.arange(n)[::-1]
-        order = np.arange(n) if low == -np.inf else order
-        return order, _Crossings(at_high[order])
-
-    rng, spread = np.random.default_rng(n), 3.0
-    while inside > LISTED * n:
-        order, crossings = between()
-        i, j = crossings.pairs(rng.integers(0, crossings.total, _DRAWN))
-        drawn = np.sort(slope(order[i], order[j]))
-        at = [(k - under) / inside * _DRAWN for k in wanted]
-        a = drawn[int(max(at[0] - spread * _DRAWN**0.5, 0))]
-        b = drawn[int(min(at[-1] + spread * _DRAWN**0.5, _DRAWN - 1))]
-        lo, hi = max(a - fuzz(a), low), min(b + fuzz(b), high)
-        under_lo = under if lo == low else below(lo)
-        under_hi = under + inside if hi == high else below(hi)
-        if not under_lo <= wanted[0] or not wanted[-1] < under_hi:
-            spread *= 2
-        elif a == b:
-            return float(a)
-        elif under_hi - under_lo >= inside:  # no narrower: most slopes lie on one of the bounds
-            spread /= 2
-        else:
-            low, high, under, inside = lo, hi, under_lo, under_hi - under_lo
-        if spread < 0.01:
-            return float(drawn[int(at[0])])
-    order, crossings = between()
-    i, j = crossings.pairs(np.arange(crossings.total))
-    found = slope(order[i], order[j])
-    return sum(_middle(found, min(max(k - under, 0), len(found) - 1)) for k in wanted) / len(wanted)
+        crossings = _Crossings(at_high[order])
+        i, j = crossings.pairs(np.arange(crossings.total) if numbers is None else (numbers * crossings.total).astype(np.int64))
+        i, j = order[i], order[j]
+        return np.sort((y[j] - y[i]) / (x[j] - x[i]))
+
+    while upto - under > LISTED * n:
+        drawn = between(rng.random(_DRAWN))
+        inside, at = upto - under, (k - under) / (upto - under) * _DRAWN
+        for v in (drawn[int(max(at - 3 * _DRAWN**0.5, 0))], drawn[int(min(at + 3 * _DRAWN**0.5, _DRAWN - 1))]):
+            if not low < v < high:
+                continue
+            lo, hi = max(v - fuzz(v), low), min(v + fuzz(v), high)
+            under_lo, under_hi = under if lo == low else below(lo), upto if hi == high else below(hi)
+            if k < under_lo:
+                high, upto = lo, under_lo
+            elif k >= under_hi:
+                low, under = hi, under_hi
+            else:
+                return float(v)
+        if upto - under == inside:  # what is left agrees up to rounding
+            return float(drawn[int(at)])
+    found = between(None)
+    return float(found[min(max(k - under, 0), len(found) - 1)])

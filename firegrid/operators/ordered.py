@@ -282,14 +282,14 @@ def adjust_p(
 
 
 def reject_p(df: DataFrame, p: str, method: str = "fdr_bh", alpha: float = 0.10) -> DataFrame:
-    """Only the reject flag of :func:`adjust_p`.
+    """Only the reject flag of :func:`adjust_p`; NULL where p is NULL or NaN.
 
     Rejection is a threshold on p, so the table itself is never shuffled: one number is
     sent to every task.
     """
     cum = _raw_adjusted(cumulate(df, p), method)
     limit = cum.where(F.col("raw") <= alpha).agg(F.max("v").alias("_limit"))
-    flag = F.when(F.col(p).isNotNull(), F.coalesce(F.col(p) <= F.col("_limit"), F.lit(False)))
+    flag = F.when(_known(p), F.coalesce(F.col(p) <= F.col("_limit"), F.lit(False)))
     return df.join(F.broadcast(limit)).withColumn("reject", flag).drop("_limit")  # one row
 
 

@@ -17,10 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from firegrid.functions.ranks import LISTED, inversions, median_slope
 from firegrid.functions.stats import correlation, f_pvalue_df1_1, f_pvalue_df1_2, t_pvalue_from_r
 from firegrid.grid import CELL, at_least
 from firegrid.operators.ordered import adjust_p
 from firegrid.operators.windows import average_rank
+from firegrid.session import cut_lineage
 
 __all__ = ["adjust_p"]
 
@@ -58,44 +60,6 @@ def _same_length(xs: pd.Series, ys: pd.Series):
             yield part, np.stack(xs.iloc[part].to_list()), np.stack(ys.iloc[part].to_list())
 
 
-def _long_series_median_slope(x: np.ndarray, y: np.ndarray) -> float:
-    """Median pairwise slope with linear memory: rows of the pair triangle in
-    turn, the middle value found by narrowing its bounds.
-    """
-
-    def count(limit):
-        below = 0
-        for i in range(len(x) - 1):
-            dx = x[i + 1 :] - x[i]
-            s = (y[i + 1 :] - y[i])[dx != 0] / dx[dx != 0]
-            below += int((s <= limit).sum())
-        return below
-
-    total, lo, hi = 0, np.inf, -np.inf
-    for i in range(len(x) - 1):
-        dx = x[i + 1 :] - x[i]
-        s = (y[i + 1 :] - y[i])[dx != 0] / dx[dx != 0]
-        total += s.size
-        if s.size:
-            lo, hi = min(lo, s.min()), max(hi, s.max())
-
-    def kth(k):
-        a, b = lo, hi
-        while count(a) < k + 1:
-            mid = a + (b - a) / 2
-            if mid <= a or mid >= b:
-                return b
-            if count(mid) >= k + 1:
-                b = mid
-            else:
-                a = mid
-        return a
-
-    if total == 0:
-        return np.nan
-    return kth(total // 2) if total % 2 else (kth(total // 2 - 1) + kth(total // 2)) / 2
-
-
 @F.pandas_udf(T.StructType([T.StructField("slope", T.DoubleType()), T.StructField("intercept", T.DoubleType())]))
 def _theil_sen(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
     out = np.full((len(xs), 2), np.nan)
@@ -103,9 +67,9 @@ def _theil_sen(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
         n = x.shape[1]
         if n < 2:
             continue
-        if n * (n - 1) // 2 > _BLOCK:
-            slope = np.array([_long_series_median_slope(a, b) for a, b in zip(x, y, strict=True)])
-        else:
+        if n * (n - 1) // 2 > LISTED * n:
+            slope = np.array([median_slope(a, b) for a, b in zip(x, y, strict=True)])
+        else:  # few enough slopes to be listed from the start, for many series at once
             i, j = np.triu_indices(n, 1)
             dx = x[:, j] - x[:, i]
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -174,17 +138,15 @@ def _tau_b(xs: pd.Series, ys: pd.Series) -> pd.Series:
         n = x.shape[1]
         if n < 2:
             continue
-        con = np.zeros(len(rows))
-        tx = np.zeros(len(rows))
-        ty = np.zeros(len(rows))
-        for lag in range(1, n):
-            sx = np.sign(x[:, lag:] - x[:, :-lag])
-            sy = np.sign(y[:, lag:] - y[:, :-lag])
-            con += (sx * sy).sum(axis=1)
-            tx += (sx != 0).sum(axis=1)
-            ty += (sy != 0).sum(axis=1)
+        # steps are distinct and ascending: a pair is tied in y, an inversion of y, or in order
+        ordered = np.sort(y, axis=1)
+        same = ordered[:, 1:] == ordered[:, :-1]
+        run = np.cumsum(same, axis=1)
+        tied = (run - np.maximum.accumulate(np.where(same, 0, run), axis=1)).sum(axis=1)
+        pairs = n * (n - 1) / 2
+        untied = pairs - tied
         with np.errstate(divide="ignore", invalid="ignore"):
-            out[rows] = np.where((tx > 0) & (ty > 0), con / np.sqrt(tx * ty), np.nan)
+            out[rows] = np.where(untied > 0, (untied - 2 * inversions(y)) / np.sqrt(pairs * untied), np.nan)
     return pd.Series(out)
 
 
@@ -325,13 +287,7 @@ def post_event_trend(
 
 
 def site_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
-    """r2 and Kendall's tau-b of two site attributes over the whole table.
-
-    Tau counts discordant pairs without listing them. The table is first merged to distinct
-    (x, y) points with multiplicity and cut into ranges of x rank and of y rank. Pairs that
-    differ in both ranges come from the range-by-range counts alone; pairs sharing a
-    range are counted inside it.
-    """
+    """r2 and Kendall's tau-b of two site attributes over the whole table (T12): see :func:`whole_table_tau`."""
     pts = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
     )
@@ -340,111 +296,61 @@ def site_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     return line.join(tau).select("n", (F.col("r") * F.col("r")).alias("r2"), "tau")  # one row each
 
 
-_STRIP_ROWS, _MAX_STRIPS = 50_000, 1024
+_STRIP_ROWS = 50_000
 
 
-def whole_table_tau(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Kendall's tau-b over all rows, one row of output.
+def _discordant(pts: DataFrame) -> DataFrame:
+    """``pairs``, to be summed up: weights of the pairs of distinct points (``x, y, w``) that x and y order differently.
 
-    The number of ranges grows with the table, so a strip holds about ``_STRIP_ROWS``
-    points. Their bounds come from approximate quantiles: any bounds give the exact
-    result, these keep the strips even.
+    The points are cut into even ranges twice, in the order (x, y) and in the order (y, x). A pair tied in x or in y
+    stands the same way round in both orders, and a value that many points share is spread over ranges like any other. The
+    pairs of one x range are counted in its task. Two points of different x ranges part at the highest differing bit
+    of the ranges' numbers, as in a merge sort: at that level one lies in the left half of a node and one in the right
+    half. A running sum along y counts the right points below each left one, first over the node's y ranges as
+    wholes, then inside each.
     """
-    rows = df.select(F.col(x).alias("x"), F.col(y).alias("y"))
-    k = min(max(-(-rows.count() // _STRIP_ROWS), 1), _MAX_STRIPS)
-    probs = [i / k for i in range(1, k)]
-    bounds = rows.approxQuantile(["x", "y"], probs, 0.25 / k) if probs else [[], []]
-
-    def strip(c: str, cuts: Sequence[float]) -> Column:
-        cuts = sorted(set(cuts))
-        if not cuts:
-            return F.lit(0)
-        return F.size(F.filter(F.array(*[F.lit(v) for v in cuts]), lambda v: v <= F.col(c)))
-
-    pts = (
-        rows.groupBy("x", "y")
-        .agg(F.count(F.lit(1)).alias("w"))
-        .withColumns({"bx": strip("x", bounds[0]), "by": strip("y", bounds[1])})
-    )
-    out = "same_x double, same_y double, same_both double, score double, n double"
-
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs differing in both ranges, from at most ``_MAX_STRIPS``^2 counts."""
-        m = np.zeros((int(pdf["bx"].max()) + 1, int(pdf["by"].max()) + 1))
-        m[pdf["bx"], pdf["by"]] = pdf["w"]
-        later = np.zeros_like(m)
-        later[:-1, :-1] = m[1:, 1:][::-1, ::-1].cumsum(0).cumsum(1)[::-1, ::-1]
-        swap = np.zeros_like(m)
-        swap[:-1, 1:] = m[1:, :-1][::-1].cumsum(0)[::-1].cumsum(1)
-        return pd.DataFrame(
-            {"same_x": [0.0], "same_y": [0.0], "same_both": [0.0], "score": [(m * later).sum() - (m * swap).sum()], "n": [m.sum()]}
-        )
-
-    cells = pts.groupBy("bx", "by").agg(F.sum("w").alias("w")).groupBy(F.lit(0).alias("_all")).applyInPandas(
-        lambda pdf: across(pdf), out
-    )
+    pts = cut_lineage(pts)
+    k = max(-(-pts.count() // _STRIP_ROWS), 1)
+    placed = pts.repartitionByRange(k, "x", "y").withColumn("xb", F.spark_partition_id())
+    placed = cut_lineage(placed.repartitionByRange(k, "y", "x").withColumn("yb", F.spark_partition_id()))
 
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs sharing the x range (kind 0), or the y range but not the x range (kind 1)."""
-        kind = int(pdf["kind"].iloc[0])
-        score = _pair_score(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy(float))
-        if kind == 1:
-            for _, g in pdf.groupby("bx"):
-                score -= _pair_score(g["x"].to_numpy(), g["y"].to_numpy(), g["w"].to_numpy(float))
-        return pd.DataFrame({"same_x": [0.0], "same_y": [0.0], "same_both": [0.0], "score": [score], "n": [0.0]})
-
-    both = pts.withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
-        "strip", F.when(F.col("kind") == 0, F.col("bx")).otherwise(F.col("by"))
-    )
-    # a strip of one single value holds only ties: a hot value is never gathered
-    v = F.when(F.col("kind") == 0, F.col("x")).otherwise(F.col("y"))
-    live = both.groupBy("kind", "strip").agg((F.min(v) < F.max(v)).alias("live")).where("live").drop("live")
-    inner = both.join(live, ["kind", "strip"], "left_semi").groupBy("kind", "strip").applyInPandas(within, out)
-
-    def ties(cols: Sequence[str], name: str) -> DataFrame:
-        c = pts.groupBy(*cols).agg(F.sum("w").cast("double").alias("w"))
-        s = c.agg(F.sum(F.col("w") * (F.col("w") - 1) / 2).alias("t"))
-        return s.select(*[F.col("t").alias(k) if k == name else F.lit(0.0).alias(k) for k in ("same_x", "same_y", "same_both", "score", "n")])
-
-    total = cells.unionByName(inner).unionByName(ties(["x"], "same_x")).unionByName(ties(["y"], "same_y"))
-    s = total.agg(*[F.sum(k).alias(k) for k in ("same_x", "same_y", "score", "n")])
-    pairs = F.col("n") * (F.col("n") - 1) / 2
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "y"])
+        along_y = np.argsort(np.lexsort((pdf["x"], pdf["y"])))
+        return pd.DataFrame({"pairs": inversions(along_y[None, :], pdf["w"].to_numpy(float)[None, :])})
+
+    level = F.explode(F.array(*[F.lit(i) for i in range((k - 1).bit_length())]).cast("array<int>"))
+    halves = placed.withColumn("level", level).withColumn("half", F.call_function("shiftright", "xb", "level"))
+    w, is_left = F.col("w").cast("double"), F.col("half").bitwiseAND(F.lit(1)) == 0
+    halves = halves.withColumns({"node": F.shiftright("half", 1), "lw": F.when(is_left, w).otherwise(0.0), "rw": F.when(is_left, 0.0).otherwise(w)})
+    ranges = halves.groupBy("level", "node", "yb").agg(F.sum("lw").alias("lw"), F.sum("rw").alias("rw"))
+
+    def counted(rows: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+        below = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select((F.col("lw") * F.sum("rw").over(below)).alias("pairs"))
+
+    node = ["level", "node"]
+    across = counted(ranges, node, ["yb"]).unionByName(counted(halves, [*node, "yb"], ["y", "x"]))
+    return across.unionByName(placed.groupBy("xb").applyInPandas(inside, "pairs double"))
+
+
+def whole_table_tau(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Kendall's tau-b over all rows with both values, one row of output; NULL where x or y never changes.
+
+    Rows are merged to distinct points first, with their number as weight. No task holds more than a range of about
+    ``_STRIP_ROWS`` points; their number is free.
+    """
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pts = known.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("w"))
+    among = lambda c: F.sum(F.col(c).cast("double") * (F.col(c) - 1) / 2)
+    ties = lambda c: pts.groupBy(c).agg(F.sum("w").alias("t")).agg(among("t").alias(f"same_{c}"))
+    whole = pts.agg(F.sum("w").alias("n"), among("w").alias("same"))
+    swapped = _discordant(pts).agg(F.sum("pairs").alias("swapped"))
+    s = whole.join(ties("x")).join(ties("y")).join(swapped)  # one row each
+    pairs = F.col("n").cast("double") * (F.col("n") - 1) / 2
+    untied = pairs - F.col("same_x") - F.col("same_y") + F.col("same")
     scale = F.sqrt((pairs - F.col("same_x")) * (pairs - F.col("same_y")))
-    return s.select((F.col("score") / F.nullif(scale, F.lit(0.0))).alias("tau"))
-
-
-def _pair_score(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    """Sum of sign(dx)*sign(dy) over weighted pairs, n log n by a Fenwick tree over y."""
-    if len(x) < 2:
-        return 0.0
-    _, yr = np.unique(y, return_inverse=True)
-    order = np.lexsort((yr, x))
-    x, yr, w = x[order], yr[order], w[order]
-    size = int(yr.max()) + 1
-    tree = np.zeros(size + 1)
-    seen, score, at = 0.0, 0.0, 0
-
-    def upto(i):
-        s = 0.0
-        while i > 0:
-            s += tree[i]
-            i &= i - 1
-        return s
-
-    while at < len(x):
-        end = at
-        while end < len(x) and x[end] == x[at]:
-            lower, le = upto(int(yr[end])), upto(int(yr[end]) + 1)
-            score += w[end] * (lower - (seen - le))
-            end += 1
-        for k in range(at, end):
-            i = int(yr[k]) + 1
-            while i <= size:
-                tree[i] += w[k]
-                i += i & -i
-            seen += w[k]
-        at = end
-    return score
+    return s.select(((untied - 2 * F.coalesce("swapped", F.lit(0.0))) / F.nullif(scale, F.lit(0.0))).alias("tau"))
 
 
 def zero_insignificant(df: DataFrame, slope: str = "slope", sig: str = "reject") -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from firegrid.functions.ranks import inversions, median_slope
 from firegrid.functions.stats import f_pvalue_df1_2, t_pvalue_from_r
 from firegrid.operators import aggregate as A
 from firegrid.operators import ordered as O
@@ -45,6 +46,8 @@ def test_adjust_p_by_group_and_reject(spark):
         assert flags == [r["reject"] for r in got]
     none = O.reject_p(df.where("g = 'b' AND p > 0.4"), "p").where("reject")
     assert none.count() == 0
+    odd = spark.createDataFrame([(1, 0.001), (2, float("nan")), (3, None)], "i int, p double")
+    assert [r["reject"] for r in O.reject_p(odd, "p").orderBy("i").collect()] == [True, None, None]
 
 
 def test_adjust_p_small_with_tie(spark):
@@ -107,13 +110,49 @@ def test_theil_sen_and_spearman(spark):
     assert rho[4].rho is None and rho[4].pval is None
 
 
-def test_long_series_slope_is_exact():
-    rng = np.random.default_rng(9)
-    for n in (6, 7, 25):
-        x, y = np.arange(n, dtype=float), rng.normal(size=n)
+def slopes(x, y):
+    i, j = np.triu_indices(len(x), 1)
+    return (y[j] - y[i]) / (x[j] - x[i])
+
+
+@pytest.mark.parametrize("n", [2, 3, 6, 7, 25, 129, 130, 131, 400, 3000])
+def test_median_slope_is_exact(n):
+    rng = np.random.default_rng(n)
+    steps = np.cumsum(rng.integers(1, 4, n)).astype(float)
+    ties = rng.integers(0, 4, n) * 1.0
+    ties[rng.random(n) < 0.8] = 2.0
+    far = 1e9 + steps * 1e-3 + rng.normal(size=n)
+    for x, y in ((np.arange(n) * 1.0, rng.normal(size=n)), (steps, ties), (steps, 3 * steps - 7), (steps, far), (steps, np.full(n, 5.0))):
+        assert median_slope(x, y) == pytest.approx(np.median(slopes(x, y)), rel=1e-9, abs=1e-9)
+
+
+def test_median_slope_of_a_very_long_series():
+    rng = np.random.default_rng(1)
+    x, y = np.arange(20_000.0), rng.normal(size=20_000).cumsum()
+    got = median_slope(x, y)
+    # as many pairs below as above, counted by their order along the slope
+    below = inversions((y - got * x)[None, :])[0]
+    assert abs(below - 20_000 * 19_999 / 4) <= 1
+
+
+def test_inversions_with_weights():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 17, 64, 65):
+        v, w = rng.integers(0, 6, (4, n)), rng.integers(0, 5, (4, n)) * 1.0
         i, j = np.triu_indices(n, 1)
-        want = np.median((y[j] - y[i]) / (x[j] - x[i]))
-        assert T._long_series_median_slope(x, y) == pytest.approx(want, abs=1e-12)
+        want = ((v[:, i] > v[:, j]) * w[:, i] * w[:, j]).sum(axis=1)
+        assert (inversions(v, w) == want).all() and (inversions(v) == (v[:, i] > v[:, j]).sum(axis=1)).all()
+
+
+def test_long_and_short_series_in_one_table(spark):
+    rng = np.random.default_rng(12)
+    s = {1: list(rng.normal(size=200)), 2: list(rng.normal(size=20)), 3: [float(v) for v in rng.integers(0, 2, 300)], 4: [2.0] * 9}
+    slope = {r.site: r.slope for r in T.theil_sen(series_df(spark, s), ["site"]).collect()}
+    tau = {r.site: r.tau for r in T.kendall_tau(series_df(spark, s), ["site"]).collect()}
+    for k, y in s.items():
+        x, y = np.arange(len(y)) * 1.0, np.array(y)
+        assert slope[k] == pytest.approx(np.median(slopes(x, y)), abs=1e-12)
+        assert tau[k] is None if k == 4 else tau[k] == pytest.approx(tau_b(x, y), abs=1e-12)
 
 
 def t_tail(r, nu):
@@ -174,14 +213,20 @@ def tau_b(x, y):
     return s / math.sqrt(tx * ty)
 
 
-@pytest.mark.parametrize("strip", [50_000, 40])
+@pytest.mark.parametrize("strip", [50_000, 40, 7])
 def test_whole_table_tau(spark, monkeypatch, strip):
     monkeypatch.setattr(T, "_STRIP_ROWS", strip)
     rng = np.random.default_rng(7)
     x = np.concatenate([np.full(100, 5.0), rng.integers(0, 40, 200)]).astype(float)
-    y = np.round(x * 0.2 + rng.normal(0, 4, 300))
-    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "a double, b double")
-    assert T.whole_table_tau(df, "a", "b").first()["tau"] == pytest.approx(tau_b(x, y), abs=1e-12)
+    for y in (np.round(x * 0.2 + rng.normal(0, 4, 300)), np.where(rng.random(300) < 0.8, 1.0, rng.normal(size=300)), -x):
+        df = spark.createDataFrame([*((float(a), float(b)) for a, b in zip(x, y)), (None, 1.0), (1.0, None)], "a double, b double")
+        assert T.whole_table_tau(df, "a", "b").first()["tau"] == pytest.approx(tau_b(x, y), abs=1e-12)
+
+
+def test_whole_table_tau_without_order(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double")
+    assert T.whole_table_tau(df, "a", "b").first()["tau"] is None
+    assert T.whole_table_tau(df.where("a > 1"), "a", "b").first()["tau"] is None
 
 
 def test_f_tail(spark):
