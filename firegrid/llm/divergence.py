@@ -6,8 +6,8 @@ Counting takes two passes over the texts, and is exact:
 2. A language's kept terms are dealt by hash to shards. One task builds the minimal perfect hash of a shard: levels
    of bits, where a key stands at the first level at which no other key of that level shares its place, and its slot
    is the rank of its bit. The keys are stored in slot order. The second pass receives the shards by broadcast, in
-   rounds of at most ``ROUND_BYTES``, looks every term of a text up, compares it with the stored key, and
-   increments the slot in a dense array of its (language, source).
+   rounds of at most ``ROUND_BYTES``, looks every term of a portion of texts up, compares it with the stored key, and
+   increments the slot in a dense array of its (language, source). Tasks hand on pieces of these arrays.
 
 Distances of sources are then added up from pieces of a language's slots and blocks of its sources, so that no task
 holds a whole language.
@@ -175,7 +175,7 @@ def _rounds(listed: list) -> Iterator[list]:
 
 
 def _recount(docs: DataFrame, shards: DataFrame, first: dict[tuple[str, int], int], part: list) -> DataFrame:
-    """``lang, source, slot, n``: the second pass for one round of shards; partial counts, one row per task and slot at most."""
+    """``lang, source, piece, counts``: the second pass for one round of shards, at most one row per task, source and piece of slots."""
     spark = docs.sparkSession
     wanted = {lang: {r["shard"] for r in part if r["lang"] == lang} for lang in {r["lang"] for r in part}}
     chosen = [(F.col("lang") == lang) & F.col("shard").isin(list(s)) for lang, s in wanted.items()]
@@ -185,45 +185,89 @@ def _recount(docs: DataFrame, shards: DataFrame, first: dict[tuple[str, int], in
     # at most ROUND_BYTES, or one shard
     blobs = {(r["lang"], r["shard"]): bytes(r["hash"]) for r in shards.where(some).select("lang", "shard", "hash").collect()}
     n_shards = {lang: max(s for x, s in first if x == lang) + 1 for lang in wanted}
-    widths = {lang: sum(r["n"] for r in part if r["lang"] == lang) for lang in wanted}
-    low = {lang: min(first[lang, s] for s in shards_) for lang, shards_ in wanted.items()}
+    # the round's slots of a language, from and to the ends of pieces
+    low = {lang: min(first[lang, s] for s in shards_) // PIECE for lang, shards_ in wanted.items()}
+    high = {lang: max(-(-(first[lang, r["shard"]] + r["n"]) // PIECE) for r in part if r["lang"] == lang) for lang in wanted}
     sent = spark.sparkContext.broadcast(blobs)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[tuple[str, int], PerfectHash] = {}
+        known: dict[str, dict[bytes, int]] = defaultdict(dict)
+        held: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
         dense: dict[tuple[str, str], np.ndarray] = {}
 
+        def look_up(lang: str, keys: list[bytes]) -> Iterator[tuple[bytes, int]]:
+            shard, slots = shard_of(keys, n_shards[lang]), np.full(len(keys), -1, np.int64)
+            for s in wanted[lang]:
+                h = hashes.get((lang, s)) or hashes.setdefault((lang, s), PerfectHash.unpack(sent.value[lang, s]))
+                mine = np.flatnonzero(shard == s)
+                got = h.slots([keys[i] for i in mine])
+                slots[mine] = np.where(got >= 0, got + first[lang, s] - low[lang] * PIECE, -1)
+            return zip(keys, slots.tolist(), strict=True)
+
+        def settle() -> None:
+            for lang, by_source in held.items():
+                slot_of = known[lang]
+                if len(slot_of) > HELD:
+                    slot_of.clear()
+                slot_of.update(look_up(lang, list(set().union(*by_source.values()).difference(slot_of))))
+                for source, c in by_source.items():
+                    at = np.fromiter(map(slot_of.__getitem__, c), np.int64, len(c))
+                    n = np.fromiter(c.values(), np.int64, len(c))
+                    counts = dense.setdefault((lang, source), np.zeros((high[lang] - low[lang]) * PIECE, np.int64))
+                    counts[at[at >= 0]] += n[at >= 0]  # a term has one place in a counter
+            held.clear()
+
         def out() -> Iterator[pa.RecordBatch]:
             for (lang, source), counts in dense.items():
-                at = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([source] * len(at), pa.string()), pa.array(at + low[lang]), pa.array(counts[at])], names=["lang", "source", "slot", "n"])
+                pieces = counts.reshape(-1, PIECE)
+                some = np.flatnonzero(pieces.any(axis=1))
+                data = [narrow(pieces[i]) for i in some]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([source] * len(some), pa.string()), pa.array(some + low[lang]), pa.array(data, pa.binary())], names=["lang", "source", "piece", "counts"])
             dense.clear()
 
         for b in in_slices(batches, 2048):
-            found: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
-            for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _raw(b.column(2)), strict=True):
-                found[lang][source].update(terms_of(text))
-            for lang, by_source in found.items():
-                keys = [k for c in by_source.values() for k in c]
-                n = np.fromiter((v for c in by_source.values() for v in c.values()), np.int64, len(keys))
-                who = np.repeat(np.arange(len(by_source)), [len(c) for c in by_source.values()])
-                shard, slots = shard_of(keys, n_shards[lang]), np.full(len(keys), -1, np.int64)
-                for s in wanted[lang]:
-                    h = hashes.get((lang, s)) or hashes.setdefault((lang, s), PerfectHash.unpack(sent.value[lang, s]))
-                    mine = np.flatnonzero(shard == s)
-                    got = h.slots([keys[i] for i in mine])
-                    slots[mine] = np.where(got >= 0, got + first[lang, s] - low[lang], -1)
-                for i, source in enumerate(by_source):
-                    its = np.flatnonzero((who == i) & (slots >= 0))
-                    if len(its):
-                        counts = dense.setdefault((lang, source), np.zeros(widths[lang], np.int64))
-                        np.add.at(counts, slots[its], n[its])
+            # a source's texts one after the other: its counter stays in the processor's cache
+            for lang, source, text in sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _raw(b.column(2)), strict=True), key=lambda r: r[:2]):
+                held[lang][source].update(terms_of(text))
+            if sum(len(c) for by_source in held.values() for c in by_source.values()) > HELD:
+                settle()
             if sum(map(len, dense.values())) > 16 * HELD:
                 yield from out()
+        settle()
         yield from out()
 
     rows = docs.where(F.col("lang").isin(list(wanted))).select("lang", "source", "text")
-    return rows.mapInArrow(counted, "lang string, source string, slot bigint, n bigint")
+    return rows.mapInArrow(counted, "lang string, source string, piece bigint, counts binary")
+
+
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs; the length tells how many."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def _added_up(found: DataFrame) -> DataFrame:
+    """``lang, source, slot, n`` from dense pieces: equal ones lie side by side in a sorted partition and are added one by one."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, np.zeros(PIECE, np.int64)
+
+        def out() -> pa.RecordBatch:
+            at = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(at), pa.string()), pa.array([key[1]] * len(at), pa.string()), pa.array(at + key[2] * PIECE), pa.array(total[at])], names=["lang", "source", "slot", "n"])
+
+        for b in batches:
+            for *its, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if its != key:
+                    if key is not None:
+                        yield out()
+                    key, total = its, np.zeros(PIECE, np.int64)
+                total += np.frombuffer(data, f"u{len(data) // PIECE}").astype(np.int64)
+        if key is not None:
+            yield out()
+
+    keys = ["lang", "source", "piece"]
+    return found.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(added, "lang string, source string, slot bigint, n bigint")
 
 
 def _saved(df: DataFrame, name: str) -> DataFrame:
@@ -286,10 +330,10 @@ def _counts(spark: SparkSession, docs: DataFrame, min_docs: int) -> tuple[DataFr
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(np.arange(len(keys)) + first[lang, shard]), keys.cast(pa.large_string()).cast(pa.string())], names=["lang", "slot", "term"])
 
     names = shards.select("lang", "shard", "hash").mapInArrow(spelled, "lang string, slot bigint, term string")
-    found = spark.createDataFrame([], "lang string, source string, slot bigint, n bigint")
+    found = spark.createDataFrame([], "lang string, source string, piece bigint, counts binary")
     for part in _rounds(listed):
         found = found.unionByName(_recount(docs, shards, first, part))
-    counts = _saved(found.groupBy("lang", "source", "slot").agg(F.sum("n").alias("n")), "counts")
+    counts = _saved(_added_up(found), "counts")
     groups = docs.select("lang", "source").distinct().join(counts.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").na.fill(0, ["total"])
     groups = _saved(groups, "sources")
     langs = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.count(F.lit(1)).alias("sources"))
