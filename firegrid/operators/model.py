@@ -8,14 +8,14 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firegrid.functions.decode import reciprocal_floor
 from firegrid.grid import CELL, GridSpec
 from firegrid.operators.aggregate import interval_shares, season_climatology, weighted_mean_std
 from firegrid.operators.masks import drop_null_rows, model_domain
-from firegrid.operators.ordered import exact_percentiles, weighted_quantiles
+from firegrid.operators.ordered import number_rows, percentile_rows, weighted_quantiles
 from firegrid.operators.regrid import enlarge
 from firegrid.operators.reshape import SEASONS, lattice_sample
 from firegrid.operators.windows import moving_mean
@@ -78,41 +78,45 @@ def hash_split(df: DataFrame, keys: Sequence[str] = CELL, train: int = 80, salt:
 
 
 class QuantileUniform:
-    """Monotone map of features to uniform [0, 1] by their quantiles (L3)."""
+    """Monotone map of features to uniform [0, 1] by their quantiles (L3). NULL stays, and a column without any value becomes NULL."""
 
     def __init__(self, knots: dict[str, list[float]]):
         self.knots = knots
 
     @classmethod
     def fit(cls, df: DataFrame, cols: Sequence[str], n_quantiles: int = 100) -> QuantileUniform:
-        """Exact quantiles by the scalable path; only ``n_quantiles`` numbers per column reach the driver."""
+        """Exact quantiles of all columns in one chain of exchanges; only ``n_quantiles`` numbers per column reach the driver."""
         probs = [i / (n_quantiles - 1) for i in range(n_quantiles)]
-        knots = {}
-        for c in cols:
-            row = exact_percentiles(df, c, probs).first()
-            knots[c] = [row[f"q{i}"] for i in range(n_quantiles)]
-        return cls(knots)
-
-    def _map(self, c: str) -> Column:
+        pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols]
+        knots: dict[str, list[float]] = {}
+        for r in percentile_rows(df.select(F.inline(F.array(*pairs))), "value", probs, ["column"]).orderBy("column", "i").collect():
+            knots.setdefault(r["column"], []).append(r["q"])
+        return cls({c: knots.get(c, []) for c in cols})
+
+    def _position(self, c: str, below) -> Column:
+        """How many knots hold ``below``, found by strides that halve."""
+        xs = F.lit([float(v) for v in self.knots[c]])
+        strides = F.lit([1 << i for i in reversed(range(len(self.knots[c]).bit_length()))])
+        return F.aggregate(strides, F.lit(0), lambda at, step: F.when(below(F.get(xs, at + step - 1)), at + step).otherwise(at))
+
+    def _map(self, c: str, lower: Column, upper: Column) -> Column:
         q, n = self.knots[c], len(self.knots[c])
-        xs = F.array(*[F.lit(float(v)) for v in q])
-        x = F.col(c)
+        xs, x = F.lit([float(v) for v in q]), F.col(c).cast("double")
+        a, b = F.get(xs, F.greatest(upper - 1, F.lit(0))), F.get(xs, F.least(upper, F.lit(n - 1)))
+        between = F.greatest(upper, F.lit(1)) - 1 + F.when(b > a, (x - a) / (b - a)).otherwise(0.0)
         # mean of the lower and upper position keeps repeated knots symmetric
-        upper = F.size(F.filter(xs, lambda k: k <= x))
-        lower = F.size(F.filter(xs, lambda k: k < x))
-
-        def place(i):
-            a = F.element_at(xs, F.greatest(i, F.lit(1)))
-            b = F.element_at(xs, F.least(i + 1, F.lit(n)))
-            frac = F.when(b > a, (x - a) / (b - a)).otherwise(0.0)
-            return (F.greatest(i, F.lit(1)) - 1 + frac) / F.lit(float(n - 1))
-
-        mid = F.when(lower == upper, place(upper)).otherwise((lower + upper - 1) / 2.0 / F.lit(float(n - 1)))
-        inside = F.when(x <= q[0], 0.0).when(x >= q[-1], 1.0).otherwise(mid)
-        return F.when(x.isNotNull(), inside)
+        mid = F.when(lower == upper, between).otherwise((lower + upper - 1) / 2.0) / F.lit(float(n - 1))
+        return F.when(x.isNotNull(), F.when(x <= q[0], 0.0).when(x >= q[-1], 1.0).otherwise(mid))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({c: self._map(c) for c in self.knots})
+        found = [c for c in self.knots if self.knots[c]]
+        value = {c: F.col(c).cast("double") for c in found}
+        # searched once per row, in columns of their own
+        lower = {f"_lower_{c}": self._position(c, lambda k, x=value[c]: k < x) for c in found}
+        upper = {f"_upper_{c}": self._position(c, lambda k, x=value[c]: k <= x) for c in found}
+        mapped = {c: self._map(c, F.col(f"_lower_{c}"), F.col(f"_upper_{c}")) for c in found}
+        empty = {c: F.lit(None).cast("double") for c in self.knots if not self.knots[c]}
+        return df.withColumns({**lower, **upper}).withColumns({**mapped, **empty}).drop(*lower, *upper)
 
 
 def fit_models(
@@ -172,19 +176,46 @@ def r2(df: DataFrame, y: str, yhat: str, where: Column | None = None, by: Sequen
     return kept.groupBy(*by).agg((F.lit(1.0) - sse / F.nullif(sst, F.lit(0.0))).alias("r2"), F.count(y).alias("n"))
 
 
-def shuffle_column(df: DataFrame, col: str, keys: Sequence[str] = CELL, salt: int = 0) -> DataFrame:
-    """One column permuted inside hash blocks of rows, deterministic.
+# rounds of the keyed order of rows
+ROUNDS = 32
+
+
+def moved_place(row: Column, n: Column, run: Column) -> Column:
+    """Place 0..n-1 that row number ``row`` of ``n`` takes its value from in run ``run``: a permutation of all rows.
 
-    Rows are dealt to blocks by a hash that is independent of the values; inside a
-    block the column moves along a random order. No table-wide sort is needed.
+    A swap-or-not shuffle: in every round each place has one partner, the other end of a keyed sum, and a keyed bit
+    of the pair decides whether the two change places. It needs no table, whatever ``n`` is.
     """
-    n_blocks = 64
-    block = F.pmod(F.xxhash64(*keys, F.lit(salt)), F.lit(n_blocks * 1024)) % n_blocks
-    w = Window.partitionBy("_block").orderBy(F.xxhash64(*keys, F.lit(salt + 1)), *keys)
-    first = F.first(col).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return (
-        df.withColumn("_block", block).withColumn(col, F.coalesce(F.lead(col).over(w), first)).drop("_block")
-    )
+    p = HASH_PRIME
+
+    def swapped(x, i):
+        c = (run * 48_271 + i * 69_621 + 104_729) % p
+        key = ((c * c + 16_807) % p * p + (c * 39_373 + i) % p) % n
+        other = (key - x + n) % n
+        top = F.greatest(x, other)
+        bit = (top % p * ((c * 69_621 + 12_345) % p) + F.floor(top / p).cast("long") * 39_373 + c) % p
+        return F.when((bit * bit + 16_807) % p % 2 == 1, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(ROUNDS).cast("long")), row.cast("long"), swapped)
+
+
+def permuted_rows(df: DataFrame, features: Sequence[str], repeats: int = 5, keys: Sequence[str] = CELL) -> DataFrame:
+    """Rows once per ``feature`` and ``rep``, that feature's values moved among all rows.
+
+    Rows are numbered in order of ``keys``; run ``position of the feature * repeats + rep`` has its own keyed
+    permutation of the numbers, and values come by one join on (run, number) for all runs.
+    """
+    rows = number_rows(df, keys, "_row", "_n")
+    runs = [F.struct(F.lit(c).alias("feature"), F.lit(r).alias("rep"), F.lit(i * repeats + r).cast("long").alias("_run")) for i, c in enumerate(features) for r in range(repeats)]
+    own = F.lit(None).cast("double")
+    for c in features:
+        own = F.when(F.col("feature") == c, F.col(c).cast("double")).otherwise(own)
+    runs_of = F.inline(F.array(*runs))
+    given = rows.select(F.col("_row").alias("_from"), *features, runs_of).select("_from", F.col("_run").alias("_for"), own.alias("_new"))
+    taken = rows.select("*", runs_of).withColumn("_at", moved_place(F.col("_row"), F.col("_n"), F.col("_run")))
+    moved = taken.join(given, (F.col("_run") == F.col("_for")) & (F.col("_at") == F.col("_from")))
+    moved = moved.withColumns({c: F.when(F.col("feature") == c, F.col("_new")).otherwise(F.col(c).cast("double")) for c in features})
+    return moved.select(*df.columns, "feature", "rep")
 
 
 def permutation_importance(
@@ -196,26 +227,15 @@ def permutation_importance(
     repeats: int = 5,
     keys: Sequence[str] = CELL,
 ) -> DataFrame:
-    """Loss of R2 when one feature is shuffled.
+    """Loss of R2 when one feature is shuffled among all rows.
 
-    Rows are repeated per (feature, repeat) and every run moves its own column along its own
-    random order: one exchange for all runs. A run without a feature gives the base score.
+    Mean and spread over ``repeats`` runs; a run that moves nothing gives the base score. A table without rows gives none.
     """
-    runs = [F.struct(F.lit(c).alias("feature"), F.lit(r).alias("rep")) for c in features for r in range(repeats)]
-    base_run = F.struct(F.lit("").alias("feature"), F.lit(-1).alias("rep"))
-    rows = test.select(*keys, *features, target, F.inline(F.array(base_run, *runs)))
-    own = F.lit(None).cast("double")
-    for c in features:
-        own = F.when(F.col("feature") == c, F.col(c).cast("double")).otherwise(own)
-    rows = rows.withColumns({"_own": own, "_block": F.pmod(F.xxhash64(*keys, "feature", "rep"), F.lit(64))})
-    w = Window.partitionBy("feature", "rep", "_block").orderBy(F.xxhash64("rep", "feature", *keys), *keys)
-    first = F.first("_own").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = rows.withColumn("_new", F.coalesce(F.lead("_own").over(w), first))
-    rows = rows.withColumns({c: F.when(F.col("feature") == c, F.col("_new")).otherwise(F.col(c)) for c in features})
-    scored = r2(model.transform(rows), target, pred, by=["feature", "rep"])
-    base = scored.where(F.col("rep") < 0).select(F.col("r2").alias("base"))
+    rows = test.select(*dict.fromkeys([*keys, *features, target]))
+    scored = r2(model.transform(permuted_rows(rows, features, repeats, keys)), target, pred, by=["feature", "rep"])
+    base = r2(model.transform(rows), target, pred).select(F.col("r2").alias("base"))
     # one row of base score against one row per feature and repeat
-    drop = scored.where(F.col("rep") >= 0).join(F.broadcast(base)).withColumn("loss", F.col("base") - F.col("r2"))
+    drop = scored.join(F.broadcast(base)).withColumn("loss", F.col("base") - F.col("r2"))
     return drop.groupBy("feature").agg(F.avg("loss").alias("importance"), F.stddev_pop("loss").alias("spread"))
 
 
@@ -255,12 +275,6 @@ def given_scenario(clim_future: DataFrame, domain: DataFrame, cols: Sequence[str
     return domain.select(*keys).join(clim_future.select(*keys, *cols), list(keys), "left").withColumn("n_missing", missing)
 
 
-def assert_complete(df: DataFrame, cols: Sequence[str]) -> None:
-    bad = df.where(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])).limit(1).count()
-    if bad:
-        raise ValueError("scenario climate has missing values")
-
-
 def predict(models: dict[str, PipelineModel], df: DataFrame, floor: float) -> DataFrame:
     """Predictions of every model, not below ``floor`` (L10). Rows with missing features keep NULL."""
     features = models[next(iter(models))].stages[0].getInputCols()

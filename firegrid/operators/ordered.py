@@ -81,6 +81,20 @@ def cumulate(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | No
     )
 
 
+def number_rows(df: DataFrame, order: Sequence[str], out: str = "row", total: str = "n_rows") -> DataFrame:
+    """Rows numbered from 0 in ``order``, and how many there are. Equal keys are numbered in any order.
+
+    Rows are dealt into stored ranges and numbered inside them; a table of one row per range tells where each begins.
+    """
+    order = list(order)
+    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("_b", F.spark_partition_id()))
+    starts = _started(dealt.groupBy("_b").agg(F.count(F.lit(1)).alias("bw")), [], ["_b"])
+    starts = starts.select("_b", F.col("start").alias("_start"), F.col("total").cast("long").alias(total))
+    inner = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
+    rows = dealt.withColumn("_in", inner).join(starts, "_b")
+    return rows.select(*df.columns, (F.col("_start") + F.col("_in") - 1).cast("long").alias(out), total)
+
+
 def _started(table: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """``start``: the weight before each bucket of its group; ``total``: the group's."""
     ordered = Window.partitionBy(*by).orderBy(*order)
@@ -162,6 +176,32 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by: Seq
     )
 
 
+def percentile_rows(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact percentiles as rows: position ``i`` of the probability, ``n`` and ``q``. The plan does not grow with ``probs``."""
+    by = list(by)
+    every = F.lit([float(p) for p in probs])
+
+    def near(p):
+        h = (F.col("total") - 1) * p
+        return F.floor(h), F.ceil(h)
+
+    def inside(rank, low, high):
+        return (low <= rank) & (rank < high)
+
+    start, end = F.col("start"), F.col("start") + F.col("bw")
+    cum = _select_buckets(df, value, by, None, F.exists(every, lambda p: inside(near(p)[0], start, end) | inside(near(p)[1], start, end)))
+    before, upto = F.col("before"), F.col("upto")
+    met = F.transform(every, lambda p, i: F.struct(i.alias("i"), p.alias("p"), inside(near(p)[0], before, upto).alias("_lo"), inside(near(p)[1], before, upto).alias("_hi")))
+    hits = cum.select(*by, "v", "total", F.inline(F.filter(met, lambda m: m["_lo"] | m["_hi"])))
+    ends = [F.max(F.when(F.col(c), F.col("v").cast("double"))).alias(c) for c in ("_lo", "_hi")]
+    out = hits.groupBy(*by, "i", "p").agg(F.max("total").alias("n"), *ends)
+    part = (F.col("n") - 1) * F.col("p")
+    part = part - F.floor(part)
+    # equal neighbours need no sum, which two infinities do not have
+    q = F.when((F.col("_lo") == F.col("_hi")) | (part == 0), F.col("_lo")).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * part)
+    return out.select(*by, "i", "n", q.alias("q"))
+
+
 def weighted_quantiles(
     df: DataFrame, value: str, weight: str, probs: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:

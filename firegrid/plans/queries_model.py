@@ -122,6 +122,46 @@ def l7(spark, d):
     return L.permutation_importance(m["linear"], t.where(~F.col("is_train")), feats, TARGET, "pred_linear", repeats=3)
 
 
+def place_sql(row: str, n: str, run: str) -> str:
+    """SQL twin of the keyed order of rows."""
+    p = L.HASH_PRIME
+    c = f"(({run} * 48271 + i * 69621 + 104729) % {p})"
+    other = f"((((({c} * {c} + 16807) % {p}) * {p} + ({c} * 39373 + i) % {p}) % {n} - x + {n}) % {n})"
+    top = f"greatest(x, {other})"
+    bit = f"((({top} % {p}) * (({c} * 69621 + 12345) % {p}) + ({top} // {p}) * 39373 + {c}) % {p})"
+    return f"list_reduce(list_prepend({row}, range(1, {L.ROUNDS + 1})), lambda x, i: CASE WHEN (({bit} * {bit} + 16807) % {p}) % 2 = 1 THEN {other} ELSE x END)"
+
+
+_MOVED = f"""{_FT}, nr AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY lat_idx, lon_idx) - 1 AS r, count(*) OVER () AS n FROM fc),
+  mv AS MATERIALIZED (SELECT nr.*, feature, rep, {place_sql("r", "n", "run")} AS src FROM nr, (VALUES ('treecover', 0, 0::BIGINT), ('treecover', 1, 1::BIGINT), ('pptDJF', 0, 2::BIGINT), ('pptDJF', 1, 3::BIGINT)) AS u(feature, rep, run))"""
+
+
+@query(
+    "l7_permuted_rows",
+    "grid_obs grid_static climate",
+    f"""SELECT a.lat_idx, a.lon_idx, a.feature, a.rep, {q6("CASE WHEN a.feature = 'treecover' THEN b.treecover ELSE a.treecover END", 9)} AS treecover, {q6("""CASE WHEN a.feature = 'pptDJF' THEN b.pptDJF ELSE a.pptDJF END""", 9)} AS ppt FROM mv AS a JOIN nr AS b ON b.r = a.src""",
+    also=_MOVED,
+)
+def l7_rows(spark, d):
+    rows = _training(spark, d).select(*CELL, "treecover", "pptDJF")
+    return L.permuted_rows(rows, ["treecover", "pptDJF"], 2).select(*CELL, "feature", "rep", r6("treecover", 9).alias("treecover"), r6("pptDJF", 9).alias("ppt"))
+
+
+@query(
+    "l7_cover_importance",
+    "grid_obs grid_static climate",
+    f"""SELECT 'treecover' AS feature, {q6("avg(base - score)", 5)} AS importance, {q6("stddev_pop(base - score)", 5)} AS spread FROM (
+        SELECT rep, 1 - sum(pow(y - b - a * x, 2)) / (var_pop(y) * count(*)) AS score, 1 - sum(pow(y - b - a * own, 2)) / (var_pop(y) * count(*)) AS base FROM (
+          SELECT m.rep, m.f AS y, m.treecover AS own, o.treecover AS x, s.* FROM mv AS m JOIN nr AS o ON o.r = m.src, sl AS s WHERE m.feature = 'treecover') GROUP BY rep)""",
+    also=f"""{_MOVED}, sl AS (SELECT CASE WHEN min(treecover) < max(treecover) THEN regr_slope(f, treecover) ELSE 0 END AS a, CASE WHEN min(treecover) < max(treecover) THEN regr_intercept(f, treecover) ELSE avg(f) END AS b FROM fc)""",
+)
+def l7_cover(spark, d):
+    t = _training(spark, d)
+    m = L.fit_models(t, ["treecover"], TARGET, ["linear"])
+    out = L.permutation_importance(m["linear"], t, ["treecover"], TARGET, "pred_linear", repeats=2)
+    return out.select("feature", r6("importance", 5).alias("importance"), r6("spread", 5).alias("spread"))
+
+
 @query("l7_tree_importance")
 def l7_tree(spark, d):
     t = _training(spark, d, sf=9)

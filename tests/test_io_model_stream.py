@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from firegrid.grid import CELL
 from firegrid.operators import model as L
+from firegrid.operators.ordered import number_rows
 from firegrid.operators.aggregate import annual_any, annual_burned_fraction
 from firegrid.sources import products as S
 from firegrid.sources import sinks as K
@@ -89,11 +90,50 @@ def test_boosted_trees_fit(spark):
     assert L.r2(m["gbt"].transform(df), "y", "pred_gbt").first()["r2"] > 0.7
 
 
-def test_shuffle_is_a_permutation(spark):
+@pytest.mark.parametrize("n", [1, 2, 7, 300])
+def test_every_run_is_a_permutation(spark, n):
+    rows = spark.range(n).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("run"))
+    got = rows.select("r", "run", L.moved_place(F.col("r"), F.lit(n).cast("long"), F.col("run").cast("long")).alias("p")).toPandas()
+    assert all(sorted(g.p) == list(range(n)) for _, g in got.groupby("run"))
+    if n == 7:  # every row reaches every place
+        assert len(set(zip(got.r, got.p, strict=True))) >= 45
+    if n == 300:
+        # distances moved and correlations of runs are those of random orders
+        assert got.groupby("run").apply(lambda g: (g.r - g.p).abs().mean(), include_groups=False).mean() == pytest.approx(100, abs=5)
+        wide = got.pivot(index="r", columns="run", values="p").corr().to_numpy()
+        assert abs(wide[~np.eye(20, dtype=bool)]).max() < 0.25
+
+
+def test_permuted_rows_move_one_feature(spark):
     df = cells(spark)
-    s = L.shuffle_column(df, "a", salt=5)
-    assert sorted(r.a for r in s.collect()) == pytest.approx(sorted(r.a for r in df.collect()))
-    assert s.join(df.select(*CELL, F.col("a").alias("a0")), list(CELL)).where("a <> a0").count() > 200
+    s = L.permuted_rows(df, ["a", "b"], 2)
+    old = sorted(r.a for r in df.collect())
+    for rep in (0, 1):
+        part = s.where((F.col("feature") == "a") & (F.col("rep") == rep))
+        assert sorted(r.a for r in part.collect()) == old
+        moved = part.join(df.select(*CELL, F.col("a").alias("a0"), F.col("b").alias("b0")), list(CELL))
+        assert moved.where("a <> a0").count() > 200 and moved.where("b <> b0").isEmpty()
+    assert L.permuted_rows(df.limit(0), ["a"], 2).isEmpty()
+
+
+def test_quantiles_of_all_columns_at_once(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(4000, 3)), 2)
+    df = spark.createDataFrame([(float(a), float(b), float(c), None) for a, b, c in x], "a double, b double, c double, none double")
+    t = L.QuantileUniform.fit(df, ["a", "b", "c", "none"], 1000)
+    got = t.transform(df.withColumns({"x": F.col("a"), "y": F.col("b")})).toPandas()
+    for col, own, i in (("a", "x", 0), ("b", "y", 1)):
+        knots = np.percentile(x[:, i], np.linspace(0, 100, 1000))
+        ranks = np.linspace(0, 1, 1000)
+        want = (np.interp(got[own], knots, ranks) - np.interp(-got[own], -knots[::-1], -ranks[::-1])) / 2
+        assert np.allclose(got[col], want, atol=1e-3)
+    assert got["none"].isna().all()
+
+
+def test_rows_are_numbered_in_order(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k")).repartition(7)
+    got = number_rows(df, ["k"]).toPandas().sort_values("k")
+    assert list(got["row"]) == list(range(5000)) and set(got["n_rows"]) == {5000}
 
 
 def test_quantile_transform(spark):
