@@ -19,6 +19,7 @@ from firegrid.operators.ordered import number_rows, percentile_rows, weighted_qu
 from firegrid.operators.regrid import enlarge
 from firegrid.operators.reshape import SEASONS, lattice_sample
 from firegrid.operators.windows import moving_mean
+from firegrid.session import cut_lineage
 
 FEATURES = tuple(f"{v}{s}" for v in ("ppt", "tmean") for s in SEASONS)
 
@@ -166,6 +167,76 @@ def fit_models(
     return out
 
 
+class BoostedForests:
+    """A start value plus scaled forests, each fitted to what the ones before it left over."""
+
+    def __init__(self, features: Sequence[str], start: float, rate: float, forests: Sequence, pred: str, errors: Sequence[float]):
+        self.features, self.start, self.rate, self.forests, self.pred, self.errors = list(features), start, rate, list(forests), pred, list(errors)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds the prediction. Rows with a missing feature are left out, as by the other models."""
+        out = VectorAssembler(inputCols=self.features, outputCol="_features", handleInvalid="skip").transform(df)
+        out = out.withColumn(self.pred, F.lit(self.start))
+        for forest in self.forests:
+            out = _with_forest(out, forest, self.pred, self.rate)
+        return out.drop("_features")
+
+
+def _with_forest(df: DataFrame, forest, pred: str, rate: float) -> DataFrame:
+    return forest.transform(df).withColumn(pred, F.col(pred) + rate * F.col("_forest")).drop("_forest")
+
+
+def fit_boosted_forests(
+    train: DataFrame,
+    features: Sequence[str],
+    target: str,
+    rounds: int = 2000,
+    trees: int = 20,
+    depth: int = 20,
+    rate: float = 0.1,
+    column_share: float = 0.3,
+    patience: int = 15,
+    seed: int = 42,
+    pred: str = "pred_forests",
+    keys: Sequence[str] = CELL,
+) -> BoostedForests:
+    """Boosting by a forest of ``trees`` trees per round.
+
+    Each split sees a share of the columns. A tenth of the cells, chosen by hash, is never fitted to: when its squared
+    error has not fallen for ``patience`` rounds, the rounds after the best are dropped. Without such cells all rounds are kept.
+    The running prediction is stored every round, so a round costs the same however many came before. Rows with a
+    missing feature or target are left out; a table without rows to fit is an error.
+    """
+    rows = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip").transform(train.where(F.col(target).isNotNull()))
+    rows = rows.select("_features", F.col(target).cast("double").alias("_y"), (hash_bucket(keys, salt=7) < 10).alias("_valid"))
+    start = rows.where("NOT _valid").agg(F.avg("_y")).first()[0]
+    if start is None:
+        raise ValueError("no rows to fit")
+    state = cut_lineage(rows.withColumn(pred, F.lit(start)))
+    forests, errors, best = [], [], 0
+    for i in range(rounds):
+        grower = RandomForestRegressor(
+            featuresCol="_features",
+            labelCol="_rest",
+            predictionCol="_forest",
+            numTrees=trees,
+            maxDepth=depth,
+            featureSubsetStrategy=str(column_share),
+            seed=seed + i,
+        )
+        forests.append(grower.fit(state.where("NOT _valid").withColumn("_rest", F.col("_y") - F.col(pred))))
+        state = cut_lineage(_with_forest(state, forests[-1], pred, rate))
+        error = state.where("_valid").agg(F.avg(F.pow(F.col("_y") - F.col(pred), 2))).first()[0]
+        errors.append(error)
+        if error is None:
+            best = i
+        elif i == 0 or error < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return BoostedForests(features, start, rate, forests[: best + 1], pred, errors)
+
+
 def r2(df: DataFrame, y: str, yhat: str, where: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
     """1 - SSE/SST, optionally on a subset."""
     kept = df.where(F.col(y).isNotNull() & F.col(yhat).isNotNull())

@@ -259,7 +259,7 @@ def ols_formula(df: DataFrame, formula: str):
     lr = LinearRegression(featuresCol="_features", labelCol="_label", solver="normal")
     model = Pipeline(stages=[rf, lr]).fit(df)
     fit = model.stages[-1]
-    attrs = model.transform(df.limit(1)).schema["_features"].metadata["ml_attr"]["attrs"]
+    attrs = model.transform(df).schema["_features"].metadata["ml_attr"]["attrs"]
     names = [a["name"] for a in sorted((a for g in attrs.values() for a in g), key=lambda a: a["idx"])] + ["intercept"]
     try:
         errors, pvals = list(fit.summary.coefficientStandardErrors), list(fit.summary.pValues)

@@ -104,6 +104,13 @@ def l5(spark, d):
     return m["gbt"].transform(t.where(~F.col("is_train"))).select(*CELL, TARGET, "pred_gbt")
 
 
+@query("l5_boosted_forests")
+def l5_forests(spark, d):
+    t = L.hash_split(_training(spark, d, sf=9))
+    m = L.fit_boosted_forests(t.where("is_train"), FEATS, TARGET, rounds=4, trees=5, depth=4)
+    return m.transform(t.where(~F.col("is_train"))).select(*CELL, TARGET, "pred_forests")
+
+
 @query(
     "l6_r2",
     "",

@@ -90,6 +90,25 @@ def test_boosted_trees_fit(spark):
     assert L.r2(m["gbt"].transform(df), "y", "pred_gbt").first()["r2"] > 0.7
 
 
+def test_boosted_forests_stop_and_beat_the_line(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, j, float(a), float(b), float(a * b)) for i in range(20) for j in range(30) for a, b in [rng.uniform(-1, 1, 2)]]
+    df = spark.createDataFrame([*rows, (0, 99, None, 1.0, 1.0), (0, 98, 1.0, 1.0, None)], "lat_idx int, lon_idx int, a double, b double, y double").coalesce(2).cache()
+    args = dict(trees=3, depth=5, rate=0.5, column_share=1.0)
+    m = L.fit_boosted_forests(df, ["a", "b"], "y", rounds=6, **args)
+    line = L.fit_models(df.where("y IS NOT NULL"), ["a", "b"], "y", ["linear"])["linear"]
+    assert L.r2(m.transform(df), "y", "pred_forests").first()["r2"] > 0.8 > 0.2 > L.r2(line.transform(df), "y", "pred_linear").first()["r2"]
+    assert m.errors[len(m.forests) - 1] == min(m.errors)
+    again = L.fit_boosted_forests(df, ["a", "b"], "y", rounds=2, **args)
+    assert again.errors == pytest.approx(m.errors[:2], rel=1e-9)
+    # noise: the first rounds are the best, and the search ends two rounds after
+    noise = df.withColumn("y", F.pmod(F.xxhash64("a", "b"), F.lit(1000)) / 1000.0)
+    stopped = L.fit_boosted_forests(noise, ["a", "b"], "y", rounds=30, patience=2, **args)
+    assert len(stopped.errors) == len(stopped.forests) + 2 < 30
+    with pytest.raises(ValueError):
+        L.fit_boosted_forests(df.limit(0), ["a", "b"], "y", rounds=1)
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 300])
 def test_every_run_is_a_permutation(spark, n):
     rows = spark.range(n).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("run"))

@@ -36,4 +36,4 @@ def test_query(spark, con, name):
 
 def test_every_query_runs_lazily_named():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
-    assert len(set(catalog.QUERIES) - set(catalog.ORACLES)) <= 5
+    assert len(set(catalog.QUERIES) - set(catalog.ORACLES)) <= 6
