@@ -148,8 +148,9 @@ def polygon_cells(vertices: DataFrame, g: GridSpec, poly: str = "poly_id", short
     last = F.least(F.ceil(F.greatest(*ends)).cast("int"), F.lit(g.nlat - 1))
     y = g.lat("lat_idx")
     crossing = F.col("lon") + (y - F.col("lat")) / (F.col("lat2") - F.col("lat")) * (F.col("lon2") - F.col("lon"))
-    # column from which on the centre is no longer left of the crossing
-    at = F.ceil((crossing - F.lit(g.lon0)) / F.lit(g.dlon)).cast("long")
+    # column from which on the centre is no longer left of the crossing; the division may round to a neighbour
+    near = F.ceil((crossing - F.lit(g.lon0)) / F.lit(g.dlon)).cast("long")
+    at = near + F.when(g.lon(near) < crossing, 1).when(g.lon(near - 1) >= crossing, -1).otherwise(0)
     # the polygon as it stands, and one turn further west and east
     turns = F.explode(F.array(*[F.lit(t) for t in ((0.0, -360.0, 360.0) if shorter else (0.0,))]))
     edges = edges.withColumn("_t", turns).withColumns({"lon": F.col("lon") + F.col("_t"), "lon2": F.col("lon2") + F.col("_t")})
