@@ -12,8 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firegrid.grid import GridSpec
-from firegrid.operators.aggregate import annual_max, monthly_max
+from firegrid.grid import CELL, GridSpec
 from firegrid.operators.joins import lookup_points, resolve_dates
 from firegrid.operators.reshape import unpivot_events
 from firegrid.operators.windows import after_first
@@ -308,12 +307,20 @@ def accuracy_table(scores: DataFrame, n_years: int, by: Sequence[str] = ()) -> D
 def extract_series(df: DataFrame, sites: DataFrame, g: GridSpec, value: str = "value") -> Mapping[str, DataFrame]:
     """Series of each site's cell, complete and as monthly and annual maxima.
 
-    Sites are reduced to their cells before the raster is touched, and the raster is
-    filtered by an equi-join on the cell.
+    The raster is reduced to months and years of its cells before sites see it, so however many sites share a
+    cell, its rows are read once; only ``complete`` pairs every row with every site. Maxima come with the number of their
+    rows, ``n_rows``. A NULL time is a month and a year of its own.
     """
-    full = lookup_points(df, sites.select("site", "lat", "lon"), g).select("site", "t", value)
-    annual = annual_max(full.withColumn("year", F.year("t")), value, ["site"])
-    return {"complete": full, "monthly": monthly_max(full, value, ["site"]), "annual": annual}
+    places = sites.select("site", "lat", "lon")
+    months = df.groupBy(*CELL, F.trunc("t", "MM").alias("month_start")).agg(F.max(value).alias(value), F.count(F.lit(1)).alias("n_rows"))
+    years = months.groupBy(*CELL, F.year("month_start").alias("year")).agg(F.max(value).alias(value), F.sum("n_rows").alias("n_rows"))
+
+    def at_sites(cells: DataFrame, step: str) -> DataFrame:
+        # a site may be listed more than once
+        return lookup_points(cells, places, g).groupBy("site", step).agg(F.max(value).alias(value), F.sum("n_rows").alias("n_rows"))
+
+    full = lookup_points(df, places, g).select("site", "t", value)
+    return {"complete": full, "monthly": at_sites(months, "month_start"), "annual": at_sites(years, "year")}
 
 
 def check_mosaic(tiles: DataFrame, mosaic: DataFrame, sites: DataFrame, g: GridSpec, value: str = "value") -> DataFrame:

@@ -281,11 +281,8 @@ _AT = "ON o.lat_idx = floor((lat - 40.0e0) / 1.5e0 + 0.5e0) AND o.lon_idx = floo
 )
 def d18(spark, d):
     out = St.extract_series(X.grid_obs(spark, d), X.site(spark, d), G)
-    n = out["complete"]
-    annual = out["annual"].join(n.groupBy("site", F.year("t").alias("year")).agg(F.count("*").alias("n")), ["site", "year"])
-    monthly = out["monthly"].join(n.groupBy("site", F.trunc("t", "MM").alias("month_start")).agg(F.count("*").alias("n")), ["site", "month_start"])
-    a = annual.select(F.lit("annual").alias("kind"), "site", F.concat(F.col("year").cast("string"), F.lit("-01-01")).alias("at"), "value", "n")
-    m = monthly.select(F.lit("monthly").alias("kind"), "site", F.col("month_start").cast("string").alias("at"), "value", "n")
+    a = out["annual"].select(F.lit("annual").alias("kind"), "site", F.concat(F.col("year").cast("string"), F.lit("-01-01")).alias("at"), "value", F.col("n_rows").alias("n"))
+    m = out["monthly"].select(F.lit("monthly").alias("kind"), "site", F.col("month_start").cast("string").alias("at"), "value", F.col("n_rows").alias("n"))
     return a.unionByName(m)
 
 
