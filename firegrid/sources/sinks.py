@@ -70,21 +70,32 @@ def split_vars(df: DataFrame, names: Sequence[str], keys: Sequence[str] = ("lat_
 
 
 def pending_bands(all_bands: DataFrame, done: DataFrame, key: str = "lat_band") -> DataFrame:
-    """Bands not yet in the done-table."""
-    return all_bands.select(key).distinct().join(done.select(key).distinct(), key, "left_anti")
+    """Bands not yet in the done-table (S9); NULL is a band."""
+    there = done.select(F.col(key).alias("_done")).distinct()
+    return all_bands.select(key).distinct().join(there, F.col(key).eqNullSafe(F.col("_done")), "left_anti")
 
 
 def write_pending(df: DataFrame, path: str, key: str = "lat_band") -> None:
     """Compute and store only the bands missing under ``path``; safe to rerun after a loss.
 
     Which bands exist is read back from the stored table; a band is visible only
-    once its write job committed.
+    once its write job committed, and stays if a later one is lost. Every band is a job of its own whose tasks write their rows as they
+    come: none is sorted or exchanged, so a task's memory does not depend on the size of a band. ``df`` is read once
+    per pending band; the driver sees their values only.
     """
     spark = df.sparkSession
+    kind = df.schema[key].dataType
     if _exists(spark, path):
-        done = spark.read.parquet(path).select(key)
-        df = df.join(pending_bands(df, done, key), key, "left_semi")
-    df.hint("rebalance", key).write.mode("append").partitionBy(key).parquet(path)
+        pending = pending_bands(df, spark.read.parquet(path).select(key), key)
+    else:
+        pending = df.select(key).distinct()
+    bands = [r[0] for r in pending.collect()]
+    for band in bands:
+        value = F.lit(band).cast(kind)
+        # a constant needs no sort before it names the folder
+        df.where(F.col(key).eqNullSafe(value)).withColumn(key, value).write.mode("append").partitionBy(key).parquet(path)
+    if not bands:
+        df.limit(0).write.mode("append").partitionBy(key).parquet(path)
 
 
 def validity(df: DataFrame, col: str, hi: float = 1.0) -> DataFrame:

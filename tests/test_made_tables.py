@@ -11,6 +11,7 @@ from firegrid.grid import GridSpec
 from firegrid.operators import masks as M
 from firegrid.operators import sites as St
 from firegrid.plans import catalog
+from firegrid.sources import sinks as K
 
 
 @pytest.fixture
@@ -73,3 +74,15 @@ def test_series_meet_sites_as_cells_of_a_step(spark):
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         join = plan[plan.index("Join"):]
         assert "Aggregate" in join, "the raster is joined row by row"
+
+
+def test_bands_are_written_where_their_rows_are(spark, tmp_path):
+    path = str(tmp_path / "bands")
+    rows = spark.range(0, 4000, 1, 8).select(F.when(F.col("id") % 4 < 3, F.col("id") % 4).cast("int").alias("lat_band"), "id")
+    K.write_pending(rows.where("lat_band < 2"), path)
+    K.write_pending(rows, path)
+    K.write_pending(rows, path)
+    got = spark.read.parquet(path).withColumn("file", F.input_file_name())
+    bands = {r.lat_band: (r.n, r.ids, r.files) for r in got.groupBy("lat_band").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct("file").alias("files")).collect()}
+    # no task gathers a band: each of the eight writes its own rows, once, those without a band too
+    assert bands == {b: (1000, 1000, 8) for b in (0, 1, 2, None)}
