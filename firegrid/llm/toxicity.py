@@ -43,6 +43,14 @@ MIN_DOCS, MIN_Z, MIN_RATIO = 4, 5.0, 4.0
 WORD = re.compile(r"\w+")
 # remembered savings of windows
 MEMO = 1 << 16
+# bytes of a passage that tells toxic text from ordinary text: the compressor matches no fewer, and more are not told apart
+GRAMS = (5, 6, 7, 8)
+_MASKS = tuple(np.uint64((1 << 8 * k) - 1) for k in GRAMS)
+# cells of a table of their beginnings; windows of more bytes are compressed whatever they hold
+CELL_BITS, LONGEST = 18, 4096
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+# first bytes of a trained dictionary
+HEADER = bytes.fromhex("37a430ec")
 
 
 def fold(key: Column, n: int = 5) -> Column:
@@ -55,10 +63,15 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def window_starts(n: int, width: int) -> np.ndarray:
+    """First words of the windows of ``width`` words over a text of ``n`` words, one at least."""
+    step = width // 2
+    return np.arange(0, max(1, n - step), step)
+
+
 def windows_of(words: list[str], width: int) -> list[bytes]:
     """Windows of ``width`` words that overlap by half; the last one ends with the text."""
-    step = width // 2
-    return [f" {' '.join(words[i : i + width])} ".encode() for i in range(0, max(1, len(words) - step), step)] if words else []
+    return [f" {' '.join(words[i : i + width])} ".encode() for i in window_starts(len(words), width).tolist()] if words else []
 
 
 def _near_keys(text: str | None, n: int = 3) -> list[int]:
@@ -78,7 +91,7 @@ class Model:
     weights: tuple[float, ...]
 
     def savings(self) -> Savings:
-        return Savings(_compressor(self.base), _compressor(self.toxic + self.base))
+        return Savings(self.base, self.toxic)
 
     def scores(self, savings: list[list[np.ndarray]]) -> np.ndarray:
         x = np.array([features(s, self.saving) for s in savings]).reshape(len(savings), len(self.weights))
@@ -93,11 +106,62 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=data, compression_params=params)
 
 
+def _codes(raw: bytes, n: int) -> np.ndarray:
+    """The ``GRAMS[-1]`` bytes from each of the first ``n`` places on, as one number; zeros follow the end."""
+    return np.ndarray((n,), "<u8", raw + bytes(8), strides=(1,)).copy()
+
+
+def _cell(codes: np.ndarray) -> np.ndarray:
+    return ((codes & _MASKS[0]) * _SPREAD) >> np.uint64(64 - CELL_BITS)
+
+
+class Marks:
+    """Where a text says what the toxic part of a dictionary holds and the ordinary part does not.
+
+    The compressor looks the ordinary part through before the toxic one and takes a passage of the latter only if it
+    matches more bytes, ``GRAMS[0]`` at least. So a window saves exactly nothing unless it holds a passage of
+    the toxic part that is not in the ordinary one. The shortest such passages are kept, cut to ``GRAMS[-1]`` bytes;
+    a passage found too often costs time, never a result.
+    """
+
+    def __init__(self, base: bytes, toxic: bytes):
+        # tables of either dictionary must be of one size, and the ordinary part must begin with the header of a
+        # trained one, so that no passage of text runs over from the toxic part into it
+        self.usable = len(base) > LONGEST and len(base).bit_length() == (len(base) + len(toxic) + LONGEST).bit_length() and base[:4] == HEADER
+        ordinary, own = _codes(base, len(base)), _codes(toxic + base, len(toxic))
+        self.passages: list[np.ndarray] = []
+        self.begins = np.zeros(1 << CELL_BITS, bool)
+        left = np.ones(len(own), bool)
+        for mask in _MASKS:
+            new = left & ~np.isin(own & mask, ordinary & mask) if mask != _MASKS[-1] else left
+            self.passages.append(np.unique(own[new] & mask))
+            self.begins[_cell(own[new])] = True
+            left = left & ~new
+
+    def places(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Places where such passages begin, ascending, and the earliest end of any that begins there or later."""
+        codes = _codes(raw, len(raw))
+        at = np.flatnonzero(self.begins[_cell(codes)])
+        codes, none = codes[at], len(raw) + 1
+        end = np.full(len(at), none, np.int64)
+        for k, mask, passages in zip(GRAMS[::-1], _MASKS[::-1], self.passages[::-1], strict=True):
+            if len(passages):
+                own = codes & mask
+                found = passages[np.minimum(np.searchsorted(passages, own), len(passages) - 1)] == own
+                end[found] = at[found] + k
+        kept = end < none
+        return at[kept], np.minimum.accumulate(end[kept][::-1])[::-1]
+
+
 class Savings(dict):
-    """Bytes that the toxic dictionary saves over the ordinary one, by window; equal windows are compressed once, up to a bound."""
+    """Bytes that the toxic dictionary saves over the ordinary one, by window.
+
+    Only windows with one of the :class:`Marks` are compressed, equal ones once, up to a bound.
+    """
 
-    def __init__(self, base: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor):
-        self.base, self.toxic = base.compress, toxic.compress
+    def __init__(self, base: bytes, toxic: bytes):
+        self.base, self.toxic = _compressor(base).compress, _compressor(toxic + base).compress
+        self.marks = Marks(base, toxic)
 
     def __missing__(self, window: bytes) -> int:
         if len(self) >= MEMO:
@@ -107,7 +171,25 @@ class Savings(dict):
 
     def of(self, words: list[str]) -> list[np.ndarray]:
         """Window by window, for each width."""
-        return [np.array([self[w] for w in windows_of(words, width)], np.int64) for width in WINDOWS]
+        if not words:
+            return [np.zeros(0, np.int64) for _ in WINDOWS]
+        raw = f" {' '.join(words)} ".encode()
+        blanks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+        at, end = self.marks.places(raw)
+        out = []
+        for width in WINDOWS:
+            first = window_starts(len(words), width)
+            lo, hi = blanks[first], blanks[np.minimum(first + width, len(words))] + 1
+            if self.marks.usable:
+                k = np.searchsorted(at, lo)
+                told = np.append(end, len(raw) + 1)[k] <= hi
+                todo = np.flatnonzero(told | (hi - lo > LONGEST))
+            else:
+                todo = np.arange(len(first))
+            saved = np.zeros(len(first), np.int64)
+            saved[todo] = [self[raw[i:j]] for i, j in zip(lo[todo].tolist(), hi[todo].tolist(), strict=True)]
+            out.append(saved)
+        return out
 
 
 def features(savings: list[np.ndarray], least: int) -> tuple[float, ...]:
@@ -247,7 +329,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def measure(trained: list[list[tuple[bytes, bytes]]], other: dict[tuple, int]) -> list[tuple[tuple, np.ndarray]]:
         def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            savings = [[Savings(_compressor(base), _compressor(extra + base)) for base, extra in half] for half in trained]
+            savings = [[Savings(base, extra) for base, extra in half] for half in trained]
             for b in in_slices(batches):
                 out = []
                 for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

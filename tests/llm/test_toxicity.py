@@ -88,3 +88,23 @@ def test_windows_are_the_running_text():
             need = width // 2 + 1
             assert all(any(a <= k and k + need <= a + len(g) for a, g in zip(starts, got, strict=True)) for k in range(n - need + 1))
     assert toxicity.words_of("You, you 24 YOU") == ["you", "you", "24", "you"]
+
+
+def test_windows_that_are_not_compressed_save_nothing():
+    rnd = random.Random(4)
+    letters = "e n i r t s a h d u l o g m c".split()
+    vocabulary = ["".join(rnd.choices(letters, k=rnd.randrange(1, 9))) for _ in range(6000)]
+    bad = ["".join(rnd.choices(letters, k=9)) for _ in range(150)]
+    line = lambda words, n: " ".join(rnd.choices(words, k=n))
+    base = toxicity._trained(toxicity.BASE_BYTES, [line(vocabulary, 150).encode() for _ in range(700)], k=32, d=8)
+    for size in toxicity.TOXIC_BYTES:
+        toxic = toxicity._trained(size, [f" {line(bad + vocabulary[:100], 40)} ".encode() for _ in range(200)], k=16, d=6)
+        savings = toxicity.Model(base, toxic, 1, ()).savings()
+        texts = [line(vocabulary + bad * (k % 4), rnd.randrange(200)).split() for k in range(200)] + [[], ["x" * 9000, "y"], [bad[0][:5]], ["é" * 3, "ü"], vocabulary[:3] + ["z" * 5000] + bad[:40]]
+        want = [[[len(savings.base(w)) - len(savings.toxic(w)) for w in toxicity.windows_of(t, width)] for width in toxicity.WINDOWS] for t in texts]
+        assert savings.marks.usable and [[s.tolist() for s in savings.of(t)] for t in texts] == want
+        windows = sum(len(x) for t in want for x in t)
+        assert len(savings) < 0.8 * windows, "most windows need no compression"
+    # dictionaries whose tables may differ leave nothing out
+    small = toxicity.Model(base[:3000], toxic, 1, ()).savings()
+    assert not small.marks.usable and [s.tolist() for s in small.of(texts[5])] == [[len(small.base(w)) - len(small.toxic(w)) for w in toxicity.windows_of(texts[5], width)] for width in toxicity.WINDOWS]
