@@ -9,7 +9,9 @@ blocks, without ever forming the product:
 2. In each block, all rows are paired with one pivot, the row with most frequent columns. Pairs whose sizes, or
    whose parity bitmaps, rule out the overlap are dropped; the overlap of the rest is counted exactly. Rows
    linked this way form components, so a family of near copies costs one pair per member.
-3. Blocks whose other rows still lie in different components are multiplied for those pairs only, under the same bounds.
+3. Blocks whose other rows still lie in different components are multiplied for those pairs only. Their products are
+   added up over all blocks: pairs that meet in fewer blocks than a link must are dropped, the rest are bounded and
+   counted as before.
 
 Step 3 misses no link between different components, and links inside one change nothing. Sets are identified and
 compared by 64-bit hashes.
@@ -37,9 +39,11 @@ FREQUENT = 32
 LOCAL = 6
 CHUNK = 1 << 22
 # cells of the filter that spares other documents the shuffle when pairs are counted
-FILTER_CELLS = 1 << 20
-# parity bitmaps of a set, in words of 64 bits: one that travels with every entry, one for pairs that pass it
-BITMAP, WIDE = 4, 64
+FILTER_CELLS = 1 << 22
+# parity bitmaps of a set, in words of 64 bits: one that travels with every entry, two for pairs that pass it, and, for sets
+# too large for these, one that grows with the set, so that few texts are shuffled for pairs that do not link
+BITMAP, MIDDLE, WIDE = 4, 16, 64
+FINE = 4  # cells per shingle, at least
 _BITS = [f"b{i}" for i in range(BITMAP)]
 
 
@@ -48,8 +52,14 @@ def _digest(shingles: np.ndarray) -> int:
 
 
 def _parity(shingles: np.ndarray) -> np.ndarray:
-    """Whether each of ``64 * WIDE`` cells holds an odd number of shingles."""
-    odd = np.bincount((shingles & np.uint64(64 * WIDE - 1)).astype(np.int64), minlength=64 * WIDE) & 1
+    """Whether each cell holds an odd number of shingles; 64 cells to a word, ``WIDE`` times a power of two of words.
+
+    The exclusive or of both halves is the bitmap of half as many cells.
+    """
+    words = WIDE
+    while 64 * words < FINE * len(shingles):
+        words *= 2
+    odd = np.bincount((shingles & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -62,14 +72,14 @@ def _saved(df: DataFrame, name: str) -> DataFrame:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents (id, size, set, bitmap), and rows (cell, count) of cells that columns of a chunk crowd."""
-    names = ["doc_id", "n", "id", *_BITS, "wide", "cell", "count"]
+    names = ["doc_id", "n", "id", *_BITS, "wide", "fine", "cell", "count"]
     hasher, seen, size = TextHasher(), set(), 0
     counts = np.zeros(1 << CELL_BITS, np.int32)
 
     def crowded() -> pa.RecordBatch:
         cells = np.flatnonzero(counts >= LOCAL)
         none = pa.nulls(len(cells), pa.int64())
-        out = pa.RecordBatch.from_arrays([none] * (3 + BITMAP) + [pa.nulls(len(cells), pa.list_(pa.int64())), pa.array(cells), pa.array(counts[cells].astype(np.int64))], names=names)
+        out = pa.RecordBatch.from_arrays([none] * (3 + BITMAP) + [pa.nulls(len(cells), pa.list_(pa.int64()))] * 2 + [pa.array(cells), pa.array(counts[cells].astype(np.int64))], names=names)
         counts[:] = 0
         return out
 
@@ -81,12 +91,13 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if i is not None and i not in seen:
                 seen.add(i)
                 new.append(s)
-        wide = np.array(bits, np.int64).reshape(len(bits), WIDE)
+        wide = np.array([np.bitwise_xor.reduce(x.reshape(-1, WIDE), axis=0) for x in bits], np.int64).reshape(len(bits), WIDE)
         narrow = np.bitwise_xor.reduce(wide.reshape(len(bits), -1, BITMAP), axis=1)  # the parity of fewer, merged cells
         packed = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * WIDE), pa.array(wide.ravel()))
+        fine = pa.array([x if len(x) > WIDE else None for x in bits], pa.list_(pa.int64()))
         none = pa.nulls(len(ids), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), *(pa.array(narrow[:, i]) for i in range(BITMAP)), packed, none, none], names=names
+            [b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), *(pa.array(narrow[:, i]) for i in range(BITMAP)), packed, fine, none, none], names=names
         )
         for s in new:
             np.add.at(counts, (s >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
@@ -130,6 +141,15 @@ def _fits(n: Column, m: Column) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * 75
 
 
+def _least_met(n: Column, m: Column) -> Column:
+    """Least number of blocks in which rows that link meet.
+
+    The row whose first entries end earlier finds all it shares there in the other's first entries; what is left of it
+    adds at most ``ceil(0.75 n) - 1`` to the overlap.
+    """
+    return _needed(n, m) - F.greatest(F.ceil(n * 0.75), F.ceil(m * 0.75)) + 1
+
+
 def _bounded(a: str, b: str) -> Column:
     """Whether sizes and bitmaps leave room for the overlap that a link needs."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -157,13 +177,35 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
 
+def _folded(bitmap: Column, words: int) -> Column:
+    """The bitmap of so many words that the ``WIDE`` words of ``bitmap`` merge to."""
+    return F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: reduce(lambda x, y: x.bitwiseXOR(y), [F.get(bitmap, i + k) for k in range(0, WIDE, words)]))
+
+
+def _narrowed(bitmap: Column, other: Column) -> Column:
+    """``bitmap``, its halves merged where it is longer than ``other``; sizes that fit differ by one doubling at most."""
+    half = F.size(other)
+    merged = F.zip_with(F.slice(bitmap, F.lit(1), half), F.slice(bitmap, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+    return F.when(F.size(bitmap) > half, merged).otherwise(bitmap)
+
+
+def _bounded_by(pairs: DataFrame, rows: DataFrame, bitmap: Column) -> DataFrame:
+    """Pairs that such bitmaps leave room for, with their sizes ``na`` and ``nb``."""
+    sets = _few(rows, _ends(pairs), "id").select("id", "n", bitmap.alias("w")).dropDuplicates(["id"])
+    x, y = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("w").alias(f"w{c}")) for c in "ab")
+    wa, wb, n, m = (F.col(c) for c in ("wa", "wb", "na", "nb"))
+    apart = F.aggregate(F.zip_with(_narrowed(wa, wb), _narrowed(wb, wa), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, k: t + k)
+    met = pairs.select("a", "b").join(x, "a").join(y, "b").where(_fits(n, m))
+    return met.where((n + m - apart) >= 2 * _needed(n, m)).select("a", "b", "na", "nb")
+
+
 def _bounded_wide(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs that the wide bitmaps leave room for."""
-    sets = _few(rows, _ends(pairs), "id").select("id", "n", "wide").dropDuplicates(["id"])
-    x, y = (sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in "ab")
-    apart = F.aggregate(F.zip_with("wa", "wb", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, k: t + k)
-    n, m = F.col("na"), F.col("nb")
-    return pairs.join(x, "a").join(y, "b").where(_fits(n, m) & ((n + m - apart) >= 2 * _needed(n, m))).select("a", "b")
+    """Pairs that ever wider bitmaps leave room for: most fall by a small one, so that few large ones are shuffled."""
+    for bitmap in _folded(F.col("wide"), MIDDLE), F.col("wide"):
+        pairs = _saved(_bounded_by(pairs, rows, bitmap), "pairs")
+    large = F.least("na", "nb") * FINE > 64 * WIDE
+    fine = _bounded_by(pairs.where(large), rows.where("fine IS NOT NULL"), F.col("fine"))
+    return _saved(fine.unionByName(pairs.where(~large)).select("a", "b"), "pairs")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -176,8 +218,9 @@ def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
             got = [_digest(s) if len(s) else None for s in hasher.sets(b.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), b.column(0)], names=["id", "text"])
 
-    # texts name themselves: the few that are read are shuffled once, by id
+    # texts name themselves: the few that are read are shuffled once, by id, and one of each set meets the pairs
     texts = _few(docs, ids, "doc_id").select("text").mapInArrow(named, "id bigint, text string")
+    texts = _few(texts, ids, "id").dropDuplicates(["id"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = TextHasher()
@@ -205,7 +248,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     table gives no rows. Texts are read three times rather than kept as shingles, which would be larger than the input.
     """
     docs = docs.select("doc_id", "text")
-    described = _saved(docs.mapInArrow(_describe, ", ".join(f"{c} bigint" for c in ["doc_id", "n", "id", *_BITS]) + ", wide array<bigint>, cell bigint, count bigint"), "documents")
+    described = _saved(docs.mapInArrow(_describe, ", ".join(f"{c} bigint" for c in ["doc_id", "n", "id", *_BITS]) + ", wide array<bigint>, fine array<bigint>, cell bigint, count bigint"), "documents")
     rows = described.where("cell IS NULL").drop("cell", "count")
     sets = _saved(rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ["n", *_BITS]]), "sets")
 
@@ -220,7 +263,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     shared = _saved(entries.where("NOT (id <=> last) AND (id <> pivot OR next IS NOT NULL)").drop("next", "last", "common"), "blocks")
 
     first = shared.where(F.col("id") != F.col("pivot")).where(_fits(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    first = _saved(_bounded_wide(first, rows), "pairs")
+    first = _bounded_wide(_saved(first, "pairs"), rows)
     links = _saved(_links(first, sets, docs), "links")
     family = components(links)
 
@@ -231,9 +274,11 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     mixed = placed.withColumns({"lo": F.min("c").over(block), "hi": F.max("c").over(block)}).where("lo < hi").drop("lo", "hi")
     left = _saved(mixed, "mixed").join(sets.select("id", *_BITS), "id")
     across = left.alias("x").join(left.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.c") < F.col("y.c")) & _bounded("x", "y"))
-    second = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    # pairs that meet at a pivot anywhere are settled; all other blocks that hold both rows are counted here
+    second = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), _least_met(F.col("x.n"), F.col("y.n")).alias("least"))
+    second = second.groupBy("a", "b", "least").count().where("count >= least").select("a", "b")
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = _saved(_bounded_wide(_saved(second.join(done, ["a", "b"], "left_anti"), "pairs"), rows), "pairs")
+    second = _bounded_wide(_saved(second.join(done, ["a", "b"], "left_anti"), "pairs"), rows)
     family = components(links.unionByName(_saved(_links(second, sets, docs), "links")))
 
     named = sets.select("id", "doc_id").join(family, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))

@@ -93,3 +93,50 @@ def test_components_of_paths_and_stars(spark):
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(50)}}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def unlike(rnd, n, common):
+    """Texts of ``n`` words of their own around a common passage."""
+    passage = [f"p{i}" for i in range(common)]
+    return lambda i: " ".join([f"d{i}x{rnd.randrange(10**9)}" for _ in range(n)] + passage)
+
+
+def test_large_sets_around_the_limit_equal_brute_force(spark):
+    rnd = random.Random(11)
+    rows = []
+    for size in (1020, 2050, 4096):  # bitmaps of one size and of two
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(size)]
+        for k in range(10):
+            t = list(base) if k % 2 else base[: size - rnd.randrange(size // 5)]
+            for at in rnd.sample(range(len(t)), round(len(t) * (0.005 + 0.005 * k))):
+                t[at] = f"e{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(t), "", "", ""))
+    want = brute(rows)
+    assert 3 < len({c for _, c in want.values()}) < len(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
+def test_texts_of_large_unlike_sets_are_not_compared(spark, monkeypatch):
+    make, counted, links = unlike(random.Random(12), 1700, 6300), [], jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda pairs, *rest: counted.append(pairs.count()) or links(pairs, *rest))
+    rows = [(i, make(i), "", "", "") for i in range(3)]  # similarity 0.65
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()} == {i: i for i in range(3)}
+    assert counted == [0, 0]
+
+
+def test_pairs_that_meet_in_too_few_blocks_are_dropped(spark, monkeypatch):
+    make, counted, bounded = unlike(random.Random(13), 700, 300), [], jaccard._bounded_wide
+    monkeypatch.setattr(jaccard, "_bounded_wide", lambda pairs, rows: counted.append(pairs.count()) or bounded(pairs, rows))
+    rows = [(i, make(i), "", "", "") for i in range(12)]
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()} == {i: i for i in range(12)}
+    assert counted[1] == 0
+
+
+def test_copies_of_a_text_do_not_multiply_its_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FILTER_CELLS", 1)  # a filter that lets every row through
+    counted, links = [], jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda *given: counted.append((made := links(*given)).count()) or made)
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(words if i % 2 else words[:95]), "", "", "") for i in range(12)]
+    assert {r.component_id for r in jaccard.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()} == {0}
+    assert counted == [1, 0]
