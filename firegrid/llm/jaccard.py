@@ -38,8 +38,9 @@ CELL_BITS = 22
 FREQUENT = 32
 LOCAL = 6
 CHUNK = 1 << 22
-# cells of the filter that spares other documents the shuffle when pairs are counted
-FILTER_CELLS = 1 << 22
+# cells of the filters that spare other documents the shuffle when pairs are bounded, and, for the fewer pairs and longer
+# rows then, when they are counted
+FILTER_CELLS, TEXT_CELLS = 1 << 20, 1 << 22
 # parity bitmaps of a set, in words of 64 bits: one that travels with every entry, two for pairs that pass it, and, for sets
 # too large for these, one that grows with the set, so that few texts are shuffled for pairs that do not link
 BITMAP, MIDDLE, WIDE = 4, 16, 64
@@ -157,10 +158,10 @@ def _bounded(a: str, b: str) -> Column:
     return _fits(n, m) & ((n + m - apart) >= 2 * _needed(n, m))
 
 
-def _few(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+def _few(df: DataFrame, wanted: DataFrame, key: str, size: int | None = None) -> DataFrame:
     """``df`` without most rows whose key is not wanted, so that these are not shuffled; keys are matched later."""
-    cell = lambda: F.pmod(F.xxhash64(key), F.lit(FILTER_CELLS))
-    cells = F.broadcast(wanted.select(cell().alias("_cell")).distinct())  # at most FILTER_CELLS rows
+    cell = lambda: F.pmod(F.xxhash64(key), F.lit(size or FILTER_CELLS))
+    cells = F.broadcast(wanted.select(cell().alias("_cell")).distinct())  # at most as many rows as cells
     return df.join(cells, cell() == F.col("_cell"), "left_semi")
 
 
@@ -219,8 +220,8 @@ def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), b.column(0)], names=["id", "text"])
 
     # texts name themselves: the few that are read are shuffled once, by id, and one of each set meets the pairs
-    texts = _few(docs, ids, "doc_id").select("text").mapInArrow(named, "id bigint, text string")
-    texts = _few(texts, ids, "id").dropDuplicates(["id"])
+    texts = _few(docs, ids, "doc_id", TEXT_CELLS).select("text").mapInArrow(named, "id bigint, text string")
+    texts = _few(texts, ids, "id", TEXT_CELLS).dropDuplicates(["id"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = TextHasher()

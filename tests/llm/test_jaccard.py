@@ -133,7 +133,8 @@ def test_pairs_that_meet_in_too_few_blocks_are_dropped(spark, monkeypatch):
 
 
 def test_copies_of_a_text_do_not_multiply_its_links(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "FILTER_CELLS", 1)  # a filter that lets every row through
+    for cells in "FILTER_CELLS", "TEXT_CELLS":  # filters that let every row through
+        monkeypatch.setattr(jaccard, cells, 1, raising=False)
     counted, links = [], jaccard._links
     monkeypatch.setattr(jaccard, "_links", lambda *given: counted.append((made := links(*given)).count()) or made)
     words = [f"w{i}" for i in range(100)]
