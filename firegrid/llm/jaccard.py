@@ -280,7 +280,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     second = second.groupBy("a", "b", "least").count().where("count >= least").select("a", "b")
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = _bounded_wide(_saved(second.join(done, ["a", "b"], "left_anti"), "pairs"), rows)
-    family = components(links.unionByName(_saved(_links(second, sets, docs), "links")))
+    tied = family.select(F.col("component").alias("a"), F.col("id").alias("b"))
+    family = components(tied.unionByName(_saved(_links(second, sets, docs), "links")))
 
     named = sets.select("id", "doc_id").join(family, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -233,32 +233,36 @@ def _grams(words: list[str]) -> set[str]:
     return {w[i : i + GRAM] for w in padded for i in range(max(1, len(w) - GRAM + 1))}
 
 
-def _parts(toxic: list[list[str]], ordinary: list[list[str]]) -> tuple[bytes, list[bytes]]:
+def _parts(toxic: list[str], ordinary: list[str]) -> tuple[bytes, list[bytes]]:
     """Dictionary of ordinary text, and what toxic documents say beyond it: per document, the words that hold letters
-    in a row whose share of toxic documents is significantly larger than that of ordinary ones.
+    in a row whose share of toxic documents is significantly larger than that of ordinary ones. A document is given by its
+    distinct words between blanks.
     """
+    # letters that too few toxic documents have are not counted any further: they are the bulk, and the driver holds the counts
+    often = Counter(g for words in toxic for g in _grams(words.split()))
+    often = {g for g, k in often.items() if k >= MIN_DOCS}
     docs, uses, n_words = {}, {}, {}
     for kind, texts in ((1, toxic), (0, ordinary)):
-        docs[kind], uses[kind], n_words[kind] = Counter(), Counter(), sum(map(len, texts))
+        docs[kind], uses[kind], n_words[kind] = Counter(), Counter(), sum(words.count(" ") + 1 for words in texts)
         for words in texts:
-            own = [g for w in words for g in _grams([w])]
+            own = [g for w in words.split() for g in _grams([w]) if g in often]
             uses[kind].update(own)
             docs[kind].update(set(own))
     marks = set()
     for g, k in docs[1].items():
         p = (k + docs[0][g]) / (len(toxic) + len(ordinary))
         z = (k / len(toxic) - docs[0][g] / len(ordinary)) / math.sqrt(max(p * (1 - p), 1e-12) * (1 / len(toxic) + 1 / len(ordinary)))
-        if k >= MIN_DOCS and z >= MIN_Z and uses[1][g] * n_words[0] >= MIN_RATIO * uses[0][g] * n_words[1]:
+        if z >= MIN_Z and uses[1][g] * n_words[0] >= MIN_RATIO * uses[0][g] * n_words[1]:
             marks.add(g)
-    samples = [f" {' '.join(w for w in words if _grams([w]) & marks)} ".encode() for words in toxic]
-    return _trained(BASE_BYTES, [" ".join(w).encode() for w in ordinary], k=32, d=8), [s for s in samples if s.strip()]
+    samples = [f" {' '.join(w for w in words.split() if _grams([w]) & marks)} ".encode() for words in toxic]
+    return _trained(BASE_BYTES, [words.encode() for words in ordinary], k=32, d=8), [s for s in samples if s.strip()]
 
 
 Measure = Callable[[list[list[tuple[bytes, bytes]]], dict[tuple, int]], list[tuple[tuple, np.ndarray]]]
 
 
-def fit_rows(rows: list[tuple[object, list[str], tuple[int, ...], int]], share_toxic: float, measure: Measure) -> Model:
-    """Model of rows (key, distinct words, near-copy keys, label). ``share_toxic``: share of label 1 among all labels.
+def fit_rows(rows: list[tuple[object, str, tuple[int, ...], int]], share_toxic: float, measure: Measure) -> Model:
+    """Model of rows (key, distinct words between blanks, near-copy keys, label). ``share_toxic``: share of label 1 among all labels.
 
     Of near copies one row trains, so that what a copied text alone contains does not look like a rule. ``measure`` gives
     whole texts' features. With one class only, or no rows, every document scores that share.
@@ -323,9 +327,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     kind = dict(docs.dtypes)[key]
     got = rows.mapInArrow(sample, f"_id {kind}, words string, near array<bigint>, y int").collect()
-    got.sort(key=lambda r: (r["_id"], r["words"]))
+    # words stay one string per text: the driver holds them while it trains
+    drawn_rows = sorted(((r["_id"], r["words"], tuple(r["near"]), r["y"]) for r in got), key=lambda r: r[:2])
     total = sum(counts.values())
-    same: dict[str, str] = {}  # one string per word, whatever the number of texts that use it
+    del got
 
     def measure(trained: list[list[tuple[bytes, bytes]]], other: dict[tuple, int]) -> list[tuple[tuple, np.ndarray]]:
         def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +352,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             got[key] = max(got.get(key, x), x)  # rows of one id that are near copies count once
         return [(k, np.frombuffer(x)) for k, x in sorted(got.items())]
 
-    return fit_rows([(r["_id"], [same.setdefault(w, w) for w in r["words"].split()], tuple(r["near"]), r["y"]) for r in got], counts.get(1, 0) / total if total else 0.5, measure)
+    return fit_rows(drawn_rows, counts.get(1, 0) / total if total else 0.5, measure)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

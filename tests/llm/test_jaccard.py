@@ -141,3 +141,11 @@ def test_copies_of_a_text_do_not_multiply_its_links(spark, monkeypatch):
     rows = [(i, " ".join(words if i % 2 else words[:95]), "", "", "") for i in range(12)]
     assert {r.component_id for r in jaccard.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()} == {0}
     assert counted == [1, 0]
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(graph, "cut_lineage", lambda df, f=graph.cut_lineage: made.append(1) or f(df))
+    edges = [(i, 100) for i in range(101, 150)] + [(i, 7) for i in range(8, 20)] * 2
+    got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 100 for i in range(100, 150)}, **{i: 7 for i in range(7, 20)}} and len(made) == 1

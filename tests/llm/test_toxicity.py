@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 from firegrid.llm import toxicity
@@ -108,3 +109,18 @@ def test_windows_that_are_not_compressed_save_nothing():
     # dictionaries whose tables may differ leave nothing out
     small = toxicity.Model(base[:3000], toxic, 1, ()).savings()
     assert not small.marks.usable and [s.tolist() for s in small.of(texts[5])] == [[len(small.base(w)) - len(small.toxic(w)) for w in toxicity.windows_of(texts[5], width)] for width in toxicity.WINDOWS]
+
+
+def test_driver_holds_neither_words_nor_rare_letters(spark):
+    rnd = random.Random(7)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(40_000)]
+    rows = [(i, " ".join(rnd.sample(words, 500) + BAD * (i % 5 == 0)), "", "") for i in range(600)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    known = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)], "doc_id long, toxic int")
+    tracemalloc.start()
+    try:
+        toxicity.fit(docs, known)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 26e6, peak
